@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import decontam, mixing, quality_rules, simhash, token_output
 from .common import read_table
 
 
+def op1_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.round_trip(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return quality_rules.judge(docs, read_table(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read_table(spark, sf_dir, "documents", "doc_id", "text"))
     return found.select(
@@ -16,9 +25,37 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mixed(read_table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"))
+    m = found.select("doc_id", "__mix.*")
+    return m.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("p", 6).alias("p"), "kept")
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    found = decontam.contained_items(docs, read_table(spark, sf_dir, "benchmark", "item_id", "text"))
+    return found.select("doc_id", "item_id", "n_shared", "n_item", F.round("containment", 6).alias("containment"))
+
+
+OP10_SQL = r"""
+WITH words AS (
+  SELECT 'd' AS side, doc_id AS id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+  UNION ALL
+  SELECT 'b', item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') FROM benchmark),
+shingles AS (
+  SELECT DISTINCT side, id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE [array_to_string(w[i:i+4], ' ') for i in range(1, len(w) - 3)] END) AS s
+  FROM words WHERE w IS NOT NULL),
+items AS (SELECT id, s, count(*) OVER (PARTITION BY id) AS n FROM shingles WHERE side = 'b')
+SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_shared, n AS n_item, round(count(*) / n, 6) AS containment
+FROM shingles d JOIN items i ON d.s = i.s AND d.side = 'd'
+GROUP BY d.id, i.id, n HAVING count(*) / n >= 0.8
+""".replace("\\\\", "\\")
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v) and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_mixing": mixing.oracle_sql(), "op10_decontamination": OP10_SQL}
