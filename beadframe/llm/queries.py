@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, quality_rules, simhash, token_output
+from . import decontam, mixing, quality_rules, simhash, token_output, warc
 from .common import read_table
 
 
@@ -31,6 +31,21 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("p", 6).alias("p"), "kept")
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(read_table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return found.where("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP9_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+q AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS low FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id > low THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id > low THEN low END AS refers_to
+FROM q
+"""
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
     found = decontam.contained_items(docs, read_table(spark, sf_dir, "benchmark", "item_id", "text"))
@@ -58,4 +73,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mixing": mixing.oracle_sql(), "op10_decontamination": OP10_SQL}
+    return {"op8_mixing": mixing.oracle_sql(), "op9_warc": OP9_SQL, "op10_decontamination": OP10_SQL}
