@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, quality_rules, simhash, token_output, warc
+from . import decontam, mixing, pii, quality_rules, simhash, token_output, warc
 from .common import read_table
 
 
@@ -25,6 +25,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest_columns(pii.find(read_table(spark, sf_dir, "documents", "doc_id", "text")))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mixed(read_table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"))
     m = found.select("doc_id", "__mix.*")
@@ -73,4 +77,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mixing": mixing.oracle_sql(), "op9_warc": OP9_SQL, "op10_decontamination": OP10_SQL}
+    return {"op6_pii": pii.oracle_sql(), "op8_mixing": mixing.oracle_sql(), "op9_warc": OP9_SQL, "op10_decontamination": OP10_SQL}

@@ -1,0 +1,58 @@
+import hashlib
+import re
+
+from beadframe.llm import pii
+
+BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(d):
+    return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def base_spans(text):
+    out = []
+    for place, (kind, pattern) in enumerate(BASE.items()):
+        for m in re.finditer(pattern, text or ""):
+            d = re.sub("[^0-9]", "", m[0])
+            ok = {"email": True, "ip": all(int(p) <= 255 for p in m[0].split(".")) if kind == "ip" else 0, "card": 14 <= len(d) <= 19 and luhn(d), "phone": 10 <= len(d) <= 15}[kind]
+            if ok:
+                out.append((m.start(), place, kind, m.end()))
+    return [f"{k}:{a}:{b}" for a, _, k, b in sorted(out)]
+
+
+TEXTS = [
+    None, "", "a@b.c_d@e.f x@y@z.w @q.r a@b", "\U0001f600 é mail me: x.y+z@ex-a.co.uk.", "1.2.3.4.5 256.1.1.1 0001.2.3.255 999999999999999999999.1.1.1 1.2.3",
+    "4111 1111 1111 1111 and 4111-1111-1111-1112, 4111  1111", "1 4111111111111111", "49927398716 79927398713 0000 0000 0000 00", "+1 (017) 555-7713%%% +12 +1-2-3-4-5-6-7-8-9-0.",
+    "IBAN DE89 3704 0044 0532 0130 00, GB82WEST12345698765432 and GB82WEST12345698765431", "my ssn 123-45-6789; part no 123-45-6789 " + "x" * 60 + " 987-65-4320",
+    "9" * 30000, "a" * 30000 + "@", "a." * 20000, "1 " * 20000, "x@y.z " * 300, "+" * 5000, "1.2.3.4 " * 400 + "4111111111111111",
+]
+
+
+def test_spans(spark):
+    df = spark.createDataFrame([(i, t, "q", 1) for i, t in enumerate(TEXTS)], "doc_id long, text string, spans string, found_ip int")
+    got = {r.doc_id: r for r in pii.digest_columns(pii.find(df)).collect()}
+    for i, t in enumerate(TEXTS):
+        want = base_spans(t)
+        assert got[i].base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest(), (i, got[i].spans[:200], want[:5])
+        assert [s for s in got[i].spans.split(",") if s.split(":")[0] in BASE] == want
+        assert [got[i][f"n_{k}"] for k in BASE] == [sum(w.startswith(k) for w in want) for k in BASE]
+    assert [s for s in got[9].spans.split(",") if s.startswith("iban")] == ["iban:5:32", "iban:34:56"]
+    assert [s for s in got[10].spans.split(",") if s.startswith("ssn")] == ["ssn:7:18", "ssn:28:39"]
+
+
+def test_context_raises_the_score(spark):
+    df = spark.createDataFrame([(1, "tel +1 234 567 8901"), (2, "xyz +1 234 567 8901")], "doc_id long, text string")
+    got = {r.doc_id: r.spans[0].score for r in pii.find(df).collect()}
+    assert got[1] > got[2]
+
+
+def test_empty_table_and_nulls(spark):
+    schema = "doc_id long, text string"
+    assert pii.find(spark.createDataFrame([], schema)).count() == 0
+    assert pii.find(spark.createDataFrame([(None, None), (None, None)], schema)).count() == 2
