@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, pii, quality_rules, simhash, token_output, warc
+from . import decontam, line_crf, mixing, pii, quality_rules, simhash, token_output, warc
 from .common import read_table
 
 
@@ -13,6 +13,11 @@ def op1_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.round_trip(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op2_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return line_crf.classify(docs, read_table(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
     return quality_rules.judge(docs, read_table(spark, sf_dir, "labels", "doc_id", "quality"))
