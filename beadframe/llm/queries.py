@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, line_crf, mixing, pii, quality_rules, simhash, token_output, warc
+from . import decontam, line_crf, mixing, page_diff, pii, quality_rules, simhash, token_output, token_scan, warc
 from .common import read_table
 
 
@@ -23,6 +23,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, read_table(spark, sf_dir, "labels", "doc_id", "quality"))
 
 
+def op4_page_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = page_diff.extract(read_table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read_table(spark, sf_dir, "documents", "doc_id", "text"))
     return found.select(
@@ -34,6 +39,11 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest_columns(pii.find(read_table(spark, sf_dir, "documents", "doc_id", "text")))
 
 
+def op7_token_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flat = token_scan.write_flat(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+    return token_scan.count_documents(flat).select("doc_id", "n_tokens")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mixed(read_table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"))
     m = found.select("doc_id", "__mix.*")

@@ -19,10 +19,11 @@ class WordIds:
     is known is emptied when it holds ``most`` pieces, so memory is bounded.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 1_000_000, plain: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.tokenizer.encode_special_tokens = plain  # true: special tokens' strings are ordinary text
         self.model = self.tokenizer.model
         # How the byte-level step writes each byte, asked of the library itself.
         letters = {chr(c): self.tokenizer.pre_tokenizer.pre_tokenize_str(chr(c))[0][0] for c in range(170, 256) if chr(c).isalpha()}
@@ -91,13 +92,13 @@ class WordIds:
         return out
 
 
-def encoder(path: str | None = None) -> WordIds:
+def encoder(path: str | None = None, plain: bool = False) -> WordIds:
     """This worker's encoder; ``path`` defaults to the public vocabulary file."""
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path(VOCABULARY)
     cache = worker_cache()
-    if ("encoder", path) not in cache:
-        cache["encoder", path] = WordIds(path)
-    return cache["encoder", path]
+    if ("encoder", path, plain) not in cache:
+        cache["encoder", path, plain] = WordIds(path, plain=plain)
+    return cache["encoder", path, plain]
