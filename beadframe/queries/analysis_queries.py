@@ -372,13 +372,13 @@ sr AS (SELECT sample_id, k, y, 'species' || s AS species, (pk * (s + 3)) % 60 AS
 rr AS (SELECT *, rank() OVER (PARTITION BY sample_id, species ORDER BY score) + (count(*) OVER (PARTITION BY sample_id, species, score) - 1) / 2.0 AS r FROM sr)"""
 
 
-@query("SELECT sample_id, species, max(k) AS n, round((sum(r * y) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * sum(1 - y)), 6) AS auc FROM rr GROUP BY 1, 2", more=SPECIES)
+@query("SELECT sample_id, species, max(k) AS n, round((sum(r * y) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * sum(1 - y)), 8) AS auc FROM rr GROUP BY 1, 2", more=SPECIES)
 def species_auc(spark, sf):
     pk, s = F.col("p_partkey"), F.col("s")
     scores = a.table(spark, sf, "part").withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(2))))
     scores = scores.select(a.probe_name(pk).alias("probe_id"), F.concat(F.lit("species"), s.cast("string")).alias("species"), ((pk * (s + 3)) % 60).alias("score"))
     out = infer.species_auc(_detected(spark, sf), scores, top=200, positive=0.4, negative=0.6)
-    return out.select("sample_id", "species", F.col("n").cast("long").alias("n"), r6("auc"))
+    return out.select("sample_id", "species", F.col("n").cast("long").alias("n"), F.round("auc", 8).alias("auc"))
 
 
 @query("SELECT probe_id, round(coalesce(beta, avg(beta) OVER (PARTITION BY probe_id)), 6) AS beta, sample_id FROM betas")
