@@ -17,18 +17,37 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path
+from .common import materialise, scratch_path
 
-LEAST_BYTES, SALTS, RECORDS_PER_FILE = 100, 16, 20_000
+LEAST_BYTES, SALTS, RECORDS_PER_FILE, BITMAP_BITS = 100, 16, 20_000, 20
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 FOUND = "path string, offset long, length long, kind string, reason string, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 
 
+def bitmap_slot(column: Column) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(1 << BITMAP_BITS))
+
+
+def bitmap_of(df: DataFrame, column: str) -> bytes:
+    """A bitmap of 2**BITMAP_BITS bits, whatever the number of rows, with each value's bit set."""
+    out = np.zeros(1 << BITMAP_BITS, bool)
+    out[df.select(bitmap_slot(F.col(column)).alias("s")).distinct().toPandas()["s"].to_numpy(np.int64)] = True
+    return np.packbits(out, bitorder="little").tobytes()
+
+
+def in_bitmap(column: Column, bitmap: bytes) -> Column:
+    """False only for values that are not in the bitmap."""
+    slot = bitmap_slot(column)
+    byte = F.conv(F.hex(F.substring(F.lit(bitmap), F.shiftright(slot, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.getbit(byte, slot.bitwiseAND(7).cast("int")) == 1
+
+
 def records(pages: DataFrame, html: str = "html", id: str = "page_id", url: str = "url", date: str = "1970-01-01T00:00:00Z", least: int = LEAST_BYTES) -> DataFrame:
     """One string column ``value``: each page's record without its end.
 
@@ -41,10 +60,14 @@ def records(pages: DataFrame, html: str = "html", id: str = "page_id", url: str
     rows = pages.select(F.col(id).cast("long").alias("id"), F.col(url).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumns({"digest": F.sha2(F.col("payload").cast("binary"), 256), "n": F.octet_length("payload")})
     first = rows.where(F.col("n") >= least).groupBy("digest", "n").agg(F.min("id").alias("low"), F.count("*").alias("c"))
+    first = materialise(first.where("c > 1 AND low IS NOT NULL").select("digest", "n", "low"), "warc-copies")
+    # Only payloads that may have copies are shuffled; the bitmap says which may.
+    may = in_bitmap(F.col("digest"), bitmap_of(first, "digest"))
     # A payload may be a third of all rows: each one's pages are dealt over SALTS tasks.
-    first = first.where("c > 1 AND low IS NOT NULL").select("digest", "n", "low", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(SALTS)).cast("int"))
-    joined = salted.join(first, ["digest", "n", "salt"], "left")
+    salts = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.where(may).withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(SALTS)).cast("int"))
+    alone = rows.where(~may).withColumn("low", F.lit(None).cast("long"))
+    joined = salted.join(salts, ["digest", "n", "salt"], "left").drop("salt").unionByName(alone)
     again = F.col("low").isNotNull() & ~F.col("low").eqNullSafe(F.col("id"))
     line = lambda name, value: F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit("\r\n")), F.lit(""))
     urn = lambda c: F.concat(F.lit("<urn:x-page:"), c.cast("string"), F.lit(">"))
