@@ -7,8 +7,18 @@ import math
 import numpy as np
 import pandas as pd
 
-_erfc = np.vectorize(math.erfc, otypes=[float])
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
+
+def _each(f, x) -> np.ndarray:
+    x = np.asarray(x, float)
+    return np.array([f(v) for v in x.ravel().tolist()]).reshape(x.shape)
+
+
+def _erfc(x) -> np.ndarray:
+    return _each(math.erfc, x)
+
+
+def _lgamma(x) -> np.ndarray:
+    return _each(math.lgamma, x)
 
 
 def normal_cdf(x) -> np.ndarray:
