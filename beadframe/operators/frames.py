@@ -43,11 +43,11 @@ def region_matrix(betas: DataFrame, coords: DataFrame, chrom: str, start: int, e
     return rows.groupBy("probe_id", "start").pivot("sample_id", samples).agg(F.first("beta"))
 
 
-def gene_window(genes: DataFrame, gene: str, upstream: int = 2000, downstream: int = 2000) -> DataFrame:
-    """(chrom, start, end) of a gene with its flanks, by strand."""
+def gene_windows(genes: DataFrame, upstream: int = 2000, downstream: int = 2000, gene: str | None = None) -> DataFrame:
+    """(gene, chrom, start, end) of genes (or one) with their flanks, by strand."""
     plus = F.col("strand") == "+"
-    rows = genes.where(F.col("gene") == gene)
-    return rows.select("chrom", (F.col("start") - F.when(plus, upstream).otherwise(downstream)).alias("start"), (F.col("end") + F.when(plus, downstream).otherwise(upstream)).alias("end"))
+    rows = genes if gene is None else genes.where(F.col("gene") == gene)
+    return rows.select("gene", "chrom", (F.col("start") - F.when(plus, upstream).otherwise(downstream)).alias("start"), (F.col("end") + F.when(plus, downstream).otherwise(upstream)).alias("end"))
 
 
 def beta_histogram(signals: DataFrame, bins: int = 20) -> DataFrame:
@@ -100,3 +100,39 @@ def reference_heat(references: DataFrame) -> DataFrame:
     """(probe_id, strain, genotype): flipped where exactly one of the two flip flags is set."""
     flip = F.col("flip_to_af") != F.col("flip_for_ref_bias")
     return references.select("probe_id", "strain", F.when(flip, 1 - F.col("genotype")).otherwise(F.col("genotype")).alias("genotype"))
+
+
+def enrich_all_frame(results: DataFrame, least_estimate: float = 0.0, most_fdr: float = 0.01, cap: float = 300.0) -> DataFrame:
+    """(group, dbname, x, estimate, neg_log10_fdr): sets of all groups end to end, groups by name, best sets first."""
+    kept = results.where((F.col("estimate") > least_estimate) & (F.col("fdr") < most_fdr))
+    kept = kept.withColumn("neg_log10_fdr", F.least(F.lit(cap), -F.log10(F.greatest("fdr", F.lit(2.2250738585072014e-308)))))
+    sizes = results.groupBy("group").agg(F.count("*").alias("n"))
+    before = W.orderBy("group").rowsBetween(W.unboundedPreceding, -1)  # a row a group
+    off = sizes.select("group", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("off"))
+    place = F.row_number().over(W.partitionBy("group").orderBy("fdr", "dbname"))
+    return kept.withColumn("place", place).join(F.broadcast(off), "group").select("group", "dbname", (F.col("off") + F.col("place")).alias("x"), "estimate", "neg_log10_fdr")
+
+
+def probe_window(coords: DataFrame, probes: DataFrame, flank: int = 1000) -> DataFrame:
+    """(chrom, start, end): the span of some probes with flanks, a row a chromosome."""
+    rows = coords.join(probes.select("probe_id").distinct(), "probe_id", "left_semi")
+    return rows.groupBy("chrom").agg((F.min("start") - flank).alias("start"), (F.max("end") + flank).alias("end"))
+
+
+def metric_bars(stats: DataFrame, metrics: list[str]) -> DataFrame:
+    """(sample_id, metric, value): a wide metric table made long."""
+    pairs = F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics))
+    return stats.select("sample_id", F.explode(pairs).alias("x")).select("sample_id", "x.*")
+
+
+def score_curve(values: DataFrame, members: DataFrame) -> DataFrame:
+    """(dbname, at, score): the running score of each set where it turns, at its members."""
+    from .sets import _positions
+
+    v = values.where("value IS NOT NULL")
+    total = v.agg(F.count("*").alias("n"))
+    held = members.select("dbname", "probe_id").distinct().join(_positions(v), "probe_id")
+    sizes = held.groupBy("dbname").agg(F.count("*").alias("m"))
+    rows = held.join(sizes, "dbname").join(F.broadcast(total))  # one row
+    k = F.row_number().over(W.partitionBy("dbname").orderBy("at"))
+    return rows.select("dbname", "at", (k / F.col("m") - F.try_divide(F.col("at") - k, F.col("n") - F.col("m"))).alias("score"))

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 
 from ..functions.stats import mode
 from ..functions.windows import mean_rank
+from .signal import collapse_mean
 
 
 def horvath_age(x: Column, adult: float = 20.0) -> Column:
@@ -284,3 +285,17 @@ def lift_signals(signals: DataFrame, mapping: DataFrame) -> DataFrame:
     targets = mapping.where("id_target IS NOT NULL").select(F.col("id_target").alias("probe_id")).distinct()
     grid = targets.join(F.broadcast(ids)).select("probe_id", F.explode("s").alias("sample_id"))  # one row
     return grid.join(found, ["sample_id", "probe_id"], "left").withColumn("mask", F.coalesce("mask", F.lit(True)))
+
+
+def reindex_by_prefix(betas: DataFrame, targets: DataFrame) -> DataFrame:
+    """Betas averaged by id prefix, for the given target ids and every sample (null where there is none)."""
+    means = collapse_mean(betas)
+    ids = betas.select("sample_id").distinct().agg(F.collect_set("sample_id").alias("s"))
+    grid = targets.select("probe_id").distinct().join(F.broadcast(ids)).select("probe_id", F.explode("s").alias("sample_id"))  # one row
+    return grid.join(means, ["sample_id", "probe_id"], "left").select("sample_id", "probe_id", "beta")
+
+
+def two_component_strict(reference: DataFrame, low: float = 0.3, high: float = 0.7) -> DataFrame:
+    """Marker probes where one part is below ``low`` and the other above ``high``."""
+    side = F.when((F.col("a") > high) & (F.col("b") < low), "high").when((F.col("a") < low) & (F.col("b") > high), "low")
+    return reference.withColumn("side", side).where("side IS NOT NULL").select("probe_id", "a", "b", "side")

@@ -104,3 +104,10 @@ def complete_levels(betas: DataFrame, samples: DataFrame, factor: str) -> DataFr
     rows = betas.join(F.broadcast(samples.select("sample_id", factor)), "sample_id")  # a row a sample
     levels = rows.groupBy("probe_id", factor).agg(F.count("beta").alias("n"))
     return levels.groupBy("probe_id").agg(F.bool_and(F.col("n") > 0).alias("complete"))
+
+
+def control_rows(signals: DataFrame, controls: DataFrame | None = None) -> DataFrame:
+    """Signals of control probes with their type: by the controls table, else by the id's prefix ``ctl``."""
+    if controls is None:
+        return signals.where(F.col("probe_id").startswith("ctl")).withColumn("type", F.lit(None).cast("string"))
+    return signals.join(controls.select("probe_id", "type").dropDuplicates(["probe_id"]), "probe_id")

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import detect, infer, masks, normalize, signal
-from ..sources import idat
+from ..sources import idat, tables
 
 
 @dataclass
@@ -68,3 +68,8 @@ def run(signals: DataFrame, codes: str = "QCDPB", function: Callable[[DataFrame]
 def run_folder(spark: SparkSession, path: str, manifest: DataFrame, codes: str = "QCDPB", min_beads: int | None = 1, **options) -> DataFrame:
     """From a folder of IDAT files to ``run``'s result."""
     return run(idat.to_signals(idat.beads(spark, path), manifest, min_beads), codes, **options)
+
+
+def to_file_set(signals: DataFrame, path: str, codes: str = "QCDPB", **options) -> None:
+    """Betas of all samples into a file set, one plan and one write; samples already there are replaced."""
+    tables.write_file_set(run(signals, codes, **options), path)

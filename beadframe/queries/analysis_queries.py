@@ -683,9 +683,10 @@ def plot_intensity_beta(spark, sf):
     return frames.intensity_by_beta(a.signals(spark, sf)).select("sample_id", "bin", "n", r6("mean_total"))
 
 
-@query()
+@query("""SELECT sample_id, unnest(QS)::DOUBLE AS q, round(unnest(quantile_cont(v, QS) FILTER (col = 'R')), 6) AS red, round(unnest(quantile_cont(v, QS) FILTER (col = 'G')), 6) AS green FROM (
+  SELECT sample_id, col, unnest(CASE col WHEN 'G' THEN [mg, ug] ELSE [mr, ur] END) AS v FROM signals WHERE col <> '2') GROUP BY 1""".replace("QS", "[0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]"))
 def plot_red_green(spark, sf):
-    return frames.red_green_quantiles(a.signals(spark, sf))
+    return frames.red_green_quantiles(a.signals(spark, sf)).select("sample_id", "q", r6("red"), r6("green"))
 
 
 @query("SELECT sample_id, probe_id, round(af, 6) AS af FROM x WHERE probe_id IN (SELECT probe_id FROM x GROUP BY 1 HAVING max(af) - min(af) > 0.3)", more=AF + ", x AS (SELECT * FROM (SELECT sample_id, probe_id, af FROM af UNION ALL SELECT sample_id, probe_id, b0 FROM raw_betas WHERE starts_with(probe_id, 'rs')) WHERE starts_with(probe_id, 'rs'))")
@@ -704,3 +705,59 @@ def strain_heat(spark, sf):
     rows = a.table(spark, sf, "part").withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(2))))
     ref = rows.select(a.probe_name(pk).alias("probe_id"), F.concat(F.lit("strain"), s.cast("string")).alias("strain"), ((pk + s) % 2).cast("double").alias("genotype"), (pk % 5 == 0).alias("flip_to_af"), (pk % 7 == 0).alias("flip_for_ref_bias"))
     return frames.reference_heat(ref)
+
+
+@query("SELECT sample_id, CASE WHEN pk % 3 = 0 THEN 'negative' WHEN pk % 3 = 1 THEN 'norm_c' ELSE 'norm_t' END AS type, count(*) AS n, round(avg(ug), 6) AS g, round(avg(ur), 6) AS r FROM signals WHERE pk % 20 = 19 GROUP BY 1, 2")
+def control_summary(spark, sf):
+    rows = masks.control_rows(a.signals(spark, sf), a.controls(spark, sf))
+    return rows.groupBy("sample_id", "type").agg(F.count("*").alias("n"), r6(F.avg("ug"), "g"), r6(F.avg("ur"), "r"))
+
+
+@query("SELECT s.sample_id, t.probe_id, round(avg(beta), 6) AS beta FROM (SELECT probe_id FROM probes WHERE pk % 3 = 1 AND NOT starts_with(probe_id, 'ctl_')) t CROSS JOIN (SELECT DISTINCT sample_id FROM half) s LEFT JOIN half h ON h.pfx = t.probe_id AND h.sample_id = s.sample_id GROUP BY 1, 2", more=HALF)
+def reindex_by_prefix(spark, sf):
+    pk = F.col("p_partkey")
+    targets = a.table(spark, sf, "part").where((pk % 3 == 1) & (pk % 20 != 19)).select(a.probe_name(pk).alias("probe_id"))
+    return infer.reindex_by_prefix(signal.betas(a.suffixed(a.signals(spark, sf))), targets).select("sample_id", "probe_id", r6("beta"))
+
+
+@query("""SELECT dbname, "group", off + row_number() OVER (PARTITION BY "group" ORDER BY p, dbname) AS x FROM (
+  SELECT *, CASE "group" WHEN 'brand' THEN 0 ELSE (SELECT count(DISTINCT p_brand) FROM probes) END AS off FROM (
+  SELECT 'brand' AS "group", p_brand AS dbname, avg(price) AS p FROM probes GROUP BY 2 UNION ALL SELECT 'type', p_type, avg(price) FROM probes GROUP BY 2))""")
+def plot_enrich_all(spark, sf):
+    rows = a.table(spark, sf, "part")
+    one = lambda g, c: rows.groupBy(F.col(c).alias("dbname")).agg(F.avg("p_retailprice").alias("fdr")).withColumns({"group": F.lit(g), "estimate": F.lit(1.0)})
+    return frames.enrich_all_frame(one("brand", "p_brand").unionByName(one("type", "p_type")), most_fdr=1e9).select("dbname", "group", F.col("x").cast("long").alias("x"))
+
+
+@query("SELECT sample_id, 'n_green' AS metric, count(*) FILTER (col = 'G')::DOUBLE AS value FROM signals GROUP BY 1 UNION ALL SELECT sample_id, 'n_red', count(*) FILTER (col = 'R')::DOUBLE FROM signals GROUP BY 1")
+def plot_metric_bars(spark, sf):
+    stats = a.signals(spark, sf).groupBy("sample_id").agg(F.count_if(F.col("col") == "G").alias("n_green"), F.count_if(F.col("col") == "R").alias("n_red"))
+    return frames.metric_bars(stats, ["n_green", "n_red"])
+
+
+@query('SELECT chrom, min(start) - 1000 AS start, max("end") + 1000 AS "end" FROM probes WHERE p_size <= 10 GROUP BY 1')
+def probe_window(spark, sf):
+    return frames.probe_window(a.coords(spark, sf), a.query_set(spark, sf))
+
+
+@query("SELECT dbname, place, round(k / m - (place - k) / (n - m), 6) AS score FROM (SELECT dbname, place, n, m, row_number() OVER (PARTITION BY dbname ORDER BY place) AS k FROM (SELECT p_brand AS dbname, row_number() OVER (ORDER BY price, probe_id) AS place, count(*) OVER () AS n, count(*) OVER (PARTITION BY p_brand) AS m FROM probes))")
+def plot_score_curve(spark, sf):
+    values = a.set_members(spark, sf).where("group = 'price'").select("probe_id", "value")
+    return frames.score_curve(values, _brands(spark, sf)).select("dbname", F.col("at").alias("place"), r6("score"))
+
+
+@query('SELECT gene, chrom, start - CASE WHEN strand = \'+\' THEN 2000 ELSE 1500 END AS start, "end" + CASE WHEN strand = \'+\' THEN 1500 ELSE 2000 END AS "end" FROM genes')
+def gene_windows(spark, sf):
+    return frames.gene_windows(a.genes(spark, sf), 2000, 1500)
+
+
+@query('SELECT gene, p.probe_id FROM genes g JOIN probes p ON p.chrom = g.chrom AND p.start BETWEEN g.start - 2000 AND g."end" + 2000 AND g.strand = p.strand')
+def stranded_overlap(spark, sf):
+    wide = a.genes(spark, sf).select("gene", "chrom", F.col("strand").alias("gs"), (F.col("start") - 2000).alias("start"), (F.col("end") + 2000).alias("end"))
+    points = a.coords(spark, sf).select("chrom", "start", F.col("start").alias("end"), "probe_id", "strand")
+    return ranges.overlap_join(wide, points).where("gs = strand").select("gene", "probe_id")
+
+
+@query("SELECT probe_id, side FROM (SELECT probe_id, CASE WHEN a > 0.7 AND b < 0.3 THEN 'high' WHEN a < 0.3 AND b > 0.7 THEN 'low' END AS side FROM (SELECT probe_id, ((pk * 2) % 101) / 100.0 AS a, ((pk * 3) % 101) / 100.0 AS b FROM probes)) WHERE side IS NOT NULL")
+def two_component_strict(spark, sf):
+    return infer.two_component_strict(_two_cells(spark, sf)).select("probe_id", "side")

@@ -160,3 +160,13 @@ def first_per_address(beads: DataFrame) -> DataFrame:
     """One row a sample and address, where a file repeats an address."""
     w = W.partitionBy("sample_id", "address").orderBy(F.col("gn").desc_nulls_last(), F.col("rn").desc_nulls_last(), "g", "r")
     return beads.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
+
+
+def read_controls(beads: DataFrame, controls: DataFrame) -> DataFrame:
+    """(sample_id, address, type, g, r) of control beads (address, type); those that were not read are left out."""
+    return beads.join(controls.select(F.col("address").cast("int").alias("address"), "type"), "address").select("sample_id", "address", "type", "g", "r").dropna(subset=["g", "r"])
+
+
+def file_status(files: DataFrame) -> DataFrame:
+    """(prefix, status, error): a row a sample; a damaged file fails its own sample only."""
+    return bead_rows(files).groupBy("prefix").agg(F.max("error").alias("error")).select("prefix", F.when(F.col("error").isNull(), "ok").otherwise("failed").alias("status"), "error")
