@@ -635,10 +635,14 @@ def variant_frequency(spark, sf):
     return out.select("sample_id", "probe_id", r6("vaf"))
 
 
-@query()
+@query("""SELECT v.sample_id, p.chrom AS chrm, 1001 + 137 * p.pk AS pos, '.' AS id, 'A' AS ref, CASE WHEN p.pk % 3 = 0 THEN 'H' ELSE 'G' END AS alt, gt, CASE WHEN vaf IS NOT NULL THEN v.probe_id END AS named
+  FROM vf v JOIN probes p USING (probe_id) LEFT JOIN (SELECT sample_id, probe_id, CASE WHEN l0 >= l1 AND l0 >= l2 THEN '0/0' WHEN l1 >= l2 THEN '0/1' ELSE '1/1' END AS gt FROM (
+    SELECT *, k * ln(0.1) + (40 - k) * ln(0.9) AS l0, 40 * ln(0.5) AS l1, k * ln(0.9) + (40 - k) * ln(0.1) AS l2 FROM (SELECT *, round(vaf * 40) AS k FROM vf WHERE vaf IS NOT NULL))) g ON g.sample_id = v.sample_id AND g.probe_id = v.probe_id""", more=VCF)
 def vcf_lines(spark, sf):
     s = a.signals(spark, sf)
-    return tables.vcf_lines(_snps(spark, sf), signal.betas(s, mask=False), signal.type_one_af(s))
+    out = tables.vcf_lines(_snps(spark, sf), signal.betas(s, mask=False), signal.type_one_af(s))
+    part = lambda n: F.nullif(F.regexp_extract("info", n + "=([^;]+)", 1), F.lit(""))
+    return out.select("sample_id", "chrm", "pos", "id", "ref", "alt", part("GT").alias("gt"), part("Probe_ID").alias("named"))
 
 
 @query("SELECT sample_id, probe_id, round(beta, 6) AS beta FROM betas WHERE sample_id IN ('s01', 's02') AND pk IN (SELECT pk FROM probes WHERE p_size <= 10)")

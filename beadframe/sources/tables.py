@@ -106,11 +106,18 @@ def write_bed(track: DataFrame, path: str) -> None:
     track.drop("sample_id").write.option("sep", "\t").csv(path)
 
 
-VCF_HEADER = [
-    "##fileformat=VCFv4.2", '##INFO=<ID=PVF,Number=1,Type=Float,Description="Pseudo variant frequency">', '##INFO=<ID=GT,Number=1,Type=String,Description="Genotype">',
-    '##INFO=<ID=GS,Number=1,Type=Integer,Description="Genotyping score, phred scale">', '##FILTER=<ID=FAIL,Description="Genotyping score of 20 or less">',
-    "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO",
-]
+def vcf_header(genome: str = "hg38", date: str | None = None) -> list[str]:
+    """Header lines, the column line last."""
+    from datetime import date as day
+
+    # The INFO fields that lines carry.
+    info = [
+        ("PVF", "Float", "Pseudo Variant Frequency"), ("GT", "String", "Genotype"), ("GS", "Integer", "Genotyping score from 7 to 85"),
+        ("Probe_ID", "String", "Probe ID"), ("rs_ID", "String", "Overlapping rs ID from dbSNP"),
+    ]
+    lines = ["##fileformat=VCFv4.0", f"##fileDate={date or day.today().strftime('%Y%m%d')}", f"##reference={genome}"]
+    lines += [f'##INFO=<ID={n},Number=1,Type={t},Description="{d}">' for n, t, d in info]
+    return [*lines, "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO"]
 
 
 def variant_frequency(snps: DataFrame, betas: DataFrame, af: DataFrame) -> DataFrame:
@@ -120,21 +127,26 @@ def variant_frequency(snps: DataFrame, betas: DataFrame, af: DataFrame) -> DataF
 
 
 def vcf_lines(snps: DataFrame, betas: DataFrame, af: DataFrame) -> DataFrame:
-    """(sample_id, chrm, pos, id, ref, alt, qual, filter, info); ambiguous alternates ACT and AGT become H and D."""
+    """(sample_id, chrm, pos, id, ref, alt, qual, filter, info); the ambiguous alleles ACT and AGT become H and D.
+
+    ``snps`` may have a column rs, which goes into INFO.
+    """
     rows = variant_frequency(snps, betas, af).withColumn("g", genotype(F.col("vaf")))
-    alt = F.when(F.col("alt") == "ACT", "H").when(F.col("alt") == "AGT", "D").otherwise(F.col("alt"))
-    info = F.format_string("PVF=%1.3f;GT=%s;GS=%d", "vaf", "g.gt", "g.gs")
+    code = lambda c: F.when(F.col(c) == "ACT", "H").when(F.col(c) == "AGT", "D").otherwise(F.col(c)).alias(c)
+    info = F.format_string("PVF=%1.3f;GT=%s;GS=%d;Probe_ID=%s", "vaf", "g.gt", "g.gs", "probe_id")
+    if "rs" in snps.columns:
+        info = F.concat(info, F.coalesce(F.concat(F.lit(";rs_ID="), "rs"), F.lit("")))
     return rows.select(
-        "sample_id", "chrm", "pos", F.col("probe_id").alias("id"), "ref", alt.alias("alt"), F.col("g.gs").alias("qual"),
+        "sample_id", "chrm", "pos", F.lit(".").alias("id"), code("ref"), code("alt"), F.col("g.gs").alias("qual"),
         F.when(F.col("g.gs") > 20, "PASS").otherwise("FAIL").alias("filter"), F.when(F.col("vaf").isNotNull(), info).alias("info"),
     )
 
 
-def write_vcf(lines: DataFrame, path: str) -> None:
-    """Lines in genome order below the header, as text parts that read in order."""
+def write_vcf(lines: DataFrame, path: str, genome: str = "hg38") -> None:
+    """Lines by chromosome and position below the header, as text parts that read in order."""
     line = F.concat_ws("\t", "chrm", F.col("pos").cast("string"), "id", "ref", "alt", F.col("qual").cast("string"), "filter", "info")
-    rows = lines.orderBy(chrom_key(F.col("chrm")), "chrm", "pos", "id").select(line.alias("value"))
-    head = lines.sparkSession.createDataFrame([("\n".join(VCF_HEADER),)], "value string")
+    rows = lines.orderBy(chrom_key(F.col("chrm")), "chrm", "pos", "info").select(line.alias("value"))
+    head = lines.sparkSession.createDataFrame([("\n".join(vcf_header(genome)),)], "value string")
     head.coalesce(1).unionByName(rows).write.text(path)
 
 
