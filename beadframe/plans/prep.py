@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -50,13 +51,26 @@ def describe() -> list[tuple[str, str]]:
     return [(c, text) for c, (text, _) in CODES.items()]
 
 
+#: Steps that read their input more than once; it is settled before them.
+READ_AGAIN = frozenset("CDEPIB")
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Checkpoints to the shared folder that spark.checkpoint.dir names, so that what follows
+    starts from stored rows: plans do not multiply, and a lost executor costs a reread."""
+    context = df.sparkSession.sparkContext
+    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))  # single-machine tests
+    return df.checkpoint()
+
+
 def prepare(signals: DataFrame, codes: str = "QCDPB", reference: Reference | None = None, arguments: dict[str, dict] | None = None) -> DataFrame:
     """Applies the steps from left to right; ``arguments`` maps a code to its step's options."""
     out, reference = signals, reference or Reference()
     for c in codes:
         if c not in CODES:
             raise ValueError(f"no preparation code {c}")
-        out = CODES[c][1](out, reference, **(arguments or {}).get(c, {}))
+        out = CODES[c][1](settle(out) if c in READ_AGAIN else out, reference, **(arguments or {}).get(c, {}))
     return out
 
 
