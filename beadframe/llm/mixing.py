@@ -73,9 +73,11 @@ def calibrate(cells: DataFrame, share: float = SHARE) -> DataFrame:
     out = out.withColumn("rest", F.sum("fitted").over(ranked.rowsBetween(W.currentRow, W.unboundedFollowing)))
     wanted = F.lit(share) * F.sum("tokens").over(one)
     out = out.withColumn("scale", F.try_divide(wanted - F.col("full"), F.col("rest")))
-    out = out.withColumn("scale", F.min(F.when(F.col("scale") * F.col("ratio") <= 1, F.col("scale"))).over(one))
+    out = out.withColumn("place", F.row_number().over(ranked))
+    # The first cell in order that its scale does not fill: all before it are full.
+    out = out.withColumn("scale", F.min_by(F.col("scale"), F.when(F.col("scale") * F.col("ratio") <= 1, F.col("place"))).over(one))
     p = F.when(F.col("tokens") == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.coalesce(F.col("scale"), F.lit(1.0)) * F.col("ratio")))
-    return out.withColumn("p", p).drop("ratio", "full", "rest", "scale")
+    return out.withColumn("p", p).drop("ratio", "full", "rest", "scale", "place")
 
 
 def dimension_columns(docs: DataFrame, text: str, source: str, lang: str, topic_column: str | None) -> dict[str, Column]:
@@ -139,8 +141,9 @@ goals AS (SELECT c.*, c.tokens::DOUBLE AS fitted, goal_source, goal_lang, goal_t
 r AS (SELECT *, coalesce(fitted / nullif(tokens, 0), 0) AS ratio FROM {last}),
 q AS (SELECT *,
   ({share} * sum(tokens) OVER () - coalesce(sum(tokens) OVER (ORDER BY ratio DESC, source, lang, topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
-  / nullif(sum(fitted) OVER (ORDER BY ratio DESC, source, lang, topic ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS scale FROM r),
-s AS (SELECT *, min(CASE WHEN scale * ratio <= 1 THEN scale END) OVER () AS best FROM q),
+  / nullif(sum(fitted) OVER (ORDER BY ratio DESC, source, lang, topic ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS scale,
+  row_number() OVER (ORDER BY ratio DESC, source, lang, topic) AS place FROM r),
+s AS (SELECT *, arg_min(scale, CASE WHEN scale * ratio <= 1 THEN place END) OVER () AS best FROM q),
 p AS (SELECT source, lang, topic, CASE WHEN tokens = 0 THEN 1.0 ELSE least(1.0, coalesce(best, 1.0) * ratio) END AS p FROM s),
 u AS (SELECT *, CAST('0x' || substr(md5('{salt}:' || doc_id), 1, 13) AS BIGINT)::DOUBLE / 4503599627370496.0 AS u FROM d)
 SELECT doc_id, source, lang, topic, n_tokens, round(p, 6) AS p, u < p AS kept FROM u JOIN p USING (source, lang, topic)
