@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 
 from .common import worker_cache
@@ -9,17 +11,30 @@ from .common import worker_cache
 VOCABULARY = "word_bpe_49k.json"
 
 
+class Places(dict):
+    """Piece -> its number; a new piece gets the next one and is listed in ``new``."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self.new.append(piece)
+        n = self[piece] = len(self)
+        return n
+
+
 class WordIds:
     """Ids of texts, equal to the tokenizer's own, with each distinct word encoded once.
 
     The tokenizer drops white space and never joins across it, its normaliser composes
     nothing with a space and lower-cases character by character, so a text's ids are its
     pieces' ids in order; it is cut at spaces, tabs and line ends, and any other white
-    space stays within a piece. Pieces come from the library in batches; what
-    is known is emptied when it holds ``most`` pieces, so memory is bounded.
+    space stays within a piece. What is known is emptied when it holds ``most`` pieces,
+    so memory is bounded.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000, plain: bool = False):
+    def __init__(self, path: str, most: int = 400_000, plain: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
@@ -28,39 +43,47 @@ class WordIds:
         # How the byte-level step writes each byte, asked of the library itself.
         letters = {chr(c): self.tokenizer.pre_tokenizer.pre_tokenize_str(chr(c))[0][0] for c in range(170, 256) if chr(c).isalpha()}
         self.bytes = {ord(k): v for k, v in letters.items()}
+        self.tails = {m: self.tokenizer.encode(m, add_special_tokens=False).ids for m in ",."}
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[str, int] = {}
+        self.place = Places()
         self.flat, self.starts, self.lengths = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.used = 0
 
-    def ids_of(self, pieces: list[str]) -> list[list[int]]:
-        """Each piece's ids from the library.
+    def ids_of(self, pieces: list[str], first: int) -> list[list[int]]:
+        """The ids of new pieces, numbered from ``first``.
 
         Letters of Latin-1 alone, in lower case, are one composed pre-token, so the model
         takes them without the normaliser and the splitter; a comma or full stop after
         them is a pre-token of its own. Any other piece goes through the whole tokenizer.
         """
-        model, table = self.model, self.bytes
-        tail = {m: self.tokenizer.encode(m, add_special_tokens=False).ids for m in ",."}
+        model, table, tails, known = self.model, self.bytes, self.tails, self.place.get
         out: list = [None] * len(pieces)
         other = []
         for i, piece in enumerate(pieces):
-            core, end = (piece[:-1], tail[piece[-1]]) if piece[-1:] in tail else (piece, [])
+            core, end = (piece[:-1], tails[piece[-1]]) if piece[-1:] in tails else (piece, [])
             if core.isalpha() and (core.isascii() or max(core) < "\u0100"):
-                core = core.lower()
-                out[i] = [t.id for t in model.tokenize(core if core.isascii() else core.translate(table))] + end
+                at = known(core, first + i) if end else first + i
+                if at < first:
+                    out[i] = self.flat[self.starts[at] : self.starts[at] + self.lengths[at]].tolist() + end
+                elif at - first < i:
+                    out[i] = out[at - first] + end
+                else:
+                    core = core.lower()
+                    out[i] = [t.id for t in model.tokenize(core if core.isascii() else core.translate(table))] + end
             else:
                 other.append(i)
         for i, e in zip(other, self.tokenizer.encode_batch_fast([pieces[i] for i in other], add_special_tokens=False)):
             out[i] = e.ids
         return out
 
-    def learn(self, pieces: list[str]) -> None:
-        got = self.ids_of(pieces)
-        n, sizes = len(self.place), np.fromiter(map(len, got), np.int64, len(got))
-        new = np.fromiter((i for ids in got for i in ids), np.uint32, int(sizes.sum()))
+    def learn(self) -> None:
+        pieces, self.place.new = self.place.new, []
+        n = len(self.place) - len(pieces)
+        got = self.ids_of(pieces, n)
+        sizes = np.fromiter(map(len, got), np.int64, len(got))
+        new = np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum()))
         while self.used + len(new) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while n + len(got) > len(self.starts):
@@ -69,21 +92,35 @@ class WordIds:
         self.starts[n : n + len(got)] = self.used + np.cumsum(sizes) - sizes
         self.lengths[n : n + len(got)] = sizes
         self.used += len(new)
-        self.place.update(zip(pieces, range(n, n + len(got))))
+
+    def pieces(self, text: str | None) -> list[str]:
+        """Pieces of a text. Latin-1 is composed and lower-cases letter by letter, so it is
+        lowered as a whole, unless that might spell a special token."""
+        text = (text or "").replace("\n", " ").replace("\t", " ")
+        if "<|" not in text:
+            if text.isascii():
+                text = text.lower()
+            else:
+                try:
+                    text.encode("latin-1")
+                    text = text.lower()
+                except UnicodeEncodeError:
+                    pass
+        return text.split(" ")
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """uint32 ids of each text (null: none)."""
         out = []
         for at in range(0, len(texts), 64):
-            words = [(t or "").replace("\n", " ").replace("\t", " ").split(" ") for t in texts[at : at + 64]]
             if len(self.place) > self.most:
                 self.clear()
-            place = self.place
-            fresh = {w for ws in words for w in ws if w not in place}
-            if fresh:
-                self.learn(list(fresh))
-            for ws in words:
-                i = np.fromiter(map(place.__getitem__, ws), np.int64, len(ws))
+            find, numbers = self.place.__getitem__, []
+            for t in texts[at : at + 64]:
+                words = self.pieces(t)
+                numbers.append(np.fromiter(map(find, words), np.int64, len(words)))
+            if self.place.new:
+                self.learn()
+            for i in numbers:
                 n = self.lengths[i]
                 ends = np.cumsum(n)
                 total = int(ends[-1]) if len(ends) else 0
