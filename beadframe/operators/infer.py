@@ -29,8 +29,8 @@ def predict_age(betas: DataFrame, clock: DataFrame, intercept: float = 0.0, tran
     A missing beta takes its fallback, or is left out without one; fewer than ``least``
     betas give null.
     """
-    ids = betas.select("sample_id").distinct()
-    grid = ids.select("sample_id").withColumn("__k", F.lit(1)).join(F.broadcast(clock.withColumn("__k", F.lit(1))), "__k")  # a clock is a model: hundreds of rows
+    ids = betas.select("sample_id").distinct().agg(F.collect_set("sample_id").alias("s"))
+    grid = clock.join(F.broadcast(ids)).withColumn("sample_id", F.explode("s")).drop("s")  # one row
     rows = grid.join(betas.select("sample_id", "probe_id", "beta"), ["sample_id", "probe_id"], "left")
     value = F.col("slope") * F.coalesce("beta", "na_fallback")
     out = rows.groupBy("sample_id").agg(F.count("beta").alias("n"), F.sum(value).alias("s"))

@@ -50,7 +50,7 @@ def log10_tail(alternative: str = "greater") -> Column:
     a, b = bounds[alternative]
     whole = "ndq <= 0" if alternative == "greater" else f"ndq >= {high}"
     term = f"{_log_choose('nd', 'x')} + {_log_choose('(nu - nd)', '(nq - x)')} - {_log_choose('nu', 'nq')}"
-    sums = f"aggregate(t, 0.0D, (s, y) -> s + exp(y - array_max(t)))"
+    sums = "aggregate(t, 0.0D, (s, y) -> s + exp(y - array_max(t)))"
     log = f"element_at(transform(array(transform(sequence(CAST({a} AS BIGINT), CAST({b} AS BIGINT)), x -> {term})), t -> array_max(t) + ln({sums})), 1)"
     return F.expr(f"CASE WHEN {whole} THEN 0.0D ELSE least(0.0D, ({log}) / ln(10.0D)) END")
 

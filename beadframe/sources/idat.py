@@ -108,8 +108,8 @@ def to_signals(beads: DataFrame, manifest: DataFrame, min_beads: int | None = 1)
     A probe is masked if a bead count it uses is missing or below ``min_beads``, or if the
     manifest masks it. Two left equi-joins on (sample, address).
     """
-    ids = beads.select("sample_id").distinct()
-    grid = ids.withColumn("__k", F.lit(1)).join(manifest.withColumn("__k", F.lit(1)), "__k").drop("__k")
+    ids = beads.select("sample_id").distinct().agg(F.collect_set("sample_id").alias("__ids"))
+    grid = manifest.join(F.broadcast(ids)).withColumn("sample_id", F.explode("__ids")).drop("__ids")  # one row
     m, u = (beads.select("sample_id", F.col("address").cast("long").alias(f"addr_{s}"), *(F.col(c).alias(f"{s}_{c}") for c in ("g", "r", "gn", "rn"))) for s in "mu")
     rows = grid.join(u, ["sample_id", "addr_u"], "left").join(m, ["sample_id", "addr_m"], "left")
     one = F.col("col").isNotNull()
