@@ -160,4 +160,7 @@ def deduplicate(docs: DataFrame, text: str = "text", id: str = "doc_id", **optio
     best = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "extra")).alias("x"))
     best = best.select(F.col("x.id").alias(key), F.col("x.extra").alias(mark))
     same = keyed[key].eqNullSafe(best[key]) & (keyed[mark] == best[mark])
-    return keyed.join(best, same, "left_semi").dropDuplicates([key, mark]).select(*docs.columns)
+    kept = keyed.join(best, same, "left_semi")
+    # Whole texts are compared for repeated rows only if ids and text hashes show that there are some.
+    again = found.groupBy("id", "extra").count().where("count > 1")
+    return (kept if again.isEmpty() else kept.dropDuplicates([key, mark])).select(*docs.columns)
