@@ -7,12 +7,16 @@ import tempfile
 import types
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words of a text: maximal runs without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Bitmaps of values are this large, whatever the number of values.
+BITMAP_BITS = 20
+
 
 def worker_cache() -> dict:
     """A dictionary that lives as long as the Python process (worker or driver)."""
@@ -51,6 +55,24 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> Da
     return df.select(*columns) if columns else df
 
 
+def bitmap_slot(column: Column) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(1 << BITMAP_BITS))
+
+
+def bitmap_of(df: DataFrame, column: str) -> bytes:
+    """A bitmap of 2**BITMAP_BITS bits, whatever the number of rows, with each value's bit set."""
+    out = np.zeros(1 << BITMAP_BITS, bool)
+    out[df.select(bitmap_slot(F.col(column)).alias("s")).distinct().toPandas()["s"].to_numpy(np.int64)] = True
+    return np.packbits(out, bitorder="little").tobytes()
+
+
+def in_bitmap(column: Column, bitmap: bytes) -> Column:
+    """False only for values that are not in the bitmap."""
+    slot = bitmap_slot(column)
+    byte = F.conv(F.hex(F.substring(F.lit(bitmap), F.shiftright(slot, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.getbit(byte, slot.bitwiseAND(7).cast("int")) == 1
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(u, v) long pairs -> (node, root): root is the smallest node reachable.
 

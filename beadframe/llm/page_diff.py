@@ -8,7 +8,7 @@ share are deleted. Two guards keep article text: a partner that shares most of t
 page's text is a copy of it, so the next nearest is taken; and lines inside a main
 container are deleted only if the partner has them outside of one.
 
-Only line hashes travel between pages. Neighbours come from positions in one range
+Only line hashes travel between pages, and only texts that lose a line are shuffled. Neighbours come from positions in one range
 sort over all hosts, so a host of any size is spread over many tasks.
 """
 
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import materialise
+from .common import bitmap_of, in_bitmap, materialise
 
 DROPPED, INSIDE, OTHER = 0, 1, 2
 REACH, COPY = 2, 0.8
@@ -182,21 +182,36 @@ def common_lines(a: list, b: list, cells: int = 50_000_000) -> list[tuple[int, i
     return out + [(len(a) - tail + i, len(b) - tail + i) for i in range(tail)]
 
 
-def main_text(lines: list[str], kinds: list[int], hashes: list[int], partners: list[tuple[list[int], list[int]]]) -> str:
-    """The page's text without what the nearest partner that is not a copy shares."""
+def deleted(kinds: list[int], sizes: list[int], hashes: list[int], partners: list[tuple[list[int], list[int]]]) -> set[int]:
+    """Places of the page's lines that go: what the nearest partner that is not a copy shares."""
     wanted = INSIDE if INSIDE in kinds else OTHER
     content = {i for i, k in enumerate(kinds) if k == wanted}
-    size = sum(len(lines[i]) for i in content)
+    size = sum(sizes[i] for i in content)
     for other, other_kinds in partners:
         pairs = common_lines(hashes, other)
-        if sum(len(lines[i]) for i, _ in pairs if i in content) >= COPY * size:
-            continue
-        content -= {i for i, j in pairs if kinds[i] != INSIDE or other_kinds[j] != INSIDE}
-        break
-    return "\n\n".join(lines[i] for i in sorted(content))
+        if sum(sizes[i] for i, _ in pairs if i in content) < COPY * size:
+            return {i for i, j in pairs if i in content and (kinds[i] != INSIDE or other_kinds[j] != INSIDE)}
+    return set()
+
+
+def main_text(lines: list[str], kinds: list[int], hashes: list[int], partners: list[tuple[list[int], list[int]]]) -> str:
+    """The page's text without what its partners say to delete."""
+    gone, wanted = deleted(kinds, [len(x) for x in lines], hashes, partners), INSIDE if INSIDE in kinds else OTHER
+    return "\n\n".join(x for i, x in enumerate(lines) if kinds[i] == wanted and i not in gone)
 
 
-PARSED = "key long, id long, url string, host string, path string, lines array<string>, kinds array<int>, hashes array<long>"
+def packed(lines: list[str], kinds: list[int]) -> bytes:
+    """A line in eight bytes: 62 bits of its hash, and its kind."""
+    return np.array([xxhash.xxh64_intdigest(x) & ~3 | k for x, k in zip(lines, kinds)], "<u8").tobytes()
+
+
+def unpacked(codes: bytes) -> tuple[list[int], list[int]]:
+    """(hashes, kinds) of packed lines."""
+    x = np.frombuffer(codes, "<u8")
+    return (x >> np.uint64(2)).tolist(), (x & np.uint64(3)).astype(int).tolist()
+
+
+PARSED = "key long, id long, url string, host string, path string, lines array<string>, kinds array<int>, codes binary, sizes binary"
 
 
 def parsed(pages: DataFrame, html: str, id: str, url: str) -> DataFrame:
@@ -206,10 +221,11 @@ def parsed(pages: DataFrame, html: str, id: str, url: str) -> DataFrame:
                 keys, ids, urls, sources = (c.slice(k, 200) for c in b.columns)
                 both = [lines_of(x) for x in sources.to_pylist()]
                 places = [place_of(u) for u in urls.to_pylist()]
-                hashes = [[xxhash.xxh64_intdigest(x) - (1 << 63) for x in lines] for lines, _ in both]
+                codes = [packed(*x) for x in both]
+                sizes = [np.array([len(x) for x in lines], "<u4").tobytes() for lines, _ in both]
                 shown = [[t if kind != DROPPED else "" for t, kind in zip(*x)] for x in both]
                 columns = [keys, ids, urls, pa.array([p[0] for p in places], pa.string()), pa.array([p[1] for p in places], pa.string()),
-                           pa.array(shown, pa.list_(pa.string())), pa.array([x[1] for x in both], pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64()))]
+                           pa.array(shown, pa.list_(pa.string())), pa.array([x[1] for x in both], pa.list_(pa.int32())), pa.array(codes, pa.binary()), pa.array(sizes, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in PARSED.split(", ")])
 
     columns = [F.col(id).cast("long"), F.col(url).cast("string"), F.col(html).cast("string")]
@@ -236,9 +252,27 @@ def nearest(rows: DataFrame, reach: int = REACH) -> DataFrame:
     a, b = F.split("path", "/"), F.split("partner_path", "/")
     shared = F.size(F.filter(F.arrays_zip(a.alias("a"), b.alias("b")), lambda z: z["a"] == z["b"]))
     ranked = pairs.select("key", "partner", F.struct(-shared, F.abs("step"), "step").alias("far"))
-    hashes = rows.select(F.col("key").alias("partner"), F.struct("hashes", "kinds").alias("page")).dropDuplicates(["partner"])
-    found = ranked.join(hashes, "partner")
-    return found.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("far", "page"))), lambda x: x["page"]).alias("partners"))
+    codes = rows.select(F.col("key").alias("partner"), "codes").dropDuplicates(["partner"])
+    found = ranked.join(codes, "partner")
+    return found.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("far", "codes"))), lambda x: x["codes"]).alias("partners"))
+
+
+def deletions(rows: DataFrame) -> DataFrame:
+    """(key, gone): places of lines to delete, of the pages that have some. Only line codes travel."""
+
+    def run(batches):
+        for b in batches:
+            keys, out = [], []
+            for key, codes, sizes, partners in zip(*(c.to_pylist() for c in b.columns)):
+                hashes, kinds = unpacked(codes)
+                gone = deleted(kinds, np.frombuffer(sizes, "<u4").tolist(), hashes, [unpacked(p) for p in partners])
+                if gone:
+                    keys.append(key)
+                    out.append(sorted(gone))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.list_(pa.int32()))], names=["key", "gone"])
+
+    own = rows.where(F.col("host").isNotNull()).select("key", "codes", "sizes").dropDuplicates(["key"])
+    return own.join(nearest(rows), "key").select("key", "codes", "sizes", "partners").mapInArrow(run, "key long, gone array<int>")
 
 
 def extract(pages: DataFrame, html: str = "html", id: str = "page_id", url: str = "url") -> DataFrame:
@@ -250,12 +284,12 @@ def extract(pages: DataFrame, html: str = "html", id: str = "page_id", url: str
     gives an empty result.
     """
     rows = materialise(parsed(pages, html, id, url), "pages-lines")
-    near = nearest(rows)
-
-    def run(batches):
-        for b in batches:
-            out = [main_text(lines, kinds, hashes, [(p["hashes"], p["kinds"]) for p in partners or []]) for lines, kinds, hashes, partners in zip(*(c.to_pylist() for c in b.columns[2:]))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], names=["id", "url", "text"])
-
-    joined = rows.join(near, "key", "left").select("id", "url", "lines", "kinds", "hashes", "partners")
-    return joined.mapInArrow(run, "id long, url string, text string").select(F.col("id").alias(id), F.col("url").alias(url), "text")
+    gone = materialise(deletions(rows), "pages-gone")
+    # Only pages that may lose lines are shuffled; a bitmap of fixed size says which may.
+    may = in_bitmap(F.col("key"), bitmap_of(gone, "key"))
+    light = rows.select("key", "id", "url", "lines", "kinds")
+    some = light.where(may).join(gone, "key", "left").unionByName(light.where(~may).withColumn("gone", F.lit(None).cast("array<int>")))
+    wanted = F.when(F.array_contains("kinds", INSIDE), INSIDE).otherwise(OTHER)
+    lines = F.expr("transform(filter(arrays_zip(lines, kinds), (x, i) -> x.kinds = wanted AND NOT coalesce(array_contains(gone, i), false)), x -> x.lines)")
+    text = F.array_join(lines, "\n\n")
+    return some.withColumn("wanted", wanted).select(F.col("id").alias(id), F.col("url").alias(url), text.alias("text"))

@@ -17,37 +17,18 @@ import re
 import zlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, scratch_path
+from .common import bitmap_of, in_bitmap, materialise, scratch_path
 
-LEAST_BYTES, SALTS, RECORDS_PER_FILE, BITMAP_BITS = 100, 16, 20_000, 20
+LEAST_BYTES, SALTS, RECORDS_PER_FILE = 100, 16, 20_000
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 FOUND = "path string, offset long, length long, kind string, reason string, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 
 
-def bitmap_slot(column: Column) -> Column:
-    return F.pmod(F.xxhash64(column), F.lit(1 << BITMAP_BITS))
-
-
-def bitmap_of(df: DataFrame, column: str) -> bytes:
-    """A bitmap of 2**BITMAP_BITS bits, whatever the number of rows, with each value's bit set."""
-    out = np.zeros(1 << BITMAP_BITS, bool)
-    out[df.select(bitmap_slot(F.col(column)).alias("s")).distinct().toPandas()["s"].to_numpy(np.int64)] = True
-    return np.packbits(out, bitorder="little").tobytes()
-
-
-def in_bitmap(column: Column, bitmap: bytes) -> Column:
-    """False only for values that are not in the bitmap."""
-    slot = bitmap_slot(column)
-    byte = F.conv(F.hex(F.substring(F.lit(bitmap), F.shiftright(slot, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.getbit(byte, slot.bitwiseAND(7).cast("int")) == 1
-
-
 def records(pages: DataFrame, html: str = "html", id: str = "page_id", url: str = "url", date: str = "1970-01-01T00:00:00Z", least: int = LEAST_BYTES) -> DataFrame:
     """One string column ``value``: each page's record without its end.
 
