@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from .common import connected_components, materialise
 
 BITS, DISTANCE, SHINGLE = 64, 4, 4
+MARK = "__bf_hash"
 OCTET_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -154,9 +155,14 @@ def deduplicate(docs: DataFrame, text: str = "text", id: str = "doc_id", **optio
     Rows of a class that share the smallest id count as one if their texts are equal; if
     not, the one with the smallest text hash stays. A class without any id keeps one row.
     """
-    key, mark = "__bf_id", "__bf_hash"
+    return keep_first(docs, lambda keyed, text, id: near_duplicates(keyed, text, id, extra=MARK, **options), text, id)
+
+
+def keep_first(docs: DataFrame, find, text: str, id: str) -> DataFrame:
+    """What ``deduplicate`` says, of the classes that ``find(docs, text, id)`` gives as (id, extra, root); extra: the text's hash."""
+    key, mark = "__bf_id", MARK
     keyed = docs.withColumns({key: F.col(id).cast("long"), mark: F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))})
-    found = near_duplicates(keyed, text, key, extra=mark, **options)
+    found = find(keyed, text, key)
     best = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "extra")).alias("x"))
     best = best.select(F.col("x.id").alias(key), F.col("x.extra").alias(mark))
     same = keyed[key].eqNullSafe(best[key]) & (keyed[mark] == best[mark])
