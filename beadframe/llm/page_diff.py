@@ -30,7 +30,10 @@ DROPPED, INSIDE, OTHER = 0, 1, 2
 REACH, COPY = 2, 0.8
 
 # HTML element names and the usual names of page furniture.
-RAW = "script style noscript template textarea svg title iframe object select button math canvas audio video".split()
+RAW = "script style noscript textarea title iframe".split()
+#: Left out with all they hold, if they end inside of what they began in; others are only tags.
+UNREAD = frozenset("template svg object select button math canvas audio video".split())
+FOREIGN = frozenset(("svg", "math"))
 VOID = frozenset("area base br col embed hr img input link meta source track wbr param".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form "
@@ -46,7 +49,7 @@ FURNITURE_NAMES = re.compile(
 )
 PREFIXED = re.compile(r"^(?:has|with|no|is|without)[-_]")
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*(?:>|\Z)|"
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*(?:>|\Z)|"
     r"<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"<]*\"|'[^'<]*')*+)>|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)",
     re.S | re.I,
 )
@@ -63,6 +66,23 @@ def marks(name: str, attrs: str) -> tuple[bool, bool]:
     return name in FURNITURE or named or not shown, main and not named
 
 
+def unread(tokens: list) -> dict[int, int]:
+    """Start -> end of each element of UNREAD that is closed before what holds it is."""
+    out: dict[int, int] = {}
+    stack: list[tuple[str, int]] = []
+    for m in tokens:
+        name = (m["name"] or m["name2"] or "").lower()
+        if m["end"] or m["end2"]:
+            if any(x[0] == name for x in reversed(stack)):
+                while (old := stack.pop())[0] != name:
+                    pass
+                if name in UNREAD:
+                    out[old[1]] = m.end()
+        elif name and name not in VOID and not (name in FOREIGN and m[0].endswith("/>")):
+            stack.append((name, m.start()))
+    return out
+
+
 def lines_of(page: str | None) -> tuple[list[str], list[int]]:
     """A page's lines in order, and the kind of each; dropped lines are kept for alignment."""
     page = page or ""
@@ -80,12 +100,16 @@ def lines_of(page: str | None) -> tuple[list[str], list[int]]:
                 kinds.append(DROPPED if furniture else INSIDE if container else OTHER)
 
     at = 0
-    for m in TOKEN.finditer(page):
+    tokens = list(TOKEN.finditer(page))
+    left_out = unread(tokens) if any((m["name"] or m["name2"] or "").lower() in UNREAD for m in tokens) else {}
+    for m in tokens:
+        if m.start() < at:
+            continue
         if m.start() > at:
             parts.append(page[at : m.start()])
-        at = m.end()
+        at = left_out.get(m.start(), m.end())
         name = (m["name"] or m["name2"] or "").lower()
-        if not name:
+        if not name or name in UNREAD:
             continue
         if name in BLOCKS:
             flush()
