@@ -157,16 +157,14 @@ def normal_exponential(x: np.ndarray, mu: float, sigma: float, alpha: float) ->
     return np.where(out < 0, np.maximum(out, 1e-6), out)
 
 
-def beta_mixture(x: np.ndarray, starts: list[float], rounds: int = 5, most: int = 10_000, seed: int = 1) -> list[float]:
+def beta_mixture(x: np.ndarray, starts: list[float], rounds: int = 5) -> list[float]:
     """Cut points between states of a mixture of beta distributions.
 
     Memberships start from the cuts ``starts`` and are refined for a few rounds with moment
-    fits. A cut is the largest value that falls to the lower state.
+    fits. A cut is the largest value that falls to the lower state. All values are used,
+    sorted first, so their order does not matter.
     """
-    v = x[~np.isnan(x)]
-    if len(v) > most:
-        v = np.random.default_rng(seed).choice(v, most, replace=False)
-    v = np.clip(v, 1e-4, 1 - 1e-4)
+    v = np.clip(np.sort(x[~np.isnan(x)]), 1e-4, 1 - 1e-4)
     k = len(starts) + 1
     w = np.eye(k)[np.searchsorted(starts, v, side="left")] if len(v) else np.zeros((0, k))
     for _ in range(rounds):

@@ -159,7 +159,7 @@ def dye_nonlinear(signals: DataFrame, include_masked: bool = True, most_distorte
     return rows.groupBy("sample_id").applyInPandas(run, schema)
 
 
-def match_design(signals: DataFrame, min_gap: float = 0.3, seed: int = 1) -> DataFrame:
+def match_design(signals: DataFrame, min_gap: float = 0.3) -> DataFrame:
     """Maps unmasked type I betas onto type II's, state by state of a beta mixture; M = U b / (1 - b)."""
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in signals.schema)
 
@@ -168,14 +168,14 @@ def match_design(signals: DataFrame, min_gap: float = 0.3, seed: int = 1) -> Dat
         return np.where(np.isnan(a) | np.isnan(b), np.nan, np.fmax(a, 1) / np.fmax(a + b, 2))
 
     def states(x: np.ndarray, starts: list[float]) -> np.ndarray:
-        cuts = stats.beta_mixture(x, starts, seed=seed)
+        cuts = stats.beta_mixture(x, starts)
         return np.where(np.isnan(x), -1, np.searchsorted(sorted(cuts), x, side="left"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.reset_index(drop=True)
         shown = ~pdf["mask"].to_numpy(bool)
         two = betas(pdf[(pdf["col"] == "2") & shown], "ug", "ur")
-        two = two[~np.isnan(two)]
+        two = np.sort(two[~np.isnan(two)])
         if len(two) < 2:
             return pdf
         s = states(two, [0.5])
