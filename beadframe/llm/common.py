@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import tempfile
 import types
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,12 +29,15 @@ def worker_cache() -> dict:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder that spark.checkpoint.dir names.
 
-    Only where the setting is absent (single-machine tests) a local folder is made.
-    The path is removed when the application ends.
+    Only where the setting is absent and Spark runs on one machine (tests) a local folder
+    is made; on a cluster executors would not share it, so that is an error. The path is
+    removed when the application ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = worker_cache().setdefault("scratch", None) or tempfile.mkdtemp(prefix="spark-")
         worker_cache()["scratch"] = base
     path = f"{base}/{name}-{uuid.uuid4().hex}"
@@ -73,6 +78,28 @@ def in_bitmap(column: Column, bitmap: bytes) -> Column:
     return F.getbit(byte, slot.bitwiseAND(7).cast("int")) == 1
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Each name, with underscores after it until no column of ``df`` has it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def join_totals(rows: DataFrame, totals: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with a table of one row a ``key`` (long), such as an aggregation by it.
+
+    Joined by the key itself, the aggregation's exchange would serve the join too, and a
+    hot key would stay in one task. By an expression of the key the join gets exchanges
+    of its own, whose large partitions adaptive execution splits.
+    """
+    own = totals.select(F.bitwise_not(key).alias("__own"), *(c for c in totals.columns if c != key))
+    return rows.withColumn("__own", F.bitwise_not(key)).join(own, "__own", how).drop("__own")
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(u, v) long pairs -> (node, root): root is the smallest node reachable.
 
@@ -87,12 +114,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     def large_star(e: DataFrame) -> DataFrame:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = smallest(both).select("u", F.least("u", "m").alias("m"))
-        return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        return join_totals(both.where("v > u"), low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
     def small_star(e: DataFrame) -> DataFrame:
         down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         low = smallest(down)
-        moved = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        moved = join_totals(down, low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         return moved.unionByName(low.select("u", F.col("m").alias("v")))
 
     def state(e: DataFrame) -> tuple:
@@ -111,3 +138,39 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+
+
+def across(buckets: DataFrame, verified: Callable[[DataFrame], DataFrame], links: DataFrame | None, plausible: Callable[[str, str], Column]) -> DataFrame:
+    """(u, v) links that, with ``links``, connect all that a bucket's pairs connect.
+
+    ``buckets``: (key, node, ...), key and node long. Members already connected by
+    ``links`` are not compared: in each bucket, every member outside of its largest
+    component meets those of other components. ``plausible(a, b)`` is a condition on two
+    aliased members that every link meets; ``verified`` keeps the true (u, v) pairs.
+    """
+    rooted = buckets
+    if links is not None:
+        parts = connected_components(links)
+        rooted = rooted.join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    else:
+        rooted = rooted.withColumn("root", F.col("node"))
+    rooted = materialise(rooted, "bucket-roots", "lz4")
+    parted = rooted.groupBy("key", "root").count().groupBy("key").agg(F.max(F.struct("count", "root")).alias("most"), F.count("*").alias("roots"))
+    parted = materialise(parted.where("roots > 1").select("key", F.col("most.root").alias("main")), "bucket-parts", "lz4")
+    mixed = join_totals(rooted, parted, "key")
+    a, b = mixed.where("root <> main").alias("a"), mixed.alias("b")
+    # A pair outside of the largest component would be met from both ends.
+    once = (F.col("b.root") == F.col("b.main")) | (F.col("a.node") < F.col("b.node"))
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & once & plausible("a", "b"))
+    return verified(pairs.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct())
+
+
+def stars(buckets: DataFrame, verified: Callable[[DataFrame], DataFrame], plausible: Callable[[str, str], Column]) -> DataFrame:
+    """(u, v) links of each node with the smallest of all nodes that share a bucket with it.
+
+    One pair a node, which connects most of a group of near copies, however large.
+    """
+    low = buckets.groupBy("key").agg(F.min(F.struct("node", *(c for c in buckets.columns if c not in ("key", "node")))).alias("low"))
+    met = join_totals(buckets, low, "key").select(F.struct("node", *(c for c in buckets.columns if c not in ("key", "node"))).alias("a"), F.col("low").alias("b"))
+    met = met.where((F.col("a.node") != F.col("b.node")) & plausible("a", "b"))
+    return verified(met.groupBy(F.col("a.node").alias("v")).agg(F.min("b.node").alias("u")).select("u", "v"))

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, worker_cache
+from .common import free_names, materialise, worker_cache
 from .simhash import LOWER
 
 SHINGLE, CONTAINMENT, PERMUTATIONS, FILTER_BITS = 5, 0.8, 64, 22
@@ -227,7 +227,7 @@ def text_mark(text: str):
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", id: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` without those that contain a test item; columns as they were."""
-    key, mark = "__bf_id", "__bf_hash"
+    key, mark = free_names(docs, "__id", "__mark")
     found = contained_items(docs, items, text, id, **options)
     found = materialise(found.select(F.col("doc_id").alias(key), F.col("mark").alias(mark)).distinct(), "decontam-hits")
     keyed = docs.withColumns({key: F.col(id).cast("long"), mark: text_mark(text)})

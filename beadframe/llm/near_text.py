@@ -6,10 +6,11 @@ more, or if op5's fingerprints link them. Of the former, a pair is a candidate i
 the texts. Each candidate is verified on its whole sets. (SimHash's deletion variants
 alone cannot find them: at 13 bits, seven segments would leave keys of eight bits.)
 
-Work is on *distinct* sets, so groups of copies cost one row. In a bucket, each member is
-first verified against the bucket's two ends; then members that are still in different
-classes are paired. A large group of near copies is one class after the first step, so
-its pairs need not be made; no member is left out in either step.
+Work is on *distinct* sets, so groups of copies cost one row. Each set is first verified
+against one other set of its buckets; then sets that are still in different classes are
+paired. A large group of near copies is one class after the first step, so its pairs need
+not be made. Where a passage that many texts share crowds a bucket, its sets are paired
+by their rarest shingles instead. No set is left out in any step.
 """
 
 from __future__ import annotations
@@ -17,10 +18,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from .common import bitmap_of, connected_components, in_bitmap, materialise
+from .common import across, bitmap_of, connected_components, in_bitmap, join_totals, materialise, stars
 from .decontam import MIX, multipliers, shingle_hashes
 from .simhash import LOWER, fingerprint, keep_first
 from .simhash import links as simhash_links
@@ -82,29 +84,45 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(right, "v").join(left, "u").withColumn("n", F.size(F.array_intersect("x", "y"))).where("10L * n >= 8L * (size(x) + size(y) - n)").select("u", "v")
 
 
-def links(nodes: DataFrame, sets_for) -> DataFrame:
+def plausible(a: str, b: str) -> Column:
+    """Sets whose sizes differ by more than a fifth are not similar."""
+    p, q = F.col(f"{a}.size"), F.col(f"{b}.size")
+    return 10 * F.least(p, q) >= 8 * F.greatest(p, q)
+
+
+def rare_shingles(sets: DataFrame) -> DataFrame:
+    """(key, node, size): shingles of which two similar sets share one, whatever the sets.
+
+    A set's shingles are put in order, the rarest first; of two similar sets with n and m
+    shingles, one of the first n - 0.8 n + 1 of the one is among the first m - 0.8 m + 1 of
+    the other. So what very many sets have in common brings no two of them together.
+    """
+    each = sets.select("node", F.size("shingles").cast("long").alias("size"), F.explode("shingles").alias("key"))
+    times = each.groupBy("key").agg(F.count("*").alias("times"))
+    order = W.partitionBy("node").orderBy("times", "key")  # the shingles of one text
+    ranked = join_totals(each, times, "key").withColumn("rank", F.row_number().over(order))
+    return ranked.where("times > 1 AND rank <= size - (8 * size + 9) DIV 10 + 1").select("key", "node", "size")
+
+
+def links(nodes: DataFrame, sets_for, dense: int = 64) -> DataFrame:
     """Distinct (node, size, keys) -> (u, v) with the same components as all links.
 
-    ``sets_for`` gives (node, shingles) of the nodes it is given.
+    ``sets_for`` gives (node, shingles) of the nodes it is given. Bands that over ``dense``
+    sets share give way to :func:`rare_shingles` of these sets, which finds the same pairs.
     """
     index = materialise(nodes.select("node", "size", F.explode("keys").alias("key")), "near-index", "lz4")
-    ends = index.groupBy("key").agg(F.min(F.struct("node", "size")).alias("low"), F.max(F.struct("node", "size")).alias("high")).where("low.node < high.node")
-    shared = materialise(index.join(ends, "key"), "near-shared", "lz4")
+    sizes = materialise(index.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "near-sizes", "lz4")
+    shared = materialise(join_totals(index, sizes, "key"), "near-shared", "lz4")
     sets = materialise(sets_for(shared.select("node").distinct()), "near-sets")
-    # Sets whose sizes differ by more than a fifth are not similar.
-    close = lambda p, q: (F.least(p, q) >= SIMILAR * F.greatest(p, q) - 1e-9)
-    stars = [shared.where((F.col("node") != F.col(f"{e}.node")) & close(F.col("size"), F.col(f"{e}.size"))).select(F.col(f"{e}.node").alias("u"), F.col("node").alias("v")) for e in ("low", "high")]
-    pairs = stars[0].unionByName(stars[1]).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    first = materialise(verified(pairs, sets), "near-first")
-    parts = materialise(connected_components(first), "near-parts")
-    inner = shared.where("node <> low.node AND node <> high.node").select("key", "node", "size")
-    inner = inner.join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = inner.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key")
-    inner = materialise(inner.join(mixed, "key", "left_semi"), "near-mixed", "lz4")
-    a, b = inner.alias("a"), inner.alias("b")
-    rest = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root")) & close(F.col("a.size"), F.col("b.size")))
-    rest = rest.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
-    return first.unionByName(verified(rest, sets))
+    check = lambda pairs: verified(pairs, sets)
+    buckets = shared.select("key", "node", "size")
+    first = materialise(stars(buckets, check, plausible), "near-stars")
+    out = first.unionByName(materialise(across(shared.where(F.col("n") <= dense).select("key", "node", "size"), check, first, plausible), "near-sparse"))
+    crowded = shared.where(F.col("n") > dense).select("node").distinct()
+    if not crowded.isEmpty():
+        rare = materialise(rare_shingles(sets.join(crowded, "node", "left_semi")), "near-rare", "lz4")
+        out = out.unionByName(materialise(across(rare, check, out, plausible), "near-crowded"))
+    return out
 
 
 def fingerprint_links(nodes: DataFrame) -> DataFrame:
@@ -112,9 +130,9 @@ def fingerprint_links(nodes: DataFrame) -> DataFrame:
     low = materialise(nodes.groupBy("fp").agg(F.min("node").alias("low")), "near-fps")
     found = simhash_links(low.select("fp"))
     ends = [low.select(F.col("fp").alias(x), F.col("low").alias(f"low_{x}")) for x in "uv"]
-    across = found.join(ends[0], "u").join(ends[1], "v").select(F.col("low_u").alias("u"), F.col("low_v").alias("v"))
+    between = found.join(ends[0], "u").join(ends[1], "v").select(F.col("low_u").alias("u"), F.col("low_v").alias("v"))
     within = nodes.join(low, "fp").where("node <> low").select(F.col("low").alias("u"), F.col("node").alias("v"))
-    return across.unionByName(within)
+    return between.unionByName(within)
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
@@ -143,4 +161,4 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id") ->
 
 def deduplicate(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
     """Keeps, of each class, the row with the smallest id, as ``simhash.deduplicate`` does."""
-    return keep_first(docs, near_duplicates, text, id)
+    return keep_first(docs, lambda keyed, text, id, mark: near_duplicates(keyed, text, id), text, id)

@@ -8,9 +8,12 @@ variants (64 a fingerprint); an equality join finds the candidates and a bit cou
 the whole fingerprint verifies them. A pair is reported by its first common variant
 only. Recall is exact, for any data.
 
-Work is on *distinct* fingerprints, so groups of copies cost one row. A variant shared
-by more than ``dense`` fingerprints is not paired in full: it gives a spanning forest of
-its links, which has the same components.
+Work is on *distinct* fingerprints, so groups of copies cost one row. Pairs in a bucket
+grow with the square of its members, so variants that many fingerprints share are cut
+once more, exactly: outside of the shared segment at most ``distance`` bits differ, so of
+``distance + 1`` blocks of the other bits one is equal and joins the key. In those, each
+member is first linked with one other; only members that are still in different
+components are paired, so a large group of near copies costs a link a member.
 """
 
 from __future__ import annotations
@@ -18,13 +21,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise
+from .common import across, connected_components, free_names, join_totals, materialise, stars
 
 BITS, DISTANCE, SHINGLE = 64, 4, 4
-MARK = "__bf_hash"
 OCTET_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -90,26 +92,25 @@ def is_first_variant(x: str, k: str, distance: int = DISTANCE) -> str:
     return f"(CASE {' '.join(arms)} ELSE false END)"
 
 
-def forest(values: np.ndarray, distance: int = DISTANCE) -> list[tuple[int, int]]:
-    """Links of a spanning forest of the fingerprints at ``distance`` or less; at most n - 1."""
-    left, out = values.view("<u8").copy(), []
-    while len(left):
-        todo, left = [left[0]], left[1:]
-        while todo and len(left):
-            near = np.bitwise_count(left ^ todo[-1]) <= distance
-            found, centre = left[near], todo.pop()
-            out += [(int(x), int(centre.view("<i8"))) for x in found.view("<i8")]
-            left = left[~near]
-            todo += list(found)
+def sub_blocks(distance: int = DISTANCE) -> Column:
+    """array<struct<j, sub>>: the blocks of a fingerprint's bits outside of variant ``k``'s segment."""
+    signed = lambda x: x - (x >> 63 << 64)
+    out = None
+    for a, w in segments(distance):
+        rest = [i for i in range(BITS) if not a <= i < a + w]
+        masks = [sum(1 << int(i) for i in block) for block in np.array_split(rest, distance + 1)]
+        blocks = F.array(*(F.struct(F.lit(j).alias("j"), F.col("fp").bitwiseAND(F.lit(signed(m)).cast("long")).alias("sub")) for j, m in enumerate(masks)))
+        here = (F.col("k") >= a) & (F.col("k") < a + w)
+        out = F.when(here, blocks) if out is None else out.when(here, blocks)
     return out
 
 
-def links(fps: DataFrame, distance: int = DISTANCE, dense: int = 1000) -> DataFrame:
+def links(fps: DataFrame, distance: int = DISTANCE, dense: int = 256) -> DataFrame:
     """Distinct (fp) -> (u, v) with the same components as all links.
 
-    Buckets of up to ``dense`` members give every link once. A larger bucket gives a
-    spanning forest of its links, so output stays below one row a member; no member is
-    left out in either way.
+    Buckets of up to ``dense`` members give every link once; larger ones are cut by
+    :func:`sub_blocks` and give links that connect the same fingerprints. No member is
+    left out in either way, and no bucket is gathered in one task.
     """
     index = materialise(index_variants(fps, distance), "simhash-index", "lz4")
     crowded = index.groupBy("k", "value").count().where(F.col("count") > dense).select("k", "value")
@@ -121,23 +122,23 @@ def links(fps: DataFrame, distance: int = DISTANCE, dense: int = 1000) -> DataFr
     out = a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.value") == F.col("b.value")) & near)
     out = out.select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
     if any_crowded:
-
-        def run(pdf):
-            import pandas as pd
-
-            return pd.DataFrame(forest(pdf["fp"].to_numpy("i8"), distance), columns=["u", "v"]).astype("int64")
-
-        out = out.unionByName(index.join(crowded, ["k", "value"]).groupBy("k", "value").applyInPandas(run, "u long, v long"))
+        cut = index.join(crowded, ["k", "value"]).withColumn("x", F.explode(sub_blocks(distance)))
+        buckets = materialise(cut.select(F.xxhash64("k", "value", "x.j", "x.sub").alias("key"), F.col("fp").alias("node")), "simhash-blocks", "lz4")
+        close = lambda pairs: pairs.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= distance)
+        plausible = lambda x, y: F.bit_count(F.col(f"{x}.node").bitwiseXOR(F.col(f"{y}.node"))) <= distance
+        first = materialise(stars(buckets, close, plausible), "simhash-stars")
+        out = out.unionByName(first).unionByName(across(buckets, close, first, plausible))
     return out
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", distance: int = DISTANCE, dense: int = 1000, extra: str | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", distance: int = DISTANCE, dense: int = 256, extra: str | None = None) -> DataFrame:
     """One row a row of ``docs``: (id, extra, fp, root, component_id); extra: a long column.
 
     ``component_id`` is the smallest id reachable over links. Null texts and texts
     without words have fingerprint zero and link like any other. Null ids never name a
     class (``component_id`` is null only if the class has no id). Repeated rows are kept.
-    An empty table gives an empty result.
+    Texts of any length are read whole; other columns of ``docs``, whatever their names,
+    are not read. An empty table gives an empty result.
     """
     rows = materialise(with_fingerprint(docs, text, id, extra), "simhash-rows")
     fps = materialise(rows.groupBy("fp").agg(F.min("id").alias("low")), "simhash-fps")
@@ -145,7 +146,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", dis
     named = fps.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = materialise(named, "simhash-named")
     lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    label = named.select("fp", "root").join(lows, "root")
+    label = materialise(join_totals(named.select("fp", "root"), lows, "root"), "simhash-labels")
     return rows.join(label, "fp", "left").select("id", "extra", "fp", "root", "component_id")
 
 
@@ -155,16 +156,16 @@ def deduplicate(docs: DataFrame, text: str = "text", id: str = "doc_id", **optio
     Rows of a class that share the smallest id count as one if their texts are equal; if
     not, the one with the smallest text hash stays. A class without any id keeps one row.
     """
-    return keep_first(docs, lambda keyed, text, id: near_duplicates(keyed, text, id, extra=MARK, **options), text, id)
+    return keep_first(docs, lambda keyed, text, id, mark: near_duplicates(keyed, text, id, extra=mark, **options), text, id)
 
 
 def keep_first(docs: DataFrame, find, text: str, id: str) -> DataFrame:
-    """What ``deduplicate`` says, of the classes that ``find(docs, text, id)`` gives as (id, extra, root); extra: the text's hash."""
-    key, mark = "__bf_id", MARK
+    """What ``deduplicate`` says, of the classes that ``find(docs, text, id, mark)`` gives as (id, extra, root); extra: the text's hash."""
+    key, mark = free_names(docs, "__id", "__mark")
     keyed = docs.withColumns({key: F.col(id).cast("long"), mark: F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))})
-    found = find(keyed, text, key)
+    found = find(keyed, text, key, mark)
     best = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "extra")).alias("x"))
-    best = best.select(F.col("x.id").alias(key), F.col("x.extra").alias(mark))
+    best = materialise(best.select(F.col("x.id").alias(key), F.col("x.extra").alias(mark)), "dedup-best")
     same = keyed[key].eqNullSafe(best[key]) & (keyed[mark] == best[mark])
     kept = keyed.join(best, same, "left_semi")
     # Whole texts are compared for repeated rows only if ids and text hashes show that there are some.
