@@ -3,8 +3,8 @@
 Every line of a document gets the label good or bad. A line's features come from the
 line and from its neighbours; transitions tie neighbouring labels. The model is fitted
 on a bounded sample of labelled documents, whose lines all carry the document's label
-unless the whole chain says otherwise: training maximises the likelihood of the chains
-and then re-labels a bad document's lines that look like good documents' lines. A
+at first: training maximises the likelihood of the chains, re-labels a bad document's
+lines that look like good documents' lines, and maximises it again. A
 document's score is the mean of its lines' forward-backward marginals for "good",
 weighted by line length, put on a probability scale by a fitted logistic curve.
 """
@@ -100,10 +100,11 @@ class Chain:
         return np.where(np.isnan(m), 0.0, 1 / (1 + np.exp(-(a * np.nan_to_num(m) + b))))
 
 
-def marginals(e: np.ndarray, sizes: np.ndarray, transition: np.ndarray) -> np.ndarray:
-    """Forward-backward over chains laid end to end; e: log odds of "good" of each line.
+def messages(e: np.ndarray, sizes: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward (with the line's own score) and backward (without) messages of chains laid end to end.
 
-    Two labels need one number a line: messages are log odds too.
+    e: log odds of "good" of each line. Two labels need one number a line: messages are
+    log odds too.
     """
     (t00, t01), (t10, t11) = transition
     order = np.argsort(-sizes, kind="stable")
@@ -118,49 +119,59 @@ def marginals(e: np.ndarray, sizes: np.ndarray, transition: np.ndarray) -> np.nd
         at = starts[: active[t]] + lengths[: active[t]] - 1 - t
         b = backward[at + 1] + e[at + 1]
         backward[at] = np.logaddexp(t10, t11 + b) - np.logaddexp(t00, t01 + b)
-    return 1 / (1 + np.exp(-np.clip(forward + backward, -500, 500)))
+    return forward, backward
+
+
+def odds_to_share(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
+
+
+def marginals(e: np.ndarray, sizes: np.ndarray, transition: np.ndarray) -> np.ndarray:
+    """P(good) of each line, by forward-backward."""
+    forward, backward = messages(e, sizes, transition)
+    return odds_to_share(forward + backward)
 
 
-def pair_marginals(p: np.ndarray, e: np.ndarray, at: np.ndarray, transition: np.ndarray) -> np.ndarray:
-    """Label pairs of lines at - 1 and at, from the lines' marginals (a mean-field estimate)."""
-    q = np.stack([1 - p, p], axis=1)
-    pair = np.log(q[at - 1] + 1e-12)[:, :, None] + transition[None] + np.stack([np.zeros(len(at)), e[at]], axis=1)[:, None, :]
+def pair_marginals(e: np.ndarray, forward: np.ndarray, backward: np.ndarray, at: np.ndarray, transition: np.ndarray) -> np.ndarray:
+    """P(labels of lines at - 1 and at), (len(at), 2, 2): what comes from the left, the transition, what comes from the right."""
+    left, right, none = forward[at - 1], e[at] + backward[at], np.zeros(len(at))
+    pair = np.stack([none, left], axis=1)[:, :, None] + transition[None] + np.stack([none, right], axis=1)[:, None, :]
     pair = np.exp(pair - pair.max(axis=(1, 2), keepdims=True))
     return pair / pair.sum(axis=(1, 2), keepdims=True)
 
 
-def fit(texts: list, labels: np.ndarray, steps: int = 60, rate: float = 0.15, ridge: float = 1e-3, longest: int = 64) -> Chain:
-    """Adam ascent on the chains' likelihood, all documents a step, in two passes; chains are
-    cut at ``longest`` lines, for training only."""
+def gradient(flat: np.ndarray, target: np.ndarray, weight: np.ndarray, sizes: np.ndarray, emission: np.ndarray, transition: np.ndarray) -> np.ndarray:
+    """Of the chains' log-likelihood, each chain times its lines' ``weight``: emission, then transition weights."""
+    inner = np.ones(len(flat), bool)
+    inner[np.cumsum(sizes) - sizes] = False
+    at, e = np.flatnonzero(inner), flat @ emission
+    forward, backward = messages(e, sizes, transition)
+    by_feature = (flat * ((target - odds_to_share(forward + backward)) * weight)[:, None]).sum(axis=0)
+    by_pair = -(pair_marginals(e, forward, backward, at, transition) * weight[at, None, None]).sum(axis=0)
+    np.add.at(by_pair, (target[at - 1].astype(int), target[at].astype(int)), weight[at])
+    return np.append(by_feature, by_pair)
+
+
+def fit(texts: list, labels: np.ndarray, steps: int = 60, rate: float = 0.15, ridge: float = 1e-3) -> Chain:
+    """Adam ascent on the chains' likelihood, all documents a step, in two passes."""
     both = [line_features(t) for t in texts]
     use = [i for i, (x, _) in enumerate(both) if len(x)]
     x, y = [both[i][0] for i in use], labels[use].astype(float)
-    sizes = np.array([len(v) for v in x])
+    sizes = np.array([len(v) for v in x], np.int64)
     flat, owner = np.concatenate(x), np.repeat(np.arange(len(x)), sizes)
     target = y[owner]
-    weight = 1 / sizes[owner]  # a document counts once, however many lines it has
-    chains = np.concatenate([np.full(k // longest, longest) if k % longest == 0 else np.append(np.full(k // longest, longest), k % longest) for k in sizes.tolist()]).astype(np.int64)
-    inner = np.ones(len(flat), bool)
-    inner[np.cumsum(chains) - chains] = False
-    at = np.flatnonzero(inner)
+    weight = 1 / sizes[owner] / len(x)  # a document counts once, however many lines it has
     chain = Chain(np.zeros(WIDTH), np.zeros((2, 2)), (6.0, -3.0))
     for round_ in range(2):
         if round_:  # a bad document may hold good lines: they take the label that they look like
-            alone = 1 / (1 + np.exp(-(flat @ chain.emission)))
+            alone = odds_to_share(flat @ chain.emission)
             target = np.where((y[owner] == 0) & (alone > 0.9), 1.0, target)
             worst = np.zeros(len(x))
             np.maximum.at(worst, owner, 1 - target)
             target = np.where((worst[owner] == 0) & (y[owner] == 0), 0.0, target)
         theta, m, v = np.concatenate([chain.emission, chain.transition.ravel()]), 0.0, 0.0
         for step in range(1, steps + 1):
-            e = flat @ chain.emission
-            p = marginals(e, chains, chain.transition)
-            pair = pair_marginals(p, e, at, chain.transition)
-            g_e = (flat * ((target - p) * weight)[:, None]).sum(axis=0) / len(x)
-            seen = np.zeros((2, 2))
-            np.add.at(seen, (target[at - 1].astype(int), target[at].astype(int)), weight[at])
-            g_t = (seen - (pair * weight[at, None, None]).sum(axis=0)) / len(x)
-            g = np.concatenate([g_e, g_t.ravel()]) - ridge * theta
+            g = gradient(flat, target, weight, sizes, chain.emission, chain.transition) - ridge * theta
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             theta = theta + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
             chain = Chain(theta[:WIDTH], theta[WIDTH:].reshape(2, 2), chain.curve)
@@ -173,13 +184,18 @@ def fit(texts: list, labels: np.ndarray, steps: int = 60, rate: float = 0.15, ri
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, text: str, id: str, label: str, max_rows: int, folds: int) -> pd.DataFrame:
-    """At most ``max_rows`` labelled documents outside fold 0, by smallest id hash."""
+    """At most ``max_rows`` labelled documents outside fold 0, by smallest id hash.
+
+    Of an id's rows one is taken, the one with the smallest text hash, before anything is
+    collected; of its labels the smallest counts.
+    """
     fold = F.pmod(F.crc32(F.col(id).cast("string").cast("binary")), F.lit(folds))
     known = labels.where(F.col(id).isNotNull() & F.col(label).isNotNull() & (fold != 0))
     known = known.groupBy(F.col(id).cast("long").alias("__id")).agg(F.min(label).cast("int").alias("__y"))
     known = known.orderBy(F.xxhash64("__id"), "__id").limit(max_rows)  # bounded, so it is broadcast
     rows = docs.select(F.col(id).cast("long").alias("__id"), F.col(text).cast("string").alias("__text")).join(F.broadcast(known), "__id")
-    return rows.select("__id", "__y", "__text").toPandas().sort_values(["__id", "__text"], na_position="first")
+    first = F.min(F.struct(F.xxhash64("__text").alias("h"), "__text"))["__text"]
+    return rows.groupBy("__id", "__y").agg(first.alias("__text")).toPandas().sort_values("__id")
 
 
 def fit_documents(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_id", label: str = "quality", max_rows: int = 2000, folds: int = 5) -> Chain | None:
@@ -201,7 +217,8 @@ def score_column(model: Chain | None, text: str) -> Column:
 def classify(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_id", keep_from: float = 0.3, folds: int = 5, **options) -> DataFrame:
     """(id, held_out, score, predicted), a row a document.
 
-    Null, empty and blank texts have no line and score 0. ``held_out`` marks fold 0, from
+    Null, empty and blank texts have no line and score 0; of a text of any length every
+    line counts. Other columns of ``docs``, whatever their names, are not read. ``held_out`` marks fold 0, from
     which nothing is learned; a null id is not held out. Repeated rows are scored one by
     one. Without both labels nothing can be learned and every score is 1. An empty table
     gives an empty result.

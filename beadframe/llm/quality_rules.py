@@ -159,14 +159,17 @@ def stats_column(text: str) -> Column:
 def fit_rules(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_id", label: str = "quality", max_rows: int = 6000) -> Trees | None:
     """Trees from at most ``max_rows`` labelled rows, those with the smallest id hashes.
 
-    Null labels and ids are left out; of repeated labels the smallest counts. Without
+    Null labels and ids are left out; of repeated labels the smallest counts, and of an
+    id's rows the one with the smallest text hash. Without
     both labels there is nothing to learn and the result is None.
     """
     known = labels.where(F.col(label).isNotNull() & F.col(id).isNotNull()).groupBy(F.col(id).cast("long").alias("__id")).agg(F.min(label).cast("double").alias("__y"))
     known = known.orderBy(F.xxhash64("__id"), "__id").limit(max_rows)  # bounded, so it is broadcast
     rows = docs.select(F.col(id).cast("long").alias("__id"), F.col(text).alias("__text")).join(F.broadcast(known), "__id")
+    # One row an id, that with the smallest text hash, before anything is collected.
+    rows = rows.groupBy("__id", "__y").agg(F.min(F.struct(F.xxhash64("__text").alias("h"), "__text"))["__text"].alias("__text"))
     got = rows.select("__y", "__id", stats_column("__text").alias("s")).select("__y", "__id", *(f"s.{f}" for f in FEATURES)).toPandas()
-    got = got.sort_values(["__id", *FEATURES])  # the same model whatever the partitions
+    got = got.sort_values("__id")  # the same model whatever the partitions
     if got["__y"].nunique() < 2:
         return None
     return fit_trees(got[list(FEATURES)].to_numpy(float), (got["__y"] > 0).to_numpy(float), list(FEATURES.values()))
@@ -191,7 +194,8 @@ def judge(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc
     """One row a document: id, base counts, base_failed, score, kept.
 
     Null and empty texts have no words, so they fail the base rules. Repeated rows and
-    ids are judged one by one; a null id stays null. Without usable labels the base
+    ids are judged one by one; a null id stays null. Texts of any length are read whole;
+    other columns, whatever their names, are not read. Without usable labels the base
     rules alone decide. An empty table gives an empty result.
     """
     model = fit_rules(docs, labels, text, id, max_rows=max_rows)
@@ -200,7 +204,7 @@ def judge(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns."""
+    """The rows of ``docs`` that the rules keep; columns as they were, whatever their names."""
     model = fit_rules(docs, labels, text, id, **{k: v for k, v in options.items() if k == "max_rows"})
     keep = rule_column(model, text, options.get("keep_from", 0.3))["kept"]
     return docs.where(keep)
