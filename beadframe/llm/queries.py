@@ -40,8 +40,7 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flat = token_scan.write_flat(read_table(spark, sf_dir, "documents", "doc_id", "text"))
-    return token_scan.count_documents(flat).select("doc_id", "n_tokens")
+    return token_scan.count_documents(read_table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "n_tokens")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .common import materialise, scratch_path
-from .tokens import encoder
+from .tokens import closed, encoder, packed, slices, spread
 
 PRECISION, LANES, CHECK_STEPS, BLOCK_IDS, END = 20, 1024, 64, 1 << 18, 1
 LOW = np.uint64(1 << 31)
@@ -89,7 +89,11 @@ def encode_block(ids: np.ndarray, table: Table, lanes: int = LANES, every: int =
 
 
 def decode_block(data: bytes, table: Table, checkpoint: int = 0, every: int = CHECK_STEPS) -> np.ndarray:
-    """The ids from a checkpoint on (0: all); ValueError if a checksum fails."""
+    """The ids from a checkpoint on (0: all); ValueError if a checksum fails.
+
+    All checkpoints' stretches are decoded side by side: a step takes one row of lanes of
+    each of them.
+    """
     if len(data) < HEAD_SIZE + 4 or zlib.crc32(data[:-4]) != struct.unpack("<I", data[-4:])[0]:
         raise ValueError("damaged block")
     magic, n, lanes, n_words, n_marks, crc = struct.unpack_from(HEAD, data)
@@ -97,22 +101,25 @@ def decode_block(data: bytes, table: Table, checkpoint: int = 0, every: int = CH
         raise ValueError("no block")
     if not n:
         return np.zeros(0, np.uint32)
-    size = 4 + 8 * lanes
-    at, words = HEAD_SIZE + checkpoint * size, np.frombuffer(data, "<u4", n_words, HEAD_SIZE + n_marks * size)
-    place, x = struct.unpack_from("<I", data, at)[0], np.frombuffer(data, "<u8", lanes, at + 4).astype(np.uint64)
-    steps, first = -(-n // lanes), checkpoint * every
-    out = np.empty((steps - first, lanes), np.uint32)
+    mark = np.dtype([("place", "<u4"), ("state", "<u8", (lanes,))])
+    marks = np.frombuffer(data, mark, n_marks, HEAD_SIZE)[checkpoint:]
+    words = np.frombuffer(data, "<u4", n_words, HEAD_SIZE + n_marks * mark.itemsize)
+    places, states = marks["place"].astype(np.int64), marks["state"].astype(np.uint64)
+    steps = -(-n // lanes) - checkpoint * every
+    out = np.empty((len(marks), every, lanes), np.uint32)
     mask, shift = np.uint64((1 << PRECISION) - 1), np.uint64(PRECISION)
-    for t in range(steps - first):
+    for t in range(min(every, steps)):
+        k = len(marks) - ((len(marks) - 1) * every + t >= steps)  # the last stretch may be shorter
+        x = states[:k]
         slot = x & mask
         s = table.symbol[slot]
-        out[t] = s
+        out[:k, t] = s
         x = table.frequency[s] * (x >> shift) + slot - table.start[s]
-        need = np.flatnonzero(x < LOW)
-        if len(need):
-            x[need] = (x[need] << np.uint64(32)) | words[place : place + len(need)]
-            place += len(need)
-    ids = out.ravel()[: n - first * lanes]
+        need = x < LOW
+        count = need.sum(axis=1)
+        x[need] = (x[need] << np.uint64(32)) | words[spread(places[:k], count)]
+        states[:k], places[:k] = x, places[:k] + count
+    ids = out.ravel()[: n - checkpoint * every * lanes]
     if not checkpoint and zlib.crc32(ids.astype("<u4").tobytes()) != crc:
         raise ValueError("ids do not match their checksum")
     return ids
@@ -121,31 +128,28 @@ def decode_block(data: bytes, table: Table, checkpoint: int = 0, every: int = CH
 def tokenised(docs: DataFrame, text: str = "text", id: str = "doc_id", vocabulary: str | None = None) -> DataFrame:
     """(part, position, doc_id, n_tokens, ids): documents in ascending id order.
 
-    Rows are dealt by ranges of (id, text hash), so one id's repeated rows cannot crowd a
-    part; ``position`` counts the ids before a document in its part. ``ids`` are
+    Rows are dealt by ranges of (id, text hash, row), so neither one id's rows nor equal
+    rows, whose order does not matter, crowd a part; ``position`` counts the ids before a document in its part. ``ids`` are
     little-endian unsigned 16- or 32-bit integers with the end id last.
     """
 
     def run(batches):
         from pyspark import TaskContext
 
-        part, at, coder = TaskContext.get().partitionId(), 0, None
+        part, at, coder = TaskContext.get().partitionId(), 0, encoder(vocabulary)
         for b in batches:
-            coder = coder or encoder(vocabulary)
-            texts = b.column(1)
-            for k in range(0, len(b), 256):
-                ids = coder.encode(texts.slice(k, 256).to_pylist())
-                sizes = np.fromiter((len(x) + 1 for x in ids), np.int64, len(ids))
-                data = [np.append(x, END).astype("<u4").tobytes() if len(x) and x.max() > 65535 else np.append(x, END).astype("<u2").tobytes() for x in ids]
+            for k, n in slices(b.column(1)):
+                ids, sizes = closed(*coder.encode_batch(b.column(1).slice(k, n)), END)
                 places = at + np.cumsum(sizes) - sizes
-                at += int(sizes.sum())
-                columns = [pa.array(np.full(len(ids), part, np.int64)), pa.array(places), b.column(0).slice(k, 256), pa.array(sizes), pa.array(data, pa.binary())]
+                at += len(ids)
+                columns = [pa.array(np.full(n, part, np.int64)), pa.array(places), b.column(0).slice(k, n), pa.array(sizes), packed(ids, sizes)]
                 yield pa.RecordBatch.from_arrays(columns, names=["part", "position", "doc_id", "n_tokens", "ids"])
 
     key = F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
-    rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), key.alias("h"))
+    rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), key.alias("h"), F.monotonically_increasing_id().alias("row"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), "h").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h")
+    order = [F.col("doc_id").asc_nulls_first(), "h", "row"]
+    dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
     return dealt.select("doc_id", "text").mapInArrow(run, "part long, position long, doc_id long, n_tokens long, ids binary")
 
 
@@ -180,7 +184,9 @@ def write(docs: DataFrame, path: str, text: str = "text", id: str = "doc_id", vo
     """Encodes every text and writes the folder ``path``.
 
     Null texts are empty and hold the end id alone; null ids come first; rows that share
-    an id are ordered by their text's hash. An empty table gives empty tables.
+    an id are ordered by their text's hash. A text of any length is one document of one
+    block, which may so exceed ``BLOCK_IDS``. Other columns are not read, whatever their
+    names. An empty table gives empty tables.
     """
     spark = docs.sparkSession
     tokens = materialise(tokenised(docs, text, id, vocabulary), "token-ids")

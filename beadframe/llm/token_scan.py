@@ -1,88 +1,95 @@
 """Token counts by a separator scan over flat token files.
 
-A flat file is nothing but ids, one document after the other, each closed by the
-end-of-document id; there is no index. It is read in blocks of fixed size that know
-nothing of documents. Each block is searched at once in numpy; what crosses a border is
-settled by a prefix scan over the blocks' summaries (ids, separators, last separator).
+A flat file is nothing but little-endian unsigned 16-bit ids, one document after the
+other, each closed by the end-of-document id; there is no index. Spark's text writer
+makes the files: a line is ids, and the line separator is the end-of-document id. Each
+file is cut into blocks of fixed size that know nothing of documents; a block is searched
+at once in numpy. What crosses a border (of blocks, or of the files of one part) is
+settled by a prefix scan over the blocks' summaries: ids, separators, last separator.
+
+Documents have no names in such files; they are told by their ordinal. The writer lists
+names in order in a folder beside the files, which the scan does not read.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import materialise
-from .tokens import encoder
+from .common import scratch_path
+from .tokens import closed, encoder, slices
 
-END, BLOCK = 49407, 1 << 16
-FLAT = "file long, block long, data binary, names array<long>"
+#: Ids of a block; lines of a file, of about 4 MB of text each (a longer text is a line of its own).
+END, BLOCK, LINES = 49407, 1 << 16, 4
+PART = r"part-(\d+)-.*?(?:-c(\d+))?\.\w+$"
 
 
-def write_flat(docs: DataFrame, text: str = "text", id: str = "doc_id", end: int = END, block: int = BLOCK, vocabulary: str | None = None) -> DataFrame:
-    """Flat files of the texts' ids as rows (file, block, data, names); one file a partition.
+def write_flat(docs: DataFrame, path: str, text: str = "text", id: str = "doc_id", end: int = END, vocabulary: str | None = None, lines: int = LINES) -> None:
+    """Writes the texts' ids to flat files in ``path``/kind=ids, names to ``path``/kind=names.
 
-    ``data`` holds ``block`` little-endian unsigned 16-bit ids (the last one fewer).
-    ``names`` lists the ids of the documents that were closed in a block, to name results
-    only: the scan does not read it. Null texts have no ids but their separator.
+    Null texts have no ids but their separator. Strings that look like special tokens are
+    ordinary text, so the end id marks ends only. A vocabulary with ids of more than 16
+    bits is a ValueError.
     """
 
     def run(batches):
-        from pyspark import TaskContext
-
-        file, number, held, names, size, coder = TaskContext.get().partitionId(), 0, [], [], 0, None
-
-        def rows(last: bool):
-            nonlocal held, names, size, number
-            flat = np.concatenate(held) if held else np.zeros(0, "<u2")
-            closed = np.flatnonzero(flat == end)
-            out, used = [], 0
-            for at in range(0, len(flat) if last else len(flat) // block * block, block):
-                n = int(np.searchsorted(closed, at + block)) - used
-                out.append((file, number, flat[at : at + block].tobytes(), names[used : used + n]))
-                used, number = used + n, number + 1
-            held, names = [flat[len(out) * block :]], names[used:]
-            size = len(held[0])
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["file", "block", "data", "names"])
-
+        coder, row = encoder(vocabulary, plain=True), 0
         for b in batches:
-            coder = coder or encoder(vocabulary, plain=True)
-            for k in range(0, len(b), 256):
-                for name, ids in zip(b.column(0).slice(k, 256).to_pylist(), coder.encode(b.column(1).slice(k, 256).to_pylist())):
-                    held.append(np.append(ids, end).astype("<u2"))
-                    names.append(name)
-                    size += len(held[-1])
-                if size >= 16 * block:
-                    yield rows(False)
-        yield rows(True)
-
-    rows = docs.select(F.col(id).cast("long"), F.col(text).cast("string"))
-    return materialise(rows.mapInArrow(run, FLAT), "flat-tokens")
-
-
-def scan(flat: DataFrame, end: int = END) -> DataFrame:
-    """(file, ordinal, start, n_tokens, closed), a row a document of the flat files.
-
-    ``ordinal`` and ``start`` count documents and ids from the file's begin; the
-    separator is not counted. Ids after a file's last separator are a document that is
-    not closed; a file that ends with its separator has none.
+            for at, n in slices(b.column(1)):
+                ids, sizes = coder.encode_batch(b.column(1).slice(at, n))
+                if len(ids) and int(ids.max()) >= 1 << 16:
+                    raise ValueError("ids of more than 16 bits")
+                # The last document's separator is the line's end.
+                flat = closed(ids, sizes, end)[0][:-1].astype("<u2").tobytes()
+                names = "".join("\n" if x is None else f"{x}\n" for x in b.column(0).slice(at, n).to_pylist()).encode()
+                yield pa.RecordBatch.from_arrays([pa.array(["ids", "names"]), pa.array([row, row], pa.int64()), pa.array([flat, names], pa.binary())], names=["kind", "row", "value"])
+                row += 1
+
+    rows = docs.select(F.col(id).cast("long"), F.col(text).cast("string")).mapInArrow(run, "kind string, row long, value binary")
+    rows = rows.sortWithinPartitions("kind", "row").select("kind", F.col("value").cast("string").alias("value"))
+    line_end = end.to_bytes(2, "little").decode("latin-1")
+    rows.write.partitionBy("kind").options(lineSep=line_end, encoding="ISO-8859-1", maxRecordsPerFile=lines).text(path)
+
+
+def files(spark: SparkSession, path: str) -> DataFrame:
+    """(part, turn, kind, content), a row a file: files of one part follow each other by turn."""
+
+    def group(k: int) -> Column:
+        return F.coalesce(F.regexp_extract("path", PART, k).try_cast("long"), F.lit(0))
+
+    found = spark.read.format("binaryFile").load(path)
+    kind = F.col("kind") if "kind" in found.columns else F.lit(None).cast("string")  # a folder level of the writer's, so others are not opened
+    return found.select(group(1).alias("part"), group(2).alias("turn"), kind.alias("kind"), "content")
+
+
+def scan(found: DataFrame, end: int = END, block: int = BLOCK) -> DataFrame:
+    """(part, ordinal, start, n_tokens, closed), a row a document of flat files (part, turn, content).
+
+    ``ordinal`` and ``start`` count documents and ids from the part's begin; the separator
+    is not counted. Ids after a part's last separator are a document that is not closed; a
+    part that ends with its separator has none, nor has an empty file. A file of an odd
+    number of bytes is a ValueError.
     """
 
     def run(batches):
         for b in batches:
-            found = [np.frombuffer(x.as_buffer(), "<u2") for x in b.column(2)]
-            places = [np.flatnonzero(x == end) for x in found]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([len(x) for x in found], pa.int64()), pa.array(places, pa.list_(pa.int64()))],
-                names=["file", "block", "n", "places"],
-            )
-
-    blocks = flat.select("file", "block", "data").mapInArrow(run, "file long, block long, n long, places array<long>")
-    before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    later = W.partitionBy("file").orderBy(F.col("block").desc())
+            for part, turn, content in zip(b.column(0), b.column(1), b.column(2)):
+                ids = np.frombuffer(content.as_buffer(), "<u2")
+                blocks = [ids[at : at + block] for at in range(0, len(ids), block)]
+                n = len(blocks)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([part.as_py()] * n, pa.int64()), pa.array([turn.as_py()] * n, pa.int64()), pa.array(range(n), pa.int64()),
+                     pa.array([len(x) for x in blocks], pa.int64()), pa.array([np.flatnonzero(x == end) for x in blocks], pa.list_(pa.int64()))],
+                    names=["part", "turn", "block", "n", "places"],
+                )
+
+    blocks = found.select("part", "turn", "content").mapInArrow(run, "part long, turn long, block long, n long, places array<long>")
+    # Within a part there is one row a block.
+    order = W.partitionBy("part").orderBy("turn", "block")
+    before, later = order.rowsBetween(W.unboundedPreceding, -1), W.partitionBy("part").orderBy(F.col("turn").desc(), F.col("block").desc())
     placed = blocks.withColumn("at", F.coalesce(F.sum("n").over(before), F.lit(0)))
     placed = placed.withColumn("ends", F.transform("places", lambda p: p + F.col("at")))
     placed = placed.withColumns({
@@ -94,16 +101,47 @@ def scan(flat: DataFrame, end: int = END) -> DataFrame:
     tail = F.coalesce(F.when(F.size("ends") > 0, F.element_at("ends", -1)), F.col("last"))
     open_end = F.when(F.col("final") & (tail + 1 < total), F.array(F.struct(total.alias("end"), F.lit(False).alias("closed"))))
     ends = F.concat(F.transform("ends", lambda e: F.struct(e.alias("end"), F.lit(True).alias("closed"))), F.coalesce(open_end, F.expr("CAST(array() AS array<struct<end: bigint, closed: boolean>>)")))
-    listed = placed.select("file", "seen", "last", ends.alias("ends"))
-    each = listed.select("file", "seen", "last", "ends", F.posexplode("ends").alias("k", "x"))
+    listed = placed.select("part", "seen", "last", ends.alias("ends"))
+    each = listed.select("part", "seen", "last", "ends", F.posexplode("ends").alias("k", "x"))
     start = F.when(F.col("k") == 0, F.col("last") + 1).otherwise(F.expr("ends[k - 1].end + 1"))
-    return each.select("file", (F.col("seen") + F.col("k")).alias("ordinal"), start.alias("start"), (F.col("x.end") - start).alias("n_tokens"), F.col("x.closed").alias("closed"))
+    return each.select("part", (F.col("seen") + F.col("k")).alias("ordinal"), start.alias("start"), (F.col("x.end") - start).alias("n_tokens"), F.col("x.closed").alias("closed"))
+
+
+def names(found: DataFrame, end: int = END) -> DataFrame:
+    """(part, ordinal, doc_id) from the writer's lists of names."""
+    line_end = end.to_bytes(2, "little")
+
+    def run(batches):
+        for b in batches:
+            for part, turn, content in zip(b.column(0), b.column(1), b.column(2)):
+                listed = content.as_py().replace(line_end, b"").split(b"\n")[:-1]
+                for at in range(0, max(len(listed), 1), 10_000):
+                    own = [int(x) if x else None for x in listed[at : at + 10_000]]
+                    columns = [pa.array([part.as_py()]), pa.array([turn.as_py()]), pa.array([at], pa.int64()), pa.array([own], pa.list_(pa.int64()))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["part", "turn", "at", "names"])
+
+    rows = found.select("part", "turn", "content").mapInArrow(run, "part long, turn long, at long, names array<long>")
+    before = W.partitionBy("part").orderBy("turn", "at").rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("seen", F.coalesce(F.sum(F.size("names")).over(before), F.lit(0)))
+    rows = rows.select("part", "seen", F.posexplode("names").alias("k", "doc_id"))
+    return rows.select("part", (F.col("seen") + F.col("k")).alias("ordinal"), "doc_id")
+
+
+def count_documents(docs: DataFrame, text: str = "text", id: str = "doc_id", end: int = END, block: int = BLOCK, vocabulary: str | None = None, lines: int = LINES) -> DataFrame:
+    """(doc_id, part, ordinal, start, n_tokens, closed): writes ``docs`` to flat files and scans them.
+
+    One row a row of ``docs``: repeated rows and null ids have theirs, a null text counts
+    0. A text of any length is read whole; the table's other columns are not read. An
+    empty table gives an empty result.
+    """
+    spark, path = docs.sparkSession, scratch_path(docs.sparkSession, "flat-tokens")
+    write_flat(docs, path, text, id, end, vocabulary, lines)
+    return joined(spark, path, end, block)
 
 
-def count_documents(flat: DataFrame, end: int = END) -> DataFrame:
-    """The scan's rows with the documents' ids: names join by (file, ordinal)."""
-    before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    names = flat.select("file", "names", F.coalesce(F.sum(F.size("names")).over(before), F.lit(0)).alias("seen"))
-    names = names.select("file", "seen", F.posexplode("names").alias("k", "doc_id"))
-    names = names.select("file", (F.col("seen") + F.col("k")).alias("ordinal"), "doc_id")
-    return scan(flat, end).join(names, ["file", "ordinal"], "left").select("doc_id", "file", "ordinal", "start", "n_tokens", "closed")
+def joined(spark: SparkSession, path: str, end: int = END, block: int = BLOCK) -> DataFrame:
+    """The scan's rows with their names, of a folder that :func:`write_flat` wrote."""
+    # With one folder above, an empty table's files (there are none) are no error.
+    every = {k: files(spark, path).where(F.col("kind") == k) for k in ("ids", "names")}
+    found = scan(every["ids"], end, block)
+    return found.join(names(every["names"], end), ["part", "ordinal"], "left").select("doc_id", "part", "ordinal", "start", "n_tokens", "closed")

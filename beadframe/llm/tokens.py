@@ -1,132 +1,148 @@
-"""Whole texts to token ids with a public tokenizer, a worker's words at a time."""
+"""Whole texts to token ids with a public tokenizer, a batch's distinct pieces at a time."""
 
 from __future__ import annotations
 
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import worker_cache
 
 VOCABULARY = "word_bpe_49k.json"
 
 
-class Places(dict):
-    """Piece -> its number; a new piece gets the next one and is listed in ``new``."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[str] = []
-
-    def __missing__(self, piece: str) -> int:
-        self.new.append(piece)
-        n = self[piece] = len(self)
-        return n
+#: A word of Latin-1 letters, and perhaps a punctuation mark.
+PLAIN = "^[A-Za-zªµºÀ-ÖØ-öø-ÿ]+[,.!?;:]?$"
+MARKS = ",.!?;:"
 
 
 class WordIds:
-    """Ids of texts, equal to the tokenizer's own, with each distinct word encoded once.
+    """Ids of texts, equal to the tokenizer's own, with each distinct piece encoded once.
 
     The tokenizer drops white space and never joins across it, its normaliser composes
     nothing with a space and lower-cases character by character, so a text's ids are its
-    pieces' ids in order; it is cut at spaces, tabs and line ends, and any other white
-    space stays within a piece. What is known is emptied when it holds ``most`` pieces,
-    so memory is bounded.
+    pieces' ids in order. Arrow cuts a batch of texts at ASCII white space (any other
+    white space stays within a piece) and numbers its distinct pieces. Letters of Latin-1
+    alone, in lower case, are one composed pre-token, so the model takes them without the
+    normaliser and the splitter; one punctuation mark after them is a pre-token of its
+    own. Any other piece goes through the whole tokenizer.
+
+    What is known is bounded: at ``most`` pieces, those that were met in a single batch
+    are forgotten, and all are if that leaves too many.
     """
 
-    def __init__(self, path: str, most: int = 400_000, plain: bool = False):
+    def __init__(self, path: str, most: int = 300_000, plain: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.tokenizer.encode_special_tokens = plain  # true: special tokens' strings are ordinary text
-        self.model = self.tokenizer.model
         # How the byte-level step writes each byte, asked of the library itself.
-        letters = {chr(c): self.tokenizer.pre_tokenizer.pre_tokenize_str(chr(c))[0][0] for c in range(170, 256) if chr(c).isalpha()}
-        self.bytes = {ord(k): v for k, v in letters.items()}
-        self.tails = {m: self.tokenizer.encode(m, add_special_tokens=False).ids for m in ",."}
+        self.letters = {chr(c): self.tokenizer.pre_tokenizer.pre_tokenize_str(chr(c))[0][0] for c in range(170, 256) if chr(c).isalpha()}
+        self.tails = np.array([self.tokenizer.encode(m, add_special_tokens=False).ids[0] for m in MARKS] + [0], np.uint32)
         self.clear()
 
     def clear(self) -> None:
-        self.place = Places()
-        self.flat, self.starts, self.lengths = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.used = 0
-
-    def ids_of(self, pieces: list[str], first: int) -> list[list[int]]:
-        """The ids of new pieces, numbered from ``first``.
-
-        Letters of Latin-1 alone, in lower case, are one composed pre-token, so the model
-        takes them without the normaliser and the splitter; a comma or full stop after
-        them is a pre-token of its own. Any other piece goes through the whole tokenizer.
-        """
-        model, table, tails, known = self.model, self.bytes, self.tails, self.place.get
-        out: list = [None] * len(pieces)
-        other = []
-        for i, piece in enumerate(pieces):
-            core, end = (piece[:-1], tails[piece[-1]]) if piece[-1:] in tails else (piece, [])
-            if core.isalpha() and (core.isascii() or max(core) < "\u0100"):
-                at = known(core, first + i) if end else first + i
-                if at < first:
-                    out[i] = self.flat[self.starts[at] : self.starts[at] + self.lengths[at]].tolist() + end
-                elif at - first < i:
-                    out[i] = out[at - first] + end
-                else:
-                    core = core.lower()
-                    out[i] = [t.id for t in model.tokenize(core if core.isascii() else core.translate(table))] + end
-            else:
-                other.append(i)
-        for i, e in zip(other, self.tokenizer.encode_batch_fast([pieces[i] for i in other], add_special_tokens=False)):
-            out[i] = e.ids
+        self.words: dict[str, int] = {}
+        self.others: dict[str, int] = {}
+        self.flat = np.zeros(0, np.uint32)
+        self.starts, self.lengths, self.met = (np.zeros(0, np.int32) for _ in range(3))
+
+    def forget(self) -> None:
+        """Keeps the pieces that more than one batch had."""
+        kept = self.met > 1
+        if kept.sum() > self.most // 2:
+            return self.clear()
+        number = np.cumsum(kept) - 1
+        self.words, self.others = ({p: int(number[i]) for p, i in d.items() if kept[i]} for d in (self.words, self.others))
+        n = self.lengths[kept]
+        self.flat = self.flat[spread(self.starts[kept], n)]
+        self.starts, self.lengths, self.met = (np.cumsum(n) - n).astype(np.int32), n, self.met[kept] // 2
+
+    def word_ids(self, words: list[str]) -> list[list[int]]:
+        text, tokenize = "\n".join(words), self.tokenizer.model.tokenize
+        # In ascending order: what a letter is written as has no letter that comes later.
+        for c in sorted(set(text) & self.letters.keys()):
+            text = text.replace(c, self.letters[c])
+        return [[t.id for t in tokenize(w)] for w in text.split("\n")]
+
+    def other_ids(self, pieces: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def numbers(self, pieces: list[str], known: dict[str, int], encode) -> np.ndarray:
+        """The number of each of distinct pieces; new ones are learned."""
+        out = np.fromiter((known.get(p, -1) for p in pieces), np.int64, len(pieces))
+        new = np.flatnonzero(out < 0)
+        if len(new):
+            names, n = [pieces[i] for i in new], len(self.met)
+            got = encode(names)
+            sizes = np.fromiter(map(len, got), np.int32, len(got))
+            out[new] = np.arange(n, n + len(new))
+            known.update(zip(names, range(n, n + len(new))))
+            self.starts = np.append(self.starts, (len(self.flat) + np.cumsum(sizes) - sizes).astype(np.int32))
+            self.lengths, self.met = np.append(self.lengths, sizes), np.append(self.met, np.zeros(len(new), np.int32))
+            self.flat = np.append(self.flat, np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum())))
+        self.met[out] += 1
         return out
 
-    def learn(self) -> None:
-        pieces, self.place.new = self.place.new, []
-        n = len(self.place) - len(pieces)
-        got = self.ids_of(pieces, n)
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
-        new = np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum()))
-        while self.used + len(new) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while n + len(got) > len(self.starts):
-            self.starts, self.lengths = (np.concatenate([a, np.zeros_like(a)]) for a in (self.starts, self.lengths))
-        self.flat[self.used : self.used + len(new)] = new
-        self.starts[n : n + len(got)] = self.used + np.cumsum(sizes) - sizes
-        self.lengths[n : n + len(got)] = sizes
-        self.used += len(new)
-
-    def pieces(self, text: str | None) -> list[str]:
-        """Pieces of a text. Latin-1 is composed and lower-cases letter by letter, so it is
-        lowered as a whole, unless that might spell a special token."""
-        text = (text or "").replace("\n", " ").replace("\t", " ")
-        if "<|" not in text:
-            if text.isascii():
-                text = text.lower()
-            else:
-                try:
-                    text.encode("latin-1")
-                    text = text.lower()
-                except UnicodeEncodeError:
-                    pass
-        return text.split(" ")
+    def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(uint32 ids of all texts in order, number of ids of each); a null text has none."""
+        if len(self.met) > self.most:
+            self.forget()
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        offsets = split.offsets.to_numpy().astype(np.int64)
+        coded = split.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
+        pieces, code = coded.dictionary, coded.indices.to_numpy()
+        plain = pc.match_substring_regex(pieces, PLAIN)
+        words, is_word = pieces.filter(plain), plain.to_numpy(zero_copy_only=False)
+        bare = pc.utf8_lower(pc.utf8_rtrim(words, characters=MARKS)).dictionary_encode()
+        number, tail = np.zeros(len(pieces), np.int64), np.full(len(pieces), len(MARKS))
+        number[is_word] = self.numbers(bare.dictionary.to_pylist(), self.words, self.word_ids)[bare.indices.to_numpy()]
+        last = pc.index_in(pc.utf8_slice_codeunits(words, -1), value_set=pa.array(list(MARKS)))
+        tail[is_word] = pc.fill_null(last, len(MARKS)).to_numpy(zero_copy_only=False)
+        number[~is_word] = self.numbers(pieces.filter(pc.invert(plain)).to_pylist(), self.others, self.other_ids)
+        marked = (tail < len(MARKS))[code]
+        number = number[code]
+        n = self.lengths[number] + marked
+        ends = np.cumsum(n, dtype=np.int64)
+        # A mark's place is read as what follows the word, and then set.
+        ids = np.append(self.flat, np.uint32(0))[spread(self.starts[number], n)]
+        ids[ends[marked] - 1] = self.tails[tail[code[marked]]]
+        return ids, np.diff(np.append(0, ends)[offsets - offsets[0]])
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """uint32 ids of each text (null: none)."""
-        out = []
-        for at in range(0, len(texts), 64):
-            if len(self.place) > self.most:
-                self.clear()
-            find, numbers = self.place.__getitem__, []
-            for t in texts[at : at + 64]:
-                words = self.pieces(t)
-                numbers.append(np.fromiter(map(find, words), np.int64, len(words)))
-            if self.place.new:
-                self.learn()
-            for i in numbers:
-                n = self.lengths[i]
-                ends = np.cumsum(n)
-                total = int(ends[-1]) if len(ends) else 0
-                # The k-th id of a text is its word's first place plus k's distance into the word.
-                out.append(self.flat[np.repeat(self.starts[i] - ends + n, n) + np.arange(total)])
-        return out
+        ids, sizes = self.encode_batch(pa.array(texts, pa.string()))
+        return np.split(ids, np.cumsum(sizes)[:-1]) if len(texts) else []
+
+
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places of runs that begin at ``starts`` and have ``sizes`` members, one run after the other."""
+    ends = np.cumsum(sizes, dtype=np.int64)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+def slices(texts: pa.Array, most: int = 1 << 22):
+    """(first row, rows) of slices of a string column with about ``most`` bytes each, one row at least."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, side="right")))
+        yield at, end - at
+        at = end
+
+
+def closed(ids: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and sizes with the id ``end`` after each text."""
+    return np.insert(ids, np.cumsum(sizes), np.uint32(end)), sizes + 1
+
+
+def packed(ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """A binary value a text: its ids as little-endian unsigned integers, of 16 bits if all fit, else of 32."""
+    kind = "<u2" if not len(ids) or int(ids.max()) < 1 << 16 else "<u4"
+    offsets = np.append(0, np.cumsum(sizes)) * np.dtype(kind).itemsize
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.astype("<i4")), pa.py_buffer(ids.astype(kind))])
 
 
 def encoder(path: str | None = None, plain: bool = False) -> WordIds:

@@ -76,7 +76,7 @@ def test_files_round_trip(spark, tokenizer):
 def test_empty_tables(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert t.round_trip(df).count() == 0
-    assert token_scan.count_documents(token_scan.write_flat(df)).count() == 0
+    assert token_scan.count_documents(df).count() == 0
 
 
 @pytest.mark.parametrize("block", [1, 2, 7, 65536])
@@ -87,12 +87,31 @@ def test_separator_scan(spark, tokenizer, block):
     want = sorted(((i, len(library.encode(x or "", add_special_tokens=False).ids)) for i, x in rows), key=str)
     library.encode_special_tokens = False
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = token_scan.count_documents(token_scan.write_flat(df, block=block)).collect()
+    got = token_scan.count_documents(df, block=block, lines=1).collect()
     assert sorted(((r.doc_id, r.n_tokens) for r in got), key=str) == want and all(r.closed for r in got)
 
 
-def test_scan_of_foreign_files(spark):
+def test_scan_of_foreign_files(spark, tmp_path):
     ids = np.array([5, 6, 9, 9, 7, 9, 1, 2], "<u2")
-    blocks = [(0, k, ids[k * 3 : k * 3 + 3].tobytes()) for k in range(3)] + [(1, 0, b""), (2, 0, np.array([9], "<u2").tobytes())]
-    got = token_scan.scan(spark.createDataFrame([(a, b, bytearray(c)) for a, b, c in blocks], "file long, block long, data binary"), end=9)
+    parts = {"part-00000-x-c000.txt": ids[:4], "part-00000-x-c001.txt": ids[4:], "part-00001-x-c000.txt": ids[:0], "part-00002-x.txt": np.array([9], "<u2")}
+    for name, data in parts.items():
+        (tmp_path / name).write_bytes(data.tobytes())
+    got = token_scan.scan(token_scan.files(spark, str(tmp_path)), end=9, block=3)
     assert sorted(map(tuple, got.collect())) == [(0, 0, 0, 2, True), (0, 1, 3, 0, True), (0, 2, 4, 1, True), (0, 3, 6, 2, False), (2, 0, 0, 0, True)]
+
+
+def test_flat_files_hold_ids_alone(spark, tokenizer, tmp_path):
+    df = spark.createDataFrame([(1, "one word"), (None, None), (3, "x<|endoftext|>")], "doc_id long, text string").coalesce(1)
+    token_scan.write_flat(df, str(tmp_path / "flat"))
+    data = b"".join(p.read_bytes() for p in (tmp_path / "flat/kind=ids").glob("part-*"))
+    library = tokenizer[1]
+    library.encode_special_tokens = True
+    want = [i for t in ("one word", "", "x<|endoftext|>") for i in [*library.encode(t, add_special_tokens=False).ids, token_scan.END]]
+    library.encode_special_tokens = False
+    assert np.frombuffer(data, "<u2").tolist() == want
+
+
+def test_equal_rows_are_spread_over_parts(spark):
+    df = spark.range(0, 40_000, 1, 4).selectExpr("cast(null as long) as doc_id", "cast(null as string) as text")
+    sizes = [r["count"] for r in t.tokenised(df).groupBy("part").count().collect()]
+    assert sum(sizes) == 40_000 and max(sizes) < 20_000
