@@ -137,7 +137,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if before[0]:
             raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+    # Written, so that a join with it has exchanges of its own, whose large partitions can be split.
+    return materialise(e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots), "components")
 
 
 def across(buckets: DataFrame, verified: Callable[[DataFrame], DataFrame], links: DataFrame | None, plausible: Callable[[str, str], Column]) -> DataFrame:
@@ -166,11 +167,17 @@ def across(buckets: DataFrame, verified: Callable[[DataFrame], DataFrame], links
 
 
 def stars(buckets: DataFrame, verified: Callable[[DataFrame], DataFrame], plausible: Callable[[str, str], Column]) -> DataFrame:
-    """(u, v) links of each node with the smallest of all nodes that share a bucket with it.
+    """(u, v) links of each node with one hub: of its buckets' members, the one that meets most others.
 
-    One pair a node, which connects most of a group of near copies, however large.
+    One pair a node, which connects most of a group of near copies, however large: what
+    they are copies of is in more of their buckets than any of them.
     """
-    low = buckets.groupBy("key").agg(F.min(F.struct("node", *(c for c in buckets.columns if c not in ("key", "node")))).alias("low"))
-    met = join_totals(buckets, low, "key").select(F.struct("node", *(c for c in buckets.columns if c not in ("key", "node"))).alias("a"), F.col("low").alias("b"))
-    met = met.where((F.col("a.node") != F.col("b.node")) & plausible("a", "b"))
-    return verified(met.groupBy(F.col("a.node").alias("v")).agg(F.min("b.node").alias("u")).select("u", "v"))
+    own = [c for c in buckets.columns if c not in ("key", "node")]
+    sizes = buckets.groupBy("key").agg(F.count("*").alias("met"))
+    met = join_totals(buckets.select("key", "node"), sizes, "key").groupBy("node").agg(F.sum("met").alias("met"))
+    weighed = materialise(join_totals(buckets, met, "node"), "bucket-met", "lz4")
+    hubs = weighed.groupBy("key").agg(F.max(F.struct("met", "node", *own)).alias("b"))
+    pairs = join_totals(weighed.select("key", F.struct("node", *own).alias("a")), hubs, "key")
+    pairs = pairs.where((F.col("a.node") != F.col("b.node")) & plausible("a", "b"))
+    best = pairs.groupBy(F.col("a.node").alias("v")).agg(F.max(F.struct("b.met", "b.node")).alias("b"))
+    return verified(best.select(F.col("b.node").alias("u"), "v"))

@@ -91,7 +91,7 @@ def plausible(a: str, b: str) -> Column:
 
 
 def rare_shingles(sets: DataFrame) -> DataFrame:
-    """(key, node, size): shingles of which two similar sets share one, whatever the sets.
+    """(key, node, size, rank): shingles of which two similar sets share one, whatever the sets.
 
     A set's shingles are put in order, the rarest first; of two similar sets with n and m
     shingles, one of the first n - 0.8 n + 1 of the one is among the first m - 0.8 m + 1 of
@@ -100,8 +100,14 @@ def rare_shingles(sets: DataFrame) -> DataFrame:
     each = sets.select("node", F.size("shingles").cast("long").alias("size"), F.explode("shingles").alias("key"))
     times = each.groupBy("key").agg(F.count("*").alias("times"))
     order = W.partitionBy("node").orderBy("times", "key")  # the shingles of one text
-    ranked = join_totals(each, times, "key").withColumn("rank", F.row_number().over(order))
-    return ranked.where("times > 1 AND rank <= size - (8 * size + 9) DIV 10 + 1").select("key", "node", "size")
+    ranked = join_totals(each, times, "key").withColumn("rank", F.row_number().over(order).cast("long"))
+    return ranked.where("times > 1 AND rank <= size - (8 * size + 9) DIV 10 + 1").select("key", "node", "size", "rank")
+
+
+def may_share_enough(a: str, b: str) -> Column:
+    """At the first shingle in order that similar sets share, enough are left in both: 8/18 of both sizes."""
+    left = F.least(F.col(f"{a}.size") - F.col(f"{a}.rank"), F.col(f"{b}.size") - F.col(f"{b}.rank")) + 1
+    return plausible(a, b) & (18 * left >= 8 * (F.col(f"{a}.size") + F.col(f"{b}.size")))
 
 
 def links(nodes: DataFrame, sets_for, dense: int = 64) -> DataFrame:
@@ -121,7 +127,7 @@ def links(nodes: DataFrame, sets_for, dense: int = 64) -> DataFrame:
     crowded = shared.where(F.col("n") > dense).select("node").distinct()
     if not crowded.isEmpty():
         rare = materialise(rare_shingles(sets.join(crowded, "node", "left_semi")), "near-rare", "lz4")
-        out = out.unionByName(materialise(across(rare, check, out, plausible), "near-crowded"))
+        out = out.unionByName(materialise(across(rare, check, out, may_share_enough), "near-crowded"))
     return out
 
 
@@ -144,14 +150,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id") ->
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     source = docs.select(F.col(id).cast("long").alias("id"), F.xxhash64(whole).alias("extra"), whole.alias("text"))
     rows = materialise(with_sets(source), "near-rows")
-    nodes = rows.groupBy("node").agg(F.min("size").alias("size"), F.any_value("keys").alias("keys"))
+    nodes = rows.groupBy("node").agg(F.min("size").alias("size"), F.any_value("keys").alias("keys"), F.min("extra").alias("extra"))
 
     def sets_for(wanted: DataFrame) -> DataFrame:
-        some = materialise(rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("extra").alias("extra")), "near-texts")
-        # A bitmap of fixed size says which texts may be wanted; only those are shuffled.
-        texts = source.where(in_bitmap(F.col("extra"), bitmap_of(some, "extra"))).select("extra", "text")
-        texts = texts.join(some, "extra").groupBy("node").agg(F.first("text").alias("text"))
-        return sets_of(texts)
+        some = materialise(nodes.select("node", "extra").join(wanted, "node", "left_semi"), "near-texts")
+        # A bitmap of fixed size says which texts may be wanted; one of each is shuffled.
+        texts = source.where(in_bitmap(F.col("extra"), bitmap_of(some, "extra"))).groupBy("extra").agg(F.any_value("text").alias("text"))
+        return sets_of(texts.join(some, "extra").select("node", "text"))
 
     every = links(nodes, sets_for).unionByName(fingerprint_links(rows.select("node", "fp").distinct()))
     parts = connected_components(every).withColumnRenamed("node", "part")

@@ -56,3 +56,30 @@ def test_few_changed_words(spark):
     kept = near_text.deduplicate(df)
     assert kept.columns == df.columns
     assert {r.doc_id for r in kept.collect()} == brute(rows) == {8, 10, 12, 100, 200, 201}
+
+
+def test_crowded_buckets(spark):
+    """Many texts around a long common passage, and many near copies of one text: no pairs of all."""
+    import random
+
+    rnd, rows = random.Random(6), []
+    passage = " ".join(f"p{i}" for i in range(150))
+    for i in range(90):  # 0.55 in common: no copies of each other
+        own = " ".join(f"o{i}x{k}" for k in range(60))
+        rows.append((i, f"{own} {passage} {own[::-1]}"))
+    base = [f"b{i}" for i in range(400)]
+    rows.append((1000, " ".join(base)))
+    for i in range(120):  # each is like the first text, few are like each other
+        words = base.copy()
+        for k in range(rnd.randrange(3, 9)):
+            words[rnd.randrange(400)] = f"c{i}x{k}"
+        rows.append((1001 + i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in near_text.deduplicate(df).collect()} == brute(rows)
+    sets = spark.createDataFrame([(i, sorted(hash(x) for x in plain_set(t))) for i, t in rows], "node long, shingles array<long>")
+    rare = near_text.rare_shingles(sets)
+    a, b = rare.alias("a"), rare.alias("b")
+    met = a.join(b, "key").where("a.node < b.node").where(near_text.may_share_enough("a", "b")).select("a.node", "b.node").distinct().collect()
+    plain = {i: plain_set(t) for i, t in rows}
+    want = {(x, y) for x in plain for y in plain if x < y and 10 * len(plain[x] & plain[y]) >= 8 * len(plain[x] | plain[y])}
+    assert want <= {tuple(r) for r in met} and not any(r[0] < 90 for r in met)
