@@ -1,22 +1,25 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Documents fall into cells of (source, language, topic). Raking multiplies the cells'
-token weights until each of the three marginals meets its target; a document is then
-sampled with its cell's calibrated probability. Every step works on the table of cells,
-which has at most as many rows as there are distinct triples, and stays distributed; the
-documents are read once to weigh the cells and once to be sampled.
+token weights until each of the three marginals meets its target within a tolerance; a
+document is then sampled with its cell's calibrated probability. Every step is a grouping
+or an equi-join over the table of cells, which has at most as many rows as there are
+distinct triples; the documents are read once to weigh the cells and once to be sampled.
 """
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import WORD, materialise
+from .common import WORD, free_names, materialise
 
 DIMENSIONS = ("source", "lang", "topic")
-ROUNDS, TEMPER, SHARE, SALT = 8, 0.7, 0.8, "mix-1"
+#: Marginals are met when none is further from its target than this part of all tokens.
+TOLERANCE, STEP, TEMPER, SHARE, SALT = 1e-12, 6, 0.7, 0.8, "mix-1"
 
 
 def topic(text: Column) -> Column:
@@ -33,51 +36,68 @@ def draw(id: Column, salt: str = SALT) -> Column:
     return F.conv(digest, 16, 10).cast("double") / F.lit(float(2**52))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, temper: float = TEMPER) -> DataFrame:
-    """Adds ``fitted``: token weights whose marginals meet the targets.
+def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, temper: float = TEMPER, tolerance: float = TOLERANCE, most_rounds: int = 600) -> tuple[DataFrame, float]:
+    """(cells with ``fitted``: token weights whose marginals meet the targets, the largest gap left).
 
     ``targets`` maps a dimension to a table (value, share); values it lacks keep their own
     share, and shares are scaled to sum to one. Without targets a dimension's shares are
-    its token shares to the power ``temper``. Cells without tokens stay at zero.
+    its token shares to the power ``temper``. Cells without tokens stay at zero, and a
+    target for a value without tokens cannot be met. Rounds go on until the gap, as a part
+    of all tokens, is within ``tolerance``, or, where targets contradict each other, until
+    it falls no further (or ``most_rounds`` are done): the last round's weights are
+    returned, and a gap over 1e-6 gives a warning.
     """
-    # No partition key: of one row a distinct value of a dimension.
-    whole = W.partitionBy(F.lit(0))
+    if cells.isEmpty():
+        return cells.withColumn("fitted", F.lit(0.0)), 0.0
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
     out = cells.withColumn("fitted", F.col("tokens").cast("double"))
     for d in DIMENSIONS:
         marginal = cells.groupBy(d).agg(F.sum("tokens").cast("double").alias("mass"))
         if targets and d in targets:
             given = targets[d].select(F.col("value").alias(d), F.col("share").cast("double").alias("given"))
-            marginal = marginal.join(given, d, "left").withColumn("wish", F.coalesce("given", F.try_divide("mass", F.sum("mass").over(whole))))
+            marginal = marginal.join(given, d, "left").withColumn("wish", F.coalesce("given", F.try_divide("mass", F.lit(total))))
         else:
             marginal = marginal.withColumn("wish", F.pow("mass", F.lit(temper)))
-        goal = F.try_divide(F.col("wish"), F.sum("wish").over(whole)) * F.sum("mass").over(whole)
-        out = out.join(marginal.select(d, goal.alias(f"goal_{d}")), d)
-    out = materialise(out, "mix-goals")
-    for _ in range(rounds):
-        for d in DIMENSIONS:
-            now = F.sum("fitted").over(W.partitionBy(d))
-            out = out.withColumn("fitted", F.coalesce(F.try_divide(F.col("fitted") * F.col(f"goal_{d}"), now), F.lit(0.0)))
-    return materialise(out.drop(*(f"goal_{d}" for d in DIMENSIONS)), "mix-fitted")
+        marginal = materialise(marginal, "mix-marginal")
+        wishes = float(marginal.agg(F.sum("wish")).first()[0] or 0)
+        goal = F.try_divide(F.col("wish") * F.lit(total), F.lit(wishes))
+        out = out.join(marginal.select(d, F.coalesce(goal, F.lit(0.0)).alias(f"goal_{d}")), d)
+    out, before, done = materialise(out, "mix-goals"), float("inf"), 0
+    while True:
+        for _ in range(STEP):
+            for d in DIMENSIONS:
+                now = F.sum("fitted").over(W.partitionBy(d))
+                out = out.withColumn("fitted", F.coalesce(F.try_divide(F.col("fitted") * F.col(f"goal_{d}"), now), F.lit(0.0)))
+        out, done = materialise(out, "mix-round"), done + STEP
+        gaps = [out.groupBy(d).agg(F.abs(F.sum("fitted") - F.first(f"goal_{d}")).alias("gap")).agg(F.max("gap").alias("gap")) for d in DIMENSIONS[:-1]]
+        gap = max(float(r["gap"] or 0) for r in gaps[0].unionByName(gaps[1]).collect()) / max(total, 1.0)
+        if gap <= tolerance or gap > 0.99 * before or done >= most_rounds:
+            break
+        before = gap
+    if gap > 1e-6:
+        warnings.warn(f"the targets contradict each other: a marginal misses its target by {gap:.2g} of all tokens", stacklevel=2)
+    return out.drop(*(f"goal_{d}" for d in DIMENSIONS)), gap
 
 
 def calibrate(cells: DataFrame, share: float = SHARE) -> DataFrame:
     """Adds ``p``: the largest p = min(1, scale * fitted / tokens) that keeps ``share`` of the tokens.
 
-    Cells are filled from the highest ratio on: those that reach 1 are kept whole, and
-    the scale is set by what is left to the others.
+    The scale is solved for by filling up: cells that it fills are kept whole, and what is
+    left is shared by the others, until no other cell is filled. Each step is one
+    aggregation; the scale only rises, so there are few.
     """
-    one = W.partitionBy(F.lit(0))
-    ranked = one.orderBy(F.col("ratio").desc(), *DIMENSIONS)
-    out = cells.withColumn("ratio", F.coalesce(F.try_divide("fitted", "tokens"), F.lit(0.0)))
-    out = out.withColumn("full", F.coalesce(F.sum("tokens").over(ranked.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    out = out.withColumn("rest", F.sum("fitted").over(ranked.rowsBetween(W.currentRow, W.unboundedFollowing)))
-    wanted = F.lit(share) * F.sum("tokens").over(one)
-    out = out.withColumn("scale", F.try_divide(wanted - F.col("full"), F.col("rest")))
-    out = out.withColumn("place", F.row_number().over(ranked))
-    # The first cell in order that its scale does not fill: all before it are full.
-    out = out.withColumn("scale", F.min_by(F.col("scale"), F.when(F.col("scale") * F.col("ratio") <= 1, F.col("place"))).over(one))
-    p = F.when(F.col("tokens") == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.coalesce(F.col("scale"), F.lit(1.0)) * F.col("ratio")))
-    return out.withColumn("p", p).drop("ratio", "full", "rest", "scale", "place")
+    known = cells.select("tokens", "fitted").where("tokens > 0")
+    total = known.agg(F.sum("tokens").cast("double").alias("t"), F.sum("fitted").alias("f")).first()
+    scale, full = (share * total["t"] / total["f"] if total["t"] and total["f"] else None), -1
+    while scale is not None:
+        filled = F.lit(scale) * F.col("fitted") >= F.col("tokens")
+        got = known.agg(F.count(F.when(filled, 1)).alias("n"), F.coalesce(F.sum(F.when(filled, F.col("tokens"))), F.lit(0)).alias("t"), F.sum(F.when(~filled, F.col("fitted"))).alias("f")).first()
+        if got["n"] == full or not got["f"]:
+            break
+        scale, full = max(scale, (share * total["t"] - got["t"]) / got["f"]), got["n"]
+    ratio = F.coalesce(F.try_divide("fitted", "tokens"), F.lit(0.0))
+    p = F.when(F.col("tokens") == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.lit(1.0 if scale is None else scale) * ratio))
+    return cells.withColumn("p", p)
 
 
 def dimension_columns(docs: DataFrame, text: str, source: str, lang: str, topic_column: str | None) -> dict[str, Column]:
@@ -86,48 +106,49 @@ def dimension_columns(docs: DataFrame, text: str, source: str, lang: str, topic_
     return {k: F.coalesce(v.cast("string"), F.lit("unknown")) for k, v in named.items()}
 
 
-def mixed(docs: DataFrame, text: str = "text", id: str = "doc_id", source: str = "source", lang: str = "lang", topic_column: str | None = None, targets: dict | None = None, share: float = SHARE, rounds: int = ROUNDS, temper: float = TEMPER) -> DataFrame:
-    """``docs`` with a struct column ``__mix``: source, lang, topic, n_tokens, p, u, kept.
+def mixed(docs: DataFrame, text: str = "text", id: str = "doc_id", source: str = "source", lang: str = "lang", topic_column: str | None = None, tokens_column: str | None = None, targets: dict | None = None, share: float = SHARE, temper: float = TEMPER, name: str = "__mix") -> DataFrame:
+    """``docs`` with a struct column ``name``: source, lang, topic, n_tokens, p, u, kept.
 
-    A null source, language or topic is the value "unknown"; null texts have no tokens.
-    Cells without tokens are kept whole. A row's draw depends on its id only: rows that
-    share an id (null ids share one draw) fare alike within a cell. An empty table gives
-    an empty result.
+    A token is a word, unless ``tokens_column`` gives counts (null: 0). A null source,
+    language or topic is the value "unknown"; null texts have no tokens, long ones are
+    counted whole. Cells without tokens are kept whole. A row's draw depends on its id
+    only: rows that share an id (null ids share one draw) fare alike within a cell. Other
+    columns stay as they are, whatever their names (but ``name``, which must be free). An
+    empty table gives an empty result.
     """
+    key, place, p = free_names(docs, "__key", "__cell", "__p")
     columns = dimension_columns(docs, text, source, lang, topic_column)
-    words = F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    key = F.struct(*(v.alias(k) for k, v in columns.items()), words.alias("n_tokens"))
-    rows = docs.withColumn("__key", key)
-    cells = rows.select("__key.*").groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens"))
-    fitted = calibrate(rake(materialise(cells, "mix-cells"), targets, rounds, temper), share)
-    fitted = materialise(fitted.select(F.struct(*DIMENSIONS).alias("__cell"), F.col("p").alias("__p")), "mix-p")
-    cell = F.struct(*(F.col(f"__key.{d}").alias(d) for d in DIMENSIONS))
-    joined = rows.withColumn("__cell", cell).join(fitted, "__cell", "left")
+    counted = F.col(tokens_column) if tokens_column else F.regexp_count(F.col(text).cast("string"), F.lit(WORD))
+    words = F.coalesce(counted, F.lit(0)).cast("long")
+    rows = docs.withColumn(key, F.struct(*(v.alias(k) for k, v in columns.items()), words.alias("n_tokens")))
+    cells = rows.select(f"{key}.*").groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens"))
+    fitted = calibrate(rake(materialise(cells, "mix-cells"), targets, temper)[0], share)
+    fitted = materialise(fitted.select(F.struct(*DIMENSIONS).alias(place), F.col("p").alias(p)), "mix-p")
+    cell = F.struct(*(F.col(f"{key}.{d}").alias(d) for d in DIMENSIONS))
+    joined = rows.withColumn(place, cell).join(fitted, place, "left")
     u = draw(F.col(id))
-    mix = F.struct("__key.source", "__key.lang", "__key.topic", "__key.n_tokens", F.col("__p").alias("p"), u.alias("u"), (u < F.col("__p")).alias("kept"))
-    return joined.withColumn("__mix", mix).drop("__key", "__cell", "__p")
+    mix = F.struct(*(F.col(f"{key}.{c}").alias(c) for c in (*DIMENSIONS, "n_tokens")), F.col(p).alias("p"), u.alias("u"), (u < F.col(p)).alias("kept"))
+    return joined.withColumn(name, mix).drop(key, place, p)
 
 
 def sample(docs: DataFrame, **options) -> DataFrame:
     """The sampled rows of ``docs``; columns as they were."""
-    return mixed(docs, **options).where("__mix.kept").select(*docs.columns)
+    (name,) = free_names(docs, "__mix")
+    return mixed(docs, name=name, **options).where(f"`{name}`.kept").select(*docs.columns)
 
 
-def oracle_sql(rounds: int = ROUNDS, temper: float = TEMPER, share: float = SHARE, salt: str = SALT) -> str:
-    """The query over ``documents`` as DuckDB SQL, with the raking rounds written out."""
-    steps, last = [], "goals"
-    for r in range(rounds):
-        for d in DIMENSIONS:
-            name = f"f_{r}_{d}"
-            steps.append(f"{name} AS (SELECT * REPLACE (coalesce(fitted * goal_{d} / nullif(sum(fitted) OVER (PARTITION BY {d}), 0), 0) AS fitted) FROM {last})")
-            last = name
+def oracle_sql(rounds: int = 60, temper: float = TEMPER, share: float = SHARE, salt: str = SALT) -> str:
+    """The query over ``documents`` as DuckDB SQL, with ``rounds`` of raking as a recursion."""
+    nested = f"SELECT * REPLACE (round + 1 AS round) FROM fit WHERE round < {rounds}"
+    for d in DIMENSIONS:
+        nested = f"SELECT * REPLACE (coalesce(fitted * goal_{d} / nullif(sum(fitted) OVER (PARTITION BY {d}), 0), 0) AS fitted) FROM ({nested})"
     marginals = ", ".join(
         f"m_{d} AS (SELECT {d}, pow(mass, {temper}) / sum(pow(mass, {temper})) OVER () * sum(mass) OVER () AS goal_{d} "
         f"FROM (SELECT {d}, sum(tokens)::DOUBLE AS mass FROM cells GROUP BY {d}))"
         for d in DIMENSIONS
     )
     return f"""
-WITH d AS (
+WITH RECURSIVE d AS (
   SELECT doc_id, coalesce(source, 'unknown') AS source, coalesce(lang, 'unknown') AS lang,
     CASE WHEN contains(text, 'icense') THEN 'legal' WHEN contains(text, '@') THEN 'contact'
          WHEN contains(text, ' | ') THEN 'tabular' ELSE 'prose' END AS topic,
@@ -135,10 +156,10 @@ WITH d AS (
   FROM documents),
 cells AS (SELECT source, lang, topic, sum(n_tokens)::BIGINT AS tokens FROM d GROUP BY ALL),
 {marginals},
-goals AS (SELECT c.*, c.tokens::DOUBLE AS fitted, goal_source, goal_lang, goal_topic
+goals AS (SELECT 0 AS round, c.*, c.tokens::DOUBLE AS fitted, goal_source, goal_lang, goal_topic
   FROM cells c JOIN m_source USING (source) JOIN m_lang USING (lang) JOIN m_topic USING (topic)),
-{", ".join(steps)},
-r AS (SELECT *, coalesce(fitted / nullif(tokens, 0), 0) AS ratio FROM {last}),
+fit AS (SELECT * FROM goals UNION ALL {nested}),
+r AS (SELECT *, coalesce(fitted / nullif(tokens, 0), 0) AS ratio FROM fit WHERE round = {rounds}),
 q AS (SELECT *,
   ({share} * sum(tokens) OVER () - coalesce(sum(tokens) OVER (ORDER BY ratio DESC, source, lang, topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
   / nullif(sum(fitted) OVER (ORDER BY ratio DESC, source, lang, topic ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS scale,

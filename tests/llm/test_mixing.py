@@ -26,7 +26,7 @@ def share(parts, tokens):
 def test_marginals_meet_their_targets(spark):
     df = spark.createDataFrame(rows(), SCHEMA)
     target = spark.createDataFrame([("hot", 0.2), ("s0", 0.3)], "value string, share double")
-    got = mixing.mixed(df, targets={"source": target}, share=0.3, rounds=20).select("__mix.*").collect()
+    got = mixing.mixed(df, targets={"source": target}, share=0.3).select("__mix.*").collect()
     assert len(got) == 3000 and all(0 < r.p <= 1 for r in got)
     weight = [r.n_tokens * r.p for r in got]
     total = sum(r.n_tokens for r in got)
@@ -60,3 +60,38 @@ def test_edges(spark):
     assert {r.source for r in got if r.doc_id is None} == {"unknown"}
     assert mixing.mixed(df.limit(0)).count() == 0
     assert mixing.sample(df.where("text is null or text = ''")).count() == 3
+
+
+def test_sparse_cells_meet_their_targets(spark):
+    rnd = random.Random(11)
+    cells = {(f"s{a}", f"l{b}", f"t{c}"): rnd.randrange(1, 10**6) for a in range(8) for b in range(8) for c in range(4) if rnd.random() < 0.35 or a == b}
+    df = spark.createDataFrame([(*k, v) for k, v in cells.items()], "source string, lang string, topic string, tokens long")
+    fitted, gap = mixing.rake(df, temper=0.5)
+    assert gap < 1e-9
+    rows, total = fitted.collect(), sum(cells.values())
+    for k, d in enumerate(mixing.DIMENSIONS):
+        mass, now = defaultdict(float), defaultdict(float)
+        for c, v in cells.items():
+            mass[c[k]] += v
+        for r in rows:
+            now[r[d]] += r.fitted
+        wish = sum(v**0.5 for v in mass.values())
+        for name, v in mass.items():
+            assert now[name] == pytest.approx(v**0.5 / wish * total, rel=1e-6)
+
+
+def test_targets_that_contradict_each_other_are_reported(spark):
+    df = spark.createDataFrame([("a", "x", "t", 10), ("b", "y", "t", 10)], "source string, lang string, topic string, tokens long")
+    targets = {d: spark.createDataFrame([(v, s) for v, s in t], "value string, share double") for d, t in {"source": [("a", 0.9), ("b", 0.1)], "lang": [("x", 0.1), ("y", 0.9)]}.items()}
+    with pytest.warns(UserWarning, match="contradict"):
+        fitted, gap = mixing.rake(df, targets)
+    assert gap == pytest.approx(0.8) and fitted.count() == 2
+
+
+def test_ties_long_texts_given_tokens_and_clashing_names(spark):
+    df = spark.createDataFrame([(i, "w " * (200_000 if i == 0 else 3), "a", "en", i, i, i, i, 7) for i in range(40)], "doc_id long, text string, source string, lang string, __key int, __p int, __cell int, __mix int, n int")
+    kept = mixing.sample(df)
+    assert kept.columns == df.columns and all(r["__key"] == r["__p"] == r["__mix"] == r.doc_id for r in kept.collect())
+    got = mixing.mixed(df.drop("__mix"), tokens_column="n").select("__mix.*").collect()
+    assert {r.n_tokens for r in got} == {7} and len({r.p for r in got}) == 1
+    assert max(r.n_tokens for r in mixing.mixed(df.drop("__mix")).select("__mix.*").collect()) == 200_000
