@@ -23,19 +23,20 @@ from pyspark.sql import functions as F
 
 from .common import bitmap_of, in_bitmap, materialise, scratch_path
 
-LEAST_BYTES, SALTS, RECORDS_PER_FILE = 100, 16, 20_000
+LEAST_BYTES, SALTS, FILE_BYTES, MEMBER_BYTES = 100, 16, 1 << 28, 1 << 30
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 FOUND = "path string, offset long, length long, kind string, reason string, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 
 
 def records(pages: DataFrame, html: str = "html", id: str = "page_id", url: str = "url", date: str = "1970-01-01T00:00:00Z", least: int = LEAST_BYTES) -> DataFrame:
-    """One string column ``value``: each page's record without its end.
+    """Columns ``value``, each page's record without its end, and ``n``, its payload's bytes.
 
     Of pages with equal payloads of ``least`` bytes or more, the one with the smallest id
     is the response (rows that share that id all are) and the others refer to it. Null
     html is an empty payload, a null id or url leaves its header out; pages without id
-    never are referred to.
+    never are referred to. Payloads and urls of any length are written whole; other
+    columns are not read, whatever their names.
     """
     payload = F.coalesce(F.col(html).cast("string"), F.lit(""))
     rows = pages.select(F.col(id).cast("long").alias("id"), F.col(url).cast("string").alias("url"), payload.alias("payload"))
@@ -69,12 +70,25 @@ def records(pages: DataFrame, html: str = "html", id: str = "page_id", url: str
         http,
         F.when(again, F.lit("")).otherwise(F.col("payload")),
     )
-    return joined.select(value.alias("value"))
+    return joined.select(value.alias("value"), "n")
 
 
-def write(pages: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE, **options) -> None:
-    """Writes the archives' folder; ``records_per_file`` bounds what a reader holds at once."""
-    records(pages, **options).write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).text(path)
+def write(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES, html: str = "html", **options) -> None:
+    """Writes the archives' folder; a file holds ``file_bytes`` of payload at most, or one record.
+
+    Spark bounds a file by its records, so pages are written by classes of payload size,
+    each with as many records a file as its largest ones allow. Most tables have one class
+    or two; there are 16 at most, and only those that have pages are written.
+    """
+    every = records(pages, html=html, **options)
+    size_class = lambda n: F.floor(F.log2(F.greatest(n, F.lit(1)).cast("double")) / 4)
+    found = pages.select(size_class(F.octet_length(F.coalesce(F.col(html).cast("string"), F.lit("")))).alias("c")).groupBy("c").count()
+    small = 3  # below 64 kB pages share files
+    classes = sorted({max(int(r["c"]), small) for r in found.collect()})  # at most 16
+    for c in classes or [small]:
+        rows = every.where(F.greatest(size_class(F.col("n")), F.lit(small)) == c).select("value")
+        limit = max(1, file_bytes >> 4 * (c + 1))
+        rows.write.mode("append").option("lineSep", END).option("maxRecordsPerFile", limit).text(path)
 
 
 class Damaged(ValueError):
@@ -86,11 +100,10 @@ def parse_record(data: bytes, at: int) -> tuple[int, dict, bytes]:
     version = re.compile(rb"WARC/\d\.\d\r\n")
     if not version.match(data, at):
         raise Damaged("no version line")
-    head = data.find(b"\r\n\r\n", at, at + 65536)
+    following = version.search(data, at + 1)  # headers of any length, but none reach over another version line
+    head = data.find(b"\r\n\r\n", at, following.start() if following else len(data))
     if head < 0:
         raise Damaged("headers do not end")
-    if version.search(data, at + 1, head + 2):
-        raise Damaged("a version line within the headers")
     headers = {}
     for line in data[at:head].split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
@@ -120,19 +133,28 @@ def payload_of(block: bytes) -> tuple[int, bytes]:
     return int(stated[1]) if stated else len(body), body
 
 
-def parse_member(data: bytes, at: int) -> tuple[int, dict, bytes]:
-    """As :func:`parse_record`, for a gzip member that holds one record."""
-    inflate = zlib.decompressobj(31)
+def parse_member(data: bytes, at: int, most: int = MEMBER_BYTES) -> tuple[int, dict, bytes]:
+    """As :func:`parse_record`, for a gzip member that holds one record, of ``most`` bytes at most.
+
+    It is fed in pieces, so what follows the member is not copied.
+    """
+    inflate, parts, size, end = zlib.decompressobj(31), [], 0, at
     try:
-        plain = inflate.decompress(data[at:])
+        while not inflate.eof and end < len(data):
+            piece = data[end : end + 65536]
+            parts.append(inflate.decompress(piece))
+            size, end = size + len(parts[-1]), end + len(piece)
+            if size > most:
+                raise Damaged("gzip member is too large")
     except zlib.error as e:
         raise Damaged(f"gzip member: {e}") from None
     if not inflate.eof:
         raise Damaged("gzip member is cut off")
-    end, headers, block = parse_record(plain, 0)
-    if end != len(plain):
+    plain = b"".join(parts)
+    stop, headers, block = parse_record(plain, 0)
+    if stop != len(plain):
         raise Damaged("gzip member holds more than a record")
-    return len(data) - len(inflate.unused_data), headers, block
+    return end - len(inflate.unused_data), headers, block
 
 
 def salvage(data: bytes) -> Iterator[tuple]:
@@ -194,7 +216,11 @@ def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame
 
 
 def round_trip(pages: DataFrame, **options) -> DataFrame:
-    """Writes ``pages`` to new archives and returns what the reader finds in them."""
+    """Writes ``pages`` to new archives and returns what the reader finds in them.
+
+    Repeated rows have a record each; of equal payloads with equal ids all are responses.
+    An empty table gives an empty result.
+    """
     path = scratch_path(pages.sparkSession, "warc")
     write(pages, path, **options)
     return read(pages.sparkSession, path, with_payload=False)

@@ -43,7 +43,8 @@ def test_empty_table(spark):
 
 def test_payloads_come_back(spark, tmp_path):
     df = spark.createDataFrame([(i, f"u{i}", f"page {i} é " * 30, 1, "z") for i in range(50)], SCHEMA)
-    warc.write(df, str(tmp_path / "w"), records_per_file=7)
+    warc.write(df, str(tmp_path / "w"), file_bytes=1 << 18)
+    assert len(list((tmp_path / "w").glob("part-*"))) >= 50 // 4
     got = {r.page_id: bytes(r.payload).decode() for r in warc.read(spark, str(tmp_path / "w")).collect()}
     assert got == {i: f"page {i} é " * 30 for i in range(50)}
 
@@ -75,3 +76,31 @@ def test_salvage_of_gzip_members():
     data = parts[0] + parts[1] + bytes(broken) + b"junk" + parts[3] + parts[4][:-9]
     assert [x[3] for x in ids(data) if x[0] == "record"] == [f"<urn:x-page:{i}>" for i in (0, 1, 3)]
     covered(data)
+
+
+def test_files_are_bounded_by_bytes(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"u{i}" + "x" * 100_000 * (i == 3), "y" * (300_000 if i % 5 == 0 else 50), 1, "z") for i in range(40)], SCHEMA).coalesce(1)
+    warc.write(df, str(tmp_path / "w"), file_bytes=1 << 21)
+    sizes = [p.stat().st_size for p in (tmp_path / "w").glob("part-*")]
+    assert max(sizes) < (1 << 21) + 200_000 and len(sizes) > 2
+    got = warc.read(spark, str(tmp_path / "w"), with_payload=False).collect()
+    assert sorted(r.page_id for r in got) == list(range(40)) and {r.kind for r in got} == {"record"}
+
+
+def test_gaps_are_logged_through_spark(spark, tmp_path):
+    parts = [record(i, b"body %d " % i * 30) for i in range(5)]
+    (tmp_path / "a.warc").write_bytes(parts[0] + parts[1].replace(b"WARC/1.1", b"WXRC/1.1") + parts[2])
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(parts[3]) + b"\x1f\x8b\x08 junk" + gzip.compress(parts[4]))
+    rows = warc.read(spark, str(tmp_path)).collect()
+    assert sorted(r.page_id for r in rows if r.kind == "record") == [0, 2, 3, 4]
+    gaps = [(r.path.rpartition("/")[2], r.offset, r.length) for r in rows if r.kind == "gap"]
+    assert sorted(gaps) == [("a.warc", len(parts[0]), len(parts[1])), ("b.warc.gz", len(gzip.compress(parts[3])), 8)] and all(r.reason for r in rows if r.kind == "gap")
+
+
+def test_a_member_is_bounded():
+    import pytest
+
+    data = gzip.compress(record(1, b"a" * 10**6))
+    assert warc.parse_member(data, 0)[0] == len(data)
+    with pytest.raises(warc.Damaged):
+        warc.parse_member(data, 0, most=10**5)
