@@ -1,15 +1,21 @@
 """Main text of HTML pages by differencing with the nearest page of the same host.
 
-A page becomes lines, one a block element, with what its markup says of each: dropped
-(menus, headers, footers, sidebars, notices, adverts, forms, comments), inside a main
-container, or neither. Pages of a host are ordered by URL path; a page is aligned with
-its nearest pages by the longest common subsequence of line hashes, and lines that they
-share are deleted. Two guards keep article text: a partner that shares most of the
-page's text is a copy of it, so the next nearest is taken; and lines inside a main
-container are deleted only if the partner has them outside of one.
-
-Only line hashes travel between pages, and only texts that lose a line are shuffled. Neighbours come from positions in one range
-sort over all hosts, so a host of any size is spread over many tasks.
+A page becomes lines, one a block element. Pages of a host are ordered by the segments of
+their URL path, so that the one with most leading segments in common is a neighbour; a
+page is aligned with it by the longest common subsequence of all their lines, and lines
+that they share are deleted: menus, headers, footers and whatever else the host repeats,
+however it is marked. Pages of a host with equal lines count as one, and a partner that
+shares most of the page's text is a near copy of it, so the search goes outwards, by
+doubling steps, until one is met that is not.
+
+Markup settles what differencing cannot. It protects lines that are inside a main
+container (``article``, ``main``, ...) on both pages, such as a passage that two articles
+quote, and it drops furniture that no other page has: an advert, a form, a reader's
+comment.
+
+Only line hashes travel between pages, and only texts that lose a line are shuffled.
+Neighbours come from positions in one range sort over all hosts, so a host of any size is
+spread over many tasks.
 """
 
 from __future__ import annotations
@@ -27,7 +33,7 @@ from pyspark.sql import Window as W
 from .common import bitmap_of, in_bitmap, materialise
 
 DROPPED, INSIDE, OTHER = 0, 1, 2
-REACH, COPY = 2, 0.8
+COPY = 0.8
 
 # HTML element names and the usual names of page furniture.
 RAW = "script style noscript textarea title iframe".split()
@@ -206,22 +212,26 @@ def common_lines(a: list, b: list, cells: int = 50_000_000) -> list[tuple[int, i
     return out + [(len(a) - tail + i, len(b) - tail + i) for i in range(tail)]
 
 
-def deleted(kinds: list[int], sizes: list[int], hashes: list[int], partners: list[tuple[list[int], list[int]]]) -> set[int]:
-    """Places of the page's lines that go: what the nearest partner that is not a copy shares."""
-    wanted = INSIDE if INSIDE in kinds else OTHER
-    content = {i for i, k in enumerate(kinds) if k == wanted}
+def content_kind(kinds: list[int]) -> int:
+    return INSIDE if INSIDE in kinds else OTHER
+
+
+def deleted(kinds: list[int], sizes: list[int], hashes: list[int], partners: list[tuple[list[int], list[int]]]) -> set[int] | None:
+    """Places of the page's lines that go: all that the nearest partner that is not a near
+    copy shares, but for what is inside a main container on both. None: all are near copies."""
+    content = {i for i, k in enumerate(kinds) if k == content_kind(kinds)}
     size = sum(sizes[i] for i in content)
     for other, other_kinds in partners:
         pairs = common_lines(hashes, other)
-        if sum(sizes[i] for i, _ in pairs if i in content) < COPY * size:
-            return {i for i, j in pairs if i in content and (kinds[i] != INSIDE or other_kinds[j] != INSIDE)}
-    return set()
+        if not size or sum(sizes[i] for i, _ in pairs if i in content) < COPY * size:
+            return {i for i, j in pairs if kinds[i] != INSIDE or other_kinds[j] != INSIDE}
+    return None
 
 
 def main_text(lines: list[str], kinds: list[int], hashes: list[int], partners: list[tuple[list[int], list[int]]]) -> str:
     """The page's text without what its partners say to delete."""
-    gone, wanted = deleted(kinds, [len(x) for x in lines], hashes, partners), INSIDE if INSIDE in kinds else OTHER
-    return "\n\n".join(x for i, x in enumerate(lines) if kinds[i] == wanted and i not in gone)
+    gone = deleted(kinds, [len(x) for x in lines], hashes, partners) or set()
+    return "\n\n".join(x for i, x in enumerate(lines) if kinds[i] == content_kind(kinds) and i not in gone)
 
 
 def packed(lines: list[str], kinds: list[int]) -> bytes:
@@ -235,83 +245,107 @@ def unpacked(codes: bytes) -> tuple[list[int], list[int]]:
     return (x >> np.uint64(2)).tolist(), (x & np.uint64(3)).astype(int).tolist()
 
 
-PARSED = "key long, id long, url string, host string, path string, lines array<string>, kinds array<int>, codes binary, sizes binary"
+PARSED = "id long, url string, host string, path string, lines array<string>, kinds array<int>, codes binary, sizes binary"
 
 
 def parsed(pages: DataFrame, html: str, id: str, url: str) -> DataFrame:
+    """A row a page, with ``key``: pages of a host with equal lines share it."""
+
     def run(batches):
         for b in batches:
             for k in range(0, len(b), 200):
-                keys, ids, urls, sources = (c.slice(k, 200) for c in b.columns)
+                ids, urls, sources = (c.slice(k, 200) for c in b.columns)
                 both = [lines_of(x) for x in sources.to_pylist()]
                 places = [place_of(u) for u in urls.to_pylist()]
                 codes = [packed(*x) for x in both]
                 sizes = [np.array([len(x) for x in lines], "<u4").tobytes() for lines, _ in both]
                 shown = [[t if kind != DROPPED else "" for t, kind in zip(*x)] for x in both]
-                columns = [keys, ids, urls, pa.array([p[0] for p in places], pa.string()), pa.array([p[1] for p in places], pa.string()),
+                columns = [ids, urls, pa.array([p[0] for p in places], pa.string()), pa.array([p[1] for p in places], pa.string()),
                            pa.array(shown, pa.list_(pa.string())), pa.array([x[1] for x in both], pa.list_(pa.int32())), pa.array(codes, pa.binary()), pa.array(sizes, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in PARSED.split(", ")])
 
-    columns = [F.col(id).cast("long"), F.col(url).cast("string"), F.col(html).cast("string")]
-    rows = pages.select(*columns).toDF("id", "url", "html")
-    return rows.select(F.xxhash64("id", "url", "html").alias("key"), "id", "url", "html").mapInArrow(run, PARSED)
+    rows = pages.select(F.col(id).cast("long"), F.col(url).cast("string"), F.col(html).cast("string"))
+    return rows.mapInArrow(run, PARSED).withColumn("key", F.xxhash64("host", "codes"))
 
 
-def nearest(rows: DataFrame, reach: int = REACH) -> DataFrame:
-    """(key, partners): up to 2 * reach pages of the host, nearest by URL path first."""
-    light = rows.where(F.col("host").isNotNull()).select("key", "id", "host", "path").dropDuplicates(["key"])
+def placed(rows: DataFrame) -> DataFrame:
+    """(key, host, path, at): one row a host's distinct page, numbered in order of host and path.
+
+    Of pages with equal lines the first in path order stands for all.
+    """
+    first = F.min(F.struct(F.translate("path", "/", "\u0001").alias("order"), "id", "path")).alias("x")
+    light = rows.where(F.col("host").isNotNull()).groupBy("host", "key").agg(first).select("key", "host", "x.order", "x.path", "x.id")
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ["host", "path", "id", "key"]
-    placed = light.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("mono", F.monotonically_increasing_id())
-    placed = placed.withColumns({"part": F.shiftright("mono", 33), "row": F.col("mono").bitwiseAND((1 << 33) - 1)})
-    placed = materialise(placed.drop("mono"), "pages-order")
-    counts = placed.groupBy("part").agg(F.count("*").alias("n"))  # one row a part
+    order = ["host", "order", "id", "key"]
+    dealt = light.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("mono", F.monotonically_increasing_id())
+    dealt = dealt.withColumns({"part": F.shiftright("mono", 33), "row": F.col("mono").bitwiseAND((1 << 33) - 1)})
+    dealt = materialise(dealt.select("part", "row", "key", "host", "path"), "pages-order")
+    counts = dealt.groupBy("part").agg(F.count("*").alias("n"))  # one row a part
     offsets = counts.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
-    indexed = materialise(placed.join(F.broadcast(offsets), "part").select("key", "host", "path", (F.col("row") + F.col("offset")).alias("at")), "pages-index")
-    steps = F.array(*(F.lit(s) for d in range(1, reach + 1) for s in (-d, d)))
-    wanted = indexed.select("key", "host", "path", "at", F.explode(steps).alias("step")).withColumn("at", F.col("at") + F.col("step"))
-    held = indexed.select(F.col("at"), F.col("host"), F.col("key").alias("partner"), F.col("path").alias("partner_path"))
+    return materialise(dealt.join(F.broadcast(offsets), "part").select("key", "host", "path", (F.col("row") + F.col("offset")).alias("at")), "pages-index")
+
+
+def pairs_at(todo: DataFrame, index: DataFrame, steps: list[int]) -> DataFrame:
+    """(key, partner, far): pages of the host at these steps from the pages ``todo``; least ``far`` is nearest."""
+    wanted = todo.select("key", "host", "path", "at", F.explode(F.array(*map(F.lit, steps))).alias("step")).withColumn("at", F.col("at") + F.col("step"))
+    held = index.select("at", "host", F.col("key").alias("partner"), F.col("path").alias("partner_path"))
     pairs = wanted.join(held, ["at", "host"])
-    # Nearness: path segments in common, then distance in path order.
-    a, b = F.split("path", "/"), F.split("partner_path", "/")
-    shared = F.size(F.filter(F.arrays_zip(a.alias("a"), b.alias("b")), lambda z: z["a"] == z["b"]))
-    ranked = pairs.select("key", "partner", F.struct(-shared, F.abs("step"), "step").alias("far"))
-    codes = rows.select(F.col("key").alias("partner"), "codes").dropDuplicates(["partner"])
-    found = ranked.join(codes, "partner")
-    return found.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("far", "codes"))), lambda x: x["codes"]).alias("partners"))
+    # Nearness: leading path segments in common, then distance in path order.
+    same = F.zip_with(F.split("path", "/"), F.split("partner_path", "/"), lambda a, b: a.eqNullSafe(b))
+    leading = F.coalesce(F.nullif(F.array_position(same, F.lit(False)), F.lit(0)) - 1, F.size(same))
+    return pairs.select("key", "partner", F.struct((-leading).alias("a"), F.abs("step").alias("b"), F.col("step").alias("c")).alias("far"))
 
 
 def deletions(rows: DataFrame) -> DataFrame:
-    """(key, gone): places of lines to delete, of the pages that have some. Only line codes travel."""
+    """(key, shared, gone), of the distinct pages that share lines with their partner: how many
+    are deleted, and the places of those that markup would have kept. Only line codes travel."""
 
     def run(batches):
         for b in batches:
-            keys, out = [], []
+            keys, shared, out = [], [], []
             for key, codes, sizes, partners in zip(*(c.to_pylist() for c in b.columns)):
                 hashes, kinds = unpacked(codes)
                 gone = deleted(kinds, np.frombuffer(sizes, "<u4").tolist(), hashes, [unpacked(p) for p in partners])
-                if gone:
-                    keys.append(key)
-                    out.append(sorted(gone))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.list_(pa.int32()))], names=["key", "gone"])
+                keys.append(key)
+                shared.append(None if gone is None else len(gone))
+                out.append(None if gone is None else sorted(i for i in gone if kinds[i] == content_kind(kinds)))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(shared, pa.int32()), pa.array(out, pa.list_(pa.int32()))], names=["key", "shared", "gone"])
 
+    index = placed(rows)
     own = rows.where(F.col("host").isNotNull()).select("key", "codes", "sizes").dropDuplicates(["key"])
-    return own.join(nearest(rows), "key").select("key", "codes", "sizes", "partners").mapInArrow(run, "key long, gone array<int>")
+    codes = own.select(F.col("key").alias("partner"), F.col("codes").alias("other"))
+    todo, found, reach = index, [], 1
+    while True:
+        steps = [-1, 1, -2, 2] if reach == 1 else [-reach, reach]
+        met = pairs_at(todo, index, steps).join(codes, "partner")
+        met = met.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("far", "other"))), lambda x: x["other"]).alias("partners"))
+        tried = own.join(met, "key").select("key", "codes", "sizes", "partners").mapInArrow(run, "key long, shared int, gone array<int>")
+        tried = materialise(tried, "pages-tried")
+        found.append(tried.where("shared > 0"))
+        # Those whose partners all are near copies go further out, as long as their host has pages there.
+        todo, reach = materialise(todo.join(tried.where("gone IS NULL").select("key"), "key", "left_semi"), "pages-todo"), 4 if reach == 1 else 2 * reach
+        if todo.isEmpty():
+            break
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def extract(pages: DataFrame, html: str = "html", id: str = "page_id", url: str = "url") -> DataFrame:
     """(id, url, text), a row a page.
 
-    Null and empty html have empty text. Pages without a host in their URL (null too) have
-    no partner, as the only page of a host has none: markup alone decides there. Equal
-    rows are one page when partners are looked for, and each gets its row. An empty table
-    gives an empty result.
+    Null and empty html have empty text; a page of any length is read whole. Pages without
+    a host in their URL (null too) have no partner, as the only page of a host has none:
+    markup alone decides there. Of equally near partners the one before in path order is
+    taken. Repeated rows and copies get their rows, and other columns are not read,
+    whatever their names. An empty table gives an empty result.
     """
     rows = materialise(parsed(pages, html, id, url), "pages-lines")
-    gone = materialise(deletions(rows), "pages-gone")
-    # Only pages that may lose lines are shuffled; a bitmap of fixed size says which may.
-    may = in_bitmap(F.col("key"), bitmap_of(gone, "key"))
+    gone = materialise(deletions(rows).where("size(gone) > 0").select("key", "gone"), "pages-gone")
     light = rows.select("key", "id", "url", "lines", "kinds")
+    # Only pages that may lose a line of their text are shuffled; a bitmap of fixed size says which may.
+    may = in_bitmap(F.col("key"), bitmap_of(gone, "key"))
     some = light.where(may).join(gone, "key", "left").unionByName(light.where(~may).withColumn("gone", F.lit(None).cast("array<int>")))
     wanted = F.when(F.array_contains("kinds", INSIDE), INSIDE).otherwise(OTHER)
     lines = F.expr("transform(filter(arrays_zip(lines, kinds), (x, i) -> x.kinds = wanted AND NOT coalesce(array_contains(gone, i), false)), x -> x.lines)")
