@@ -22,8 +22,8 @@ from pyspark.sql import Window as W
 from .common import scratch_path
 from .tokens import closed, encoder, slices
 
-#: Ids of a block; lines of a file, of about 4 MB of text each (a longer text is a line of its own).
-END, BLOCK, LINES = 49407, 1 << 16, 4
+#: Ids of a block; bytes of text of a line (a longer text is a line of its own); lines of a file.
+END, BLOCK, LINE_BYTES, LINES = 49407, 1 << 16, 1 << 20, 16
 PART = r"part-(\d+)-.*?(?:-c(\d+))?\.\w+$"
 
 
@@ -38,7 +38,7 @@ def write_flat(docs: DataFrame, path: str, text: str = "text", id: str = "doc_id
     def run(batches):
         coder, row = encoder(vocabulary, plain=True), 0
         for b in batches:
-            for at, n in slices(b.column(1)):
+            for at, n in slices(b.column(1), LINE_BYTES):
                 ids, sizes = coder.encode_batch(b.column(1).slice(at, n))
                 if len(ids) and int(ids.max()) >= 1 << 16:
                     raise ValueError("ids of more than 16 bits")
