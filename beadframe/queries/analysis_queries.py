@@ -194,15 +194,26 @@ def bins_merged(spark, sf):
     return copynumber.bins(lengths, gaps, coords)
 
 
-CN = """tot AS (SELECT sample_id, probe_id, m + u AS t FROM mu WHERE m + u IS NOT NULL),
-base AS (SELECT probe_id, avg(t) AS x FROM tot WHERE sample_id IN ('s01', 's02', 's03') GROUP BY 1),
-j AS (SELECT * FROM tot JOIN base USING (probe_id) WHERE sample_id NOT IN ('s01', 's02', 's03')),
-ln AS (SELECT sample_id, regr_slope(t, x) AS a, regr_intercept(t, x) AS b FROM j GROUP BY 1),
-cn AS (SELECT sample_id, probe_id, log2(greatest(t, 1) / greatest(a * x + b, 1)) AS cn FROM j JOIN ln USING (sample_id))"""
+# The normal equations of the three normals by Cramer's rule, from covariances.
+_COV = [[f"covar_pop(x{i}, x{j})" for j in range(3)] for i in range(3)]
+_TARGET = [f"covar_pop(x{i}, t)" for i in range(3)]
+
+
+def _determinant(m: list[list[str]]) -> str:
+    minor = lambda i, j: f"({m[1][i]} * {m[2][j]} - {m[1][j]} * {m[2][i]})"
+    return f"({m[0][0]} * {minor(1, 2)} - {m[0][1]} * {minor(0, 2)} + {m[0][2]} * {minor(0, 1)})"
+
+
+_SLOPES = ", ".join(f"{_determinant([[_TARGET[i] if j == k else _COV[i][j] for j in range(3)] for i in range(3)])} / {_determinant(_COV)} AS w{k}" for k in range(3))
+CN = f"""tot AS (SELECT sample_id, probe_id, m + u AS t FROM mu JOIN (SELECT DISTINCT probe_id AS pid FROM probes WHERE chrom IS NOT NULL) ON pid = probe_id WHERE m + u IS NOT NULL),
+base AS (SELECT probe_id, max(t) FILTER (sample_id = 's01') AS x0, max(t) FILTER (sample_id = 's02') AS x1, max(t) FILTER (sample_id = 's03') AS x2 FROM tot GROUP BY 1),
+j AS (SELECT * FROM tot JOIN base USING (probe_id) WHERE sample_id NOT IN ('s01', 's02', 's03') AND x0 + x1 + x2 IS NOT NULL),
+ln AS (SELECT sample_id, {_SLOPES}, avg(t) AS mt, avg(x0) AS m0, avg(x1) AS m1, avg(x2) AS m2 FROM j GROUP BY 1),
+cn AS (SELECT sample_id, probe_id, CASE WHEN t > 0 THEN log2(t / greatest(mt + w0 * (x0 - m0) + w1 * (x1 - m1) + w2 * (x2 - m2), 1)) END AS cn FROM j JOIN ln USING (sample_id))"""
 
 
 def _cn(spark, sf):
-    return copynumber.signal(a.signals(spark, sf), ["s01", "s02", "s03"])
+    return copynumber.signal(a.signals(spark, sf), ["s01", "s02", "s03"], a.coords(spark, sf).where("chrom IS NOT NULL"))
 
 
 @query("SELECT sample_id, probe_id, round(cn, 6) AS cn FROM cn", more=CN)
@@ -221,7 +232,7 @@ def bin_signals(spark, sf):
 def cn_segments(spark, sf):
     coords, lengths, gaps = _genome(spark, sf)
     binned = copynumber.bin_signals(_cn(spark, sf), coords, copynumber.bins(lengths, gaps, coords))
-    return copynumber.segments(binned, permutations=200)
+    return copynumber.segments(binned)
 
 
 # ---- models
@@ -355,14 +366,21 @@ STRAIN = """st AS (SELECT sample_id, 'strain' || s AS strain, sum(-0.5 * pow((((
   FROM raw_betas, range(4) r(s) WHERE pk % 4 <> 1 GROUP BY 1, 2)"""
 
 
-@query("SELECT sample_id, strain, round(ll, 4) AS loglik, round(exp(ll - max(ll) OVER w) / sum(exp(ll - mx)) OVER w, 6) AS prob FROM (SELECT *, max(ll) OVER (PARTITION BY sample_id) AS mx FROM st) WINDOW w AS (PARTITION BY sample_id)", more=STRAIN)
-def strain_loglik(spark, sf):
-    pk = F.col("p_partkey")
-    s = F.col("s")
+def _strain_likelihood(spark, sf):
+    pk, s = F.col("p_partkey"), F.col("s")
     strains = a.table(spark, sf, "part").where(pk % 4 != 1).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(3))))
     strains = strains.select(a.probe_name(pk).alias("probe_id"), F.concat(F.lit("strain"), s.cast("string")).alias("strain"), ((pk + s) % 2).cast("double").alias("genotype"), (pk % 5 == 0).alias("flip"))
-    out = infer.strain_likelihood(signal.betas(a.signals(spark, sf), mask=False), strains)
-    return out.select("sample_id", "strain", F.round("loglik", 4).alias("loglik"), r6("prob"))
+    return infer.strain_likelihood(signal.betas(a.signals(spark, sf), mask=False), strains)
+
+
+@query("SELECT sample_id, strain, round(1 - 1 / e, 6) AS pval FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY ll DESC, strain) AS n, sum(exp(ll - mx)) OVER (PARTITION BY sample_id) AS e FROM (SELECT *, max(ll) OVER (PARTITION BY sample_id) AS mx FROM st)) WHERE n = 1", more=STRAIN)
+def strain_call(spark, sf):
+    return infer.infer_strain(_strain_likelihood(spark, sf)).select("sample_id", "strain", r6("pval"))
+
+
+@query("SELECT sample_id, strain, round(ll, 4) AS loglik, round(exp(ll - max(ll) OVER w) / sum(exp(ll - mx)) OVER w, 6) AS prob FROM (SELECT *, max(ll) OVER (PARTITION BY sample_id) AS mx FROM st) WINDOW w AS (PARTITION BY sample_id)", more=STRAIN)
+def strain_loglik(spark, sf):
+    return _strain_likelihood(spark, sf).select("sample_id", "strain", F.round("loglik", 4).alias("loglik"), r6("prob"))
 
 
 SPECIES = OOB + """, kp AS (SELECT sample_id, pk, p, probe_id FROM pv JOIN probes USING (probe_id) WHERE p IS NOT NULL),
@@ -374,11 +392,20 @@ rr AS (SELECT *, rank() OVER (PARTITION BY sample_id, species ORDER BY score) +
 
 @query("SELECT sample_id, species, max(k) AS n, round((sum(r * y) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * sum(1 - y)), 8) AS auc FROM rr GROUP BY 1, 2", more=SPECIES)
 def species_auc(spark, sf):
+    return _species_auc(spark, sf).select("sample_id", "species", F.col("n").cast("long").alias("n"), F.round("auc", 8).alias("auc"))
+
+
+def _species_auc(spark, sf):
     pk, s = F.col("p_partkey"), F.col("s")
     scores = a.table(spark, sf, "part").withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(2))))
     scores = scores.select(a.probe_name(pk).alias("probe_id"), F.concat(F.lit("species"), s.cast("string")).alias("species"), ((pk * (s + 3)) % 60).alias("score"))
-    out = infer.species_auc(_detected(spark, sf), scores, top=200, positive=0.4, negative=0.6)
-    return out.select("sample_id", "species", F.col("n").cast("long").alias("n"), F.round("auc", 8).alias("auc"))
+    return infer.species_auc(_detected(spark, sf), scores, top=200, positive=0.4, negative=0.6)
+
+
+@query("SELECT r.sample_id, CASE WHEN auc IS NULL OR rate >= 0.95 OR (rate >= 0.8 AND auc < 0.5) THEN 'none' ELSE species END AS species FROM (SELECT sample_id, count(*) FILTER (p <= 0.05) / count(p) AS rate FROM pv GROUP BY 1) r LEFT JOIN (SELECT sample_id, species, round((sum(r * y) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * sum(1 - y)), 8) AS auc FROM rr GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY auc DESC NULLS LAST, species) = 1) b ON b.sample_id = r.sample_id", more=SPECIES)
+def species_call(spark, sf):
+    auc = _species_auc(spark, sf).withColumn("auc", F.round("auc", 8))
+    return infer.infer_species(auc, _detected(spark, sf), "none")
 
 
 @query("SELECT probe_id, round(coalesce(beta, avg(beta) OVER (PARTITION BY probe_id)), 6) AS beta, sample_id FROM betas")
@@ -453,7 +480,7 @@ def sex(spark, sf):
 @query()
 def cell_mix(spark, sf):
     refs = _cells(spark, sf).where("sd < 0.1").select(F.col("celltype").alias("cell"), "probe_id", F.col("median").alias("beta"))
-    return infer.cell_mixture(_betas(spark, sf), refs, ["cell0", "cell1", "cell2"], rounds=300)
+    return infer.cell_mixture(_betas(spark, sf), refs, ["cell0", "cell1", "cell2"])
 
 
 @query("SELECT cell, probe_id, round(md, 6) AS beta FROM (SELECT 'cell' || c AS cell, probe_id, ((pk * (c + 2)) % 101) / 100.0 AS md FROM probes, range(3) r(c) WHERE starts_with(probe_id, 'cg')) x WHERE probe_id IN (SELECT probe_id FROM (SELECT probe_id, ((pk * (c + 2)) % 101) AS v FROM probes, range(3) r(c)) GROUP BY 1 HAVING min(v) <> max(v))")

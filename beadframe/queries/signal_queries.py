@@ -272,6 +272,15 @@ def qc_dyebias(spark, sf):
     return out.select("sample_id", "medr", "medg", "topr", "topg", r6("rgratio"), r6("rgdistort"))
 
 
+@query("""SELECT c.*, medr, medg, topr, topg, round(medr / medg, 6) AS rgratio, round((topr / topg) / (medr / medg), 6) AS rgdistort FROM (
+  SELECT sample_id, count(*) AS num_probes, count(*) FILTER (col = '2') AS num_probes_ii, count(*) FILTER (col = 'R') AS num_probes_ir, count(*) FILTER (col = 'G') AS num_probes_ig,
+  count(*) FILTER (starts_with(probe_id, 'cg')) AS num_probes_cg, count(*) FILTER (starts_with(probe_id, 'ch')) AS num_probes_ch, count(*) FILTER (starts_with(probe_id, 'rs')) AS num_probes_rs FROM signals GROUP BY 1) c JOIN dye USING (sample_id)""", more=DYE)
+def qc_metrics(spark, sf):
+    """The driver of the metric groups, with two of them side by side."""
+    out = qc.metrics(a.signals(spark, sf), groups=["numProbes", "dyeBias"])
+    return out.select(*(r6(c) if c.startswith("rg") else F.col(c) for c in out.columns))
+
+
 @query("SELECT sample_id, " + ", ".join(
     f"round(avg(beta) FILTER ({w}), 6) AS mean_beta{n}, round(median(beta) FILTER ({w}), 6) AS median_beta{n}, round(count(*) FILTER ({w} AND beta < 0.3) / nullif(count(beta) FILTER ({w}), 0), 6) AS frac_unmeth{n}, "
     f"round(count(*) FILTER ({w} AND beta > 0.7) / nullif(count(beta) FILTER ({w}), 0), 6) AS frac_meth{n}, count(*) FILTER ({w}) - count(beta) FILTER ({w}) AS num_na{n}, "
