@@ -1,8 +1,8 @@
 """Per-probe linear models from sufficient statistics, hold-out F-tests, and regions.
 
-A model is a formula over sample covariates. Each sample's design row is broadcast (a row
-a sample); one aggregation a probe sums x'x, x'y and y'y on the JVM, and an Arrow stage
-solves the small systems. No probe's rows are ever gathered.
+A model is a formula over sample covariates. Each sample's design row is joined to its
+betas; one aggregation a probe sums x'x, x'y and y'y on the JVM, and an Arrow stage
+solves the small systems, a batch of probes at once. No probe's rows are ever gathered.
 """
 
 from __future__ import annotations
@@ -61,7 +61,7 @@ def sufficient(betas: DataFrame, samples: DataFrame, design: Design) -> DataFram
     y is centred at 0.5, where betas live, so that squares do not cancel.
     """
     k = len(design.terms)
-    rows = betas.where("beta IS NOT NULL").join(F.broadcast(design.columns(samples)), "sample_id")  # a row a sample
+    rows = betas.where("beta IS NOT NULL").join(design.columns(samples), "sample_id")
     x = lambda i: F.col("x")[i]
     y = F.col("beta") - 0.5
     xy = [F.sum(x(i) * y) for i in range(k)]
@@ -69,16 +69,68 @@ def sufficient(betas: DataFrame, samples: DataFrame, design: Design) -> DataFram
     return rows.groupBy("probe_id").agg(F.count("*").alias("n"), F.sum(y * y).alias("yy"), F.array(*xy).alias("xy"), F.array(*xx).alias("xx"))
 
 
-def _solve(xx: np.ndarray, xy: np.ndarray, use: list[int]) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    """Least squares on the columns ``use``, aliased ones dropped in order: (b, inverse, kept)."""
-    kept: list[int] = []
+def _sweep(a: np.ndarray, use: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Sweeps columns ``use`` of stacked cross products (n, k + 1, k + 1), y last: (swept, kept).
+
+    A column whose rest after the earlier ones is nil is aliased and stays unswept. In the
+    result the kept block is the inverse, the last column holds coefficients, the corner
+    the residual sum of squares.
+    """
+    a, whole = a.copy(), np.einsum("nii->ni", a).copy()
+    kept = np.zeros(whole.shape, bool)
     for j in use:
-        a = xx[np.ix_([*kept, j], [*kept, j])]
-        d = np.sqrt(np.maximum(np.diag(a), 1e-300))
-        if a[-1, -1] > 0 and np.linalg.cond(a / np.outer(d, d)) < 1e10:
-            kept.append(j)
-    inverse = np.linalg.inv(xx[np.ix_(kept, kept)]) if kept else np.zeros((0, 0))
-    return inverse @ xy[kept], inverse, kept
+        pivot = a[:, j, j].copy()
+        ok = kept[:, j] = (whole[:, j] > 0) & (pivot > 1e-10 * whole[:, j])
+        m, d = a[ok], pivot[ok, None]
+        row, column = m[:, j, :] / d, m[:, :, j].copy()
+        m -= column[:, :, None] * row[:, None, :]
+        m[:, j, :], m[:, :, j] = row, -column / d
+        m[:, j, j] = 1 / d[:, 0]
+        a[ok] = m
+    return a, kept
+
+
+#: Arrays go by ``Design.terms``; those of F-tests by ``Design.factors``.
+FIT_ROWS = "probe_id string, df long, estimate array<double>, std_error array<double>, t array<double>, p array<double>, aliased array<boolean>, f array<double>, fp array<double>"
+
+
+def fit_rows(betas: DataFrame, samples: DataFrame, design: Design) -> DataFrame:
+    """A row a probe with arrays of coefficients and of F-tests; all probes of a batch are solved at once."""
+    k = len(design.terms)
+    contrasts = [design.contrast(f) for f in design.factors]
+    upper = np.triu_indices(k)
+
+    def run(batches):
+        for pdf in batches:
+            n = len(pdf)
+            if not n:
+                continue
+            a = np.zeros((n, k + 1, k + 1))
+            a[:, upper[0], upper[1]] = np.stack(pdf["xx"].to_numpy())
+            a[:, :k, k] = np.stack(pdf["xy"].to_numpy())
+            a[:, k, k] = pdf["yy"]
+            a = np.triu(a) + np.triu(a, 1).transpose(0, 2, 1)
+            swept, kept = _sweep(a, list(range(k)))
+            kept = kept[:, :k]
+            df = pdf["n"].to_numpy() - kept.sum(axis=1)
+            rss = np.maximum(swept[:, k, k], 0.0)
+            with np.errstate(all="ignore"):
+                s2 = np.where(df > 0, rss / df, np.nan)
+                estimate = np.where(kept, swept[:, :k, k], np.nan)
+                se = np.where(kept, np.sqrt(s2[:, None] * np.einsum("nii->ni", swept)[:, :k]), np.nan)
+                estimate[:, 0] += 0.5
+                t = np.where(se != 0, estimate / se, np.nan)
+                p = t_two_sided(t, np.maximum(df, 1e-9)[:, None])
+                f, fp = np.full((n, len(contrasts)), np.nan), np.full((n, len(contrasts)), np.nan)
+                for i, drop in enumerate(contrasts):
+                    less, kept0 = _sweep(a, [j for j in range(k) if j not in drop])
+                    d1 = kept.sum(axis=1) - kept0.sum(axis=1)
+                    f[:, i] = np.where((d1 > 0) & (s2 > 0), (less[:, k, k] - rss) / d1 / s2, np.nan)
+                    fp[:, i] = f_upper(f[:, i], np.maximum(d1, 1e-9), np.maximum(df, 1e-9))
+            columns = {"estimate": estimate, "std_error": se, "t": t, "p": p, "aliased": ~kept, "f": f, "fp": fp}
+            yield pd.DataFrame({"probe_id": pdf["probe_id"], "df": df, **{c: list(v) for c, v in columns.items()}})
+
+    return sufficient(betas, samples, design).mapInPandas(run, FIT_ROWS)
 
 
 def fit(betas: DataFrame, samples: DataFrame, design: Design) -> tuple[DataFrame, DataFrame]:
@@ -87,65 +139,35 @@ def fit(betas: DataFrame, samples: DataFrame, design: Design) -> tuple[DataFrame
     coefficients: probe_id, term, estimate, std_error, t, p, aliased, df; F-tests:
     probe_id, contrast, f, p, one a factor, against the model without its columns.
     """
-    terms, k = design.terms, len(design.terms)
-    contrasts = {f: design.contrast(f) for f in design.factors}
-    schema = "probe_id string, term string, estimate double, std_error double, t double, p double, aliased boolean, df long, contrast string, f double"
+    rows = fit_rows(betas, samples, design)
+    nan = lambda c, name: F.when(~F.isnan(c), F.col(c)).alias(name)
+    named = lambda names, *arrays: F.inline(F.arrays_zip(F.array(*map(F.lit, names)).alias("name"), *arrays))
+    coef = rows.select("probe_id", "df", named(design.terms, "estimate", "std_error", "t", "p", "aliased"))
+    coef = coef.select("probe_id", F.col("name").alias("term"), *(nan(c, c) for c in ("estimate", "std_error", "t", "p")), "aliased", "df")
+    if not design.factors:
+        return coef, rows.where("false").select("probe_id", F.lit("").alias("contrast"), F.lit(0.0).alias("f"), F.lit(0.0).alias("p"))
+    tests = rows.select("probe_id", named(list(design.factors), "f", "fp"))
+    return coef, tests.select("probe_id", F.col("name").alias("contrast"), nan("f", "f"), nan("fp", "p"))
 
-    def run(batches):
-        upper = np.triu_indices(k)
-        for pdf in batches:
-            coef, tests = [], []
-            for probe, n, yy, xy, xx in pdf[["probe_id", "n", "yy", "xy", "xx"]].itertuples(index=False):
-                m = np.zeros((k, k))
-                m[upper] = xx
-                m = m + np.triu(m, 1).T
-                v = np.asarray(xy, float)
-                b, inverse, kept = _solve(m, v, list(range(k)))
-                rss, df = max(float(yy - b @ v[kept]), 0.0), int(n) - len(kept)
-                s2 = rss / df if df > 0 else np.nan
-                at = {j: i for i, j in enumerate(kept)}
-                for j, term in enumerate(terms):
-                    if j in at:
-                        e, se = b[at[j]] + (0.5 if j == 0 else 0.0), np.sqrt(s2 * inverse[at[j], at[j]])
-                        coef.append((probe, term, e, se, e / se if se else np.nan, False, df))
-                    else:
-                        coef.append((probe, term, np.nan, np.nan, np.nan, True, df))
-                for name, drop in contrasts.items():
-                    b0, _, kept0 = _solve(m, v, [j for j in range(k) if j not in drop])
-                    d1 = len(kept) - len(kept0)
-                    more = float(yy - b0 @ v[kept0]) - rss
-                    tests.append((probe, name, more / d1 / s2 if d1 > 0 and df > 0 and s2 > 0 else np.nan, d1, df))
-            c = pd.DataFrame(coef, columns=["probe_id", "term", "estimate", "std_error", "t", "aliased", "df"])
-            c["p"] = t_two_sided(c["t"].to_numpy(float), np.maximum(c["df"].to_numpy(float), 1e-9))
-            t = pd.DataFrame(tests, columns=["probe_id", "contrast", "f", "d1", "df"])
-            t["p"] = f_upper(t["f"].to_numpy(float), np.maximum(t["d1"].to_numpy(float), 1e-9), np.maximum(t["df"].to_numpy(float), 1e-9))
-            yield pd.concat([c.assign(contrast=None, f=np.nan), t.assign(term=None, estimate=np.nan, std_error=np.nan, t=np.nan, aliased=False)])[[x.split()[0] for x in schema.split(", ")]]
-
-    solved = sufficient(betas, samples, design).mapInPandas(run, schema)
-    nan = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c)
-    coef = solved.where("term IS NOT NULL").select("probe_id", "term", *(nan(c) for c in ("estimate", "std_error", "t", "p")), "aliased", "df")
-    return coef, solved.where("contrast IS NOT NULL").select("probe_id", "contrast", nan("f"), nan("p"))
-
-
-def summary(coef: DataFrame, tests: DataFrame, design: Design) -> DataFrame:
-    """A wide row a probe: est_*, pval_*, fpval_* and eff_* (range of a factor's estimates with 0).
+
+def summary(rows: DataFrame, design: Design) -> DataFrame:
+    """A wide row a probe of ``fit_rows``: est_*, pval_*, fpval_* and eff_* (range of a factor's estimates with 0).
 
     Probes with fewer coefficients than the fullest one are left out.
     """
-    terms = design.terms
-    wide = coef.groupBy("probe_id").agg(
-        F.count_if(~F.col("aliased")).alias("__n"),
-        *(F.max(F.when(F.col("term") == t, F.col("estimate"))).alias(f"est_{t}") for t in terms),
-        *(F.max(F.when(F.col("term") == t, F.col("p"))).alias(f"pval_{t}") for t in terms),
+    number = lambda c: F.when(~F.isnan(c), c)
+    full = F.size(F.filter("aliased", lambda x: ~x))
+    most = rows.agg(F.max(full).alias("__most"))
+    at = {t: i for i, t in enumerate(design.terms)}
+    wide = rows.join(F.broadcast(most)).where(full == F.col("__most")).select(  # one row
+        "probe_id",
+        *(number(F.col("estimate")[i]).alias(f"est_{t}") for t, i in at.items()),
+        *(number(F.col("p")[i]).alias(f"pval_{t}") for t, i in at.items()),
+        *(number(F.col("fp")[i]).alias(f"fpval_{c}") for i, c in enumerate(design.factors)),
     )
-    most = coef.groupBy("probe_id").agg(F.count_if(~F.col("aliased")).alias("n")).agg(F.max("n").alias("__most"))
-    wide = wide.join(F.broadcast(most)).where("__n = __most").drop("__n", "__most")  # one row
-    if design.factors:
-        f = tests.groupBy("probe_id").agg(*(F.max(F.when(F.col("contrast") == c, F.col("p"))).alias(f"fpval_{c}") for c in design.factors))
-        wide = wide.join(f, "probe_id", "left")
-        for c, levels in design.factors.items():
-            held = [F.coalesce(F.col(f"est_{c}_{v}"), F.lit(0.0)) for v in levels[1:]]
-            wide = wide.withColumn(f"eff_{c}", F.greatest(F.lit(0.0), *held) - F.least(F.lit(0.0), *held) if held else F.lit(0.0))
+    for c, levels in design.factors.items():
+        held = [F.coalesce(F.col(f"est_{c}_{v}"), F.lit(0.0)) for v in levels[1:]]
+        wide = wide.withColumn(f"eff_{c}", F.greatest(F.lit(0.0), *held) - F.least(F.lit(0.0), *held) if held else F.lit(0.0))
     return wide
 
 

@@ -9,7 +9,7 @@ from ..plans import prep
 from ..sources import adapters as a
 from ..sources import tables
 from .registry import query, r6
-from .signal_queries import AF, HALF, OOB, _detected
+from .signal_queries import AF, DYE, HALF, OOB, _detected
 
 
 def _betas(spark, sf):
@@ -253,13 +253,13 @@ BOTH = model.Design(factors={"sex": ["F", "M"], "tissue": ["t0", "t1", "t2"]})
 
 def _balanced(spark, sf):
     """Probes with two betas or more in each sex."""
-    rows = _effect(spark, sf).where("beta IS NOT NULL").join(F.broadcast(a.samples(spark, sf)), "sample_id")
+    rows = _effect(spark, sf).where("beta IS NOT NULL").join(a.samples(spark, sf), "sample_id")
     n = rows.groupBy("probe_id").agg(F.count_if(F.col("sex") == "F").alias("f"), F.count_if(F.col("sex") == "M").alias("m"))
     return n.where("f >= 2 AND m >= 2").select("probe_id")
 
 
-def _fit(spark, sf, design):
-    return model.fit(_effect(spark, sf).join(_balanced(spark, sf), "probe_id", "left_semi"), a.samples(spark, sf), design)
+def _fit(spark, sf, design, how=model.fit):
+    return how(_effect(spark, sf).join(_balanced(spark, sf), "probe_id", "left_semi"), a.samples(spark, sf), design)
 
 
 @query("SELECT probe_id, term, round(CASE term WHEN 'intercept' THEN mf ELSE mm - mf END, 6) AS estimate, round(CASE term WHEN 'intercept' THEN mf / sqrt(rss / df / nf) ELSE t END, 4) AS t, df FROM t, (VALUES ('intercept'), ('sex_M')) x(term) WHERE rss > 1e-9", more=TWO)
@@ -276,7 +276,7 @@ def ols_ftest(spark, sf):
 
 @query("SELECT probe_id, round(mf, 6) AS est_intercept, round(mm - mf, 6) AS est_sex_m, round(greatest(0, mm - mf) - least(0, mm - mf), 6) AS eff_sex FROM t", more=TWO)
 def ols_summary(spark, sf):
-    out = model.summary(*_fit(spark, sf, SEX), SEX)
+    out = model.summary(_fit(spark, sf, SEX, model.fit_rows), SEX)
     return out.select("probe_id", r6("est_intercept"), r6("est_sex_M", "est_sex_m"), r6("eff_sex"))
 
 
@@ -290,10 +290,33 @@ def ols_effect(spark, sf):
     return model.effect_size(model.predict(_fit(spark, sf, SEX)[0], SEX), ["sex"]).select("probe_id", r6("eff_sex"))
 
 
-@query()
+# Intercept, sex M, tissue t1 and t2 made orthogonal in this order; v is the inverse of the triangle
+# that leads back. Tails of t are closed sums for the degrees that twelve samples leave.
+_QR = TWO + """, x0 AS (SELECT probe_id, beta, (sex = 'M')::DOUBLE AS s, (tissue = 't1')::DOUBLE AS a, (tissue = 't2')::DOUBLE AS b FROM y JOIN t USING (probe_id)),
+x1 AS (SELECT *, s - avg(s) OVER w AS s1, a - avg(a) OVER w AS a1, b - avg(b) OVER w AS b1, beta - avg(beta) OVER w AS y1 FROM x0 WINDOW w AS (PARTITION BY probe_id)),
+x2 AS (SELECT *, sum(s1 * a1) OVER w / sum(s1 * s1) OVER w AS usa, sum(s1 * b1) OVER w / sum(s1 * s1) OVER w AS usb FROM x1 WINDOW w AS (PARTITION BY probe_id)),
+x3 AS (SELECT *, a1 - usa * s1 AS a2, b1 - usb * s1 AS b2 FROM x2),
+x4 AS (SELECT *, sum(a2 * b2) OVER w / nullif(sum(a2 * a2) OVER w, 0) AS uab, sum(a2 * a2) OVER w AS aa FROM x3 WINDOW w AS (PARTITION BY probe_id)),
+m AS (SELECT probe_id, count(*) AS n, avg(beta) AS c1, avg(s) AS u1s, avg(a) AS u1a, avg(b) AS u1b, any_value(usa) AS usa, any_value(usb) AS usb, any_value(uab) AS uab, any_value(aa) AS aa,
+  sum(s1 * s1) AS ss, sum(pow(b2 - uab * a2, 2)) AS bb, sum(y1 * s1) / sum(s1 * s1) AS cs, sum(y1 * a2) / any_value(aa) AS ca, sum(y1 * (b2 - uab * a2)) / sum(pow(b2 - uab * a2, 2)) AS cb, sum(y1 * y1) AS yy FROM x4 WHERE aa > 1e-9 GROUP BY 1),
+v AS (SELECT *, n - 4 AS df, -usb + usa * uab AS vsb, -u1a + u1s * usa AS v1a, u1s * (usb - usa * uab) + u1a * uab - u1b AS v1b, yy - cs * cs * ss AS rss0, yy - cs * cs * ss - ca * ca * aa - cb * cb * bb AS rss FROM m WHERE bb > 1e-9),
+cf AS (SELECT *, c1 - u1s * cs + v1a * ca + v1b * cb AS e1, cs - usa * ca + vsb * cb AS es, ca - uab * cb AS ea, cb AS eb, CASE WHEN df > 0 THEN rss / df END AS s2 FROM v),
+tt AS (SELECT *, abs(e1) / sqrt(s2 * (1.0 / n + u1s * u1s / ss + v1a * v1a / aa + v1b * v1b / bb)) AS t1, abs(es) / sqrt(s2 * (1.0 / ss + usa * usa / aa + vsb * vsb / bb)) AS ts, abs(ea) / sqrt(s2 * (1.0 / aa + uab * uab / bb)) AS ta, abs(eb) / sqrt(s2 / bb) AS tb FROM cf)"""
+
+
+def _t_tail(t: str) -> str:
+    c2 = f"(df / (df + {t} * {t}))"
+    even = f"sqrt(1 - {c2}) * (1 + (df >= 4)::INT * {c2} / 2 + (df >= 6)::INT * 3 * pow({c2}, 2) / 8 + (df >= 8)::INT * 5 * pow({c2}, 3) / 16)"
+    odd = f"2 / pi() * (atan({t} / sqrt(df)) + (df >= 3)::INT * sqrt({c2} * (1 - {c2})) * (1 + (df >= 5)::INT * 2 * {c2} / 3 + (df >= 7)::INT * 8 * pow({c2}, 2) / 15))"
+    return f"round(1 - CASE WHEN df % 2 = 0 THEN {even} ELSE {odd} END, 6)"
+
+
+@query(f"""SELECT probe_id, round(e1, 6) AS est_intercept, round(es, 6) AS est_sex_m, round(ea, 6) AS est_tissue_t1, round(eb, 6) AS est_tissue_t2, {_t_tail('t1')} AS pval_intercept, {_t_tail('ts')} AS pval_sex_m,
+  {_t_tail('ta')} AS pval_tissue_t1, {_t_tail('tb')} AS pval_tissue_t2, {_t_tail('ts')} AS fpval_sex, round(pow(rss / rss0, df / 2), 6) AS fpval_tissue, round(abs(es), 6) AS eff_sex, round(greatest(0, ea, eb) - least(0, ea, eb), 6) AS eff_tissue
+  FROM (SELECT * REPLACE (CASE WHEN df > 0 THEN df END AS df) FROM tt)""", more=_QR)
 def ols_two_factors(spark, sf):
-    coef, tests = _fit(spark, sf, BOTH)
-    return model.summary(coef, tests, BOTH)
+    out = model.summary(_fit(spark, sf, BOTH, model.fit_rows), BOTH)
+    return out.select("probe_id", *(r6(c, c.lower()) for c in out.columns if c != "probe_id"))
 
 
 @query("SELECT probe_id, round(regr_slope(beta, age), 6) AS estimate FROM y GROUP BY 1 HAVING count(*) >= 3 AND var_pop(age) > 0", more=TWO.split("g AS")[0].rstrip().rstrip(","))
@@ -464,17 +487,27 @@ def leukocyte_probes(spark, sf):
     return infer.two_component_probes(ref.select("probe_id", F.round(F.col("a") - F.col("b"), 2).alias("a"), F.lit(0.0).alias("b")), 100).select("probe_id", "side")
 
 
-@query()
+def _mode(values: str) -> str:
+    """Modes (k, n, mode) of kernel densities of (k, x) on 512 points."""
+    return f"""vals AS ({values}), sp AS (SELECT k, count(*) AS n, min(x) AS lo, max(x) AS hi, stddev_samp(x) AS sd, (quantile_cont(x, 0.75) - quantile_cont(x, 0.25)) / 1.34 AS iq FROM vals GROUP BY 1),
+bw AS (SELECT *, 0.9 * coalesce(nullif(least(sd, iq), 0), nullif(sd, 0), nullif(abs(lo), 0), 1) * pow(n, -0.2) AS bw FROM sp),
+gr AS (SELECT k, n, bw, lo - 3 * bw + (hi - lo + 6 * bw) * i / 511 AS g FROM bw, range(512) r(i)),
+md AS (SELECT k, any_value(n) AS n, arg_max(g, d) AS mode FROM (SELECT gr.k, n, g, sum(exp(-0.5 * pow((g - x) / bw, 2))) AS d FROM gr JOIN vals USING (k) GROUP BY gr.k, n, g) GROUP BY 1)"""
+
+
+@query("SELECT s.sample_id, CASE WHEN n >= 10 THEN round(greatest(0, least(1, mode)), 6) END AS fraction, n FROM md JOIN (SELECT k, k AS sample_id FROM sp) s USING (k)", more="""lk AS (SELECT pk, probe_id, ((pk * 2) % 101)::DOUBLE / 100 AS a, ((pk * 3) % 101)::DOUBLE / 100 AS b FROM probes),
+lp AS (SELECT * FROM (SELECT * FROM lk WHERE a - b > 0 ORDER BY a - b DESC, probe_id LIMIT 1000) UNION ALL SELECT * FROM (SELECT * FROM lk WHERE a - b < 0 ORDER BY a - b, probe_id LIMIT 1000)), """ + _mode("SELECT sample_id AS k, (beta - b) / (a - b) AS x FROM (SELECT pk, sample_id, beta FROM betas) JOIN lp USING (pk) WHERE beta IS NOT NULL"))
 def leukocyte(spark, sf):
-    return infer.two_component_fraction(_betas(spark, sf), infer.two_component_probes(_two_cells(spark, sf), 1000))
+    out = infer.two_component_fraction(_betas(spark, sf), infer.two_component_probes(_two_cells(spark, sf), 1000))
+    return out.select("sample_id", r6("fraction"), "n")
 
 
-@query()
+@query("SELECT k AS sample_id, round(mode, 6) AS mode, CASE WHEN mode > 0 THEN 'MALE' ELSE 'FEMALE' END AS sex FROM md", more=_mode("SELECT sample_id AS k, h - beta AS x FROM (SELECT sample_id, beta FROM effect WHERE pk % 50 = 1 AND beta IS NOT NULL) JOIN (SELECT sample_id, avg(beta) AS h FROM effect WHERE pk % 50 = 0 GROUP BY 1) USING (sample_id)"))
 def sex(spark, sf):
     pk = F.col("p_partkey")
     parts = a.table(spark, sf, "part")
     pick = lambda k: parts.where(pk % 50 == k).select(a.probe_name(pk).alias("probe_id"))
-    return infer.infer_sex(_effect(spark, sf), pick(0), pick(1), cut=0.0)
+    return infer.infer_sex(_effect(spark, sf), pick(0), pick(1), cut=0.0).select("sample_id", r6("mode"), "sex")
 
 
 @query()
@@ -579,7 +612,19 @@ def scrub_soft(spark, sf):
     return _beads(normalize.scrub_soft(a.signals(spark, sf)))
 
 
-@query()
+# Each channel's values move halfway to the other's quantile of the same mean rank; what lies between, by lines.
+CURVE = DYE + """, ls AS (SELECT sample_id, channel, list(v ORDER BY v) AS l FROM ib WHERE v IS NOT NULL GROUP BY 1, 2),
+ow AS (SELECT sample_id, channel, v, count(*) AS c, sum(count(*)) OVER w - count(*) AS below, sum(count(*)) OVER (PARTITION BY sample_id, channel) AS n FROM ib WHERE v IS NOT NULL GROUP BY 1, 2, 3 WINDOW w AS (PARTITION BY sample_id, channel ORDER BY v)),
+ps AS (SELECT ow.*, l, (below + (c - 1) / 2) / greatest(n - 1, 1) * (len(l) - 1) AS p FROM ow JOIN ls ON ls.sample_id = ow.sample_id AND ls.channel <> ow.channel),
+kn AS (SELECT sample_id, channel, v AS x, (v + l[floor(p)::INT + 1] + (p - floor(p)) * (l[least(floor(p)::INT + 2, len(l))] - l[floor(p)::INT + 1])) / 2 AS y FROM ps),
+kp AS (SELECT *, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM kn WINDOW w AS (PARTITION BY sample_id, channel ORDER BY x)),
+ed AS (SELECT sample_id, channel, min(x) AS lo, max(x) AS hi, min(y) AS ylo, max(y) AS yhi FROM kn GROUP BY 1, 2),
+rd AS (SELECT sample_id, pk, probe_id, bead, CASE WHEN bead IN ('mg', 'ug') THEN 'G' ELSE 'R' END AS channel, v FROM signals UNPIVOT (v FOR bead IN (mg, mr, ug, ur))),
+nv AS (SELECT r.sample_id, r.probe_id, bead, CASE WHEN v > hi THEN v - hi + yhi WHEN v < lo THEN ylo / lo * v WHEN x1 IS NULL THEN y ELSE y + (y1 - y) * (v - x) / (x1 - x) END AS v FROM rd r JOIN ed ON ed.sample_id = r.sample_id AND ed.channel = r.channel ASOF LEFT JOIN kp k ON k.sample_id = r.sample_id AND k.channel = r.channel AND r.v >= k.x),
+wd AS (SELECT sample_id, probe_id, """ + ", ".join(f"max(v) FILTER (bead = '{c}') AS {c}" for c in ("mg", "mr", "ug", "ur")) + """ FROM nv GROUP BY 1, 2)"""
+
+
+@query("SELECT s.sample_id, s.probe_id, " + ", ".join(f"round(CASE WHEN ok THEN w.{c} ELSE s.{c} END, 6) AS {c}" for c in ("mg", "mr", "ug", "ur")) + " FROM signals s LEFT JOIN wd w ON w.sample_id = s.sample_id AND w.probe_id = s.probe_id LEFT JOIN (SELECT sample_id, coalesce((topr / topg) / (medr / medg) <= 10, false) AS ok FROM dye) d ON d.sample_id = s.sample_id", more=CURVE)
 def dye_nonlinear(spark, sf):
     return _beads(normalize.dye_nonlinear(a.signals(spark, sf)))
 

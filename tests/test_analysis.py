@@ -129,7 +129,7 @@ def test_two_levels_t_equals_f(spark):
     coef, tests = model.fit(betas, samples, design)
     both = coef.where("term = 'sex_M'").withColumnRenamed("p", "tp").join(tests.select("probe_id", "f", F.col("p").alias("fp")), "probe_id").collect()
     assert all(r.t**2 == pytest.approx(r.f, rel=1e-6) and r.tp == pytest.approx(r.fp, abs=1e-9) for r in both)
-    wide = model.summary(coef, tests, design).collect()
+    wide = model.summary(model.fit_rows(betas, samples, design), design).collect()
     assert all(r.eff_sex == pytest.approx(abs(r.est_sex_M)) for r in wide)
 
 

@@ -10,7 +10,7 @@ SF = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SOME = [
     "betas", "detected_betas", "collapse_prefix_minp", "channel_summary", "qc_detection", "enrich_fisher_greater", "enrich_es", "set_overlap", "ols_summary",
-    "regions", "bin_signals", "species_auc", "impute_reference", "lift_betas", "scrub", "variant_frequency",
+    "ols_two_factors", "leukocyte", "sex", "dye_nonlinear", "regions", "bin_signals", "species_auc", "impute_reference", "lift_betas", "scrub", "variant_frequency",
 ]
 
 
