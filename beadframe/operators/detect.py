@@ -75,7 +75,7 @@ def background_window(pdf: pd.DataFrame, margin: float = 0.05, cap: float = 3000
     ok = ~np.isnan(total) & ~np.isnan(beta)
     if not ok.any():
         return np.zeros(0)
-    order = np.argsort(total[ok], kind="stable")
+    order = np.lexsort((beta[ok], total[ok]))  # ties in one order, however rows arrive
     total, beta, top = total[ok][order], beta[ok][order], np.fmax(m[ok], u[ok])[order]
     edges = 2 ** np.linspace(np.log2(max(1.0, total[0] - 1)), np.log2(total[-1] + 1), windows)
     first = np.searchsorted(total, edges, side="right")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.joins import small_side
 from ..functions.stats import mode
 from ..functions.windows import mean_rank
 from .signal import collapse_mean
@@ -135,7 +136,7 @@ def infer_sex(betas: DataFrame, high_in_males: DataFrame, low_in_males: DataFram
 
 def group_means(betas: DataFrame, samples: DataFrame, factor: str, level: str) -> DataFrame:
     """(probe_id, mean_in, mean_out, na_in, na_out, n_in, n_out) of the level's samples and the others."""
-    rows = betas.join(F.broadcast(samples.select("sample_id", factor)), "sample_id")  # a row a sample
+    rows = betas.join(small_side(samples.select("sample_id", factor)), "sample_id")
     inside = F.col(factor) == level
     b, null = F.col("beta"), F.col("beta").isNull()
     return rows.groupBy("probe_id").agg(
@@ -187,12 +188,13 @@ def differential(references: DataFrame) -> DataFrame:
     return references.join(keep, "probe_id", "left_semi")
 
 
-def cell_mixture(betas: DataFrame, references: DataFrame, cells: list[str], rounds: int = 1000, seed: int = 1) -> DataFrame:
+def cell_mixture(betas: DataFrame, references: DataFrame, cells: list[str], rounds: int = 1000, temperature: float = 0.5, seed: int = 1) -> DataFrame:
     """(sample_id, cell, fraction, error) by simulated annealing over fractions of cells and an unknown part.
 
-    Error is the mean absolute difference of the mixed references and the sample's betas; a
-    random share moves between two parts, worse moves pass with a falling probability, and a
-    run ends after ``rounds`` steps without a gain; then steps are halved.
+    The unknown part is methylated or not at each probe, whichever lies nearer, so a probe's
+    error is what the cells leave, or its distance from the unknown fraction; errors are
+    summed. A random share moves between two parts, in wide steps and then in narrow ones
+    from the best so far; a pass ends after ``rounds`` steps without a gain.
     """
     wide = references.groupBy("probe_id").pivot("cell", cells).agg(F.first("beta"))
     rows = betas.where("beta IS NOT NULL").select("sample_id", "probe_id", "beta").join(wide, "probe_id")
@@ -202,32 +204,46 @@ def cell_mixture(betas: DataFrame, references: DataFrame, cells: list[str], roun
         pdf = pdf.sort_values("probe_id")
         rng = np.random.default_rng([seed, zlib.crc32(name.encode())])
         y, g = pdf["beta"].to_numpy(float), pdf[cells].to_numpy(float)
-        k = len(cells)
-        f = np.append(np.zeros(k), 1.0)  # the last part is unknown and contributes the sample's own mean
-
-        def error(v: np.ndarray) -> float:
-            return float(np.abs(g @ v[:k] + v[k] * y.mean() - y).mean())
-
-        now, best, at, still, step, heat = error(f), None, f, 0, 0.2, 0.05
-        best = now
-        while step >= 0.0125:
+        best_f = np.append(np.zeros(len(cells)), 1.0)  # the last part is unknown
+        best = mixture_error(best_f, g, y)
+        for widest in (1.0, 0.05):
+            f, now, still = best_f, best, 0
             while still < rounds:
-                i, j = rng.choice(k + 1, 2, replace=False)
-                move = min(f[i], step * rng.random())
+                source, target = rng.choice(len(f), 2, replace=False)
+                move = widest * rng.random()
+                if move > f[source]:
+                    continue
                 new = f.copy()
-                new[i], new[j] = new[i] - move, new[j] + move
-                e = error(new)
-                if e < now or rng.random() < np.exp(-(e - now) / (heat * step)):
+                new[source] -= move
+                new[target] += move
+                e = mixture_error(new, g, y)
+                still += 1
+                if e < best:
+                    still = 0 if best - e > 1e-4 * best else still
+                    best, best_f = e, new
+                if e <= now or rng.random() < np.exp((now - e) / temperature):
                     f, now = new, e
-                still = 0 if now < best - 1e-9 else still + 1
-                if now < best:
-                    best, at = now, f.copy()
-            f, now, still, step = at, best, 0, step / 2
-        return pd.DataFrame({"sample_id": name, "cell": [*cells, "unknown"], "fraction": at, "error": best})
+        return pd.DataFrame({"sample_id": name, "cell": [*cells, "unknown"], "fraction": best_f, "error": best})
 
     return rows.groupBy("sample_id").applyInPandas(run, "sample_id string, cell string, fraction double, error double")
 
 
+def mixture_error(f: np.ndarray, g: np.ndarray, y: np.ndarray) -> float:
+    """Sum over probes of the distance of ``y`` from cells mixed by ``f`` (the last part unknown, 0 or 1 a probe)."""
+    rest = y - g @ f[:-1]
+    return float(np.nansum(np.where(rest < f[-1] / 2, np.abs(rest), np.abs(rest - f[-1]))))
+
+
+def unknown_state(betas: DataFrame, references: DataFrame, fractions: DataFrame) -> DataFrame:
+    """(sample_id, probe_id, state): 0 or 1 for the unknown part of ``cell_mixture``'s fractions, by the nearer."""
+    packed = lambda df, key, v: df.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("cell", v))).alias(f"__{v}"))
+    rows = betas.where("beta IS NOT NULL").select("sample_id", "probe_id", "beta").join(packed(references, "probe_id", "beta"), "probe_id")
+    rows = rows.join(F.broadcast(packed(fractions, "sample_id", "fraction")), "sample_id")  # a row a sample
+    part = lambda c: F.coalesce(F.col("__fraction")[c], F.lit(0.0))
+    rest = F.col("beta") - F.aggregate(F.map_entries("__beta"), F.lit(0.0), lambda s, e: s + e["value"] * part(e["key"]))
+    return rows.select("sample_id", "probe_id", F.when(rest < part(F.lit("unknown")) / 2, 0).otherwise(1).alias("state"))
+
+
 def impute_mean(betas: DataFrame, by: str = "probe_id") -> DataFrame:
     """Missing betas take the mean of their probe (``probe_id``) or sample (``sample_id``)."""
     if by not in ("probe_id", "sample_id"):

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.joins import small_side
 from ..functions.stats import f_upper, normal_cdf, normal_quantile, t_two_sided
 from ..functions.windows import benjamini_hochberg
 
@@ -61,7 +62,7 @@ def sufficient(betas: DataFrame, samples: DataFrame, design: Design) -> DataFram
     y is centred at 0.5, where betas live, so that squares do not cancel.
     """
     k = len(design.terms)
-    rows = betas.where("beta IS NOT NULL").join(design.columns(samples), "sample_id")
+    rows = betas.where("beta IS NOT NULL").join(small_side(design.columns(samples)), "sample_id")
     x = lambda i: F.col("x")[i]
     y = F.col("beta") - 0.5
     xy = [F.sum(x(i) * y) for i in range(k)]
@@ -248,3 +249,11 @@ def regions(segs: DataFrame, coef: DataFrame, term: str) -> DataFrame:
         F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n"), F.avg("estimate").alias("estimate"), (F.sum("z") / F.sqrt(F.count("z"))).alias("zs")
     )
     return benjamini_hochberg(out.withColumn("p", phi("zs")).drop("zs"), "p", "p_adj", ties=["chrom", "seg"])
+
+
+def region_probes(segs: DataFrame, found: DataFrame, coef: DataFrame, term: str) -> DataFrame:
+    """A row a probe with a coefficient: its region's columns as seg_*, then the probe's own estimate, t and p."""
+    own = coefficients(coef, term).select("probe_id", "estimate", "std_error", "t", "p")
+    names = [c for c in found.columns if c not in ("chrom", "seg")]
+    rows = segs.select("probe_id", "chrom", "seg").join(own, "probe_id")
+    return rows.join(found.select("chrom", "seg", *(F.col(c).alias(f"seg_{c}") for c in names)), ["chrom", "seg"])

@@ -62,10 +62,11 @@ def noob(signals: DataFrame, nonunique: DataFrame | None = None, controls: DataF
     def signal(x: pd.Series, m: pd.Series, s: pd.Series, a: pd.Series) -> pd.Series:
         out = np.full(len(x), np.nan)
         v, m, s, a = (c.to_numpy(float) for c in (x, m, s, a))
-        for key in set(zip(m, s, a)):
-            at = (m == key[0]) & (s == key[1]) & (a == key[2])
-            if at.any():
-                out[at] = stats.normal_exponential(v[at], *key)
+        fits, which = np.unique(np.column_stack([m, s, a]), axis=0, return_inverse=True)  # rows without a fit share one NaN row
+        for i, fit in enumerate(fits):
+            if not np.isnan(fit).any():
+                at = which == i
+                out[at] = stats.normal_exponential(v[at], *fit)
         return pd.Series(out)
 
     new = {}

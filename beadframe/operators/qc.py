@@ -115,3 +115,15 @@ def rank_against(stats: DataFrame, public: DataFrame, columns: list[str]) -> Dat
     out = ecdf(bg, long(stats, "sample_id"), ["metric"])
     n = bg.where("v IS NOT NULL").groupBy("metric").agg(F.count("*").alias("n"))
     return out.join(F.broadcast(n), "metric", "left").select("sample_id", "metric", F.col("v").alias("value"), F.col("f").alias("rank"), "n")  # a row a metric
+
+
+def bisulfite_control(signals: DataFrame, extended_c: DataFrame, extended_t: DataFrame) -> DataFrame:
+    """(sample_id, gct): mean green signal of red type I probes that extend into C over that of probes that extend into T.
+
+    Complete conversion gives about one. Null where either set has no reading.
+    """
+    side = lambda df, name: df.select("probe_id").distinct().withColumn("__ext", F.lit(name))
+    red = signals.where("col = 'R'").select("sample_id", "probe_id", F.explode(F.array("mg", "ug")).alias("v"))
+    rows = red.join(side(extended_c, "C").unionByName(side(extended_t, "T")), "probe_id")
+    mean = lambda name: F.avg(F.when(F.col("__ext") == name, F.col("v")))
+    return rows.groupBy("sample_id").agg(F.try_divide(mean("C"), mean("T")).alias("gct"))

@@ -214,9 +214,14 @@ def spearman(values: DataFrame, members: DataFrame) -> DataFrame:
     return ranked.groupBy("dbname").agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("rho"))
 
 
-def find_groups(members: DataFrame, name: str | None = None, how: str = "substring") -> DataFrame:
-    """(group, dbname, n): sets whose group matches exactly, by substring or by all dot-separated tokens."""
+def find_groups(members: DataFrame, name: str | None = None, how: str = "substring", platform: str | None = None) -> DataFrame:
+    """(group, dbname, n): sets whose group matches exactly, by substring or by all dot-separated tokens.
+
+    ``platform`` keeps groups that have it among their tokens.
+    """
     rows = members.groupBy("group", "dbname").agg(F.countDistinct("probe_id").alias("n"))
+    if platform is not None:
+        rows = rows.where(F.array_contains(F.split("group", r"\."), platform))
     if name is None:
         return rows
     if how == "exact":
@@ -225,3 +230,26 @@ def find_groups(members: DataFrame, name: str | None = None, how: str = "substri
         return rows.where(F.lower("group").contains(name.lower()))
     tokens = F.split(F.lower("group"), r"\.")
     return rows.where(F.forall(F.array(*(F.lit(t) for t in name.lower().split("."))), lambda t: F.array_contains(tokens, t)))
+
+
+def take_groups(members: DataFrame, names: list[str]) -> DataFrame:
+    """The members of the named groups; an unknown name is an error."""
+    chosen = members.where(F.col("group").isin(*names))
+    missing = set(names) - {r[0] for r in chosen.select("group").distinct().collect()}  # names asked for at most
+    if missing:
+        raise ValueError(f"no set group {sorted(missing)}")
+    return chosen
+
+
+def set_metadata(members: DataFrame, meta: DataFrame) -> DataFrame:
+    """(group, dbname, n, columns of ``meta``): a row a set; sets without metadata have nulls."""
+    sizes = members.groupBy("group", "dbname").agg(F.countDistinct("probe_id").alias("n"))
+    return sizes.join(meta, ["group", "dbname"], "left")
+
+
+def universe(manifests: DataFrame, platform: str) -> DataFrame:
+    """(probe_id): all probes of a platform; an error where the manifests (platform, probe_id) have none."""
+    rows = manifests.where(F.col("platform") == platform).select("probe_id").distinct()
+    if rows.isEmpty():
+        raise ValueError(f"no manifest of {platform}; give the universe itself")
+    return rows

@@ -79,9 +79,24 @@ def run(signals: DataFrame, codes: str = "QCDPB", function: Callable[[DataFrame]
     return prepare(signals, codes, **options).transform(function)
 
 
-def run_folder(spark: SparkSession, path: str, manifest: DataFrame, codes: str = "QCDPB", min_beads: int | None = 1, **options) -> DataFrame:
-    """From a folder of IDAT files to ``run``'s result."""
-    return run(idat.to_signals(idat.beads(spark, path), manifest, min_beads), codes, **options)
+def run_folder(
+    spark: SparkSession, path: str, manifest: DataFrame, codes: str = "QCDPB", min_beads: int | None = 1, platform: str | None = None, signatures: DataFrame | None = None, **options
+) -> DataFrame:
+    """From a folder of IDAT files to ``run``'s result.
+
+    A manifest with a ``platform`` column holds several arrays: each sample takes that of
+    ``platform``, or of the platform that its addresses show (``signatures``).
+    """
+    beads = idat.beads(spark, path)
+    platforms = idat.sample_platforms(beads, signatures, platform) if "platform" in manifest.columns else None
+    return run(idat.to_signals(beads, manifest, min_beads, platforms), codes, **options)
+
+
+def folder_to_file_set(spark: SparkSession, path: str, out: str, manifest: DataFrame, codes: str = "QCDPB", platform: str | None = None, signatures: DataFrame | None = None, **options) -> DataFrame:
+    """Betas of a folder's sound samples into a file set; returns ``idat.folder_status``, a row a sample."""
+    tables.write_file_set(run_folder(spark, path, manifest, codes, platform=platform, signatures=signatures, **options), out)
+    platforms = idat.sample_platforms(idat.beads(spark, path), signatures, platform) if "platform" in manifest.columns else None
+    return idat.folder_status(spark, path, platforms)
 
 
 def to_file_set(signals: DataFrame, path: str, codes: str = "QCDPB", **options) -> None:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..operators import copynumber, frames, infer, masks, model, normalize, ranges, sets, signal
 from ..plans import prep
 from ..sources import adapters as a
-from ..sources import tables
+from ..sources import idat, tables
 from .registry import query, r6
 from .signal_queries import AF, DYE, HALF, OOB, _detected
 
@@ -153,6 +155,18 @@ def set_discovery(spark, sf):
     return sets.find_groups(a.set_members(spark, sf), "bran")
 
 
+@query("SELECT 'type' AS \"group\", p_type AS dbname, count(*) AS n, CASE WHEN p_type LIKE 'S%' THEN 's' END AS label FROM probes GROUP BY 2")
+def set_metadata(spark, sf):
+    members = sets.take_groups(a.set_members(spark, sf), ["type"])
+    meta = members.where("startswith(dbname, 'S')").select("group", "dbname", F.lit("s").alias("label")).distinct()
+    return sets.set_metadata(members, meta)
+
+
+@query("SELECT probe_id FROM probes")
+def platform_universe(spark, sf):
+    return sets.universe(a.manifest(spark, sf), "TP")
+
+
 # ---- ranges and copy number
 
 LENGTHS = """len AS (SELECT chrom, max("end") + 10000 AS length FROM probes GROUP BY 1),
@@ -350,6 +364,14 @@ def region_pvalues(spark, sf):
     return model.regions(segs, _fit(spark, sf, SEX)[0], "sex_M")
 
 
+@query('SELECT probe_id, chrom, seg, start AS seg_start, "end" AS seg_end, n AS seg_n, round(est, 6) AS seg_estimate, round(mm - mf, 6) AS estimate FROM sg0 JOIN t USING (probe_id)',
+       more=REGION + ', sg0 AS (SELECT sg.probe_id, chrom, seg, min(start) OVER w AS start, max("end") OVER w AS "end", count(*) OVER w AS n, avg(mm - mf) OVER w AS est FROM sg JOIN t USING (probe_id) WINDOW w AS (PARTITION BY chrom, seg))')
+def region_probes(spark, sf):
+    segs, coef = model.segments(_effect(spark, sf), a.coords(spark, sf)), _fit(spark, sf, SEX)[0]
+    out = model.region_probes(segs, model.regions(segs, coef, "sex_M"), coef, "sex_M")
+    return out.select("probe_id", "chrom", "seg", "seg_start", "seg_end", "seg_n", r6("seg_estimate"), r6("estimate"))
+
+
 # ---- inference
 
 
@@ -516,6 +538,14 @@ def cell_mix(spark, sf):
     return infer.cell_mixture(_betas(spark, sf), refs, ["cell0", "cell1", "cell2"])
 
 
+@query("SELECT sample_id, probe_id, (beta - s >= 0.2)::INT AS state FROM (SELECT sample_id, pk, probe_id, beta FROM betas WHERE beta IS NOT NULL) JOIN (SELECT pk, sum(((pk * (c + 2)) % 101) / 100.0 * (c + 1) / 10) AS s FROM probes, range(3) r(c) GROUP BY 1) USING (pk)")
+def unknown_state(spark, sf):
+    b = _betas(spark, sf)
+    parts = F.array(*(F.struct(F.lit(c).alias("cell"), F.lit(v).alias("fraction")) for c, v in (("cell0", 0.1), ("cell1", 0.2), ("cell2", 0.3), ("unknown", 0.4))))
+    refs = _cells(spark, sf).select(F.col("celltype").alias("cell"), "probe_id", F.col("median").alias("beta"))
+    return infer.unknown_state(b, refs, b.select("sample_id").distinct().select("sample_id", F.inline(parts)))
+
+
 @query("SELECT cell, probe_id, round(md, 6) AS beta FROM (SELECT 'cell' || c AS cell, probe_id, ((pk * (c + 2)) % 101) / 100.0 AS md FROM probes, range(3) r(c) WHERE starts_with(probe_id, 'cg')) x WHERE probe_id IN (SELECT probe_id FROM (SELECT probe_id, ((pk * (c + 2)) % 101) AS v FROM probes, range(3) r(c)) GROUP BY 1 HAVING min(v) <> max(v))")
 def reference_cells(spark, sf):
     refs = _cells(spark, sf).select(F.col("celltype").alias("cell"), "probe_id", F.col("median").alias("beta"))
@@ -717,6 +747,41 @@ def vcf_lines(spark, sf):
     return out.select("sample_id", "chrm", "pos", "id", "ref", "alt", part("GT").alias("gt"), part("Probe_ID").alias("named"))
 
 
+def _bead_list(spark, sf):
+    """(sample_id, address, g, r) of all readings."""
+    s = a.signals(spark, sf).where("ug IS NOT NULL")
+    two = F.array(F.struct((2 * F.col("pk")).alias("address"), F.col("ug").alias("g"), F.col("ur").alias("r")), F.struct((2 * F.col("pk") + 1).alias("address"), F.col("mg").alias("g"), F.col("mr").alias("r")))
+    return s.select("sample_id", F.inline(two)).where("g IS NOT NULL").withColumn("address", F.col("address").cast("int"))
+
+
+def _idat_files(spark, sf):
+    """(prefix, channel, content): the readings as scanner files, a file a sample and channel."""
+    long = _bead_list(spark, sf).select("sample_id", "address", F.inline(F.array(*(F.struct(F.lit(n).alias("channel"), F.col(c).alias("v")) for n, c in (("Grn", "g"), ("Red", "r"))))))
+
+    def build(pdf):
+        pdf = pdf.sort_values("address")
+        one = pdf.iloc[0]
+        return pd.DataFrame({"prefix": [one["sample_id"]], "channel": [one["channel"]], "content": [idat.build(pdf["address"].to_numpy(), pdf["v"].to_numpy(), np.full(len(pdf), 9))]})
+
+    return long.groupBy("sample_id", "channel").applyInPandas(build, "prefix string, channel string, content binary")
+
+
+@query("SELECT sample_id, probe_id, mg, mr, ug, ur, col, mask OR ug IS NULL AS mask FROM signals")
+def idat_signals(spark, sf):
+    """Scanner files of every sample, read back to signals by the platform given for all."""
+    beads = idat.pair_beads(_idat_files(spark, sf))
+    return idat.to_signals(beads, a.manifest(spark, sf).drop("probe_ord"), platforms=idat.sample_platforms(beads, platform="TP"))
+
+
+@query("""SELECT sample_id, CASE WHEN n >= 50 THEN platform END AS platform FROM (SELECT sample_id, platform, count(*) AS n, row_number() OVER (PARTITION BY sample_id ORDER BY count(*) DESC, platform DESC) AS i FROM signals JOIN (
+  SELECT pk, 'P' || pk % 3 AS platform FROM probes UNION ALL SELECT pk, 'small' FROM probes WHERE pk <= 50) USING (pk) WHERE ug IS NOT NULL GROUP BY 1, 2) WHERE i = 1""")
+def platform_call(spark, sf):
+    pk = F.col("p_partkey")
+    parts = a.table(spark, sf, "part")
+    marks = parts.select(F.concat(F.lit("P"), (pk % 3).cast("string")).alias("platform"), (2 * pk).alias("address")).unionByName(parts.where(pk <= 50).select(F.lit("small").alias("platform"), (2 * pk).alias("address")))
+    return idat.sample_platforms(_bead_list(spark, sf), marks)
+
+
 @query("SELECT sample_id, probe_id, round(beta, 6) AS beta FROM betas WHERE sample_id IN ('s01', 's02') AND pk IN (SELECT pk FROM probes WHERE p_size <= 10)")
 def file_slice(spark, sf):
     store = _betas(spark, sf).select("sample_id", "probe_id", "beta")

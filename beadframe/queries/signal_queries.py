@@ -202,7 +202,20 @@ def collapse_prefix_minp(spark, sf):
     return signal.collapse_least_p(a.suffixed(both)).select("sample_id", "probe_id", r6("p"), "mask")
 
 
-@query()
+# Betas in order of total signal, in windows of 500 that start at 500 even steps of its logarithm.
+DISPERSION = """io AS (SELECT sample_id, m, u FROM mu UNION ALL SELECT sample_id, CASE col WHEN 'G' THEN mr ELSE mg END, CASE col WHEN 'G' THEN ur ELSE ug END FROM signals WHERE col <> '2'),
+bt AS (SELECT sample_id, m + u AS total, m / (m + u) AS beta, greatest(m, u) AS v, row_number() OVER (PARTITION BY sample_id ORDER BY m + u, m / (m + u)) - 1 AS i FROM io WHERE m + u > 0),
+eg AS (SELECT sample_id, j, pow(2, l + (h - l) * j / 499) AS e FROM (SELECT sample_id, log2(greatest(1, min(total) - 1)) AS l, log2(max(total) + 1) AS h FROM bt GROUP BY 1), range(500) r(j)),
+fi AS (SELECT eg.sample_id, j, count(bt.i) AS f FROM eg LEFT JOIN bt ON bt.sample_id = eg.sample_id AND total <= e GROUP BY 1, 2),
+sp AS (SELECT fi.sample_id, j, f, quantile_cont(beta, 0.05) AS a, quantile_cont(beta, 0.95) AS b FROM fi JOIN bt ON bt.sample_id = fi.sample_id AND i >= f AND i < f + 500 GROUP BY 1, 2, 3),
+w0 AS (SELECT sample_id, a AS a0, b AS b0 FROM sp WHERE j = 0),
+wd AS (SELECT sample_id, arg_min(f, j) AS f FROM sp JOIN w0 USING (sample_id) WHERE a - a0 < -0.2 OR b - b0 > 0.2 GROUP BY 1),
+li AS (SELECT w0.sample_id, least(3000, CASE WHEN b0 - a0 > 0.5 THEN t9.total ELSE coalesce(tw.total, 1e18) END) AS lim FROM w0 LEFT JOIN wd USING (sample_id) LEFT JOIN bt t9 ON t9.sample_id = w0.sample_id AND t9.i = 9 LEFT JOIN bt tw ON tw.sample_id = w0.sample_id AND tw.i = wd.f + 499),
+un AS (SELECT bt.sample_id, NULL AS probe_id, v, 1 AS is_bg FROM bt JOIN li USING (sample_id) WHERE total <= lim UNION ALL SELECT sample_id, probe_id, CASE WHEN m + u IS NOT NULL THEN greatest(m, u) END, 0 FROM mu),
+rk AS (SELECT *, sum(is_bg) OVER (PARTITION BY sample_id ORDER BY v NULLS FIRST RANGE UNBOUNDED PRECEDING) AS k, sum(is_bg) OVER (PARTITION BY sample_id) AS n FROM un)"""
+
+
+@query("SELECT sample_id, probe_id, CASE WHEN v IS NULL THEN 1.0 ELSE round(1 - k / n, 6) END AS p FROM rk WHERE is_bg = 0", more=DISPERSION)
 def detect_background(spark, sf):
     return detect.detect_background(a.signals(spark, sf)).select("sample_id", "probe_id", r6("p"))
 
@@ -298,6 +311,12 @@ def qc_rank(spark, sf):
     return qc.rank_against(stats, stats.where("sample_id < 's06'"), ["mean_beta"]).select("sample_id", "metric", r6("value"), "rank", "n")
 
 
+@query("SELECT sample_id, round(avg(v) FILTER (pk % 3 = 0) / avg(v) FILTER (pk % 3 = 1), 6) AS gct FROM (SELECT sample_id, pk, unnest([mg, ug]) AS v FROM signals WHERE col = 'R') GROUP BY 1")
+def bisulfite_control(spark, sf):
+    pick = lambda k: a.table(spark, sf, "part").where(F.col("p_partkey") % 3 == k).select(a.probe_name(F.col("p_partkey")).alias("probe_id"))
+    return qc.bisulfite_control(a.signals(spark, sf), pick(0), pick(1)).select("sample_id", r6("gct"))
+
+
 # ---- sets on betas
 
 

@@ -84,10 +84,15 @@ def bead_rows(files: DataFrame) -> DataFrame:
 
 def beads(spark: SparkSession, path: str) -> DataFrame:
     """(sample_id, address, g, r, gn, rn) of the complete pairs; the sample is the file name's prefix."""
-    pairs = files(spark, path).join(F.broadcast(prefixes(spark, path)), "prefix", "left_semi")  # a row a sample
+    return pair_beads(files(spark, path).join(F.broadcast(prefixes(spark, path)), "prefix", "left_semi"))  # a row a sample
+
+
+def pair_beads(pairs: DataFrame) -> DataFrame:
+    """Beads that both files (prefix, channel, content) of a sample hold; a pair with a damaged file has none."""
     rows = bead_rows(pairs).where("error IS NULL").withColumn("sample_id", F.element_at(F.split("prefix", "/"), -1))
     of = lambda c, v: F.max(F.when(F.col("channel") == c, F.col(v)))
-    return rows.groupBy("sample_id", "address").agg(of("Grn", "mean").alias("g"), of("Red", "mean").alias("r"), of("Grn", "beads").alias("gn"), of("Red", "beads").alias("rn"))
+    both = rows.groupBy("sample_id", "address").agg(of("Grn", "mean").alias("g"), of("Red", "mean").alias("r"), of("Grn", "beads").alias("gn"), of("Red", "beads").alias("rn"))
+    return both.dropna(subset=["g", "r"])
 
 
 def infer_platform(beads: DataFrame, signatures: DataFrame) -> DataFrame:
@@ -102,14 +107,28 @@ def infer_platform(beads: DataFrame, signatures: DataFrame) -> DataFrame:
     return all_.select("sample_id", F.when(F.col("n") >= F.col("least"), F.col("platform")).alias("platform"))
 
 
-def to_signals(beads: DataFrame, manifest: DataFrame, min_beads: int | None = 1) -> DataFrame:
+def sample_platforms(beads: DataFrame, signatures: DataFrame | None = None, platform: str | None = None) -> DataFrame:
+    """(sample_id, platform): ``platform`` for all samples if given, else inferred from signature addresses."""
+    if platform is not None:
+        return beads.select("sample_id").distinct().withColumn("platform", F.lit(platform))
+    if signatures is None:
+        raise ValueError("give a platform, or the platforms' signature addresses")
+    return infer_platform(beads, signatures)
+
+
+def to_signals(beads: DataFrame, manifest: DataFrame, min_beads: int | None = 1, platforms: DataFrame | None = None) -> DataFrame:
     """Signals of every manifest probe: type I reads two addresses, type II one.
 
     A probe is masked if a bead count it uses is missing or below ``min_beads``, or if the
-    manifest masks it. Two left equi-joins on (sample, address).
+    manifest masks it. Two left equi-joins on (sample, address). With ``platforms``
+    (sample_id, platform) a sample takes its own platform's part of the manifest; a sample
+    without a platform gives no rows (``folder_status`` names it).
     """
-    ids = beads.select("sample_id").distinct().agg(F.collect_set("sample_id").alias("__ids"))
-    grid = manifest.join(F.broadcast(ids)).withColumn("sample_id", F.explode("__ids")).drop("__ids")  # one row
+    if platforms is not None:
+        grid = manifest.join(platforms, "platform").drop("platform")
+    else:
+        ids = beads.select("sample_id").distinct().agg(F.collect_set("sample_id").alias("__ids"))
+        grid = manifest.join(F.broadcast(ids)).withColumn("sample_id", F.explode("__ids")).drop("__ids")  # one row
     m, u = (beads.select("sample_id", F.col("address").cast("long").alias(f"addr_{s}"), *(F.col(c).alias(f"{s}_{c}") for c in ("g", "r", "gn", "rn"))) for s in "mu")
     rows = grid.join(u, ["sample_id", "addr_u"], "left").join(m, ["sample_id", "addr_m"], "left")
     one = F.col("col").isNotNull()
@@ -170,3 +189,17 @@ def read_controls(beads: DataFrame, controls: DataFrame) -> DataFrame:
 def file_status(files: DataFrame) -> DataFrame:
     """(prefix, status, error): a row a sample; a damaged file fails its own sample only."""
     return bead_rows(files).groupBy("prefix").agg(F.max("error").alias("error")).select("prefix", F.when(F.col("error").isNull(), "ok").otherwise("failed").alias("status"), "error")
+
+
+def folder_status(spark: SparkSession, path: str, platforms: DataFrame | None = None) -> DataFrame:
+    """(sample_id, status, error) of every sample in a folder: ok, failed (damaged), incomplete or no platform.
+
+    A sample that is not ok fails alone; the others go on.
+    """
+    name = F.element_at(F.split("prefix", "/"), -1).alias("sample_id")
+    have = files(spark, path).groupBy("prefix").agg(F.countDistinct("channel").alias("n"), F.count("*").alias("all"))
+    rows = have.join(file_status(files(spark, path)), "prefix").select(name, "n", "all", "status", "error")
+    rows = rows.join(platforms, "sample_id", "left") if platforms is not None else rows.withColumn("platform", F.lit(""))
+    whole = (F.col("n") == 2) & (F.col("all") == 2)
+    status = F.when(F.col("status") == "failed", "failed").when(~whole, "incomplete").when(F.col("platform").isNull(), "no platform").otherwise("ok")
+    return rows.select("sample_id", status.alias("status"), "error")

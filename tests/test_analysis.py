@@ -183,6 +183,33 @@ def test_sex_strain_and_mixture(spark):
     assert got["x"] == pytest.approx(0.7, abs=0.1) and got["y"] == pytest.approx(0.3, abs=0.1)
 
 
+def test_mixture_with_an_unknown_part_against_a_grid(spark):
+    rng = np.random.default_rng(4)
+    g, g0 = rng.random((150, 2)), rng.integers(0, 2, 150)
+    y = 0.5 * g[:, 0] + 0.2 * g[:, 1] + 0.3 * g0 + rng.normal(0, 0.01, 150)
+    refs = spark.createDataFrame([(c, f"p{i}", float(g[i, k])) for k, c in enumerate("xy") for i in range(150)], "cell string, probe_id string, beta double")
+    mix = spark.createDataFrame([("s", f"p{i}", float(v)) for i, v in enumerate(y)], "sample_id string, probe_id string, beta double")
+    out = infer.cell_mixture(mix, refs, ["x", "y"])
+    got = {r.cell: r for r in out.collect()}
+    grid = [np.array([a, b, 100 - a - b]) / 100 for a in range(101) for b in range(101 - a)]
+    least = min(sum(min(abs(r), abs(r - f[2])) if r >= f[2] / 2 else abs(r) for r in (y - g @ f[:2]).tolist()) for f in grid)
+    assert got["x"].error <= least * 1.05 and sum(r.fraction for r in got.values()) == pytest.approx(1)
+    assert [got[c].fraction for c in ("x", "y", "unknown")] == pytest.approx([0.5, 0.2, 0.3], abs=0.03)
+    state = {r.probe_id: r.state for r in infer.unknown_state(mix, refs, out.select("sample_id", "cell", "fraction")).collect()}
+    assert sum(state[f"p{i}"] == v for i, v in enumerate(g0.tolist())) >= 149
+
+
+def test_set_groups(spark):
+    rows = [("KYCG.A.gene", "g1", "p1"), ("KYCG.B.gene", "g2", "p1"), ("KYCG.B.tissue", "t1", "p2")]
+    members = spark.createDataFrame(rows, "group string, dbname string, probe_id string")
+    assert {r.dbname for r in sets.find_groups(members, platform="B").collect()} == {"g2", "t1"}
+    assert {r.dbname for r in sets.take_groups(members, ["KYCG.B.tissue"]).collect()} == {"t1"}
+    with pytest.raises(ValueError):
+        sets.take_groups(members, ["KYCG.B.tissue", "none"])
+    with pytest.raises(ValueError):
+        sets.universe(members.withColumn("platform", F.lit("A")), "B")
+
+
 SIGNALS = "sample_id string, probe_id string, mg double, mr double, ug double, ur double, col string, mask boolean"
 
 

@@ -56,6 +56,22 @@ def test_platform(spark, folder):
     assert {r.platform for r in idat.infer_platform(idat.beads(spark, folder), sig).collect()} == {"A"}
 
 
+def test_platform_override_and_status(spark, folder, tmp_path):
+    manifest = spark.createDataFrame([("A", "cg1", 2, 1, "G", False), ("B", "cg2", None, 3, None, False)], "platform string, probe_id string, addr_m long, addr_u long, col string, mask boolean")
+    sig = spark.createDataFrame([("A", i) for i in range(1, 11)] + [("B", i) for i in range(900, 915)], "platform string, address int")
+    probes = lambda **o: {(r.sample_id, r.probe_id) for r in prep.run_folder(spark, folder, manifest, "0", **o).collect()}
+    assert probes(signatures=sig) == {("1_R01", "cg1"), ("2_R01", "cg1")} and probes(platform="B") == {("1_R01", "cg2"), ("2_R01", "cg2")}
+    with pytest.raises(ValueError):
+        probes()
+    open(f"{folder}/sub/2_R01_Grn.idat", "wb").write(b"IDATnonsense")
+    out = str(tmp_path / "fs")
+    status = {r.sample_id: r.status for r in prep.folder_to_file_set(spark, folder, out, manifest, "0", signatures=sig).collect()}
+    assert status == {"1_R01": "ok", "2_R01": "failed", "lone": "incomplete"}
+    assert {r.sample_id for r in tables.read_file_set(spark, out).collect()} == {"1_R01"}
+    unknown = idat.infer_platform(idat.beads(spark, folder), sig.where("platform = 'B'"))
+    assert {r.status for r in idat.folder_status(spark, folder, unknown).where("sample_id = '1_R01'").collect()} == {"no platform"}
+
+
 def test_deidentify_round_trip(spark, folder):
     files = idat.files(spark, folder)
     secret = [3, 8, 9, 20, 33]
