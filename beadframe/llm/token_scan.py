@@ -23,7 +23,7 @@ from .common import scratch_path
 from .tokens import closed, encoder, slices
 
 #: Ids of a block; bytes of text of a line (a longer text is a line of its own); lines of a file.
-END, BLOCK, LINE_BYTES, LINES = 49407, 1 << 16, 1 << 20, 16
+END, BLOCK, LINE_BYTES, LINES = 49407, 1 << 16, 1 << 18, 64
 PART = r"part-(\d+)-.*?(?:-c(\d+))?\.\w+$"
 
 
