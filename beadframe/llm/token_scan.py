@@ -24,7 +24,7 @@ from .tokens import closed, encoder, slices
 
 #: Ids of a block; bytes of text of a line (a longer text is a line of its own); lines of a file.
 END, BLOCK, LINE_BYTES, LINES = 49407, 1 << 16, 1 << 18, 64
-PART = r"part-(\d+)-.*?(?:-c(\d+))?\.\w+$"
+PART = r"part-(\d+)-.*?(?:[-.]c(\d+))?\.\w+$"
 
 
 def write_flat(docs: DataFrame, path: str, text: str = "text", id: str = "doc_id", end: int = END, vocabulary: str | None = None, lines: int = LINES) -> None:

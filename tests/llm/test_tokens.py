@@ -115,3 +115,12 @@ def test_equal_rows_are_spread_over_parts(spark):
     df = spark.range(0, 40_000, 1, 4).selectExpr("cast(null as long) as doc_id", "cast(null as string) as text")
     sizes = [r["count"] for r in t.tokenised(df).groupBy("part").count().collect()]
     assert sum(sizes) == 40_000 and max(sizes) < 20_000
+
+
+def test_files_of_a_part_keep_their_turns(spark, tmp_path):
+    df = spark.createDataFrame([(i, "word " * (70_000 if i % 2 else 2)) for i in range(5)], "doc_id long, text string").coalesce(1)
+    token_scan.write_flat(df, str(tmp_path / "f"), lines=1)
+    found = token_scan.files(spark, str(tmp_path / "f")).where("kind = 'ids'")
+    assert found.select("turn").distinct().count() == found.count() > 2
+    got = token_scan.joined(spark, str(tmp_path / "f")).orderBy("ordinal").collect()
+    assert [(r.doc_id, r.n_tokens) for r in got] == [(i, 70_000 if i % 2 else 2) for i in range(5)]
