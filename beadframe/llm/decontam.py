@@ -5,11 +5,14 @@ Items are partitioned by size (powers of two); for each size class present, a do
 is covered by overlapping windows of twice that size, so that an item contained in the
 document has a Jaccard similarity of about 0.2 or more with some window. A window whose
 signature agrees with an item's in one of 64 positions makes the document a candidate:
-an item with containment 0.8 is missed with probability below 2e-6. A candidate's
-shingles are then joined with the items' by their text, and the exact share of an
-item's distinct shingles decides.
+an item with containment 0.8 in one passage is missed with probability below 2e-6.
 
-What executors get of the benchmark are two bitmaps of fixed size, whatever its size; a
+A candidate's shingles are then joined with the items' by their text, and the exact share
+of an item's distinct shingles decides. A document that holds that share of an item's
+shingles holds one of its few rarest, so pairs come from those only: a phrase that many
+items and documents share makes no pairs. Joins by a shingle or an item are salted.
+
+What executors get of the benchmark are two bitmaps, sized by its rows up to 32 MB each; a
 fuller bitmap lets more rows through to the join and loses none.
 """
 
@@ -20,11 +23,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import free_names, materialise, worker_cache
 from .simhash import LOWER
 
-SHINGLE, CONTAINMENT, PERMUTATIONS, FILTER_BITS = 5, 0.8, 64, 22
+SHINGLE, CONTAINMENT, PERMUTATIONS, SALTS = 5, 0.8, 64, 32
+#: A filter has 2**LEAST_BITS to 2**MOST_BITS bits: 64 a value, as far as that goes.
+LEAST_BITS, MOST_BITS = 22, 28
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -89,20 +95,24 @@ def scrambled(values: np.ndarray, size: int = 0, at: np.ndarray | int = 0) -> np
         return x
 
 
-def slots(x: np.ndarray, probe: int) -> np.ndarray:
-    return (x >> np.uint64(64 - FILTER_BITS - 20 * probe)).astype(np.int64) & ((1 << FILTER_BITS) - 1)
+def filter_bits(values: int) -> int:
+    return min(max((64 * values).bit_length(), LEAST_BITS), MOST_BITS)
+
+
+def slots(x: np.ndarray, probe: int, bits: int) -> np.ndarray:
+    return (x >> np.uint64((64 - bits) // 2 * (2 - probe))).astype(np.int64) & ((1 << bits) - 1)
 
 
-def all_slots(x: np.ndarray) -> np.ndarray:
-    return np.concatenate([slots(x, p) for p in range(3)])
+def all_slots(x: np.ndarray, bits: int) -> np.ndarray:
+    return np.concatenate([slots(x, p, bits) for p in range(3)], axis=None)
 
 
 def present(bits: np.ndarray, values: np.ndarray, size: int = 0, at: np.ndarray | int = 0) -> np.ndarray:
     """Places (in flat order) of the values that have all three bits in a filter."""
     x = scrambled(values, size, at).ravel()
-    found = np.arange(len(x))
+    found, width = np.arange(len(x)), (8 * len(bits)).bit_length() - 1
     for probe in range(3):
-        p = slots(x[found] if probe else x, probe)
+        p = slots(x[found] if probe else x, probe, width)
         found = found[(bits[p >> 3] >> (p & 7) & 1).astype(bool)]
         if not len(found):
             break
@@ -139,7 +149,13 @@ def words_of(text: str | None) -> bytes:
     return b" ".join((text or "").encode("utf-8", "replace").translate(LOWER).split())
 
 
-def item_shingles(items: DataFrame, text: str, id: str) -> DataFrame:
+def item_rows(items: DataFrame, text: str, id: str) -> DataFrame:
+    """(item_id, item_mark, text): an item each, those equal in id and text once."""
+    body = F.col(text).cast("string")
+    return items.select(F.col(id).cast("long").alias("item_id"), text_mark(text).alias("item_mark"), body.alias("text")).distinct()
+
+
+def item_shingles(rows: DataFrame) -> DataFrame:
     """(item_id, item_mark, n, size, h, shingle): an item's distinct shingles."""
 
     def run(batches):
@@ -154,34 +170,45 @@ def item_shingles(items: DataFrame, text: str, id: str) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=names)
 
-    rows = items.select(F.col(id).cast("long"), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))), F.col(text).cast("string")).distinct()
     return rows.mapInArrow(run, "item_id long, item_mark long, n long, size long, h long, shingle string")
 
 
-def filters(shingles: DataFrame) -> tuple[list[int], np.ndarray, np.ndarray]:
-    """Size classes and the two bitmaps (signatures, shingles), of 2**FILTER_BITS bits each."""
+def filters(rows: DataFrame, shingles: DataFrame) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """Size classes and the two bitmaps (signatures, shingles)."""
+    known = shingles.groupBy("size").agg(F.sum(1 / F.col("n")).alias("items"), F.count("*").alias("shingles")).collect()  # at most 64 powers of two
     mult = multipliers()
+    of_items, of_shingles = filter_bits(PERMUTATIONS * round(sum(r["items"] for r in known))), filter_bits(sum(r["shingles"] for r in known))
 
-    def run(pdf):
-        import pandas as pd
+    def signatures(batches):
+        for b in batches:
+            for t in b.column(2):
+                h = np.unique(shingle_hashes(words_of(t.as_py()))[0])
+                if len(h):
+                    low = segment_minima(h, len(h), mult)[:, 0]
+                    found = scrambled(low, size_class(len(h)), np.arange(len(mult)))
+                    yield pa.RecordBatch.from_arrays([pa.array(all_slots(found, of_items))], names=["bit"])
+
+    def singles(batches):
+        for b in batches:
+            h = b.column(0).to_numpy(zero_copy_only=False).astype("<i8").view("<u8")
+            yield pa.RecordBatch.from_arrays([pa.array(all_slots(scrambled(h), of_shingles))], names=["bit"])
 
-        with np.errstate(over="ignore"):
-            low = (pdf["h"].to_numpy("i8").view("<u8")[None, :] * mult[:, None]).min(axis=1)
-        return pd.DataFrame({"bit": all_slots(scrambled(low, int(pdf["size"].iloc[0]), np.arange(len(mult))))})
+    def bitmap(df: DataFrame, bits: int) -> np.ndarray:
+        """Spark packs stretches of 2**15 bits, so at most 2**bits / 8 bytes reach the driver."""
+        packed = df.groupBy(F.shiftright("bit", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("bit").bitwiseAND(32767)).alias("bits"))
+        out = np.zeros((1 << bits) // 8, np.uint8)
+        for r in packed.toLocalIterator():
+            out[r["part"] * 4096 : r["part"] * 4096 + 4096] = np.frombuffer(r["bits"], np.uint8)
+        return out
 
-    def bitmap(df: DataFrame) -> np.ndarray:
-        out = np.zeros(1 << FILTER_BITS, bool)
-        out[df.distinct().toPandas()["bit"].to_numpy(np.int64)] = True  # at most 2**FILTER_BITS rows
-        return np.packbits(out, bitorder="little")
+    return sorted(r["size"] for r in known), bitmap(rows.mapInArrow(signatures, "bit long"), of_items), bitmap(shingles.select("h").mapInArrow(singles, "bit long"), of_shingles)
 
-    def bit_of(batches):
-        for b in batches:
-            h = b.column(0).to_numpy(zero_copy_only=False).astype("<i8").view("<u8")
-            yield pa.RecordBatch.from_arrays([pa.array(all_slots(scrambled(h)))], names=["bit"])
 
-    signatures = shingles.groupBy("item_id", "item_mark").applyInPandas(run, "bit long")
-    sizes = sorted(r[0] for r in shingles.select("size").distinct().collect())  # at most 64 powers of two
-    return sizes, bitmap(signatures), bitmap(shingles.select("h").mapInArrow(bit_of, "bit long"))
+def salted(many: DataFrame, few: DataFrame, key: str) -> DataFrame:
+    """``many`` joined with ``few`` by ``key``; the rows of a key in ``many`` are dealt over SALTS parts by document."""
+    left = many.withColumn("__salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)))
+    right = few.withColumn("__salt", F.explode(F.sequence(*(F.lit(x).cast("long") for x in (0, SALTS - 1)))))
+    return left.join(right, [key, "__salt"]).drop("__salt")
 
 
 def contained_items(docs: DataFrame, items: DataFrame, text: str = "text", id: str = "doc_id", item_text: str = "text", item_id: str = "item_id", containment: float = CONTAINMENT) -> DataFrame:
@@ -193,8 +220,9 @@ def contained_items(docs: DataFrame, items: DataFrame, text: str = "text", id: s
     never match. Items equal in id and text count once. Null ids stay null. Empty tables
     give an empty result.
     """
-    shingles = materialise(item_shingles(items, item_text, item_id), "decontam-items")
-    sizes, sig_bits, own_bits = filters(shingles)
+    listed = item_rows(items, item_text, item_id)
+    shingles = materialise(item_shingles(listed), "decontam-items")
+    sizes, sig_bits, own_bits = filters(listed, shingles)
     mult = multipliers()
 
     def run(batches):
@@ -213,12 +241,18 @@ def contained_items(docs: DataFrame, items: DataFrame, text: str = "text", id: s
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array(found, pa.string())], names=["doc_id", "mark", "shingle"])
 
     rows = docs.select(F.col(id).cast("long"), text_mark(text), F.col(text).cast("string"))
-    hits = rows.mapInArrow(run, "doc_id long, mark long, shingle string").distinct()
-    pairs = hits.join(shingles.select("item_id", "item_mark", "n", "shingle"), "shingle")
-    shared = pairs.groupBy("doc_id", "mark", "item_id", "item_mark", "n").agg(F.count("*").alias("n_shared"))
-    share = F.col("n_shared") / F.col("n")
-    out = shared.where(share >= containment)
-    return out.select("doc_id", "mark", "item_id", "n_shared", F.col("n").alias("n_item"), share.alias("containment"))
+    hits = materialise(rows.mapInArrow(run, "doc_id long, mark long, shingle string").distinct(), "decontam-shared")
+    hits = hits.select(F.struct("doc_id", "mark").alias("doc"), "shingle")
+    own = shingles.select(F.struct("item_id", "item_mark", "n").alias("item"), "shingle")
+    met = own.join(hits.groupBy("shingle").agg(F.count("*").alias("docs")), "shingle", "left")
+    turn = F.row_number().over(W.partitionBy("item").orderBy(F.coalesce("docs", F.lit(0)), "shingle"))
+    most_missing = F.col("item.n") - F.floor(F.col("item.n") * F.lit(containment))
+    rare = met.withColumn("turn", turn).where((F.col("turn") <= most_missing + 1) & F.col("docs").isNotNull()).select("item", "shingle")
+    pairs = salted(hits, rare, "shingle").select("doc", "item").distinct()
+    shared = salted(pairs, own, "item").join(hits, ["doc", "shingle"]).groupBy("doc", "item").agg(F.count("*").alias("n_shared"))
+    share = F.col("n_shared") / F.col("item.n")
+    found = shared.where(share >= containment)
+    return found.select("doc.doc_id", "doc.mark", "item.item_id", "n_shared", F.col("item.n").alias("n_item"), share.alias("containment"))
 
 
 def text_mark(text: str):

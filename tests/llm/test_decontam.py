@@ -53,6 +53,26 @@ def test_edges(spark):
     assert got(spark, [], items) == set() and got(spark, docs, []) == set()
 
 
+def test_phrase_of_all_items_and_documents(spark):
+    phrase = "choose the one best answer to this question"
+    items = [(i, f"{phrase} " + " ".join(f"i{i}w{k}" for k in range(20))) for i in range(60)]
+    docs = [(i, f"{phrase} d{i} " + " ".join(f"x{i}y{k}" for k in range(i % 9))) for i in range(200)]
+    docs += [(1000 + i, "before " + items[i][1] + " after") for i in range(0, 60, 7)] + [(2000, " ".join(x for _, x in items))]
+    assert got(spark, docs, items) == brute(docs, items) != set()
+
+
+def test_filters_of_any_size_hold_their_values():
+    import numpy as np
+
+    x = d.scrambled(np.random.default_rng(1).integers(0, 2**63, 4000, dtype=np.uint64))
+    for width in (d.LEAST_BITS, 25, d.MOST_BITS):
+        bits = np.zeros(1 << width, bool)
+        bits[d.all_slots(x[:2000], width)] = True
+        found = d.present(np.packbits(bits, bitorder="little"), np.random.default_rng(1).integers(0, 2**63, 4000, dtype=np.uint64))
+        assert set(range(2000)) <= set(found.tolist()) and len(found) < 2020
+    assert d.filter_bits(0) == d.LEAST_BITS and d.filter_bits(10**9) == d.MOST_BITS and 2 ** d.filter_bits(10**6) >= 64 * 10**6
+
+
 def test_removal(spark):
     docs = spark.createDataFrame([(1, "a b c d e f", 1), (1, "other text that is clean", 2), (None, "x a b c d e", 3), (None, None, 4)], "doc_id long, text string, mark int")
     items = spark.createDataFrame([(1, "a b c d e")], "item_id long, text string")
