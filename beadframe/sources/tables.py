@@ -82,10 +82,10 @@ def read_file_set(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("probe_id string, beta float, sample_id string").parquet(path)
 
 
-def slice_file_set(store: DataFrame, samples: list[str], probes: DataFrame, most: int = 100_000) -> DataFrame:
-    """Betas of some samples (partitions are pruned) and probes; refused beyond ``most`` cells."""
+def slice_file_set(store: DataFrame, samples: list[str], probes: DataFrame, most: int | None = 100_000) -> DataFrame:
+    """Betas of some samples (partitions are pruned) and probes; refused beyond ``most`` cells (None: never)."""
     rows = store.where(F.col("sample_id").isin(*samples)).join(probes.select("probe_id").distinct(), "probe_id", "left_semi")
-    if rows.limit(most + 1).count() > most:
+    if most is not None and rows.limit(most + 1).count() > most:
         raise ValueError(f"the slice has more than {most} cells")
     return rows.select("sample_id", "probe_id", "beta")
 
