@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, line_crf, mixing, page_diff, pii, quality_rules, simhash, token_output, token_scan, warc
+from . import decontam, line_crf, mixing, page_diff, pieces, pii, quality_rules, simhash, token_output, token_scan, warc
 from .common import read_table
 
 
@@ -86,6 +86,15 @@ GROUP BY d.id, i.id, n HAVING count(*) / n >= 0.8
 """.replace("\\\\", "\\")
 
 
+def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pieces.encode(read_table(spark, sf_dir, "documents", "doc_id", "text"), decoded=True)
+    joined = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return found.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"), F.element_at("ends", -1).cast("long").alias("n_bytes"),
+    )
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v) and k[2].isdigit()}
 
