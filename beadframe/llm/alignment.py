@@ -55,11 +55,10 @@ class ByteModel:
         letters, size = byte_letters(), self.tokenizer.get_vocab_size(with_added_tokens=True)
         names = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
         self.surface = [bytes(letters[c] for c in x) if all(c in letters for c in x) else b"" for x in names]
-        self.lengths = [len(x) for x in self.surface]
         self.chunks = ChunkIds(self.segment)
 
-    def segment(self, chunks: list[str]) -> list[tuple[list[int], list[int]]]:
-        return [(e.ids, [self.lengths[i] for i in e.ids]) for e in self.tokenizer.encode_batch(chunks, add_special_tokens=False)]
+    def segment(self, chunks: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
     def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in order, ids of each); null texts have none."""
@@ -71,7 +70,7 @@ class ByteModel:
         starts = (data == 0x20) & ~white
         starts[offsets[:-1][np.diff(offsets) > 0]] = True
         starts = np.flatnonzero(starts)
-        ids, _, sizes = self.chunks.gather(cut(data, starts))
+        ids, sizes = self.chunks.gather(cut(data, starts))
         return ids, per_text(starts, sizes, offsets)
 
 

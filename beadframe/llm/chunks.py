@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -13,39 +14,48 @@ from .tokens import spread
 class ChunkIds:
     """Ids of chunks that a tokenizer never joins across, each distinct one encoded once.
 
-    ``encode`` takes distinct chunks and gives the ids and the byte length of every piece.
-    At ``most`` chunks all are forgotten, so memory stays bounded.
+    At ``most`` chunks, those met in a single batch are forgotten, and all if that leaves
+    too many, so memory stays bounded.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[tuple[list[int], list[int]]]], most: int = 400_000):
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 400_000):
         self.encode, self.most = encode, most
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.ids = self.bytes = np.zeros(0, np.int32)
+        self.ids = np.zeros(0, np.int32)
         self.starts = self.sizes = np.zeros(0, np.int64)
-
-    def gather(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids of all chunks in order, byte length of each piece, pieces of each chunk)."""
+        self.met = np.zeros(0, np.int32)
+
+    def forget(self) -> None:
+        kept = self.met > 1
+        if kept.sum() > self.most // 2:
+            return self.clear()
+        number, sizes = np.cumsum(kept) - 1, self.sizes[kept]
+        self.known = {x: int(number[i]) for x, i in self.known.items() if kept[i]}
+        self.ids = self.ids[spread(self.starts[kept], sizes)]
+        self.starts, self.sizes, self.met = np.cumsum(sizes) - sizes, sizes, self.met[kept] // 2
+
+    def gather(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all chunks in order, ids of each chunk)."""
         if len(self.known) > self.most:
-            self.clear()
+            self.forget()
         coded = chunks.dictionary_encode()
         names = coded.dictionary.to_pylist()
-        number = np.fromiter((self.known.get(x, -1) for x in names), np.int64, len(names))
+        number = np.fromiter(map(self.known.get, names, repeat(-1)), np.int64, len(names))
         if len(new := np.flatnonzero(number < 0)):
-            got = self.encode(fresh := [names[i] for i in new])
-            sizes = np.fromiter((len(x[0]) for x in got), np.int64, len(got))
+            got = self.encode(fresh := [names[i] for i in new.tolist()])
+            sizes = np.fromiter(map(len, got), np.int64, len(got))
             number[new] = np.arange(len(self.known), len(self.known) + len(new))
             self.known.update(zip(fresh, number[new].tolist()))
             self.starts = np.append(self.starts, len(self.ids) + np.cumsum(sizes) - sizes)
-            self.sizes = np.append(self.sizes, sizes)
-            self.ids = np.append(self.ids, np.array([i for x in got for i in x[0]], np.int32))
-            self.bytes = np.append(self.bytes, np.array([n for x in got for n in x[1]], np.int32))
+            self.sizes, self.met = np.append(self.sizes, sizes), np.append(self.met, np.zeros(len(new), np.int32))
+            self.ids = np.append(self.ids, np.fromiter(chain.from_iterable(got), np.int32, int(sizes.sum())))
+        self.met[number] += 1
         number = number[coded.indices.to_numpy()]
         sizes = self.sizes[number]
-        places = spread(self.starts[number], sizes)
-        return self.ids[places], self.bytes[places], sizes
+        return self.ids[spread(self.starts[number], sizes)], sizes
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

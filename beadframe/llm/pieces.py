@@ -6,22 +6,19 @@ the longest key at each place and records where every normalised byte came from;
 are then found in the normalised text by the library, with a copy of the model whose own
 normaliser is switched off, and each piece's bytes are projected to the original through
 that record. Texts are normalised a slice at a time in numpy.
-
-Where no piece of a BPE model has a space mark after another character, merges never cross
-the begin of a space run, so a text's pieces are those of its chunks, and each distinct
-chunk is encoded once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import ChunkIds, cut, per_text, text_bytes
+from .chunks import cut, text_bytes
 from .common import worker_cache
 from .tokens import slices
 
@@ -31,7 +28,7 @@ SPACE, MARK_BYTES = 0x20, np.frombuffer(MARK.encode(), np.uint8)
 
 # Field numbers of the model file.
 TRAINER_SPEC, NORMALIZER_SPEC, SELF_TEST = 2, 3, 4
-MODEL_TYPE, AS_SUFFIX, BPE = 3, 24, 2
+AS_SUFFIX = 24
 CHARSMAP, DUMMY_PREFIX, REMOVE_EXTRA, ESCAPE = 2, 3, 4, 5
 
 
@@ -138,19 +135,21 @@ class PieceModel:
         names = [self.library.id_to_piece(i) for i in range(n)]
         self.unknown, self.end = self.library.unk_id(), self.library.eos_id()
         #: Bytes of each piece in normalised text.
-        self.lengths = [1 if self.library.is_byte(i) else len(x.encode()) for i, x in enumerate(names)]
+        self.lengths = np.array([1 if self.library.is_byte(i) else len(x.encode()) for i, x in enumerate(names)], np.int64)
         #: What each piece stands for in a text.
         self.surface = [bytes([int(x[3:5], 16)]) if self.library.is_byte(i) else x.replace(MARK, " ").encode() for i, x in enumerate(names)]
-        self.local = trainer.get(MODEL_TYPE, 1) == BPE and self.escape and not any(MARK in x.lstrip(MARK) for x in names)
-        self.chunks = ChunkIds(self.segment)
-
-    def segment(self, chunks: list[str]) -> list[tuple[list[int], list[int]]]:
-        """(ids, byte lengths) of normalised chunks."""
-        out = []
-        for chunk, ids in zip(chunks, self.segmenter.encode(chunks, num_threads=1)):
-            known = self.unknown not in ids
-            out.append((ids, [self.lengths[i] for i in ids] if known else [len(x.encode()) for x in self.segmenter.encode(chunk, out_type=str)]))
-        return out
+
+    def segment(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of normalised texts, byte length of each one's piece, ids of each text)."""
+        lists = self.segmenter.encode(texts, num_threads=1)
+        counts = np.fromiter(map(len, lists), np.int64, len(lists))
+        ids = np.fromiter(chain.from_iterable(lists), np.int32, int(counts.sum()))
+        sizes = self.lengths[ids]
+        # An unknown piece is as long as what it stands for.
+        for i in np.unique(np.repeat(np.arange(len(lists)), counts)[ids == self.unknown]).tolist():
+            end = int(counts[: i + 1].sum())
+            sizes[end - counts[i] : end] = [len(x.encode()) for x in self.segmenter.encode(texts[i], out_type=str)]
+        return ids, sizes, counts
 
     def normalise(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(normalised bytes, the original place of each, offsets of texts in both); places are of the slice.
@@ -196,16 +195,7 @@ class PieceModel:
         within one replacement share its span's begin, all but the last being empty.
         """
         out, source, bounds, offsets = self.normalise(texts)
-        first = bounds[:-1][np.diff(bounds) > 0]
-        if self.local:
-            marks = np.append(np.zeros(3, bool), mark_starts(out))
-            starts = marks[3:] & ~marks[: len(out)]
-            starts[first] = True
-            starts = np.flatnonzero(starts)
-        else:
-            starts = first
-        ids, size, pieces = self.chunks.gather(cut(out, starts))
-        counts = per_text(starts, pieces, bounds)
+        ids, size, counts = self.segment(cut(out, bounds[:-1]).to_pylist())
         ends = np.cumsum(size)
         # A piece ends where the next one's first byte comes from; a text's last piece, at the text's end.
         stops = np.append(source, 0)[ends]
@@ -290,7 +280,8 @@ def encode(docs: DataFrame, text: str = "text", id: str = "doc_id", vocabulary:
                     counts = counts + 1
                 columns = [b.column(0).slice(at, n), *(list_array(x, counts, pa.int32()) for x in (ids, begins, ends))]
                 if decoded:
-                    columns.append(pa.array(pieces.decode(columns[1].to_pylist()), pa.string()))
+                    flat, stops = ids.tolist(), np.append(0, np.cumsum(counts)).tolist()
+                    columns.append(pa.array(pieces.decode([flat[i:j] for i, j in zip(stops, stops[1:])]), pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in shape.split(", ")])
 
     rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(run, shape)

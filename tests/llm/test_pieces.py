@@ -60,10 +60,6 @@ def test_longest_prefixes_of_compiled_maps(rule, remove):
         assert [len(text.encode()[: source[k] - offsets[i]].decode()) for k in heads] == at[:-1]
 
 
-def test_chunks_cover_what_the_model_never_joins():
-    assert p.PieceModel(PATH).local
-
-
 def test_encode_table(spark):
     texts = some_texts(60, 3)
     rows = [(None if i == 5 else i // 2, t, "z", 1.5, i) for i, t in enumerate(texts)]
