@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, decontam, line_crf, mixing, page_diff, pieces, pii, quality_rules, simhash, token_output, token_scan, warc
+from . import alignment, decontam, line_crf, mixing, page_diff, pieces, pii, prefix_trie, quality_rules, simhash, token_output, token_scan, warc
 from .common import read_table
 
 
@@ -86,6 +86,10 @@ GROUP BY d.id, i.id, n HAVING count(*) / n >= 0.8
 """.replace("\\\\", "\\")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
