@@ -30,7 +30,7 @@ from .tokens import slices, spread
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Bytes of text that are aligned at once (a longer text is aligned alone).
-SLICE = 1 << 21
+SLICE = 1 << 20
 
 
 def byte_letters() -> dict[str, int]:
@@ -55,7 +55,7 @@ class ByteModel:
         letters, size = byte_letters(), self.tokenizer.get_vocab_size(with_added_tokens=True)
         names = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
         self.surface = [bytes(letters[c] for c in x) if all(c in letters for c in x) else b"" for x in names]
-        self.chunks = ChunkIds(self.segment)
+        self.chunks = ChunkIds(self.segment, 200_000)
 
     def segment(self, chunks: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
@@ -208,6 +208,9 @@ def batches_of(docs: DataFrame, text: str = "text", id: str = "doc_id", a: str |
                            *(list_array(x, np.array([len(x)]), k) for x, k in zip(lists, kinds))]
                 yield pa.RecordBatch.from_arrays(columns, names=["batch", "width", "docs", "pairs", "counts", "doc", "code", "n"])
                 number += 1
+        # An idle worker keeps neither chunks nor buffers.
+        both.a.chunks.clear()
+        pa.default_memory_pool().release_unused()
 
     return materialise(light(docs, text, id).mapInArrow(run, BATCHES), "aligned-batches")
 
@@ -241,27 +244,23 @@ def align(docs: DataFrame, text: str = "text", id: str = "doc_id", a: str | None
     whatever their names, and an empty table gives an empty result.
     """
 
-    def run(batches):
-        for batch in batches:
-            for row in (batch.slice(i, 1) for i in range(len(batch))):
-                rows = row.column(1).flatten()
-                need = row.column(5).flatten()
-                codes, totals, best = (need.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-                total, top = np.zeros(len(codes), np.int64), np.zeros(len(codes), np.int64)
-                total[codes], top[codes] = totals, best
-                doc, code, n = (row.column(i).flatten().to_numpy() for i in (2, 3, 4))
-                sums = pa.table({"doc": doc, "best": n * top[code], "sum": n * total[code]}).group_by("doc", use_threads=False).aggregate([("best", "sum"), ("sum", "sum")])
-                out = np.zeros((2, len(rows)), np.int64)
-                for k, name in enumerate(("best_sum", "sum_sum")):
-                    out[k][sums["doc"].to_numpy()] = sums[name].to_numpy()
-                own = [rows.field(i) for i in range(6)]
-                yield pa.RecordBatch.from_arrays([*own[:5], *map(pa.array, out), own[5]], names=[c.split()[0] for c in RESULT.split(", ")])
+    def run(batch: pa.Table, need: pa.Table) -> pa.Table:
+        rows = batch["docs"].combine_chunks().flatten()
+        codes = need["code"].to_numpy()
+        total, top = np.zeros(len(codes), np.int64), np.zeros(len(codes), np.int64)
+        total[codes], top[codes] = need["total"].to_numpy(), need["best"].to_numpy()
+        doc, code, n = (batch[c].combine_chunks().flatten().to_numpy() for c in ("doc", "code", "n"))
+        sums = pa.table({"doc": doc, "best": n * top[code], "sum": n * total[code]}).group_by("doc", use_threads=False).aggregate([("best", "sum"), ("sum", "sum")])
+        out = np.zeros((2, len(rows)), np.int64)
+        for k, name in enumerate(("best_sum", "sum_sum")):
+            out[k][sums["doc"].to_numpy()] = sums[name].to_numpy()
+        own = [rows.field(i) for i in range(6)]
+        return pa.Table.from_arrays([*own[:5], *map(pa.array, out), own[5]], names=[c.split()[0] for c in RESULT.split(", ")])
 
     batches = batches_of(docs, text, id, a, b)
     counts = materialise(pair_counts(batches).select("pair", F.col("n").alias("total"), "best"), "aligned-counts")
     met = asked(batches).select("batch", "code", "pair").join(counts, "pair")
-    # Bounded by the batch: a value a distinct pair of its texts.
-    need = met.groupBy("batch").agg(F.collect_list(F.struct("code", "total", "best")).alias("need"))
-    none = F.expr("CAST(array() AS array<struct<code: int, total: bigint, best: boolean>>)")
-    joined = batches.drop("pairs", "counts", "width").join(need, "batch", "left").withColumn("need", F.coalesce("need", none))
-    return joined.select("batch", "docs", "doc", "code", "n", "need").mapInArrow(run, RESULT).withColumnRenamed("id", id)
+    # A batch and its distinct pairs, both bounded by the batch's texts, meet in one group.
+    own = batches.select("batch", "docs", "doc", "code", "n")
+    met = met.select(F.col("batch").alias("of"), "code", "total", "best")
+    return own.groupBy("batch").cogroup(met.groupBy("of")).applyInArrow(run, RESULT).withColumnRenamed("id", id)
