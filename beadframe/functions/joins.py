@@ -13,3 +13,15 @@ def small_side(df: DataFrame, most: int = 500_000) -> DataFrame:
     such as a study's covariates.
     """
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def every_sample(rows: DataFrame, samples: DataFrame, blocks: int = 64) -> DataFrame:
+    """``rows`` once for each distinct sample_id of ``samples``.
+
+    Samples are listed in ``blocks`` lists, and the rows of a block are an equi-join, so no
+    task has to hold the list of a large study.
+    """
+    block = F.pmod(F.xxhash64("sample_id"), F.lit(blocks)).cast("int").alias("__block")
+    lists = samples.select("sample_id").distinct().groupBy(block).agg(F.collect_list("sample_id").alias("__ids"))
+    dealt = rows.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return dealt.join(lists, "__block").withColumn("sample_id", F.explode("__ids")).drop("__block", "__ids")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.joins import small_side
+from ..functions.joins import every_sample, small_side
 from ..functions.stats import mode
 from ..functions.windows import mean_rank
 from .signal import collapse_mean
@@ -30,9 +30,7 @@ def predict_age(betas: DataFrame, clock: DataFrame, intercept: float = 0.0, tran
     A missing beta takes its fallback, or is left out without one; fewer than ``least``
     betas give null.
     """
-    ids = betas.select("sample_id").distinct().agg(F.collect_set("sample_id").alias("s"))
-    grid = clock.join(F.broadcast(ids)).withColumn("sample_id", F.explode("s")).drop("s")  # one row
-    rows = grid.join(betas.select("sample_id", "probe_id", "beta"), ["sample_id", "probe_id"], "left")
+    rows = every_sample(clock, betas).join(betas.select("sample_id", "probe_id", "beta"), ["sample_id", "probe_id"], "left")
     value = F.col("slope") * F.coalesce("beta", "na_fallback")
     out = rows.groupBy("sample_id").agg(F.count("beta").alias("n"), F.sum(value).alias("s"))
     age = TRANSFORMS[transform](F.col("s") + intercept)
@@ -129,7 +127,7 @@ def density_mode(df: DataFrame, by: list[str], value: str, out: str = "mode") ->
 def infer_sex(betas: DataFrame, high_in_males: DataFrame, low_in_males: DataFrame, cut: float = 0.4) -> DataFrame:
     """(sample_id, mode, sex): mode of (mean of the first set - each beta of the second) above the cut is MALE."""
     mean = betas.join(high_in_males.select("probe_id"), "probe_id", "left_semi").groupBy("sample_id").agg(F.avg("beta").alias("high"))
-    rows = betas.join(low_in_males.select("probe_id"), "probe_id", "left_semi").join(F.broadcast(mean), "sample_id")  # a row a sample
+    rows = betas.join(low_in_males.select("probe_id"), "probe_id", "left_semi").join(mean, "sample_id")
     modes = density_mode(rows.withColumn("d", F.col("high") - F.col("beta")), ["sample_id"], "d")
     return modes.select("sample_id", "mode", F.when(F.col("mode") > cut, "MALE").when(F.col("mode").isNotNull() & ~F.isnan("mode"), "FEMALE").alias("sex"))
 
@@ -287,9 +285,7 @@ def lift_betas(betas: DataFrame, mapping: DataFrame) -> DataFrame:
     pairs = mapping.where("id_target IS NOT NULL").select("id_source", F.col("id_target").alias("__t"))
     rows = betas.select("sample_id", F.col("probe_id").alias("id_source"), "beta").join(pairs, "id_source")
     found = rows.select("sample_id", F.col("__t").alias("probe_id"), "beta")
-    ids = betas.select("sample_id").distinct().agg(F.collect_set("sample_id").alias("s"))
-    grid = pairs.select(F.col("__t").alias("probe_id")).distinct().join(F.broadcast(ids)).select("probe_id", F.explode("s").alias("sample_id"))  # one row
-    return grid.join(found, ["sample_id", "probe_id"], "left").select("sample_id", "probe_id", "beta")
+    return every_sample(pairs.select(F.col("__t").alias("probe_id")).distinct(), betas).join(found, ["sample_id", "probe_id"], "left").select("sample_id", "probe_id", "beta")
 
 
 def lift_signals(signals: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -297,18 +293,14 @@ def lift_signals(signals: DataFrame, mapping: DataFrame) -> DataFrame:
     names = [c for c in signals.columns if c not in ("sample_id", "probe_id")]
     rows = signals.withColumnRenamed("probe_id", "id_source").join(mapping.where("id_target IS NOT NULL"), "id_source")
     found = rows.select("sample_id", F.col("id_target").alias("probe_id"), *names)
-    ids = signals.select("sample_id").distinct().agg(F.collect_set("sample_id").alias("s"))
     targets = mapping.where("id_target IS NOT NULL").select(F.col("id_target").alias("probe_id")).distinct()
-    grid = targets.join(F.broadcast(ids)).select("probe_id", F.explode("s").alias("sample_id"))  # one row
-    return grid.join(found, ["sample_id", "probe_id"], "left").withColumn("mask", F.coalesce("mask", F.lit(True)))
+    return every_sample(targets, signals).join(found, ["sample_id", "probe_id"], "left").withColumn("mask", F.coalesce("mask", F.lit(True)))
 
 
 def reindex_by_prefix(betas: DataFrame, targets: DataFrame) -> DataFrame:
     """Betas averaged by id prefix, for the given target ids and every sample (null where there is none)."""
     means = collapse_mean(betas)
-    ids = betas.select("sample_id").distinct().agg(F.collect_set("sample_id").alias("s"))
-    grid = targets.select("probe_id").distinct().join(F.broadcast(ids)).select("probe_id", F.explode("s").alias("sample_id"))  # one row
-    return grid.join(means, ["sample_id", "probe_id"], "left").select("sample_id", "probe_id", "beta")
+    return every_sample(targets.select("probe_id").distinct(), betas).join(means, ["sample_id", "probe_id"], "left").select("sample_id", "probe_id", "beta")
 
 
 def two_component_strict(reference: DataFrame, low: float = 0.3, high: float = 0.7) -> DataFrame:

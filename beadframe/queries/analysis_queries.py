@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..operators import copynumber, frames, infer, masks, model, normalize, ranges, sets, signal
+from ..operators import copynumber, frames, infer, masks, model, normalize, ranges, routing, sets, signal
 from ..plans import prep
 from ..sources import adapters as a
 from ..sources import idat, tables
@@ -519,11 +519,87 @@ md AS (SELECT k, any_value(n) AS n, arg_max(g, d) AS mode FROM (SELECT gr.k, n,
 
 @query("SELECT s.sample_id, CASE WHEN n >= 10 THEN round(greatest(0, least(1, mode)), 6) END AS fraction, n FROM md JOIN (SELECT k, k AS sample_id FROM sp) s USING (k)", more="""lk AS (SELECT pk, probe_id, ((pk * 2) % 101)::DOUBLE / 100 AS a, ((pk * 3) % 101)::DOUBLE / 100 AS b FROM probes),
 lp AS (SELECT * FROM (SELECT * FROM lk WHERE a - b > 0 ORDER BY a - b DESC, probe_id LIMIT 1000) UNION ALL SELECT * FROM (SELECT * FROM lk WHERE a - b < 0 ORDER BY a - b, probe_id LIMIT 1000)), """ + _mode("SELECT sample_id AS k, (beta - b) / (a - b) AS x FROM (SELECT pk, sample_id, beta FROM betas) JOIN lp USING (pk) WHERE beta IS NOT NULL"))
-def leukocyte(spark, sf):
+def two_component_share(spark, sf):
     out = infer.two_component_fraction(_betas(spark, sf), infer.two_component_probes(_two_cells(spark, sf), 1000))
     return out.select("sample_id", r6("fraction"), "n")
 
 
+# Leukocyte fractions: markers by the difference of means, a base line by marker from the cohort or 0 and 1.
+_LEUKO = """lk AS (SELECT DISTINCT pf, pk, ((pk * 2) % 101)::DOUBLE / 100 AS l FROM pb),
+tm AS (SELECT pf, pk, any_value(probe_id) AS probe_id, avg(beta) AS t FROM pb GROUP BY 1, 2),
+df AS (SELECT pf, pk, probe_id, l, l - t AS d FROM lk JOIN tm USING (pf, pk) WHERE t IS NOT NULL),
+mk AS (SELECT pf, pk, l, 'high' AS side FROM df QUALIFY row_number() OVER (PARTITION BY pf ORDER BY d DESC, probe_id) <= 1000
+  UNION ALL SELECT pf, pk, l, 'low' FROM df QUALIFY row_number() OVER (PARTITION BY pf ORDER BY d, probe_id) <= 1000),
+nb AS (SELECT pf, count(DISTINCT sample_id) AS samples FROM pb GROUP BY 1),
+bd AS (SELECT pf, pk, side, any_value(l) AS l, CASE WHEN any_value(samples) >= 10 THEN CASE side WHEN 'high' THEN min(beta) ELSE max(beta) END WHEN side = 'high' THEN 0.0 ELSE 1.0 END AS t
+  FROM mk JOIN pb USING (pf, pk) JOIN nb USING (pf) GROUP BY 1, 2, 3),
+"""
+_RATIOS = "SELECT sample_id AS k, (beta - t) / (l - t) AS x FROM pb JOIN bd USING (pf, pk) WHERE beta IS NOT NULL AND l <> t"
+_FRACTION = "SELECT k AS sample_id, CASE WHEN n >= 10 THEN round(mode, 6) END AS fraction, n FROM md"
+
+
+def _leukocyte_betas(spark, sf):
+    return _cells(spark, sf, 1).select("probe_id", F.col("median").alias("beta"))
+
+
+@query(_FRACTION, more="pb AS (SELECT '' AS pf, sample_id, pk, probe_id, beta FROM betas), " + _LEUKO + _mode(_RATIOS))
+def leukocyte(spark, sf):
+    return routing.leukocyte_fraction(_betas(spark, sf), _leukocyte_betas(spark, sf)).select("sample_id", r6("fraction"), "n")
+
+
+# Samples of three platforms by number: T has the ids as they are, V has ids with a suffix (every seventh twice, the second one's betas turned round), N has ids of its own.
+_PLATFORMS = """pb AS (SELECT CASE sid % 3 WHEN 0 THEN 'T' WHEN 1 THEN 'V' ELSE 'N' END AS pf, sample_id, pk, probe_id, beta FROM effect WHERE NOT starts_with(probe_id, 'ctl_'))"""
+
+
+def _three_platforms(spark, sf):
+    """(betas, signatures, mappings) of samples of platforms T, V and N."""
+    pk, kind = F.col("p_partkey"), F.substring("sample_id", 2, 2).cast("int") % 3
+    twice = (F.col("pk") % 7 == 0) & (kind == 1)
+    b = _effect(spark, sf).where("NOT startswith(probe_id, 'ctl_')").withColumn("copy", F.explode(F.when(twice, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
+    name = F.when(kind == 0, F.col("probe_id")).when(kind == 1, F.concat("probe_id", F.lit("_BC1"), "copy")).otherwise(F.concat(F.lit("n"), "probe_id"))
+    b = b.select("sample_id", name.alias("probe_id"), F.when(F.col("copy") == 2, 1 - F.col("beta")).otherwise(F.col("beta")).alias("beta"))
+    ids = a.table(spark, sf, "part").select(a.probe_name(pk).alias("id"), pk.alias("pk")).where("NOT startswith(id, 'ctl_')")
+    other = F.explode(F.when(F.col("pk") % 7 == 0, F.array(F.lit("_BC11"), F.lit("_BC12"))).otherwise(F.array(F.lit("_BC11"))))
+    v = ids.select("id", other.alias("end")).select(F.lit("V").alias("platform"), F.concat("id", "end").alias("probe_id"))
+    signatures = ids.select(F.lit("T").alias("platform"), F.col("id").alias("probe_id")).unionByName(v).unionByName(ids.select(F.lit("N").alias("platform"), F.concat(F.lit("n"), "id").alias("probe_id")))
+    mappings = infer.lift_ids(v.select("probe_id"), ids.select(F.col("id").alias("probe_id")), prefix_only=True, unique=False).withColumn("platform", F.lit("V"))
+    return b, signatures, mappings
+
+
+@query("SELECT DISTINCT sample_id, pf AS platform FROM pb", more=_PLATFORMS)
+def platform_from_ids(spark, sf):
+    b, signatures, _ = _three_platforms(spark, sf)
+    return routing.platform_from_ids(b, signatures)
+
+
+@query("SELECT sample_id, pf AS platform, CASE WHEN pf = 'N' THEN 'n' ELSE '' END || probe_id AS probe_id, round(beta, 6) AS beta FROM pb", more=_PLATFORMS)
+def lift_platforms(spark, sf):
+    b, signatures, mappings = _three_platforms(spark, sf)
+    out = routing.lift_to(b, routing.platform_from_ids(b, signatures), mappings, "T", ("N",))
+    return out.select("sample_id", "platform", "probe_id", r6("beta"))
+
+
+@query("SELECT k AS sample_id, round(mode, 6) AS mode, CASE WHEN mode > 0.4 THEN 'MALE' ELSE 'FEMALE' END AS sex FROM md", more=_PLATFORMS + """,
+hm AS (SELECT sample_id, avg(beta) AS h FROM pb WHERE pk % 50 = CASE WHEN pf = 'N' THEN 2 ELSE 0 END GROUP BY 1), """ + _mode("SELECT sample_id AS k, h - beta AS x FROM pb JOIN hm USING (sample_id) WHERE pk % 50 = CASE WHEN pf = 'N' THEN 3 ELSE 1 END AND beta IS NOT NULL"))
+def sex_platforms(spark, sf):
+    b, signatures, mappings = _three_platforms(spark, sf)
+    pk, parts = F.col("p_partkey"), a.table(spark, sf, "part")
+    pick = lambda t, n: parts.where(pk % 50 == t).select(a.probe_name(pk).alias("probe_id")).unionByName(parts.where(pk % 50 == n).select(F.concat(F.lit("n"), a.probe_name(pk)).alias("probe_id")))
+    out = routing.sex_by_platform(b, routing.platform_from_ids(b, signatures), mappings, pick(0, 2), pick(1, 3), target="T", native=("N",))
+    return out.select("sample_id", r6("mode"), "sex")
+
+
+@query(_FRACTION, more=_PLATFORMS + ", " + _LEUKO + _mode(_RATIOS))
+def leukocyte_platforms(spark, sf):
+    b, signatures, mappings = _three_platforms(spark, sf)
+    own = routing.platform_from_ids(b, signatures)
+    lifted = routing.lift_to(b, own, mappings, "T", ("N",)).select("sample_id", "probe_id", "beta")
+    pk = F.col("p_partkey")
+    refs = a.table(spark, sf, "part").select(F.explode(F.array(*map(F.lit, "TVN"))).alias("platform"), a.probe_name(pk).alias("id"), ((pk * 2) % 101 / 100.0).alias("beta"))
+    refs = refs.select("platform", F.concat(F.when(F.col("platform") == "N", "n").otherwise(""), "id").alias("probe_id"), "beta")
+    return routing.leukocyte_fraction(lifted, refs, own).select("sample_id", r6("fraction"), "n")
+
+
 @query("SELECT k AS sample_id, round(mode, 6) AS mode, CASE WHEN mode > 0 THEN 'MALE' ELSE 'FEMALE' END AS sex FROM md", more=_mode("SELECT sample_id AS k, h - beta AS x FROM (SELECT sample_id, beta FROM effect WHERE pk % 50 = 1 AND beta IS NOT NULL) JOIN (SELECT sample_id, avg(beta) AS h FROM effect WHERE pk % 50 = 0 GROUP BY 1) USING (sample_id)"))
 def sex(spark, sf):
     pk = F.col("p_partkey")

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.joins import every_sample
+
 # Fixed values of the file format: magic, version and field codes.
 MAGIC, VERSION = b"IDAT", 3
 N_BEADS, ADDRESS, SD, MEAN, BEADS = 1000, 102, 103, 104, 107
@@ -127,8 +129,7 @@ def to_signals(beads: DataFrame, manifest: DataFrame, min_beads: int | None = 1,
     if platforms is not None:
         grid = manifest.join(platforms, "platform").drop("platform")
     else:
-        ids = beads.select("sample_id").distinct().agg(F.collect_set("sample_id").alias("__ids"))
-        grid = manifest.join(F.broadcast(ids)).withColumn("sample_id", F.explode("__ids")).drop("__ids")  # one row
+        grid = every_sample(manifest, beads)
     m, u = (beads.select("sample_id", F.col("address").cast("long").alias(f"addr_{s}"), *(F.col(c).alias(f"{s}_{c}") for c in ("g", "r", "gn", "rn"))) for s in "mu")
     rows = grid.join(u, ["sample_id", "addr_u"], "left").join(m, ["sample_id", "addr_m"], "left")
     one = F.col("col").isNotNull()
