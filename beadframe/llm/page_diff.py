@@ -4,9 +4,11 @@ A page becomes lines, one a block element. Pages of a host are ordered by the se
 their URL path, so that the one with most leading segments in common is a neighbour; a
 page is aligned with it by the longest common subsequence of all their lines, and lines
 that they share are deleted: menus, headers, footers and whatever else the host repeats,
-however it is marked. Pages of a host with equal lines count as one, and a partner that
-shares most of the page's text is a near copy of it, so the search goes outwards, by
-doubling steps, until one is met that is not.
+however it is marked. Pages of a host with equal lines count as one. A partner that shares
+most of the page's text may be a near copy of it, or a different page whose furniture is
+most of its text; what tells them apart is how many of the host's pages have each line. A
+line weighs its length times the logarithm of how few they are, a near copy shares most of
+the weight too, and the search goes outwards until a page is met that is not one.
 
 Markup settles what differencing cannot. It protects lines that are inside a main
 container (``article``, ``main``, ...) on both pages, such as a passage that two articles
@@ -21,6 +23,7 @@ spread over many tasks.
 from __future__ import annotations
 
 import html as entities
+import math
 import re
 
 import numpy as np
@@ -30,10 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import bitmap_of, in_bitmap, materialise
+from .common import bitmap_of, in_bitmap, join_totals, materialise
 
 DROPPED, INSIDE, OTHER = 0, 1, 2
-COPY = 0.8
+#: A near copy shares this part of the text and of the information; positions tried at once on either side of a run.
+COPY, REACH = 0.8, 4
 
 # HTML element names and the usual names of page furniture.
 RAW = "script style noscript textarea title iframe".split()
@@ -216,21 +220,33 @@ def content_kind(kinds: list[int]) -> int:
     return INSIDE if INSIDE in kinds else OTHER
 
 
-def deleted(kinds: list[int], sizes: list[int], hashes: list[int], partners: list[tuple[list[int], list[int]]]) -> set[int] | None:
-    """Places of the page's lines that go: all that the nearest partner that is not a near
-    copy shares, but for what is inside a main container on both. None: all are near copies."""
-    content = {i for i, k in enumerate(kinds) if k == content_kind(kinds)}
-    size = sum(sizes[i] for i in content)
-    for other, other_kinds in partners:
-        pairs = common_lines(hashes, other)
-        if not size or sum(sizes[i] for i, _ in pairs if i in content) < COPY * size:
-            return {i for i, j in pairs if kinds[i] != INSIDE or other_kinds[j] != INSIDE}
-    return None
+def information(sizes: list[int], hashes: list[int], known: dict[int, int], pages: int) -> list[float]:
+    """What each line says of its page: its length, times the logarithm of how few of the host's pages have it."""
+    return [n * math.log((pages + 1) / known.get(h, 1)) for n, h in zip(sizes, hashes)]
 
 
-def main_text(lines: list[str], kinds: list[int], hashes: list[int], partners: list[tuple[list[int], list[int]]]) -> str:
-    """The page's text without what its partners say to delete."""
-    gone = deleted(kinds, [len(x) for x in lines], hashes, partners) or set()
+def share(weights: list[float], content: list[int], shared: set[int]) -> float:
+    """The part of the content's weight that is shared."""
+    total = sum(weights[i] for i in content)
+    return sum(weights[i] for i in content if i in shared) / total if total else 0.0
+
+
+def compared(kinds: list[int], sizes: list[int], hashes: list[int], weights: list[float] | None, other: list[int], other_kinds: list[int]) -> tuple[bool, set[int]]:
+    """(whether the other page is a near copy, the places of the page's lines that differencing with it deletes).
+
+    A near copy shares most of the content's text, and, as far as ``weights`` are known,
+    most of what the content says. All shared lines are deleted, but for what is inside a
+    main container on both pages.
+    """
+    pairs = common_lines(hashes, other)
+    shared = {i for i, _ in pairs}
+    content = [i for i, k in enumerate(kinds) if k == content_kind(kinds)]
+    near = share(sizes, content, shared) >= COPY and (weights is None or share(weights, content, shared) >= COPY)
+    return near, {i for i, j in pairs if kinds[i] != INSIDE or other_kinds[j] != INSIDE}
+
+
+def main_text(lines: list[str], kinds: list[int], gone: set[int] = frozenset()) -> str:
+    """The page's text without the lines at the places ``gone``."""
     return "\n\n".join(x for i, x in enumerate(lines) if kinds[i] == content_kind(kinds) and i not in gone)
 
 
@@ -269,7 +285,7 @@ def parsed(pages: DataFrame, html: str, id: str, url: str) -> DataFrame:
 
 
 def placed(rows: DataFrame) -> DataFrame:
-    """(key, host, path, at): one row a host's distinct page, numbered in order of host and path.
+    """(part, key, host, path, at): one row a host's distinct page, numbered in order of host and path.
 
     Of pages with equal lines the first in path order stands for all.
     """
@@ -282,54 +298,148 @@ def placed(rows: DataFrame) -> DataFrame:
     dealt = materialise(dealt.select("part", "row", "key", "host", "path"), "pages-order")
     counts = dealt.groupBy("part").agg(F.count("*").alias("n"))  # one row a part
     offsets = counts.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
-    return materialise(dealt.join(F.broadcast(offsets), "part").select("key", "host", "path", (F.col("row") + F.col("offset")).alias("at")), "pages-index")
+    return materialise(dealt.join(F.broadcast(offsets), "part").select("part", "key", "host", "path", (F.col("row") + F.col("offset")).alias("at")), "pages-index")
 
 
-def pairs_at(todo: DataFrame, index: DataFrame, steps: list[int]) -> DataFrame:
-    """(key, partner, far): pages of the host at these steps from the pages ``todo``; least ``far`` is nearest."""
-    wanted = todo.select("key", "host", "path", "at", F.explode(F.array(*map(F.lit, steps))).alias("step")).withColumn("at", F.col("at") + F.col("step"))
+def partners_at(todo: DataFrame, index: DataFrame, codes: DataFrame) -> DataFrame:
+    """(key, partners): of the pages ``todo`` (index rows with ``targets``), the pages of their host
+    at those positions as an array of (far, step, other), the nearest first."""
+    wanted = todo.select("key", "host", "path", F.col("at").alias("own"), F.explode("targets").alias("at"))
     held = index.select("at", "host", F.col("key").alias("partner"), F.col("path").alias("partner_path"))
-    pairs = wanted.join(held, ["at", "host"])
     # Nearness: leading path segments in common, then distance in path order.
     same = F.zip_with(F.split("path", "/"), F.split("partner_path", "/"), lambda a, b: a.eqNullSafe(b))
     leading = F.coalesce(F.nullif(F.array_position(same, F.lit(False)), F.lit(0)) - 1, F.size(same))
-    return pairs.select("key", "partner", F.struct((-leading).alias("a"), F.abs("step").alias("b"), F.col("step").alias("c")).alias("far"))
+    step = F.col("at") - F.col("own")
+    far = F.struct((-leading).alias("a"), F.abs(step).alias("b"), step.alias("step"))
+    met = wanted.join(held, ["at", "host"]).select("key", "partner", far.alias("far")).join(codes.select(F.col("key").alias("partner"), F.col("codes").alias("other")), "partner")
+    return met.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("far", "other"))).alias("partners"))
 
 
-def deletions(rows: DataFrame) -> DataFrame:
-    """(key, shared, gone), of the distinct pages that share lines with their partner: how many
-    are deleted, and the places of those that markup would have kept. Only line codes travel."""
+def lines_by_page(own: DataFrame) -> DataFrame:
+    """(key, line, hash), a row a distinct line of a page; ``line`` is the host's and the line's hash."""
 
     def run(batches):
         for b in batches:
-            keys, shared, out = [], [], []
-            for key, codes, sizes, partners in zip(*(c.to_pylist() for c in b.columns)):
-                hashes, kinds = unpacked(codes)
-                gone = deleted(kinds, np.frombuffer(sizes, "<u4").tolist(), hashes, [unpacked(p) for p in partners])
-                keys.append(key)
-                shared.append(None if gone is None else len(gone))
-                out.append(None if gone is None else sorted(i for i in gone if kinds[i] == content_kind(kinds)))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(shared, pa.int32()), pa.array(out, pa.list_(pa.int32()))], names=["key", "shared", "gone"])
+            for key, site, codes in zip(*(c.to_pylist() for c in b.columns)):
+                hashes = np.unique(np.frombuffer(codes, "<u8") >> np.uint64(2)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hashes), key)), pa.array(np.full(len(hashes), site)), pa.array(hashes)], names=["key", "site", "hash"])
+
+    found = own.select("key", F.xxhash64("host").alias("site"), "codes").mapInArrow(run, "key long, site long, hash long")
+    return found.select("key", F.xxhash64("site", "hash").alias("line"), "hash")
+
+
+def line_counts(doubtful: DataFrame, index: DataFrame, own: DataFrame) -> DataFrame:
+    """(key, pages, hashes, counts): of doubtful pages, how many distinct pages their host has, and
+    how many of them have each line that is not the page's alone."""
+    hosts = index.join(doubtful, "key", "left_semi").select("host").distinct()
+    sized = index.join(hosts, "host", "left_semi")
+    pages = sized.groupBy("host").agg(F.count("*").alias("pages"))
+    lines = lines_by_page(own.join(hosts, "host", "left_semi"))
+    counts = lines.groupBy("line").agg(F.count("*").alias("n")).where("n > 1")
+    asked = lines_by_page(own.join(doubtful, "key", "left_semi"))
+    known = join_totals(asked, counts, "line").groupBy("key").agg(F.collect_list(F.struct("hash", "n")).alias("x"))
+    light = index.join(doubtful, "key", "left_semi").select("key", "host").join(pages, "host").select("key", "pages").join(known, "key", "left")
+    return light.select("key", "pages", F.col("x.hash").alias("hashes"), F.col("x.n").alias("counts"))
+
+
+TRIED = "key long, shared int, gone array<int>, open boolean, left boolean, right boolean"
+
 
+def tried(rows: DataFrame) -> DataFrame:
+    """Differencing of (key, codes, sizes, partners) and, if known, (pages, hashes, counts).
+
+    ``shared`` lines go, of them those at ``gone`` are content; ``open``: it is not settled,
+    as all partners are near copies, or the nearest looks like one and the counts are not
+    known. ``left`` and ``right``: the page before or after is a near copy.
+    """
+    known = "pages" in rows.columns
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for i in range(len(b)):
+                key, codes, sizes, partners, *rest = (b.column(k)[i].as_py() for k in range(b.num_columns))
+                (hashes, kinds), sizes = unpacked(codes), np.frombuffer(sizes, "<u4").tolist()
+                weights = information(sizes, hashes, dict(zip(rest[1] or [], rest[2] or [])), rest[0]) if known else None
+                chosen, beside = None, {-1: False, 1: False}
+                for p in partners:
+                    if chosen is None or p["far"]["step"] in beside and known:
+                        near, gone = compared(kinds, sizes, hashes, weights, *unpacked(p["other"]))
+                        if near and not known:
+                            break
+                        chosen = gone if chosen is None and not near else chosen
+                        beside[p["far"]["step"]] = near
+                shown = None if chosen is None else sorted(i for i in chosen if kinds[i] == content_kind(kinds))
+                out.append({"key": key, "shared": None if chosen is None else len(chosen), "gone": shown, "open": chosen is None, "left": beside[-1], "right": beside[1]})
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("key", pa.int64()), ("shared", pa.int32()), ("gone", pa.list_(pa.int32())), ("open", pa.bool_()), ("left", pa.bool_()), ("right", pa.bool_())]))
+
+    names = ["key", "codes", "sizes", "partners", *(["pages", "hashes", "counts"] if known else [])]
+    return rows.select(*names).mapInArrow(run, TRIED)
+
+
+def runs(index: DataFrame, found: DataFrame) -> DataFrame:
+    """The index with the first and the last position of each page's run: neighbours of which
+    one takes the other for a near copy are of one run.
+
+    A task goes through one range of positions; what crosses ranges comes from one row a range.
+    """
+    flags = index.join(found.select("key", "left", "right"), "key", "left")
+    joined = lambda c: F.coalesce(c, F.lit(False))
+    here = flags.select("part", "at", "key", "host", "path", joined(F.col("left")).alias("left"), joined(F.col("right")).alias("right"))
+    order = W.partitionBy("part").orderBy("at")
+    here = here.withColumns({"before": F.lag("right").over(order), "after": F.lead("left").over(order)})
+    edges = here.groupBy("part").agg(F.min(F.struct("at", "left", "right")).alias("first"), F.max(F.struct("at", "left", "right")).alias("last"))
+    parts = W.orderBy("part")  # a row a range
+    edges = edges.select("part", F.lag("last.right").over(parts).alias("part_before"), F.lead("first.left").over(parts).alias("part_after"))
+    here = here.join(F.broadcast(edges), "part")
+    begins = ~(F.col("left") | joined(F.coalesce("before", "part_before")))
+    stops = ~(F.col("right") | joined(F.coalesce("after", "part_after")))
+    here = here.withColumns({"begin": F.when(begins, F.col("at")), "stop": F.when(stops, F.col("at"))})
+    up, down = order.rowsBetween(W.unboundedPreceding, 0), W.partitionBy("part").orderBy(F.col("at").desc()).rowsBetween(W.unboundedPreceding, 0)
+    here = here.withColumns({"first": F.max("begin").over(up), "last": F.min("stop").over(down)})
+    summed = here.groupBy("part").agg(F.max("begin").alias("b"), F.min("stop").alias("s"))
+    outer = summed.select("part", F.max("b").over(parts.rowsBetween(W.unboundedPreceding, -1)).alias("b"), F.min("s").over(parts.rowsBetween(1, W.unboundedFollowing)).alias("s"))
+    here = here.join(F.broadcast(outer), "part")
+    return here.select("key", "host", "path", "at", F.coalesce("first", "b").alias("first"), F.coalesce("last", "s").alias("last"))
+
+
+def deletions(rows: DataFrame) -> DataFrame:
+    """(key, shared, gone), of the distinct pages that share lines with their partner: how many
+    are deleted, and the places of those that markup would have kept. Only line codes travel.
+
+    The partner is the nearest of four neighbours that is not a near copy. Where a
+    neighbour looks like one, the host's lines are counted first. Where all four are, the
+    search goes on from both ends of the page's run, over every position, until a page is
+    met that is not a near copy or the host ends.
+    """
     index = placed(rows)
-    own = rows.where(F.col("host").isNotNull()).select("key", "codes", "sizes").dropDuplicates(["key"])
-    codes = own.select(F.col("key").alias("partner"), F.col("codes").alias("other"))
-    todo, found, reach = index, [], 1
-    while True:
-        steps = [-1, 1, -2, 2] if reach == 1 else [-reach, reach]
-        met = pairs_at(todo, index, steps).join(codes, "partner")
-        met = met.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("far", "other"))), lambda x: x["other"]).alias("partners"))
-        tried = own.join(met, "key").select("key", "codes", "sizes", "partners").mapInArrow(run, "key long, shared int, gone array<int>")
-        tried = materialise(tried, "pages-tried")
-        found.append(tried.where("shared > 0"))
-        # Those whose partners all are near copies go further out, as long as their host has pages there.
-        todo, reach = materialise(todo.join(tried.where("gone IS NULL").select("key"), "key", "left_semi"), "pages-todo"), 4 if reach == 1 else 2 * reach
-        if todo.isEmpty():
-            break
-    out = found[0]
+    own = rows.where(F.col("host").isNotNull()).select("key", "host", "codes", "sizes").dropDuplicates(["key"])
+    steps = F.array(*(F.col("at") + k for k in (-1, 1, -2, 2)))
+    first = materialise(tried(own.join(partners_at(index.withColumn("targets", steps), index, own), "key")), "pages-tried")
+    found = [first]
+    doubtful = materialise(first.where("open").select("key"), "pages-doubtful")
+    if not doubtful.isEmpty():
+        counts = materialise(line_counts(doubtful, index, own), "pages-counts")
+        todo = index.join(doubtful, "key", "left_semi").withColumn("targets", steps)
+        second = materialise(tried(own.join(partners_at(todo, index, own), "key").join(counts, "key")), "pages-tried")
+        found.append(second)
+        if not second.where("open").isEmpty():
+            # Positions outwards from the run: REACH on either side at once.
+            within = materialise(runs(index, second).join(second.where("open").select("key"), "key", "left_semi"), "pages-runs")
+            bounds = index.groupBy("host").agg(F.min("at").alias("low"), F.max("at").alias("high"))
+            todo, reach = materialise(within.join(bounds, "host"), "pages-todo"), 0
+            while not todo.isEmpty():
+                targets = F.array(*(x for k in range(1, REACH + 1) for x in (F.col("first") - reach - k, F.col("last") + reach + k)))
+                asked = todo.withColumn("targets", F.filter(targets, lambda x: (x >= F.col("low")) & (x <= F.col("high"))))
+                more = materialise(tried(own.join(partners_at(asked, index, own), "key").join(counts, "key")), "pages-tried")
+                found.append(more)
+                reach += REACH
+                rest = todo.where((F.col("first") - reach > F.col("low")) | (F.col("last") + reach < F.col("high")))
+                todo = materialise(rest.join(more.where("open").select("key"), "key", "left_semi"), "pages-todo")
+    out = found[0].where("shared > 0")
     for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+        out = out.unionByName(more.where("shared > 0"))
+    return out.select("key", "shared", "gone")
 
 
 def extract(pages: DataFrame, html: str = "html", id: str = "page_id", url: str = "url") -> DataFrame:

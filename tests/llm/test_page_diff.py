@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -38,44 +39,76 @@ def test_alignment_is_a_longest_common_subsequence():
 )
 def test_markup(page, text):
     lines, kinds = p.lines_of(page)
-    assert p.main_text(lines, kinds, [], []) == text
+    assert p.main_text(lines, kinds) == text
 
 
 def brute(rows):
-    """All pages of a host at once: equal ones are one, and the walk outwards is a plain loop."""
+    """A host at a time, in plain loops; parsing and alignment, which have tests of their own, are shared."""
     both = {r: p.lines_of(r[2]) for r in set(rows)}
-    first, order = {}, {}
+    first = {}
     for r, (lines, kinds) in both.items():
         host, path = p.place_of(r[1])
         if host:
-            key, place = (host, tuple(lines), tuple(kinds)), (path.replace("/", "\x01"), r[0] is not None, r[0] or 0)
-            if key not in first or place < first[key][0]:
-                first[key] = (place, path)
+            page, place = (host, tuple(lines), tuple(kinds)), (path.replace("/", "\x01"), r[0] is not None, r[0] or 0)
+            if page not in first or place < first[page][0]:
+                first[page] = (place, path.split("/"))
+    gone = {}
     for host in {k[0] for k in first}:
-        mine = sorted((v[0], k) for k, v in first.items() if k[0] == host)
-        for at, (_, k) in enumerate(mine):
-            order[k] = (mine, at)
+        pages = [k for _, k in sorted((v[0], k) for k, v in first.items() if k[0] == host)]
+        having = {}
+        for _, lines, _ in pages:
+            for x in set(lines):
+                having[x] = having.get(x, 0) + 1
+
+        def look(i, j):
+            """(near copy, deleted places) of page i beside page j."""
+            (_, a, ka), (_, b, kb) = pages[i], pages[j]
+            pairs = p.common_lines(list(a), list(b))
+            kind = 1 if 1 in ka else 2
+            near = True
+            for weight in (len, lambda x: len(x) * math.log((len(pages) + 1) / having[x])):
+                whole = sum(weight(x) for x, k in zip(a, ka) if k == kind)
+                near = near and bool(whole) and sum(weight(a[x]) for x, _ in pairs if ka[x] == kind) / whole >= 0.8
+            return near, {x for x, y in pairs if not ka[x] == kb[y] == 1}
+
+        def order(i, those):
+            def far(j):
+                a, b = first[pages[i]][1], first[pages[j]][1]
+                leading = 0
+                while leading < min(len(a), len(b)) and a[leading] == b[leading]:
+                    leading += 1
+                return -leading, abs(i - j), j - i
+
+            return sorted((j for j in those if 0 <= j < len(pages)), key=far)
+
+        def settled(i, those):
+            for j in order(i, those):
+                near, places = look(i, j)
+                if not near:
+                    return places
+
+        n = len(pages)
+        met = [settled(i, (i - 2, i - 1, i + 1, i + 2)) for i in range(n)]
+        # Pages that a raw look settles at once have no near copies beside them.
+        raw = [any(sum(len(pages[i][1][x]) for x, _ in p.common_lines(list(pages[i][1]), list(pages[j][1])) if pages[i][2][x] == (1 if 1 in pages[i][2] else 2)) >= 0.8 * sum(len(x) for x, k in zip(*pages[i][1:]) if k == (1 if 1 in pages[i][2] else 2)) > 0 for j in order(i, (i - 2, i - 1, i + 1, i + 2))[:1]) for i in range(n)]
+        linked = [(raw[i] and look(i, i + 1)[0]) or (raw[i + 1] and look(i + 1, i)[0]) for i in range(n - 1)]
+        for i in range(n):
+            low = high = i
+            while low and linked[low - 1]:
+                low -= 1
+            while high < n - 1 and linked[high]:
+                high += 1
+            reach = 0
+            while met[i] is None and (low - reach > 0 or high + reach < n - 1):
+                met[i] = settled(i, [x for k in range(reach + 1, reach + 5) for x in (low - k, high + k)])
+                reach += 4
+            gone[pages[i]] = met[i] or set()
     out = []
     for r in rows:
         lines, kinds = both[r]
-        hashes, gone = [hash(x) for x in lines], None
-        key = (p.place_of(r[1])[0], tuple(lines), tuple(kinds))
-        if key in order:
-            mine, at = order[key]
-            path, reach = first[key][1].split("/"), 1
-            while gone is None and reach < 2 * len(mine):
-                near = []
-                for step in [-1, 1, -2, 2] if reach == 1 else [-reach, reach]:
-                    if 0 <= at + step < len(mine):
-                        o = mine[at + step][1]
-                        same = next((k for k, (x, y) in enumerate(zip(path, first[o][1].split("/"))) if x != y), min(len(path), len(first[o][1].split("/"))))
-                        near.append(((-same, abs(step), step), ([hash(x) for x in o[1]], list(o[2]))))
-                if not near:
-                    break
-                gone = p.deleted(kinds, [len(x) for x in lines], hashes, [x for _, x in sorted(near, key=lambda x: x[0])])
-                reach = 4 if reach == 1 else 2 * reach
-        text = "\n\n".join(x for i, x in enumerate(lines) if kinds[i] == p.content_kind(kinds) and i not in (gone or ()))
-        out.append((r[0], r[1], text))
+        kind = 1 if 1 in kinds else 2
+        drop = gone.get((p.place_of(r[1])[0], tuple(lines), tuple(kinds)), ())
+        out.append((r[0], r[1], "\n\n".join(x for i, x in enumerate(lines) if kinds[i] == kind and i not in drop)))
     return sorted(out, key=str)
 
 
@@ -116,6 +149,36 @@ def test_pages_without_containers_or_telling_names(spark):
     assert {r.page_id: r.text for r in p.extract(df).collect()} == want
 
 
+@pytest.mark.parametrize("n", [3, 20])
+def test_furniture_that_is_most_of_every_page(spark, n):
+    """Twelve unmarked lines on every page and one of its own: only that one stays."""
+    furniture = [f"<div>Menu entry number {k}</div>" for k in range(12)]
+    rows = [(i, f"http://shop.example/{i:02}", "".join([*furniture[:6], f"<div>Item {i} costs {i * 7} crowns.</div>", *furniture[6:]])) for i in range(n)]
+    df = spark.createDataFrame([(*r, 7, "z") for r in rows], SCHEMA).repartition(3)
+    assert {r.page_id: r.text for r in p.extract(df).collect()} == {i: f"Item {i} costs {i * 7} crowns." for i in range(n)}
+    assert sorted(((i, u, f"Item {i} costs {i * 7} crowns.") for i, u, _ in rows), key=str) == brute(rows)
+
+
+@pytest.mark.parametrize("other", [0, 3, 6, 11])
+def test_a_different_page_at_any_distance(spark, other):
+    """Near copies but for one page, wherever it lies: all are compared with it."""
+    rows, want = [], {}
+    for i in range(12):
+        own = ["A page of its own.", "It has nothing of the others."] if i == other else [f"Edition {i}.", *(f"Line {k} of an article with many editions." for k in range(20))]
+        rows.append((i, f"http://press.example/{i:02}", "<div>Home</div><div>Contact us</div>" + "".join(f"<div>{x}</div>" for x in own) + "<div>Made by us</div>"))
+        want[i] = "\n\n".join(own)
+    df = spark.createDataFrame([(*r, 7, "z") for r in rows], SCHEMA).repartition(2)
+    assert {r.page_id: r.text for r in p.extract(df).collect()} == want
+    assert {i: t for i, _, t in brute(rows)} == want
+
+
+def test_very_long_pages(spark):
+    body = "".join(f"<p>sentence {k} of a very long page</p>" for k in range(30_000))
+    rows = [(1, "http://l.example/1", f"<div>Home</div>{body}"), (2, "http://l.example/2", "<div>Home</div><p>short</p>")]
+    got = {r.page_id: r.text for r in p.extract(spark.createDataFrame([(*r, 7, "z") for r in rows], SCHEMA)).collect()}
+    assert got[2] == "short" and got[1].count("\n\n") == 29_999 and not got[1].startswith("Home")
+
+
 def test_markup_protects_and_drops(spark):
     page = "<div>Home</div><article><p>Quoted in both.</p><p>Own {0}.</p></article><div class='comments'><p>Reader {0}</p></div><div>Made by us</div>"
     df = spark.createDataFrame([(i, f"http://q.example/{i}", page.format(i), 1, "") for i in range(3)] + [(9, "http://q.example/9", "<div>Home</div><p>Only this.</p><div>Made by us</div>", 1, "")], SCHEMA)
