@@ -14,6 +14,7 @@ link, and no table that grows with the corpus is sent to all tasks.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,8 @@ from .pieces import model as piece_model
 from .tokens import slices, spread
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Bytes of text that are aligned at once (a longer text is aligned alone).
-SLICE = 1 << 20
+#: Bytes of text that are encoded, and aligned, at once (a longer text is taken alone).
+ENCODED, SLICE = 1 << 22, 1 << 20
 
 
 def byte_letters() -> dict[str, int]:
@@ -40,12 +41,23 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-class ByteModel:
-    """A byte-level BPE tokenizer over string arrays, each distinct chunk encoded once.
+def chunk_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where texts may be cut: before a space that follows neither white space nor a space mark.
 
-    Its splitter never joins white space to what stands before it, so a text may be cut
-    before a space that follows anything else.
+    A byte-level splitter never joins white space to what stands before it, and a local
+    piece model no space mark.
     """
+    before = [np.append(np.zeros(k, np.uint8), data)[: len(data)] for k in (1, 2, 3)]
+    white = ((before[0] >= 9) & (before[0] <= 13)) | ((before[0] >= 28) & (before[0] <= 32))
+    # White space beyond ASCII has two bytes from C2 or three from E1, E2 or E3, the mark three from E2.
+    white |= (before[0] >= 0x80) & ((before[1] == 0xC2) | ((before[2] >= 0xE1) & (before[2] <= 0xE3)))
+    starts = (data == 0x20) & ~white
+    starts[offsets[:-1][np.diff(offsets) > 0]] = True
+    return np.flatnonzero(starts)
+
+
+class ByteModel:
+    """A byte-level BPE tokenizer, and the bytes that its ids stand for."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -55,24 +67,10 @@ class ByteModel:
         letters, size = byte_letters(), self.tokenizer.get_vocab_size(with_added_tokens=True)
         names = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
         self.surface = [bytes(letters[c] for c in x) if all(c in letters for c in x) else b"" for x in names]
-        self.chunks = ChunkIds(self.segment, 200_000)
 
     def segment(self, chunks: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
-    def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts in order, ids of each); null texts have none."""
-        data, offsets = text_bytes(texts)
-        before = [np.append(np.zeros(k, np.uint8), data)[: len(data)] for k in (1, 2, 3)]
-        white = ((before[0] >= 9) & (before[0] <= 13)) | ((before[0] >= 28) & (before[0] <= 32))
-        # White space beyond ASCII has two bytes from C2 or three from E1, E2 or E3.
-        white |= (before[0] >= 0x80) & ((before[1] == 0xC2) | ((before[2] >= 0xE1) & (before[2] <= 0xE3)))
-        starts = (data == 0x20) & ~white
-        starts[offsets[:-1][np.diff(offsets) > 0]] = True
-        starts = np.flatnonzero(starts)
-        ids, sizes = self.chunks.gather(cut(data, starts))
-        return ids, per_text(starts, sizes, offsets)
-
 
 class Surfaces:
     """The bytes that each id stands for."""
@@ -97,6 +95,7 @@ class Aligner:
         self.a, self.b = a, b
         self.a_bytes, self.b_bytes = Surfaces(a.surface), Surfaces(b.surface)
         self.width = len(b.surface)
+        self.chunks = ChunkIds(a.segment, *([b.segment_chunks] if b.local else []))
         self.decimal = pa.array([str(i) for i in range(max(len(a.surface), self.width))], pa.large_string())
 
     def ends(self, lists: pa.ListArray, surfaces: Surfaces) -> tuple[pa.Array, pa.Array]:
@@ -107,20 +106,37 @@ class Aligner:
         before = pa.array(closing[:-1]).take(parent)
         return ids, pc.add(pc.shift_left(parent, 32), pc.subtract(total, before))
 
-    def align(self, texts: pa.Array) -> dict:
+    def encode(self, texts: pa.Array) -> tuple[pa.Array, pa.ListArray, pa.ListArray]:
+        """(texts with a space before them, A ids, B ids): lists of a text each; null texts are empty."""
+        spaced = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), texts.cast(pa.large_string()).fill_null(""), pa.scalar("", pa.large_string()))
+        data, offsets = text_bytes(spaced)
+        starts = chunk_starts(data, offsets)
+        found = [(ids, per_text(starts, sizes, offsets)) for ids, sizes in self.chunks.gather(cut(data, starts))]
+        if not self.b.local:
+            ids, _, _, counts = self.b.encode_batch(texts)
+            found.append((ids, counts))
+        return spaced, *(list_array(ids, counts, pa.int32()) for ids, counts in found)
+
+    def batches(self, texts: pa.Array) -> Iterator[tuple[int, int, dict]]:
+        """(first row, rows, alignment) of slices of a batch; more text is encoded at once than aligned."""
+        for at, n in slices(texts, ENCODED):
+            some = texts.slice(at, n)
+            encoded = self.encode(some)
+            for begin, m in slices(some, SLICE):
+                yield at + begin, m, self.align(*(x.slice(begin, m) for x in encoded))
+
+    def align(self, spaced: pa.Array, a_lists: pa.ListArray, b_lists: pa.ListArray) -> dict:
         """The groups and links of a batch; a text that either side does not give back has neither.
 
         By text: ``n_a``, ``n_b``, ``n_groups``, ``n_links`` and ``groups`` (decimal ids). A link's
         ``text``, ``pair`` (A id times B's vocabulary size, plus B id) and ``count`` by distinct pair of a text.
         """
-        texts = texts.cast(pa.large_string())
-        spaced = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), texts.fill_null(""), pa.scalar("", pa.large_string()))
-        a_ids, a_counts = self.a.encode_batch(spaced)
-        b_ids, _, _, b_counts = self.b.encode_batch(texts)
+        a_counts, b_counts = (x.value_lengths().to_numpy() for x in (a_lists, b_lists))
+        a_ids, b_ids = (x.flatten().to_numpy() for x in (a_lists, b_lists))
         whole = spaced.cast(pa.large_binary())
         same = pc.and_(pc.equal(self.a_bytes.joined(a_ids, a_counts), whole), pc.equal(self.b_bytes.joined(b_ids, b_counts), whole))
-        real = np.flatnonzero(pc.and_(same, pc.greater(pc.binary_length(texts.fill_null("")), 0)).to_numpy(zero_copy_only=False))
-        a_lists, b_lists = (list_array(i, c, pa.int32()).take(pa.array(real)) for i, c in ((a_ids, a_counts), (b_ids, b_counts)))
+        real = np.flatnonzero(pc.and_(same, pc.greater(pc.binary_length(spaced), 1)).to_numpy(zero_copy_only=False))
+        a_lists, b_lists = (x.take(pa.array(real)) for x in (a_lists, b_lists))
         a, a_ends = self.ends(a_lists, self.a_bytes)
         b, b_ends = self.ends(b_lists, self.b_bytes)
         sides = [pa.table({"end": e, side: pa.array(np.arange(len(e)))}) for side, e in (("a", a_ends), ("b", b_ends))]
@@ -133,7 +149,7 @@ class Aligner:
         pair = pc.add(pc.multiply(a.take(pc.fill_null_backward(both["a"])).cast(pa.int64()), self.width), b.take(pc.fill_null_backward(both["b"])).cast(pa.int64()))
         counted = pa.table({"text": text, "pair": pair}).group_by(["text", "pair"], use_threads=False).aggregate([([], "count_all")])
 
-        n = len(texts)
+        n = len(spaced)
         out = {k: np.zeros(n, np.int64) for k in ("n_a", "n_b", "n_groups", "n_links")}
         out["n_a"][real], out["n_b"][real] = a_counts[real], b_counts[real]
         groups = np.bincount(pc.shift_right(shared["end"], 32).to_numpy(), minlength=len(real))
@@ -177,9 +193,8 @@ def groups(docs: DataFrame, text: str = "text", id: str = "doc_id", a: str | Non
     def run(batches):
         both = aligner(a, b)
         for batch in batches:
-            for at, n in slices(batch.column(1), SLICE):
-                found = both.align(batch.column(1).slice(at, n))["groups"].cast(pa.string())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), found], names=["id", "groups"])
+            for at, n, found in both.batches(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), found["groups"].cast(pa.string())], names=["id", "groups"])
 
     return light(docs, text, id).mapInArrow(run, "id long, groups string").withColumnRenamed("id", id)
 
@@ -195,8 +210,7 @@ def batches_of(docs: DataFrame, text: str = "text", id: str = "doc_id", a: str |
     def run(batches):
         both, number, part = aligner(a, b), 0, TaskContext.get().partitionId()
         for batch in batches:
-            for at, n in slices(batch.column(1), SLICE):
-                found = both.align(batch.column(1).slice(at, n))
+            for at, n, found in both.batches(batch.column(1)):
                 digests = [hashlib.sha256(x.encode()).hexdigest() if x else "" for x in found["groups"].to_pylist()]
                 own = [batch.column(0).slice(at, n).cast(pa.int64()), *(pa.array(found[k]) for k in ("n_a", "n_b", "n_groups", "n_links")), pa.array(digests, pa.string())]
                 rows = pa.StructArray.from_arrays(own, names=["id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"])
@@ -209,7 +223,7 @@ def batches_of(docs: DataFrame, text: str = "text", id: str = "doc_id", a: str |
                 yield pa.RecordBatch.from_arrays(columns, names=["batch", "width", "docs", "pairs", "counts", "doc", "code", "n"])
                 number += 1
         # An idle worker keeps neither chunks nor buffers.
-        both.a.chunks.clear()
+        both.chunks.clear()
         pa.default_memory_pool().release_unused()
 
     return materialise(light(docs, text, id).mapInArrow(run, BATCHES), "aligned-batches")

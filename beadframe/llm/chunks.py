@@ -12,50 +12,57 @@ from .tokens import spread
 
 
 class ChunkIds:
-    """Ids of chunks that a tokenizer never joins across, each distinct one encoded once.
+    """Ids of chunks that tokenizers never join across, each distinct one encoded once.
 
-    At ``most`` chunks, those met in a single batch are forgotten, and all if that leaves
-    too many, so memory stays bounded.
+    Each of ``encoders`` takes distinct chunks and gives the ids of each. At ``most``
+    chunks, those met in a single batch are forgotten, and all if that leaves too many, so
+    memory stays bounded.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 400_000):
-        self.encode, self.most = encode, most
+    def __init__(self, *encoders: Callable[[list[str]], list[list[int]]], most: int = 400_000):
+        self.encoders, self.most = encoders, most
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.ids = np.zeros(0, np.int32)
-        self.starts = self.sizes = np.zeros(0, np.int64)
         self.met = np.zeros(0, np.int32)
+        #: By encoder: all ids, and each chunk's place and number of them.
+        self.held = [(np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in self.encoders]
 
     def forget(self) -> None:
         kept = self.met > 1
         if kept.sum() > self.most // 2:
             return self.clear()
-        number, sizes = np.cumsum(kept) - 1, self.sizes[kept]
+        number = np.cumsum(kept) - 1
         self.known = {x: int(number[i]) for x, i in self.known.items() if kept[i]}
-        self.ids = self.ids[spread(self.starts[kept], sizes)]
-        self.starts, self.sizes, self.met = np.cumsum(sizes) - sizes, sizes, self.met[kept] // 2
-
-    def gather(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all chunks in order, ids of each chunk)."""
+        self.met = self.met[kept] // 2
+        for k, (ids, starts, sizes) in enumerate(self.held):
+            ids, sizes = ids[spread(starts[kept], sizes[kept])], sizes[kept]
+            self.held[k] = ids, np.cumsum(sizes) - sizes, sizes
+
+    def learn(self, fresh: list[str]) -> np.ndarray:
+        number = np.arange(len(self.known), len(self.known) + len(fresh))
+        self.known.update(zip(fresh, number.tolist()))
+        self.met = np.append(self.met, np.zeros(len(fresh), np.int32))
+        for k, (encode, (ids, starts, sizes)) in enumerate(zip(self.encoders, self.held)):
+            got = encode(fresh)
+            n = np.fromiter(map(len, got), np.int64, len(got))
+            new = np.fromiter(chain.from_iterable(got), np.int32, int(n.sum()))
+            self.held[k] = np.append(ids, new), np.append(starts, len(ids) + np.cumsum(n) - n), np.append(sizes, n)
+        return number
+
+    def gather(self, chunks: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+        """By encoder, (ids of all chunks in order, ids of each chunk)."""
         if len(self.known) > self.most:
             self.forget()
         coded = chunks.dictionary_encode()
         names = coded.dictionary.to_pylist()
         number = np.fromiter(map(self.known.get, names, repeat(-1)), np.int64, len(names))
         if len(new := np.flatnonzero(number < 0)):
-            got = self.encode(fresh := [names[i] for i in new.tolist()])
-            sizes = np.fromiter(map(len, got), np.int64, len(got))
-            number[new] = np.arange(len(self.known), len(self.known) + len(new))
-            self.known.update(zip(fresh, number[new].tolist()))
-            self.starts = np.append(self.starts, len(self.ids) + np.cumsum(sizes) - sizes)
-            self.sizes, self.met = np.append(self.sizes, sizes), np.append(self.met, np.zeros(len(new), np.int32))
-            self.ids = np.append(self.ids, np.fromiter(chain.from_iterable(got), np.int32, int(sizes.sum())))
+            number[new] = self.learn([names[i] for i in new.tolist()])
         self.met[number] += 1
         number = number[coded.indices.to_numpy()]
-        sizes = self.sizes[number]
-        return self.ids[spread(self.starts[number], sizes)], sizes
+        return [(ids[spread(starts[number], sizes[number])], sizes[number]) for ids, starts, sizes in self.held]
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

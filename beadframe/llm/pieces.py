@@ -28,7 +28,7 @@ SPACE, MARK_BYTES = 0x20, np.frombuffer(MARK.encode(), np.uint8)
 
 # Field numbers of the model file.
 TRAINER_SPEC, NORMALIZER_SPEC, SELF_TEST = 2, 3, 4
-AS_SUFFIX = 24
+MODEL_TYPE, AS_SUFFIX, BPE = 3, 24, 2
 CHARSMAP, DUMMY_PREFIX, REMOVE_EXTRA, ESCAPE = 2, 3, 4, 5
 
 
@@ -138,6 +138,13 @@ class PieceModel:
         self.lengths = np.array([1 if self.library.is_byte(i) else len(x.encode()) for i, x in enumerate(names)], np.int64)
         #: What each piece stands for in a text.
         self.surface = [bytes([int(x[3:5], 16)]) if self.library.is_byte(i) else x.replace(MARK, " ").encode() for i, x in enumerate(names)]
+        #: Whether normalisation is no more than a space before a text and marks for spaces, and no merge crosses the begin of a run of marks.
+        plain = not self.charmap.units and self.prefix and self.escape and not self.remove
+        self.local = plain and trainer.get(MODEL_TYPE, 1) == BPE and not any(MARK in x.lstrip(MARK) for x in names)
+
+    def segment_chunks(self, chunks: list[str]) -> list[list[int]]:
+        """Ids of chunks of a text with a space before it, where the model is ``local``."""
+        return self.segmenter.encode([x.replace(" ", MARK) for x in chunks], num_threads=1)
 
     def segment(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids of normalised texts, byte length of each one's piece, ids of each text)."""

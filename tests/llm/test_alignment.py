@@ -54,19 +54,28 @@ def some_texts(n, seed):
     return ["".join(rnd.choices(ALPHABET, k=rnd.randrange(14))) for _ in range(n)] + [None, "", " ", "▁ mark", "a▁b", "x" * 300, "same text", "same text"]
 
 
-def test_byte_model_equals_the_library():
-    model = al.ByteModel(public_tokenizers.path("byte_bpe_50k.json"))
+def test_chunks_give_the_libraries_ids():
+    both = al.aligner()
+    assert both.b.local
     texts = some_texts(1500, 8)
-    ids, counts = model.encode_batch(pa.array(texts, pa.string()))
-    at = 0
-    for text, n in zip(texts, counts):
-        assert ids[at : at + n].tolist() == A.encode(text or "", add_special_tokens=False).ids
-        at += n
+    _, a, b = both.encode(pa.array(texts, pa.string()))
+    assert a.to_pylist() == [A.encode(" " + (t or ""), add_special_tokens=False).ids for t in texts]
+    assert [y for t, y in zip(texts, b.to_pylist()) if t] == [B.encode(t) for t in texts if t]
 
 
-@pytest.mark.parametrize("size", [1 << 21, 200])
+def test_what_is_forgotten_is_learned_again():
+    from beadframe.llm.chunks import ChunkIds
+
+    cache = ChunkIds(lambda chunks: [[len(x), 7] for x in chunks], most=3)
+    for words in (["a", "bb", "a"], ["a", "ccc", "d"], ["a", "ee"], ["f", "g", "h", "a"], ["bb"], []):
+        ((ids, sizes),) = cache.gather(pa.array(words, pa.large_string()))
+        assert ids.tolist() == [x for w in words for x in (len(w), 7)] and sizes.tolist() == [2] * len(words)
+
+
+@pytest.mark.parametrize("size", [1 << 20, 200])
 def test_against_brute_force(spark, monkeypatch, size):
     monkeypatch.setattr(al, "SLICE", size)
+    monkeypatch.setattr(al, "ENCODED", 2 * size)
     texts = some_texts(150, 4) + [" ".join(["word", "naïve"] * 40), None]
     rows = [(None if i == 3 else i // 2, t, "x", i, "y") for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_a string, batch long, pair string").repartition(3)
