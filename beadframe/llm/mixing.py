@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import warnings
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -20,6 +22,8 @@ from .common import WORD, free_names, materialise
 DIMENSIONS = ("source", "lang", "topic")
 #: Marginals are met when none is further from its target than this part of all tokens.
 TOLERANCE, STEP, TEMPER, SHARE, SALT = 1e-12, 6, 0.7, 0.8, "mix-1"
+#: Cells up to this many are raked in one task, without exchanges; more are dealt by dimension.
+CELLS_A_TASK = 100_000
 
 
 def topic(text: Column) -> Column:
@@ -36,20 +40,26 @@ def draw(id: Column, salt: str = SALT) -> Column:
     return F.conv(digest, 16, 10).cast("double") / F.lit(float(2**52))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, temper: float = TEMPER, tolerance: float = TOLERANCE, most_rounds: int = 600) -> tuple[DataFrame, float]:
+def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, temper: float = TEMPER, tolerance: float = TOLERANCE, most_rounds: int = 20_000) -> tuple[DataFrame, float]:
     """(cells with ``fitted``: token weights whose marginals meet the targets, the largest gap left).
 
     ``targets`` maps a dimension to a table (value, share); values it lacks keep their own
     share, and shares are scaled to sum to one. Without targets a dimension's shares are
     its token shares to the power ``temper``. Cells without tokens stay at zero, and a
-    target for a value without tokens cannot be met. Rounds go on until the gap, as a part
-    of all tokens, is within ``tolerance``, or, where targets contradict each other, until
-    it falls no further (or ``most_rounds`` are done): the last round's weights are
-    returned, and a gap over 1e-6 gives a warning.
+    target for a value without tokens cannot be met.
+
+    Rounds go on until the gap, as a part of all tokens, is within ``tolerance``, or until
+    the targets are proved to contradict each other on these cells, which gives a warning
+    and the last round's weights. The proof: the logarithms of the factors that a few
+    rounds gave to the values add up to at most M in any cell, so weights that met the
+    targets could not give the factors a mean of more than M over the targets; if it is
+    more, there are none. Slow progress is no contradiction; after ``most_rounds`` it is
+    reported as what it is.
     """
     if cells.isEmpty():
         return cells.withColumn("fitted", F.lit(0.0)), 0.0
-    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    size, total = cells.agg(F.count("*"), F.sum("tokens")).first()
+    total = float(total or 0)
     out = cells.withColumn("fitted", F.col("tokens").cast("double"))
     for d in DIMENSIONS:
         marginal = cells.groupBy(d).agg(F.sum("tokens").cast("double").alias("mass"))
@@ -62,21 +72,69 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, temper:
         wishes = float(marginal.agg(F.sum("wish")).first()[0] or 0)
         goal = F.try_divide(F.col("wish") * F.lit(total), F.lit(wishes))
         out = out.join(marginal.select(d, F.coalesce(goal, F.lit(0.0)).alias(f"goal_{d}")), d)
-    out, before, done = materialise(out, "mix-goals"), float("inf"), 0
+    if size <= CELLS_A_TASK:
+        out = materialise(out.coalesce(1).mapInPandas(raked_rows(total, tolerance, most_rounds), f"{out._jdf.schema().toDDL()}, gap double, contradicted boolean"), "mix-raked")
+        gap, contradicted = out.select("gap", "contradicted").first()
+    else:
+        out, gap, contradicted = raked_rounds(materialise(out, "mix-goals"), total, tolerance, most_rounds)
+    if gap > 1e-6:
+        why = "the targets contradict each other" if contradicted else "raking has not settled"
+        warnings.warn(f"{why}: a marginal misses its target by {gap:.2g} of all tokens", stacklevel=2)
+    return out.select(*cells.columns, "fitted"), gap
+
+
+def raked_rows(total: float, tolerance: float, most_rounds: int):
+    """A function for mapInPandas that rakes a table of cells as a whole, in numpy."""
+
+    def run(batches):
+        rows = pd.concat(list(batches), ignore_index=True)
+        codes = [pd.factorize(rows[d])[0] for d in DIMENSIONS]
+        goals = [rows.groupby(c)[f"goal_{d}"].first().to_numpy() for c, d in zip(codes, DIMENSIONS)]
+        fitted, possible, scale = rows["fitted"].to_numpy(float), (rows["tokens"] > 0).to_numpy(), max(total, 1.0)
+        for c, goal in zip(codes, goals):
+            possible = possible & (goal > 0)[c]
+        sums = lambda: [np.bincount(c, fitted, len(goal)) for c, goal in zip(codes, goals)]
+        contradicted = not possible.any() or any(((goal > 0) & (now <= 0)).any() for goal, now in zip(goals, sums()))
+        for n in range(most_rounds):
+            mean, logs = 0.0, np.zeros(len(rows))
+            for c, goal in zip(codes, goals):
+                now = np.bincount(c, fitted, len(goal))
+                factor = np.divide(goal, now, out=np.zeros(len(goal)), where=now > 0)
+                fitted = fitted * factor[c]
+                log = np.log(np.where(factor > 0, factor, 1.0))
+                mean, logs = mean + float(goal @ log) / scale, logs + log[c]
+            gap = max(float(np.abs(now - goal).max()) for now, goal in zip(sums(), goals)) / scale
+            contradicted = contradicted or bool(mean > logs[possible].max() + 1e-9)
+            if gap <= tolerance or contradicted and n >= STEP:
+                break
+        yield rows.assign(fitted=fitted, gap=gap, contradicted=contradicted)
+
+    return run
+
+
+def raked_rounds(out: DataFrame, total: float, tolerance: float, most_rounds: int) -> tuple[DataFrame, float, bool]:
+    """(cells, gap, contradicted) by rounds over the distributed table, STEP to a job."""
+    done, scale = 0, max(total, 1.0)
     while True:
-        for _ in range(STEP):
+        for n in range(STEP):
             for d in DIMENSIONS:
-                now = F.sum("fitted").over(W.partitionBy(d))
-                out = out.withColumn("fitted", F.coalesce(F.try_divide(F.col("fitted") * F.col(f"goal_{d}"), now), F.lit(0.0)))
-        out, done = materialise(out, "mix-round"), done + STEP
-        gaps = [out.groupBy(d).agg(F.abs(F.sum("fitted") - F.first(f"goal_{d}")).alias("gap")).agg(F.max("gap").alias("gap")) for d in DIMENSIONS[:-1]]
-        gap = max(float(r["gap"] or 0) for r in gaps[0].unionByName(gaps[1]).collect()) / max(total, 1.0)
-        if gap <= tolerance or gap > 0.99 * before or done >= most_rounds:
-            break
-        before = gap
-    if gap > 1e-6:
-        warnings.warn(f"the targets contradict each other: a marginal misses its target by {gap:.2g} of all tokens", stacklevel=2)
-    return out.drop(*(f"goal_{d}" for d in DIMENSIONS)), gap
+                factor = F.coalesce(F.try_divide(F.col(f"goal_{d}"), F.sum("fitted").over(W.partitionBy(d))), F.lit(0.0))
+                out = out.withColumn(f"factor_{d}" if n == STEP - 1 else "factor", factor)
+                out = out.withColumn("fitted", F.col("fitted") * F.col(f"factor_{d}" if n == STEP - 1 else "factor"))
+        out, done = materialise(out.drop("factor"), "mix-round"), done + STEP
+        sums, most, possible = None, F.lit(0.0), F.col("tokens") > 0
+        for d in DIMENSIONS:
+            log = F.ln(F.when(F.col(f"factor_{d}") > 0, F.col(f"factor_{d}")).otherwise(1.0))
+            most, possible = most + log, possible & (F.col(f"goal_{d}") > 0)
+            value = out.groupBy(d).agg(F.sum("fitted").alias("now"), F.first(f"goal_{d}").alias("goal"), F.first(log).alias("log"))
+            row = value.agg(F.max(F.abs(F.col("now") - F.col("goal"))).alias("gap"), F.sum(F.col("goal") * F.col("log")).alias("mean"), F.max((F.col("goal") > 0) & (F.col("now") <= 0)).alias("empty"))
+            sums = row if sums is None else sums.unionByName(row)
+        found, highest = sums.collect(), out.where(possible).agg(F.max(most)).first()[0]
+        gap = max(r["gap"] or 0.0 for r in found) / scale
+        contradicted = highest is None or any(r["empty"] for r in found) or sum(r["mean"] or 0.0 for r in found) / scale > highest + 1e-9
+        out = out.drop(*(f"factor_{d}" for d in DIMENSIONS))
+        if gap <= tolerance or contradicted or done >= most_rounds:
+            return out, gap, contradicted
 
 
 def calibrate(cells: DataFrame, share: float = SHARE) -> DataFrame:

@@ -80,6 +80,39 @@ def test_sparse_cells_meet_their_targets(spark):
             assert now[name] == pytest.approx(v**0.5 / wish * total, rel=1e-6)
 
 
+def test_slow_progress_is_no_contradiction(spark, recwarn):
+    """Near-empty cells on the diagonal, and the marginals of another table on the same cells: feasible, and slow."""
+    rnd = random.Random(75)
+    held = {(a, b): 1 if a == b else rnd.randrange(10**4, 10**6) for a in range(6) for b in range(6) if a == b or rnd.random() < 0.35}
+    other = {k: rnd.random() * (50 if k[0] == k[1] else 1) for k in held}
+    df = spark.createDataFrame([(f"s{a}", f"l{b}", "t", n) for (a, b), n in held.items()], "source string, lang string, topic string, tokens long")
+    marginal = lambda at, v: sum(x for k, x in other.items() if k[at] == v)
+    table = lambda at, name: spark.createDataFrame([(f"{name}{v}", marginal(at, v)) for v in range(6)], "value string, share double")
+    fitted, gap = mixing.rake(df, {"source": table(0, "s"), "lang": table(1, "l")}, tolerance=1e-10)
+    assert gap <= 1e-10 and not [w for w in recwarn if "contradict" in str(w.message) or "settled" in str(w.message)]
+    total, whole, now = sum(held.values()), sum(other.values()), defaultdict(float)
+    for r in fitted.collect():
+        now[r.source] += r.fitted
+        now[r.lang] += r.fitted
+    for v in range(6):
+        assert now[f"s{v}"] / total == pytest.approx(marginal(0, v) / whole, abs=1e-9)
+        assert now[f"l{v}"] / total == pytest.approx(marginal(1, v) / whole, abs=1e-9)
+
+
+@pytest.mark.parametrize("cells_a_task", [100_000, 0])
+def test_contradictions_are_proved(spark, monkeypatch, cells_a_task):
+    """Source a has only x and y, which want less than a wants; the other cells are free."""
+    monkeypatch.setattr(mixing, "CELLS_A_TASK", cells_a_task)
+    cells = [("a", "x", 5), ("a", "y", 3), ("b", "x", 4), ("b", "z", 9), ("c", "z", 2), ("c", "y", 6)]
+    df = spark.createDataFrame([(s, v, "t", n) for s, v, n in cells], "source string, lang string, topic string, tokens long")
+    share = lambda **v: spark.createDataFrame(list(v.items()), "value string, share double")
+    with pytest.warns(UserWarning, match="contradict"):
+        _, gap = mixing.rake(df, {"source": share(a=0.6, b=0.3, c=0.1), "lang": share(x=0.3, y=0.2, z=0.5)})
+    assert gap > 0.01
+    fitted, gap = mixing.rake(df, {"source": share(a=0.45, b=0.35, c=0.2), "lang": share(x=0.3, y=0.2, z=0.5)}, tolerance=1e-11 if cells_a_task else 1e-5)
+    assert gap < 1e-4 and fitted.columns == [*df.columns, "fitted"]
+
+
 def test_targets_that_contradict_each_other_are_reported(spark):
     df = spark.createDataFrame([("a", "x", "t", 10), ("b", "y", "t", 10)], "source string, lang string, topic string, tokens long")
     targets = {d: spark.createDataFrame([(v, s) for v, s in t], "value string, share double") for d, t in {"source": [("a", 0.9), ("b", 0.1)], "lang": [("x", 0.1), ("y", 0.9)]}.items()}
