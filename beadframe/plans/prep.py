@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.store import stored
 from ..operators import detect, infer, masks, normalize, signal
 from ..sources import idat, tables
 
@@ -56,12 +56,8 @@ READ_AGAIN = frozenset("CDEPIB")
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Checkpoints to the shared folder that spark.checkpoint.dir names, so that what follows
-    starts from stored rows: plans do not multiply, and a lost executor costs a reread."""
-    context = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))  # single-machine tests
-    return df.checkpoint()
+    """Stored rows to start from, in the shared folder that spark.checkpoint.dir names."""
+    return stored(df, "prep")
 
 
 def prepare(signals: DataFrame, codes: str = "QCDPB", reference: Reference | None = None, arguments: dict[str, dict] | None = None) -> DataFrame:

@@ -6,10 +6,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from ..functions.store import shared_path
 from ..operators import copynumber, frames, infer, masks, model, normalize, ranges, routing, sets, signal
 from ..plans import prep
 from ..sources import adapters as a
-from ..sources import idat, tables
+from ..sources import idat, idat_source, tables
 from .registry import query, r6
 from .signal_queries import AF, DYE, HALF, OOB, _detected
 
@@ -849,6 +850,40 @@ def idat_signals(spark, sf):
     return idat.to_signals(beads, a.manifest(spark, sf).drop("probe_ord"), platforms=idat.sample_platforms(beads, platform="TP"))
 
 
+def _written(spark, files, name):
+    """The folder of files (path, content), written by the data source."""
+    folder = shared_path(spark, name)
+    files.write.format("idat").mode("append").save(folder)
+    return folder
+
+
+def _without_ids(spark, sf, seed):
+    """(folder of de-identified files, secret addresses): the beads of the rs probes are secret."""
+    idat_source.register(spark)
+    rs = a.manifest(spark, sf).where("startswith(probe_id, 'rs')")
+    secret = [r[0] for r in rs.select(F.explode(F.array_compact(F.array("addr_m", "addr_u")))).collect()]  # the array's SNP beads
+    files = _idat_files(spark, sf).select(F.concat("prefix", F.lit("_"), "channel", F.lit(".idat")).alias("path"), "content")
+    return _written(spark, idat.deidentify(files, secret, seed), "idat-noid"), secret
+
+
+@query("SELECT sample_id || '_noid' AS sample_id, probe_id, CASE WHEN NOT starts_with(probe_id, 'rs') THEN mg ELSE mg * 0 END AS mg, CASE WHEN NOT starts_with(probe_id, 'rs') THEN mr ELSE mr * 0 END AS mr, CASE WHEN NOT starts_with(probe_id, 'rs') THEN ug ELSE ug * 0 END AS ug, CASE WHEN NOT starts_with(probe_id, 'rs') THEN ur ELSE ur * 0 END AS ur, col, mask OR ug IS NULL AS mask FROM signals")
+def idat_deidentified(spark, sf):
+    """Scanner files with the SNP beads zeroed, written and read by the data source."""
+    folder, _ = _without_ids(spark, sf, None)
+    beads = spark.read.format("idat").load(folder)
+    return idat.to_signals(beads, a.manifest(spark, sf).drop("probe_ord"), platforms=idat.sample_platforms(beads, platform="TP"))
+
+
+@query("SELECT sample_id, probe_id, mg, mr, ug, ur, col, mask OR ug IS NULL AS mask FROM signals")
+def idat_reidentified(spark, sf):
+    """De-identified with a secret seed, written, read, re-identified, written and read: the signals as they were."""
+    folder, secret = _without_ids(spark, sf, 20)
+    mixed = spark.read.format("binaryFile").load(folder).select("path", "content")
+    back = idat.deidentify(mixed, secret, 20, undo=True).withColumn("path", F.regexp_replace("path", "_noid_", "_"))
+    beads = spark.read.format("idat").load(_written(spark, back, "idat-reid"))
+    return idat.to_signals(beads, a.manifest(spark, sf).drop("probe_ord"), platforms=idat.sample_platforms(beads, platform="TP"))
+
+
 @query("""SELECT sample_id, CASE WHEN n >= 50 THEN platform END AS platform FROM (SELECT sample_id, platform, count(*) AS n, row_number() OVER (PARTITION BY sample_id ORDER BY count(*) DESC, platform DESC) AS i FROM signals JOIN (
   SELECT pk, 'P' || pk % 3 AS platform FROM probes UNION ALL SELECT pk, 'small' FROM probes WHERE pk <= 50) USING (pk) WHERE ug IS NOT NULL GROUP BY 1, 2) WHERE i = 1""")
 def platform_call(spark, sf):
