@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions import stats
+from ..functions import normal, stats
+from ..functions.joins import small_side
+from ..functions.store import stored
 from . import masks
 from .detect import oob_background
 from .qc import dye_bias
@@ -38,42 +40,54 @@ def noob_fits(signals: DataFrame, nonunique: DataFrame | None = None, controls:
     inside = in_band(keep).select("sample_id", "channel", "v").unionByName(two.select("sample_id", "x.*")).withColumn("bg", F.lit(False))
     both = inside.unionByName(oob_background(signals, nonunique, controls).withColumn("bg", F.lit(True))).where("v IS NOT NULL")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        bg, ib = pdf.loc[pdf["bg"], "v"].to_numpy(float), pdf.loc[~pdf["bg"], "v"].to_numpy(float)
-        n, row = int((bg > 0).sum()), [np.nan] * 3
-        if n >= least and len(ib):
-            bg, ib = np.where(bg == 0, 1, bg), np.where(ib == 0, 1, ib)
-            q = np.quantile(bg, [0.25, 0.5, 0.75])
-            bg = bg[bg < q[1] + cap_iqr * (q[2] - q[0])]
-            mu, sigma = stats.huber(bg)
-            row = [mu, sigma, max(stats.huber(ib)[0] - mu, floor)]
-        return pd.DataFrame([[pdf["sample_id"].iloc[0], pdf["channel"].iloc[0], *row, n]], columns=["sample_id", "channel", "mu", "sigma", "alpha", "n"])
-
-    return both.groupBy("sample_id", "channel").applyInPandas(run, "sample_id string, channel string, mu double, sigma double, alpha double, n long")
+    # Intensities repeat, so a value is a row, however many probes have it.
+    whole = F.count_if(F.col("bg") & (F.col("v") > 0))
+    n = both.groupBy("sample_id", "channel").agg(whole.alias("n"))
+    x = stored(both.groupBy("sample_id", "channel", "bg", F.when(F.col("v") == 0, 1.0).otherwise(F.col("v")).cast("double").alias("v")).agg(F.count("*").alias("c")), "noob-values")
+    quartiles = x.where("bg").groupBy("sample_id", "channel").agg(F.percentile("v", [0.25, 0.5, 0.75], F.col("c")).alias("q"))
+    cap = F.col("q")[1] + cap_iqr * (F.col("q")[2] - F.col("q")[0])
+    kept = x.join(quartiles.select("sample_id", "channel", cap.alias("cap")), ["sample_id", "channel"], "left").where("NOT bg OR v < cap").drop("cap")
+    found = huber(stored(kept, "noob-kept"), ["sample_id", "channel", "bg"])
+    side = lambda name, bg: F.max(F.when(F.col("bg") == bg, F.col(name)))
+    wide = found.groupBy("sample_id", "channel").agg(side("mu", True).alias("mu"), side("s", True).alias("sigma"), side("mu", False).alias("inside"))
+    rows = n.join(wide, ["sample_id", "channel"], "left")
+    ok = (F.col("n") >= least) & F.col("inside").isNotNull() & F.col("mu").isNotNull()
+    fit = {"mu": F.col("mu"), "sigma": F.col("sigma"), "alpha": F.greatest(F.col("inside") - F.col("mu"), F.lit(float(floor)))}
+    return rows.select("sample_id", "channel", *(F.when(ok, v).alias(k) for k, v in fit.items()), "n")
+
+
+def huber(values: DataFrame, by: list[str], k: float = 1.5, tol: float = 1e-6, chained: int = 8) -> DataFrame:
+    """(by.., mu, s): Huber's location of weighted values (by.., v, c) and the scaled median deviation.
+
+    All groups go through their rounds together: a round is one aggregation of the values
+    clipped at their group's bounds, summed by part before it is shuffled, and a group that
+    moves by less than ``tol`` deviations rests. A group without spread has no location.
+    """
+    start = values.groupBy(*by).agg(F.percentile("v", F.lit(0.5), F.col("c")).alias("mu"))
+    apart = values.join(start, by).groupBy(*by, "mu").agg((F.percentile(F.abs(F.col("v") - F.col("mu")), F.lit(0.5), F.col("c")) * 1.4826).alias("s"))
+    state = stored(apart.select(*by, F.when(F.col("s") > 0, F.col("mu")).alias("mu"), F.when(F.col("s") > 0, F.col("s")).alias("s"), (F.col("s") <= 0).alias("rests")), "huber")
+    groups = state.count()
+    side = F.broadcast if groups <= 500_000 else (lambda df: df)  # a row a group, counted
+    while not state.where("NOT rests").isEmpty():
+        for _ in range(chained):
+            clipped = F.least(F.greatest(F.col("v"), F.col("mu") - k * F.col("s")), F.col("mu") + k * F.col("s"))
+            moved = values.join(side(state), by).groupBy(*by).agg(F.first("mu").alias("mu"), F.first("s").alias("s"), F.first("rests").alias("rests"), (F.sum(F.col("c") * clipped) / F.sum("c")).alias("new"))
+            near = F.col("rests") | (F.abs(F.col("mu") - F.col("new")) < tol * F.col("s"))
+            state = moved.select(*by, F.when(near, F.col("mu")).otherwise(F.col("new")).alias("mu"), "s", near.alias("rests"))
+        state = stored(state, "huber")
+    return state.select(*by, "mu", "s")
 
 
 def noob(signals: DataFrame, nonunique: DataFrame | None = None, controls: DataFrame | None = None, offset: float = 15) -> DataFrame:
     """Normal-exponential background correction; samples without enough background are left as they are."""
-    fits = noob_fits(signals, nonunique, controls)
-    ok = fits.groupBy("sample_id").agg((F.count_if(F.col("mu").isNotNull() & ~F.isnan("mu")) == 2).alias("ok"))
-    rows = _per_channel(signals, fits, ["mu", "sigma", "alpha"]).join(F.broadcast(ok), "sample_id", "left")  # a row a sample
-
-    @F.pandas_udf("double")
-    def signal(x: pd.Series, m: pd.Series, s: pd.Series, a: pd.Series) -> pd.Series:
-        out = np.full(len(x), np.nan)
-        v, m, s, a = (c.to_numpy(float) for c in (x, m, s, a))
-        fits, which = np.unique(np.column_stack([m, s, a]), axis=0, return_inverse=True)  # rows without a fit share one NaN row
-        for i, fit in enumerate(fits):
-            if not np.isnan(fit).any():
-                at = which == i
-                out[at] = stats.normal_exponential(v[at], *fit)
-        return pd.Series(out)
-
-    new = {}
+    fits = stored(noob_fits(signals, nonunique, controls), "noob-fits")
+    wide = fits.groupBy("sample_id").agg(*(F.max(F.when(F.col("channel") == c.upper(), F.col(n))).alias(f"{n}_{c}") for n in ("mu", "sigma", "alpha") for c in "gr"))
+    rows = signals.join(small_side(wide), "sample_id", "left")
+    rows = rows.withColumns({f"y_{c}": F.expr(normal.standardised(c, *(f"{n}_{k.lower()}" for n in ("mu", "sigma", "alpha")))) for c, k in CHANNELS.items()})
+    new, ok = {}, F.col("mu_g").isNotNull() & F.col("mu_r").isNotNull()
     for c, k in CHANNELS.items():
-        k = k.lower()
-        fixed = signal(F.col(c), F.col(f"mu_{k}"), F.col(f"sigma_{k}"), F.col(f"alpha_{k}"))
-        new[c] = F.when(F.col(c).isNotNull() & F.col("ok"), fixed + offset).otherwise(F.col(c))
+        fixed = F.expr(normal.expected_signal(c, *(f"{n}_{k.lower()}" for n in ("mu", "sigma", "alpha")), f"y_{c}"))
+        new[c] = F.when(F.col(c).isNotNull() & ok, fixed + offset).otherwise(F.col(c))
     return rows.withColumns(new).select(*signals.columns)
 
 

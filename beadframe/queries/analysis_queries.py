@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from ..functions import normal
 from ..functions.store import shared_path
 from ..operators import copynumber, frames, infer, masks, model, normalize, ranges, routing, sets, signal
 from ..plans import prep
@@ -704,19 +705,55 @@ def dye_balanced(spark, sf):
     return _beads(normalize.dye_controls(s, c, normalize.most_balanced(s, c)))
 
 
-@query()
+# Huber's location by rounds over all groups: bg is the background of a sample and channel, ib the in-band signal.
+_FITS = """nv AS (SELECT * FROM ({values}) WHERE v IS NOT NULL), nn AS (SELECT sample_id, channel, count(*) FILTER (bg AND v > 0) AS n FROM nv GROUP BY 1, 2),
+n1 AS (SELECT sample_id, channel, bg, CASE WHEN v = 0 THEN 1 ELSE v END AS v FROM nv),
+nq AS (SELECT sample_id, channel, quantile_cont(v, 0.5) + 10 * (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) AS cap FROM n1 WHERE bg GROUP BY 1, 2),
+nk AS (SELECT n1.* FROM n1 LEFT JOIN nq USING (sample_id, channel) WHERE NOT bg OR v < cap),
+n0 AS (SELECT sample_id, channel, bg, median(v) AS mu FROM nk GROUP BY 1, 2, 3),
+ns AS (SELECT sample_id, channel, bg, mu, 1.4826 * median(abs(v - mu)) AS s FROM nk JOIN n0 USING (sample_id, channel, bg) GROUP BY 1, 2, 3, 4),
+hu AS (SELECT 0 AS round, sample_id, channel, bg, mu, s, false AS rests FROM ns WHERE s > 0
+  UNION ALL SELECT round + 1, sample_id, channel, bg, CASE WHEN abs(mu - new) < 1e-6 * s THEN mu ELSE new END, s, abs(mu - new) < 1e-6 * s
+  FROM (SELECT round, sample_id, channel, bg, mu, s, avg(least(greatest(v, mu - 1.5 * s), mu + 1.5 * s)) AS new FROM hu JOIN nk USING (sample_id, channel, bg) WHERE NOT rests GROUP BY ALL)),
+hf AS (SELECT sample_id, channel, max(mu) FILTER (bg) AS mu, max(s) FILTER (bg) AS sigma, max(mu) FILTER (NOT bg) AS ins FROM hu WHERE rests GROUP BY 1, 2),
+fits AS (SELECT sample_id, channel, CASE WHEN ok THEN mu END AS mu, CASE WHEN ok THEN sigma END AS sigma, CASE WHEN ok THEN greatest(ins - mu, 10) END AS alpha, n
+  FROM (SELECT *, n >= 100 AND mu IS NOT NULL AND ins IS NOT NULL AS ok FROM nn LEFT JOIN hf USING (sample_id, channel)))"""
+# Background and in-band values of the probes that are kept, by channel.
+_VALUES = """SELECT sample_id, channel, v, false AS bg FROM (SELECT sample_id, pk, unnest(CASE col WHEN 'G' THEN [{{'channel': 'G', 'v': mg}}, {{'channel': 'G', 'v': ug}}] WHEN 'R' THEN [{{'channel': 'R', 'v': mr}}, {{'channel': 'R', 'v': ur}}]
+  ELSE [{{'channel': 'G', 'v': ug}}, {{'channel': 'R', 'v': ur}}] END, recursive := true) FROM signals WHERE {keep})
+UNION ALL SELECT sample_id, channel, v, true FROM (SELECT sample_id, unnest(CASE col WHEN 'G' THEN [{{'channel': 'R', 'v': mr}}, {{'channel': 'R', 'v': ur}}] ELSE [{{'channel': 'G', 'v': mg}}, {{'channel': 'G', 'v': ug}}] END, recursive := true) FROM signals WHERE col <> '2' AND {keep})"""
+_NEGATIVE = " UNION ALL SELECT sample_id, channel, v, true FROM (SELECT sample_id, unnest([{'channel': 'G', 'v': ug}, {'channel': 'R', 'v': ur}], recursive := true) FROM signals WHERE pk % 20 = 19 AND pk % 3 = 0)"
+_NOOB = _FITS.replace("{values}", _VALUES.format(keep="pk % 41 <> 0") + _NEGATIVE)
+_SOFT = _FITS.replace("{values}", _VALUES.format(keep="NOT mask"))
+
+
+def _corrected(offset: int) -> tuple[str, str]:
+    """(query, table expressions) of signals under normal-exponential correction."""
+    fit = {c: [f"{n}_{k.lower()}" for n in ("mu", "sigma", "alpha")] for c, k in normalize.CHANNELS.items()}
+    wide = ", ".join(f"max({n}) FILTER (channel = '{k.upper()}') AS {n}_{k}" for n in ("mu", "sigma", "alpha") for k in "gr")
+    place = ", ".join(f"{normal.standardised(c, *f)} AS y_{c}" for c, f in fit.items())
+    out = ", ".join(f"round(CASE WHEN mu_g IS NOT NULL AND mu_r IS NOT NULL AND {c} IS NOT NULL THEN {normal.expected_signal(c, *f, f'y_{c}')} + {offset} ELSE {c} END, 4) AS {c}" for c, f in fit.items())
+    return f"SELECT sample_id, probe_id, {out} FROM nz", f", fw AS (SELECT sample_id, {wide} FROM fits GROUP BY 1), nz AS (SELECT *, {place} FROM signals LEFT JOIN fw USING (sample_id))"
+
+
+def _beads4(df):
+    return df.select("sample_id", "probe_id", *(F.round(c, 4).alias(c) for c in ("mg", "mr", "ug", "ur")))
+
+
+@query("SELECT sample_id, channel, round(mu, 4) AS mu, round(sigma, 4) AS sigma, round(alpha, 4) AS alpha, n FROM fits", more=_NOOB)
 def noob_fits(spark, sf):
-    return normalize.noob_fits(a.signals(spark, sf), masks.nonunique_probes(a.mask_members(spark, sf)), a.controls(spark, sf))
+    fits = normalize.noob_fits(a.signals(spark, sf), masks.nonunique_probes(a.mask_members(spark, sf)), a.controls(spark, sf))
+    return fits.select("sample_id", "channel", *(F.round(c, 4).alias(c) for c in ("mu", "sigma", "alpha")), "n")
 
 
-@query()
+@query(_corrected(15)[0], more=_NOOB + _corrected(15)[1])
 def noob(spark, sf):
-    return _beads(normalize.noob(a.signals(spark, sf), masks.nonunique_probes(a.mask_members(spark, sf)), a.controls(spark, sf)))
+    return _beads4(normalize.noob(a.signals(spark, sf), masks.nonunique_probes(a.mask_members(spark, sf)), a.controls(spark, sf)))
 
 
-@query()
+@query(_corrected(0)[0], more=_SOFT + _corrected(0)[1])
 def scrub_soft(spark, sf):
-    return _beads(normalize.scrub_soft(a.signals(spark, sf)))
+    return _beads4(normalize.scrub_soft(a.signals(spark, sf)))
 
 
 # Each channel's values move halfway to the other's quantile of the same mean rank; what lies between, by lines.

@@ -150,4 +150,4 @@ effect AS (SELECT * REPLACE (CASE WHEN pk % 50 = 0 AND beta IS NOT NULL THEN lea
 
 
 def oracle(body: str, more: str = "") -> str:
-    return f"WITH {ORACLE.strip()}{', ' + more.strip() if more else ''}\n{body}"
+    return f"WITH{' RECURSIVE' if 'SELECT round + 1' in more else ''} {ORACLE.strip()}{', ' + more.strip() if more else ''}\n{body}"
