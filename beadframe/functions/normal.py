@@ -64,3 +64,13 @@ def expected_signal(x: str, mu: str, sigma: str, alpha: str, y: str) -> str:
 
 def standardised(x: str, mu: str, sigma: str, alpha: str) -> str:
     return f"(({x} - {mu} - {sigma} * {sigma} / {alpha}) / ({sigma} * {number(math.sqrt(2))}))"
+
+
+def upper_tail(y: str) -> str:
+    """The standard normal's probability above z, for ``y`` = z / sqrt(2), a column's name."""
+    square = f"({y} * {y})"
+    erf = f"{y} * {polynomial([NEAR[4], *NEAR[:4]], square)} / {polynomial([1.0, *NEAR_BELOW], square)}"
+    return (
+        f"(CASE WHEN {y} > {number(BOUND)} THEN 0.5E0 * exp(-{square}) * {scaled_erfc(y)} WHEN {y} >= {number(-BOUND)} THEN 0.5E0 * (1E0 - {erf}) "
+        f"ELSE 1E0 - 0.5E0 * exp(-{square}) * {scaled_erfc(f'(-{y})')} END)"
+    )

@@ -6,15 +6,12 @@ aggregation counts overlaps for all sets at once; tails are expressions on its r
 
 from __future__ import annotations
 
-import zlib
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.stats import normal_cdf
+from ..functions import normal
+from ..functions.store import stored
 from ..functions.windows import benjamini_hochberg, log_factorial, mean_rank
 
 LOG2_MAX, LOG2_MIN = 1024.0, -1022.0  # log2 of the largest and smallest double
@@ -166,45 +163,59 @@ def _positions(values: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(offsets), "part").select("probe_id", (F.col("row") + F.col("off")).alias("at"))
 
 
-def enrich_values(values: DataFrame, members: DataFrame, permutations: int = 100, precise: bool = False, seed: int = 1) -> DataFrame:
-    """(dbname, n, overlap, estimate, p): running-sum enrichment with a permutation null.
+def null_scores(sizes: DataFrame, permutations: int, seed: int = 1) -> DataFrame:
+    """(overlap, draw, high, low): running-sum extremes of random sets of each size.
 
-    A null score depends on the two counts only, so sets are tested apart, each with a
-    generator seeded by its name. A negative estimate is enrichment at large values.
+    ``sizes`` (n, overlap) has one n. Draw i orders the positions by a hash of seed, draw
+    and position, and a set of k takes the first k of them: uniform, without replacement,
+    and the same wherever it is computed. Draws are rows; a draw's first positions are
+    kept by a limited window, and each size scores its own in a window of as many rows.
     """
+    most = sizes.agg(F.first("n").alias("n"), F.max("overlap").alias("most"), F.array_sort(F.collect_set("overlap")).alias("sizes"))  # one row
+    draws = most.select("n", "most", "sizes", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("draw"))
+    placed = draws.repartition("draw").select("n", "most", "sizes", "draw", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("at"))
+    key = F.md5(F.concat_ws("-", F.lit(str(seed)), "draw", "at"))
+    placed = placed.withColumn("rank", F.row_number().over(W.partitionBy("draw").orderBy(key))).where("rank <= most")
+    held = placed.select("n", "draw", "at", F.explode(F.filter("sizes", lambda k: k >= F.col("rank"))).alias("overlap"))
+    j, others = F.row_number().over(W.partitionBy("overlap", "draw").orderBy("at")), F.col("n") - F.col("overlap")
+    held = held.withColumns({"high": j / F.col("overlap") - (F.col("at") - j) / others, "low": (j - 1) / F.col("overlap") - (F.col("at") - j) / others})
+    return held.groupBy("overlap", "draw").agg(F.max("high").alias("high"), F.least(F.min("low"), F.lit(0.0)).alias("low"))
+
+
+def enrich_values(values: DataFrame, members: DataFrame, permutations: int = 100, precise: bool = False, seed: int = 1, most: int = 1000) -> DataFrame:
+    """(dbname, n, overlap, estimate, p): running-sum enrichment with a permutation null.
 
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for name, n, k, hi, lo in pdf[["dbname", "n", "overlap", "es_max", "es_min"]].itertuples(index=False):
-                out.append((name, int(n), int(k), *_score(name, int(n), int(k), hi, lo, permutations, precise, seed)))
-            yield pd.DataFrame(out, columns=["dbname", "n", "overlap", "estimate", "p"])
-
-    return running_scores(values, members).mapInPandas(run, "dbname string, n long, overlap long, estimate double, p double")
-
-
-def _score(name: str, n: int, k: int, hi: float, lo: float, permutations: int, precise: bool, seed: int) -> tuple[float, float]:
-    if k == 0 or k == n:
-        return 0.0, 1.0
-    rng = np.random.default_rng([seed, zlib.crc32(str(name).encode())])
-
-    def null(times: int) -> np.ndarray:
-        out = np.empty((times, 2))
-        for i in range(times):
-            at, j = np.sort(rng.choice(n, k, replace=False)) + 1, np.arange(1, k + 1)
-            out[i] = (j / k - (at - j) / (n - k)).max(), min(0.0, ((j - 1) / k - (at - j) / (n - k)).min())
-        return out
-
-    ess = null(permutations)
-    p_small, p_large = (ess[:, 0] > hi).mean(), (ess[:, 1] <= lo).mean()
-    if min(p_small, p_large) < 0.01 and precise and permutations < 1000:
-        ess = null(1000)
-        p_small, p_large = (ess[:, 0] > hi).mean(), (ess[:, 1] <= lo).mean()
-    if p_small == 0:
-        p_small = float(1 - normal_cdf((hi - ess[:, 0].mean()) / max(ess[:, 0].std(ddof=1), 1e-12)))
-    if p_large == 0:
-        p_large = float(normal_cdf((lo - ess[:, 1].mean()) / max(ess[:, 1].std(ddof=1), 1e-12)))
-    return (lo, float(p_large)) if -lo > hi else (hi, float(p_small))
+    A null score depends on the two counts only, so sets of one size share their draws.
+    With ``precise`` a set with p below 0.01 on either side is tested with ``most`` draws.
+    A side that no draw reaches takes a normal tail. A negative estimate is enrichment at
+    large values; a set of none or of all values has estimate 0 and p 1.
+    """
+    scored = stored(running_scores(values, members), "scores")
+    tested = scored.where("overlap > 0 AND overlap < n")
+
+    def shares(rows: DataFrame, draws: int) -> DataFrame:
+        null = null_scores(rows.select("n", "overlap").distinct(), draws, seed).withColumnRenamed("overlap", "size")
+        met = rows.join(null, F.col("overlap") == F.col("size"))
+        one = lambda c: F.avg(c.cast("double"))
+        return met.groupBy("dbname", "n", "overlap", "es_max", "es_min").agg(
+            one(F.col("high") > F.col("es_max")).alias("p_high"), one(F.col("low") <= F.col("es_min")).alias("p_low"),
+            F.avg("high").alias("m_high"), F.stddev_samp("high").alias("s_high"), F.avg("low").alias("m_low"), F.stddev_samp("low").alias("s_low"),
+        )
+
+    found = shares(tested, permutations)
+    if precise and permutations < most:
+        found = stored(found, "null-shares")
+        strong = found.where("p_high < 0.01 OR p_low < 0.01").select("dbname", "n", "overlap", "es_max", "es_min")
+        if not strong.isEmpty():
+            found = found.where("NOT (p_high < 0.01 OR p_low < 0.01)").unionByName(shares(strong, most))
+    deviations = lambda s, m, c: (F.col(s) - F.col(m)) / (F.greatest(c, F.lit(1e-12)) * F.sqrt(F.lit(2.0)))
+    found = found.withColumns({"y_high": deviations("es_max", "m_high", F.col("s_high")), "y_low": deviations("m_low", "es_min", F.col("s_low"))})
+    high = F.when(F.col("p_high") == 0, F.expr(normal.upper_tail("y_high"))).otherwise(F.col("p_high"))
+    low = F.when(F.col("p_low") == 0, F.expr(normal.upper_tail("y_low"))).otherwise(F.col("p_low"))
+    large = -F.col("es_min") > F.col("es_max")
+    out = found.select("dbname", F.when(large, F.col("es_min")).otherwise(F.col("es_max")).alias("estimate"), F.when(large, low).otherwise(high).alias("p"))
+    rows = scored.select("dbname", "n", "overlap").join(out, "dbname", "left")
+    return rows.select("dbname", "n", "overlap", F.coalesce("estimate", F.lit(0.0)).alias("estimate"), F.coalesce("p", F.lit(1.0)).alias("p"))
 
 
 def spearman(values: DataFrame, members: DataFrame) -> DataFrame:

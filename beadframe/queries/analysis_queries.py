@@ -136,10 +136,20 @@ def enrich_es(spark, sf):
     return out.select("dbname", "n", "overlap", r6("es_max"), r6("es_min"))
 
 
-@query()
+# Random sets of each size by 100 hashed orders of the positions; sides that none reaches take a normal tail.
+_NULL = """ps AS (SELECT p_brand, row_number() OVER (ORDER BY price, probe_id) AS pos FROM probes), nn AS (SELECT count(*) AS n FROM ps), sz AS (SELECT p_brand AS dbname, count(*) AS k FROM ps GROUP BY 1),
+dr AS (SELECT draw, pos, row_number() OVER (PARTITION BY draw ORDER BY md5('1-' || draw || '-' || pos)) AS r FROM range(100) d(draw), (SELECT pos FROM ps)),
+ex AS (SELECT k, n, draw, pos, row_number() OVER (PARTITION BY k, draw ORDER BY pos) AS j FROM dr JOIN (SELECT DISTINCT k FROM sz) ON r <= k, nn),
+nl AS (SELECT k, draw, max(j / k - (pos - j) / (n - k)) AS hi, least(min((j - 1) / k - (pos - j) / (n - k)), 0) AS lo FROM ex GROUP BY 1, 2),
+ob AS (SELECT dbname, k, n, max(j / k - (pos - j) / (n - k)) AS es_max, least(min((j - 1) / k - (pos - j) / (n - k)), 0) AS es_min
+  FROM (SELECT p_brand AS dbname, pos, row_number() OVER (PARTITION BY p_brand ORDER BY pos) AS j FROM ps) JOIN sz USING (dbname), nn GROUP BY 1, 2, 3),
+sh AS (SELECT dbname, n, k, es_max, es_min, avg((hi > es_max)::INT) AS ph, avg((lo <= es_min)::INT) AS pl, (es_max - avg(hi)) / (greatest(stddev_samp(hi), 1e-12) * sqrt(2)) AS yh, (avg(lo) - es_min) / (greatest(stddev_samp(lo), 1e-12) * sqrt(2)) AS yl FROM ob JOIN nl USING (k) GROUP BY 1, 2, 3, 4, 5)"""
+
+
+@query(f"SELECT dbname, n, k AS overlap, round(CASE WHEN -es_min > es_max THEN es_min ELSE es_max END, 6) AS estimate, round(CASE WHEN -es_min > es_max THEN CASE WHEN pl = 0 THEN {normal.upper_tail('yl')} ELSE pl END WHEN ph = 0 THEN {normal.upper_tail('yh')} ELSE ph END, 6) AS p FROM sh", more=_NULL)
 def enrich_es_permuted(spark, sf):
     values = a.set_members(spark, sf).where("group = 'price'").select("probe_id", "value")
-    return sets.enrich_values(values, _brands(spark, sf))
+    return sets.enrich_values(values, _brands(spark, sf)).select("dbname", "n", "overlap", r6("estimate"), r6("p"))
 
 
 RANK = "(rank() OVER (PARTITION BY sample_id ORDER BY {0}) + (count(*) OVER (PARTITION BY sample_id, {0}) - 1) / 2.0)"
@@ -204,7 +214,15 @@ def bin_counts(spark, sf):
     return ranges.count_overlaps(ranges.minus_gaps(ranges.tiles(lengths), gaps), coords, ["chrom", "start", "end"], 50_000)
 
 
-@query()
+# A bin a round and chromosome: the smallest goes into the neighbour that it touches, the left one first.
+_MERGE = LENGTHS + """, bc AS (SELECT b.chrom, s, e, count(p.pk) AS n FROM bins b LEFT JOIN probes p ON p.chrom = b.chrom AND p.start <= e AND p."end" >= s GROUP BY 1, 2, 3),
+mg AS (SELECT 0 AS round, chrom, list({'s': s, 'e': e, 'n': n} ORDER BY s) AS b FROM bc GROUP BY 2
+  UNION ALL SELECT round + 1, chrom, CASE WHEN i > 1 AND b[i - 1].e + 1 = b[i].s THEN list_slice(b, 1, i - 2) || [{'s': b[i - 1].s, 'e': b[i].e, 'n': b[i - 1].n + b[i].n}] || list_slice(b, i + 1, len(b))
+    WHEN i < len(b) AND b[i].e + 1 = b[i + 1].s THEN list_slice(b, 1, i - 1) || [{'s': b[i].s, 'e': b[i + 1].e, 'n': b[i].n + b[i + 1].n}] || list_slice(b, i + 2, len(b)) ELSE list_slice(b, 1, i - 1) || list_slice(b, i + 1, len(b)) END
+  FROM (SELECT *, list_position(ns, list_min(ns)) AS i FROM (SELECT *, [x.n for x in b] AS ns FROM mg)) WHERE list_min(ns) < 20)"""
+
+
+@query('SELECT chrom, x.s AS start, x.e AS "end", x.n AS n FROM (SELECT chrom, unnest(b) AS x FROM mg QUALIFY round = max(round) OVER (PARTITION BY chrom))', more=_MERGE)
 def bins_merged(spark, sf):
     coords, lengths, gaps = _genome(spark, sf)
     return copynumber.bins(lengths, gaps, coords)
