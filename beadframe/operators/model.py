@@ -199,21 +199,31 @@ def effect_size(predictions: DataFrame, factors: list[str]) -> DataFrame:
     return out
 
 
+#: Neighbouring probes that are dealt together.
+RUN = 64
+
+
 def neighbour_distance(betas: DataFrame, coords: DataFrame) -> DataFrame:
     """(probe_id, chrom, start, end, ord, dist, changed): against the probe before in genome order.
 
-    ``dist`` sums squared beta differences over samples. Only probes with some beta count as
-    neighbours. A chromosome is one group of a light table (a row a probe, no betas).
+    ``dist`` sums squared beta differences over samples. Only mapped probes (chromosome
+    neither null nor ``*``) with some beta count as neighbours. A chromosome is one group
+    of a light table (a row a probe, no betas); betas are dealt by runs of RUN neighbours,
+    the last of each also to the next run, so each finds the one before it in its own task.
     """
     known = betas.where("beta IS NOT NULL").select("probe_id").distinct()
-    placed = coords.join(known, "probe_id", "left_semi").select("probe_id", "chrom", "start", "end")
+    mapped = coords.where("chrom IS NOT NULL AND chrom <> '*'")
+    placed = mapped.join(known, "probe_id", "left_semi").select("probe_id", "chrom", "start", "end")
     order = W.partitionBy("chrom").orderBy("start", "end", "probe_id")
-    placed = placed.withColumns({"prev": F.lag("probe_id").over(order), "ord": F.row_number().over(order)})
-    b = betas.select("sample_id", "probe_id", "beta")
-    pairs = placed.where("prev IS NOT NULL").select("probe_id", "prev").join(b, "probe_id")
-    pairs = pairs.join(b.select("sample_id", F.col("probe_id").alias("prev"), F.col("beta").alias("other")), ["sample_id", "prev"])
-    dist = pairs.groupBy("probe_id").agg(F.coalesce(F.sum(F.pow(F.col("beta") - F.col("other"), 2)), F.lit(0.0)).alias("dist"))
-    return placed.join(dist, "probe_id", "left").withColumn("changed", F.col("prev").isNull()).drop("prev")
+    placed = placed.withColumns({"changed": F.lag("probe_id").over(order).isNull(), "ord": F.row_number().over(order)})
+    own = F.expr(f"ord div {RUN}")
+    runs = F.when((F.col("ord") + 1) % RUN == 0, F.array(own, own + 1)).otherwise(F.array(own))
+    rows = betas.select("sample_id", "probe_id", "beta").join(placed.select("probe_id", "chrom", "ord"), "probe_id").withColumn("run", F.explode(runs))
+    near = W.partitionBy("chrom", "run", "sample_id").orderBy("ord")
+    apart = F.when(F.lag("ord").over(near) == F.col("ord") - 1, F.pow(F.col("beta") - F.lag("beta").over(near), F.lit(2)))
+    dist = rows.withColumn("d", apart).where(F.col("run") == own).groupBy("chrom", "ord").agg(F.sum("d").alias("d"))
+    out = placed.join(dist, ["chrom", "ord"], "left")
+    return out.select("probe_id", "chrom", "start", "end", "ord", F.when(~F.col("changed"), F.coalesce("d", F.lit(0.0))).alias("dist"), "changed")
 
 
 def segments(betas: DataFrame, coords: DataFrame, per_locus: float = 0.5, cutoff: float | None = None) -> DataFrame:
