@@ -23,7 +23,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from .common import materialise, scratch_path
 from .tokens import closed, encoder, packed, slices, spread
@@ -157,20 +156,28 @@ def as_ids(data: bytes, n: int) -> np.ndarray:
     return np.frombuffer(data, "<u2" if len(data) == 2 * n else "<u4")
 
 
-def symbol_counts(tokens: DataFrame) -> DataFrame:
-    """(symbol, n) over all ids; each task sends a row for each symbol it met."""
+def counted(tokens: DataFrame) -> DataFrame:
+    """(part, symbol, n), from one read: ids of each symbol (part null) and of each part (symbol null);
+    each task sends a row for each that it met."""
 
     def run(batches):
-        counts = np.zeros(1 << 16, np.int64)
+        counts, parts = np.zeros(1 << 16, np.int64), {}
         for b in batches:
-            for data, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                new = np.bincount(as_ids(data, n), minlength=len(counts))
+            n, lists = b.column(1).to_numpy(), b.column(0).to_pylist()
+            wide = np.fromiter(map(len, lists), np.int64, len(lists)) > 2 * n
+            for kind, rows in (("<u2", ~wide), ("<u4", wide)):
+                new = np.bincount(np.frombuffer(b"".join(lists[i] for i in np.flatnonzero(rows).tolist()), kind), minlength=len(counts))
                 new[: len(counts)] += counts
                 counts = new
+            for part, m in b.select(["part", "n_tokens"]).to_pandas().groupby("part")["n_tokens"].sum().items():
+                parts[part] = parts.get(part, 0) + int(m)
         s = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(counts[s])], names=["symbol", "n"])
+        none = lambda k: pa.nulls(k, pa.int64())
+        yield pa.RecordBatch.from_arrays([none(len(s)), pa.array(s), pa.array(counts[s])], names=["part", "symbol", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int64()), none(len(parts)), pa.array(list(parts.values()), pa.int64())], names=["part", "symbol", "n"])
 
-    return tokens.select("ids", "n_tokens").mapInArrow(run, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n"))
+    found = tokens.select("ids", "n_tokens", "part").mapInArrow(run, "part long, symbol long, n long")
+    return found.groupBy("part", "symbol").agg(F.sum("n").alias("n"))
 
 
 def read_frequencies(spark: SparkSession, path: str) -> np.ndarray:
@@ -190,15 +197,16 @@ def write(docs: DataFrame, path: str, text: str = "text", id: str = "doc_id", vo
     """
     spark = docs.sparkSession
     tokens = materialise(tokenised(docs, text, id, vocabulary), "token-ids")
-    counts = symbol_counts(tokens).toPandas()  # a row a symbol of the vocabulary
+    found = counted(tokens).toPandas()  # a row a symbol of the vocabulary, and a part
+    counts = found[found["part"].isna()]
     dense = np.zeros(int(counts["symbol"].max()) + 1 if len(counts) else 1, np.int64)
     dense[counts["symbol"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
     frequency = scaled(dense)
     pairs = pd.DataFrame({"symbol": np.flatnonzero(frequency), "frequency": frequency[frequency > 0]})
     spark.createDataFrame(pairs, "symbol long, frequency long").coalesce(1).write.parquet(f"{path}/table")
-    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # one row a part
-    parts = tokens.groupBy("part").agg(F.sum("n_tokens").alias("n"))
-    parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")).write.parquet(f"{path}/parts")
+    parts = found[found["part"].notna()].sort_values("part")
+    starts = [(int(p), int(end - n)) for p, n, end in zip(parts["part"], parts["n"], parts["n"].cumsum())]
+    spark.createDataFrame(starts, "part long, start long").coalesce(1).write.parquet(f"{path}/parts")
 
     def blocks(batches):
         table = Table(frequency)
@@ -227,29 +235,32 @@ def write(docs: DataFrame, path: str, text: str = "text", id: str = "doc_id", vo
     tokens.mapInArrow(blocks, "part long, position long, doc_ids array<long>, sizes array<long>, payload binary").write.option("compression", "none").parquet(f"{path}/blocks")
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """One row a document: doc_id, start, n_tokens, ids (little-endian unsigned 32-bit), ids_crc32."""
+def read(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
+    """One row a document: doc_id, start, n_tokens, ids (little-endian unsigned 32-bit; not without ``ids``), ids_crc32."""
+    shape = "doc_id long, start long, n_tokens long, " + ("ids binary, " if ids else "") + "ids_crc32 long"
     frequency = read_frequencies(spark, path)
 
     def run(batches):
         table = Table(frequency)
         for b in batches:
             for start, docs, sizes, payload in zip(*(b.column(k) for k in range(4))):
-                ids, n = decode_block(payload.as_py(), table), np.array(sizes.as_py(), np.int64)
+                flat, n = decode_block(payload.as_py(), table).astype("<u4"), np.array(sizes.as_py(), np.int64)
                 ends = np.cumsum(n)
-                data = [ids[e - k : e].astype("<u4").tobytes() for e, k in zip(ends.tolist(), n.tolist())]
-                columns = [pa.array(docs.as_py(), pa.int64()), pa.array(start.as_py() + ends - n), pa.array(n), pa.array(data, pa.binary()), pa.array([zlib.crc32(d) for d in data], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids", "ids_crc32"])
+                data = [flat[e - k : e].data for e, k in zip(ends.tolist(), n.tolist())]
+                columns = [pa.array(docs.as_py(), pa.int64()), pa.array(start.as_py() + ends - n), pa.array(n)]
+                columns += [pa.array([d.tobytes() for d in data], pa.binary())] if ids else []
+                columns.append(pa.array([zlib.crc32(d) for d in data], pa.int64()))
+                yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in shape.split(", ")])
 
     parts = spark.read.schema("part long, start long").parquet(f"{path}/parts")
     blocks = spark.read.schema("part long, position long, doc_ids array<long>, sizes array<long>, payload binary").parquet(f"{path}/blocks")
     placed = blocks.join(F.broadcast(parts), "part")  # one row a part of the writing job
     rows = placed.select((F.col("start") + F.col("position")).alias("start"), "doc_ids", "sizes", "payload")
-    return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary, ids_crc32 long")
+    return rows.mapInArrow(run, shape)
 
 
 def round_trip(docs: DataFrame, text: str = "text", id: str = "doc_id", vocabulary: str | None = None) -> DataFrame:
     """Writes ``docs`` to a new folder and returns what the files hold: doc_id, start, n_tokens, ids_crc32."""
     path = scratch_path(docs.sparkSession, "token-files")
     write(docs, path, text, id, vocabulary)
-    return read(docs.sparkSession, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return read(docs.sparkSession, path, ids=False)

@@ -36,7 +36,7 @@ def write_flat(docs: DataFrame, path: str, text: str = "text", id: str = "doc_id
     """
 
     def run(batches):
-        coder, row = encoder(vocabulary, plain=True), 0
+        coder, row = encoder(vocabulary, plain=True, most=120_000), 0
         for b in batches:
             for at, n in slices(b.column(1), LINE_BYTES):
                 ids, sizes = coder.encode_batch(b.column(1).slice(at, n))
@@ -47,6 +47,7 @@ def write_flat(docs: DataFrame, path: str, text: str = "text", id: str = "doc_id
                 names = "".join("\n" if x is None else f"{x}\n" for x in b.column(0).slice(at, n).to_pylist()).encode()
                 yield pa.RecordBatch.from_arrays([pa.array(["ids", "names"]), pa.array([row, row], pa.int64()), pa.array([flat, names], pa.binary())], names=["kind", "row", "value"])
                 row += 1
+            pa.default_memory_pool().release_unused()
 
     rows = docs.select(F.col(id).cast("long"), F.col(text).cast("string")).mapInArrow(run, "kind string, row long, value binary")
     rows = rows.sortWithinPartitions("kind", "row").select("kind", F.col("value").cast("string").alias("value"))

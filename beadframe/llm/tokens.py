@@ -145,13 +145,13 @@ def packed(ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.astype("<i4")), pa.py_buffer(ids.astype(kind))])
 
 
-def encoder(path: str | None = None, plain: bool = False) -> WordIds:
-    """This worker's encoder; ``path`` defaults to the public vocabulary file."""
+def encoder(path: str | None = None, plain: bool = False, most: int = 300_000) -> WordIds:
+    """This worker's encoder of at most ``most`` known pieces; ``path`` defaults to the public vocabulary file."""
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path(VOCABULARY)
     cache = worker_cache()
-    if ("encoder", path, plain) not in cache:
-        cache["encoder", path, plain] = WordIds(path, plain=plain)
-    return cache["encoder", path, plain]
+    if ("encoder", path, plain, most) not in cache:
+        cache["encoder", path, plain, most] = WordIds(path, most, plain)
+    return cache["encoder", path, plain, most]
