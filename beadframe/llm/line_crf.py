@@ -17,6 +17,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from .common import materialise
 
 KINDS = 10
 WIDTH = 3 * KINDS + 3
@@ -183,11 +186,12 @@ def fit(texts: list, labels: np.ndarray, steps: int = 60, rate: float = 0.15, ri
     return Chain(chain.emission, chain.transition, (float(a), float(b)))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, text: str, id: str, label: str, max_rows: int, folds: int) -> pd.DataFrame:
-    """At most ``max_rows`` labelled documents outside fold 0, by smallest id hash.
+def training_rows(docs: DataFrame, labels: DataFrame, text: str, id: str, label: str, max_rows: int, folds: int, max_bytes: int = 1 << 26) -> pd.DataFrame:
+    """At most ``max_rows`` labelled documents outside fold 0, of ``max_bytes`` of text together, by smallest id hash.
 
     Of an id's rows one is taken, the one with the smallest text hash, before anything is
-    collected; of its labels the smallest counts.
+    collected; of its labels the smallest counts. Texts are added up in the order of the
+    hash, and those that would go beyond ``max_bytes`` are not collected.
     """
     fold = F.pmod(F.crc32(F.col(id).cast("string").cast("binary")), F.lit(folds))
     known = labels.where(F.col(id).isNotNull() & F.col(label).isNotNull() & (fold != 0))
@@ -195,11 +199,15 @@ def training_rows(docs: DataFrame, labels: DataFrame, text: str, id: str, label:
     known = known.orderBy(F.xxhash64("__id"), "__id").limit(max_rows)  # bounded, so it is broadcast
     rows = docs.select(F.col(id).cast("long").alias("__id"), F.col(text).cast("string").alias("__text")).join(F.broadcast(known), "__id")
     first = F.min(F.struct(F.xxhash64("__text").alias("h"), "__text"))["__text"]
-    return rows.groupBy("__id", "__y").agg(first.alias("__text")).toPandas().sort_values("__id")
+    rows = rows.groupBy("__id", "__y").agg(first.alias("__text")).withColumn("__size", F.coalesce(F.octet_length("__text"), F.lit(0)).cast("long"))
+    rows = materialise(rows, "training-texts")
+    total = F.sum("__size").over(W.orderBy(F.xxhash64("__id"), "__id").rowsBetween(W.unboundedPreceding, 0))  # max_rows rows, without texts
+    held = rows.select("__id", total.alias("total")).where(F.col("total") <= max_bytes).select("__id")
+    return rows.join(F.broadcast(held), "__id").select("__id", "__y", "__text").toPandas().sort_values("__id")
 
 
-def fit_documents(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_id", label: str = "quality", max_rows: int = 2000, folds: int = 5) -> Chain | None:
-    rows = training_rows(docs, labels, text, id, label, max_rows, folds)
+def fit_documents(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_id", label: str = "quality", max_rows: int = 2000, folds: int = 5, max_bytes: int = 1 << 26) -> Chain | None:
+    rows = training_rows(docs, labels, text, id, label, max_rows, folds, max_bytes)
     y = (rows["__y"].to_numpy() > 0).astype(float)
     if len(set(y)) < 2:
         return None

@@ -95,3 +95,12 @@ def test_one_row_an_id_is_collected(spark):
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1)], "doc_id long, quality int")
     rows = line_crf.training_rows(many.unionByName(docs), labels, "text", "doc_id", "quality", 10, 1 << 30)
     assert rows[["__id", "__y"]].to_numpy().tolist() == [[1, 0], [2, 1]]
+
+
+def test_collected_texts_have_a_bound(spark):
+    docs = spark.createDataFrame([(i, "x" * (10 * i)) for i in range(1, 30)] + [(99, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in [*range(1, 30), 99]], "doc_id long, quality int")
+    take = lambda n: line_crf.training_rows(docs, labels, "text", "doc_id", "quality", 1000, 1 << 30, n)
+    assert len(take(1 << 20)) == 30
+    some = take(900)
+    assert 0 < len(some) < 30 and some["__text"].dropna().str.len().sum() <= 900
