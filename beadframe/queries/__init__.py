@@ -1,4 +1,4 @@
 """Registered queries over the given tables."""
 
-from . import analysis_queries, signal_queries  # noqa: F401
+from . import analysis_queries, signal_queries, source_queries  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -90,6 +90,12 @@ def slice_file_set(store: DataFrame, samples: list[str], probes: DataFrame, most
     return rows.select("sample_id", "probe_id", "beta")
 
 
+def missing_from_file_set(store: DataFrame, samples: DataFrame, probes: DataFrame) -> DataFrame:
+    """(kind, name) of the samples (sample_id) and probes (probe_id) that a file set does not have; a slice leaves them out."""
+    lost = lambda df, c: df.select(c).distinct().join(store.select(c).distinct(), c, "left_anti").select(F.lit(c.removesuffix("_id")).alias("kind"), F.col(c).alias("name"))
+    return lost(samples, "sample_id").unionByName(lost(probes, "probe_id"))
+
+
 def bed_track(betas: DataFrame, coords: DataFrame) -> DataFrame:
     """BED-9 columns of every probe in ``coords`` for each sample that has it; missing betas score 0 in black."""
     b = F.col("beta")
