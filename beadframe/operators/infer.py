@@ -85,7 +85,7 @@ def species_auc(p: DataFrame, scores: DataFrame, top: int = 1000, positive: floa
     known = p.where("p IS NOT NULL").join(scores.select("probe_id").distinct(), "probe_id", "left_semi")
     pos = known.where(F.col("p") <= positive).withColumn("n", F.row_number().over(W.partitionBy("sample_id").orderBy("p", "probe_id"))).withColumn("y", F.lit(1))
     neg = known.where(F.col("p") >= negative).withColumn("n", F.row_number().over(W.partitionBy("sample_id").orderBy(F.col("p").desc(), "probe_id"))).withColumn("y", F.lit(0))
-    both = pos.unionByName(neg)
+    both = pos.where(F.col("n") <= top).unionByName(neg.where(F.col("n") <= top))  # so the windows keep no more
     sizes = both.groupBy("sample_id").agg(F.count_if(F.col("y") == 1).alias("a"), F.count_if(F.col("y") == 0).alias("b"))
     size = F.least("a", "b", F.lit(top))
     rows = both.join(F.broadcast(sizes.select("sample_id", size.alias("k"))), "sample_id").where("n <= k")  # a row a sample
@@ -105,6 +105,12 @@ def infer_species(auc: DataFrame, p: DataFrame, reference: str) -> DataFrame:
     return rows.select("sample_id", F.when(lacking, F.lit(reference)).otherwise(F.col("species")).alias("species"))
 
 
+def species_info(calls: DataFrame, info: DataFrame) -> DataFrame:
+    """Calls (sample_id, species) with the species' scientificName, taxonID, commonName and assembly; unknown species have nulls."""
+    names = ["scientificName", "taxonID", "commonName", "assembly"]
+    return calls.join(info.select("species", *names), "species", "left").select(*calls.columns, *names)
+
+
 def update_design(signals: DataFrame, reference: DataFrame) -> DataFrame:
     """Signals with the colour of type I probes and the mask of a species or strain (probe_id, col, mask)."""
     ref = reference.select("probe_id", F.col("col").alias("__col"), F.col("mask").alias("__mask"))

@@ -6,9 +6,10 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.store import stored
-from ..operators import detect, infer, masks, normalize, signal
+from ..operators import detect, frames, infer, masks, normalize, signal
 from ..sources import idat, tables
 
 
@@ -70,6 +71,20 @@ def prepare(signals: DataFrame, codes: str = "QCDPB", reference: Reference | Non
     return out
 
 
+def prefixes(signals: DataFrame, codes: str = "QCDPB", reference: Reference | None = None, arguments: dict[str, dict] | None = None) -> DataFrame:
+    """(codes, sample_id, design, bin, n): densities of betas after each prefix of the steps, the empty one first.
+
+    Each step starts from the stored rows of the one before, so every step runs once.
+    """
+    now, reference, out = signals, reference or Reference(), None
+    for k in range(len(codes) + 1):
+        if k:
+            now = settle(prepare(now, codes[k - 1], reference, arguments))
+        frame = frames.beta_histogram(now).withColumn("codes", F.lit(codes[:k]))
+        out = frame if out is None else out.unionByName(frame)
+    return out.select("codes", "sample_id", "design", "bin", "n")
+
+
 def run(signals: DataFrame, codes: str = "QCDPB", function: Callable[[DataFrame], DataFrame] = signal.betas, **options) -> DataFrame:
     """Preparation, then ``function`` (betas by default), over all samples at once."""
     return prepare(signals, codes, **options).transform(function)

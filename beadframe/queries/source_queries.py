@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.store import shared_path
-from ..operators import frames, masks, qc, signal
+from ..operators import frames, infer, masks, qc, signal
+from ..plans import prep
 from ..sources import adapters as a
 from ..sources import idat, tables
 from .analysis_queries import LENGTHS, _bead_list, _genome
@@ -90,3 +91,28 @@ def qc_all(spark, sf):
 
 query()(qc_all)
 ORACLES["qc_all"] = "SELECT * FROM " + " JOIN ".join(f"({ORACLES[name]}) q{i}" + (" USING (sample_id)" if i else "") for i, name in enumerate(_ALL))
+
+
+# Betas of the rows that three prefixes leave: none, those of good design, of these the cg probes.
+_PREFIX = """SELECT codes, sample_id, col AS design, least(floor(b0 * 20), 19)::INT AS bin, count(*) AS n FROM raw_betas, (VALUES ('', 0), ('Q', 1), ('QG', 2)) x(codes, k)
+WHERE b0 IS NOT NULL AND NOT mask AND (k < 1 OR NOT {quality}) AND (k < 2 OR starts_with(probe_id, 'cg')) GROUP BY ALL"""
+
+
+@query(_PREFIX.format(quality="(pk % 37 = 0 OR pk % 41 = 0)"))
+def densities_by_step(spark, sf):
+    ref = prep.Reference(a.mask_members(spark, sf))
+    return prep.prefixes(a.signals(spark, sf), "QG", ref, {"Q": {"names": ["mapping", "M_nonuniq"]}})
+
+
+@query("""SELECT sample_id, p_type AS species, 'Latin ' || p_type AS "scientificName", 9000 + length(p_type) AS "taxonID", CASE WHEN p_type LIKE 'S%' THEN 'short' END AS "commonName", NULL::VARCHAR AS assembly
+FROM (SELECT sample_id, p_type, row_number() OVER (PARTITION BY sample_id ORDER BY sum(beta) DESC, p_type) AS i FROM (SELECT sample_id, pk, beta FROM betas) JOIN probes USING (pk) GROUP BY 1, 2) WHERE i = 1""")
+def species_info(spark, sf):
+    """The type of probes with the largest sum of betas stands for a call."""
+    parts = a.table(spark, sf, "part").select(a.probe_name(F.col("p_partkey")).alias("probe_id"), F.col("p_type").alias("species"))
+    sums = signal.betas(a.signals(spark, sf)).join(parts, "probe_id").groupBy("sample_id", "species").agg(F.sum("beta").alias("s"))
+    calls = sums.groupBy("sample_id").agg(F.min_by("species", F.struct(-F.col("s"), "species")).alias("species"))
+    info = parts.select("species").distinct().withColumns({
+        "scientificName": F.concat(F.lit("Latin "), "species"), "taxonID": (9000 + F.length("species")).cast("long"),
+        "commonName": F.when(F.col("species").startswith("S"), "short"), "assembly": F.lit(None).cast("string"),
+    })
+    return infer.species_info(calls, info)
