@@ -72,3 +72,47 @@ def test_edges(spark):
     assert got == [(1, 0, True, False), (None, 40, True, False), (1, 5, True, False), (1, 5, True, False)]
     assert q.keep_good(docs, labels).columns == docs.columns
     assert q.judge(docs.limit(0), labels).count() == 0
+
+
+def walked(trees, row):
+    """One row down every tree, node by node."""
+    total = trees.start
+    for at in trees.roots.tolist():
+        while trees.left[at] != at:
+            at = int(trees.left[at] if row[trees.feature[at]] <= trees.cut[at] else trees.right[at])
+        total += trees.value[at]
+    return 1 / (1 + np.exp(-total))
+
+
+def test_flat_arrays_score_as_a_plain_walk_does():
+    rng = np.random.default_rng(12)
+    x = np.round(rng.normal(size=(400, 5)), 1)
+    y = (x[:, 0] + x[:, 1] * x[:, 2] + rng.normal(size=400) * 0.3 > 0).astype(float)
+    trees = q.fit_trees(x, y, [1, 0, 0, -1, 0], rounds=20)
+    new = np.vstack([x[:50], np.round(rng.normal(size=(50, 5)) * 4, 1), [trees.cut[np.isfinite(trees.cut)][:5]]])
+    assert np.allclose(trees.score(new), [walked(trees, r) for r in new], atol=1e-12)
+
+
+@pytest.mark.parametrize("sign", [-1, 0, 1])
+def test_a_stump_is_the_best_of_all_splits(sign):
+    rng = np.random.default_rng(7)
+    x = rng.integers(0, 12, (120, 3)).astype(float)
+    y = (rng.random(120) < 0.2 + 0.6 * (x[:, 1] > 6)).astype(float)
+    stump = q.fit_trees(x, y, [sign] * 3, rounds=1, depth=1, rate=1.0)
+    p = y.mean()
+    g, h = p - y, np.full(len(y), p * (1 - p))
+    leaf = lambda rows: float(np.clip(-g[rows].sum() / (h[rows].sum() + 1), -4, 4))
+    part = lambda rows, v: -(g[rows].sum() * v + 0.5 * (h[rows].sum() + 1) * v * v)
+    best = (1e-6, None)
+    for f in range(3):
+        for cut in np.unique(np.quantile(x[:, f], np.linspace(0, 1, 65)[1:-1])):
+            a, b = x[:, f] <= cut, x[:, f] > cut
+            if a.sum() >= 8 and b.sum() >= 8 and sign * (leaf(b) - leaf(a)) >= 0:
+                gain = part(a, leaf(a)) + part(b, leaf(b)) - part(a | b, leaf(a | b))
+                best = max(best, (gain, (f, cut)), key=lambda z: z[0] if z[0] > best[0] + 1e-12 else -np.inf)
+    root = int(stump.roots[0])
+    if best[1] is None:
+        assert stump.left[root] == root
+    else:
+        f, cut = best[1]
+        assert int(stump.feature[root]) == f and ((x[:, f] <= cut) == (x[:, f] <= stump.cut[root])).all()
