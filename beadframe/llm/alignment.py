@@ -31,7 +31,7 @@ from .tokens import slices, spread
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Bytes of text that are encoded, and aligned, at once (a longer text is taken alone).
-ENCODED, SLICE = 1 << 22, 1 << 20
+ENCODED, SLICE = 1 << 21, 1 << 20
 
 
 def byte_letters() -> dict[str, int]:
@@ -95,7 +95,7 @@ class Aligner:
         self.a, self.b = a, b
         self.a_bytes, self.b_bytes = Surfaces(a.surface), Surfaces(b.surface)
         self.width = len(b.surface)
-        self.chunks = ChunkIds(a.segment, *([b.segment_chunks] if b.local else []))
+        self.chunks = ChunkIds(a.segment, *([b.segment_chunks] if b.local else []), most=200_000)
         self.decimal = pa.array([str(i) for i in range(max(len(a.surface), self.width))], pa.large_string())
 
     def ends(self, lists: pa.ListArray, surfaces: Surfaces) -> tuple[pa.Array, pa.Array]:
