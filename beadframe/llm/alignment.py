@@ -27,7 +27,7 @@ from .chunks import ChunkIds, cut, per_text, text_bytes
 from .common import materialise, worker_cache
 from .pieces import PieceModel, list_array
 from .pieces import model as piece_model
-from .tokens import slices, spread
+from .tokens import load, slices, spread
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Bytes of text that are encoded, and aligned, at once (a longer text is taken alone).
@@ -60,9 +60,7 @@ class ByteModel:
     """A byte-level BPE tokenizer, and the bytes that its ids stand for."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = load(path)
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
         letters, size = byte_letters(), self.tokenizer.get_vocab_size(with_added_tokens=True)
         names = [self.tokenizer.id_to_token(i) or "" for i in range(size)]

@@ -8,7 +8,7 @@ from itertools import chain, repeat
 import numpy as np
 import pyarrow as pa
 
-from .tokens import spread
+from .tokens import listed, spread
 
 
 class ChunkIds:
@@ -56,7 +56,7 @@ class ChunkIds:
         if len(self.known) > self.most:
             self.forget()
         coded = chunks.dictionary_encode()
-        names = coded.dictionary.to_pylist()
+        names = listed(coded.dictionary)
         number = np.fromiter(map(self.known.get, names, repeat(-1)), np.int64, len(names))
         if len(new := np.flatnonzero(number < 0)):
             number[new] = self.learn([names[i] for i in new.tolist()])

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .chunks import cut, text_bytes
 from .common import worker_cache
-from .tokens import slices
+from .tokens import listed, slices
 
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
@@ -202,7 +202,7 @@ class PieceModel:
         within one replacement share its span's begin, all but the last being empty.
         """
         out, source, bounds, offsets = self.normalise(texts)
-        ids, size, counts = self.segment(cut(out, bounds[:-1]).to_pylist())
+        ids, size, counts = self.segment(listed(cut(out, bounds[:-1])))
         ends = np.cumsum(size)
         # A piece ends where the next one's first byte comes from; a text's last piece, at the text's end.
         stops = np.append(source, 0)[ends]

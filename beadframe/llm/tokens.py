@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from itertools import chain
+import os
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,14 @@ PLAIN = "^[A-Za-zªµºÀ-ÖØ-öø-ÿ]+[,.!?;:]?$"
 MARKS = ",.!?;:"
 
 
+def load(path: str):
+    """A tokenizer that uses one thread: tasks are Spark's, and the library's threads would wait on each other's cores."""
+    from tokenizers import Tokenizer
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return Tokenizer.from_file(path)
+
+
 class WordIds:
     """Ids of texts, equal to the tokenizer's own, with each distinct piece encoded once.
 
@@ -34,9 +43,7 @@ class WordIds:
     """
 
     def __init__(self, path: str, most: int = 300_000, plain: bool = False):
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.tokenizer, self.most = load(path), most
         self.tokenizer.encode_special_tokens = plain  # true: special tokens' strings are ordinary text
         # How the byte-level step writes each byte, asked of the library itself.
         self.letters = {chr(c): self.tokenizer.pre_tokenizer.pre_tokenize_str(chr(c))[0][0] for c in range(170, 256) if chr(c).isalpha()}
@@ -72,7 +79,7 @@ class WordIds:
 
     def numbers(self, pieces: list[str], known: dict[str, int], encode) -> np.ndarray:
         """The number of each of distinct pieces; new ones are learned."""
-        out = np.fromiter((known.get(p, -1) for p in pieces), np.int64, len(pieces))
+        out = np.fromiter(map(known.get, pieces, repeat(-1)), np.int64, len(pieces))
         new = np.flatnonzero(out < 0)
         if len(new):
             names, n = [pieces[i] for i in new], len(self.met)
@@ -98,10 +105,10 @@ class WordIds:
         words, is_word = pieces.filter(plain), plain.to_numpy(zero_copy_only=False)
         bare = pc.utf8_lower(pc.utf8_rtrim(words, characters=MARKS)).dictionary_encode()
         number, tail = np.zeros(len(pieces), np.int64), np.full(len(pieces), len(MARKS))
-        number[is_word] = self.numbers(bare.dictionary.to_pylist(), self.words, self.word_ids)[bare.indices.to_numpy()]
+        number[is_word] = self.numbers(listed(bare.dictionary), self.words, self.word_ids)[bare.indices.to_numpy()]
         last = pc.index_in(pc.utf8_slice_codeunits(words, -1), value_set=pa.array(list(MARKS)))
         tail[is_word] = pc.fill_null(last, len(MARKS)).to_numpy(zero_copy_only=False)
-        number[~is_word] = self.numbers(pieces.filter(pc.invert(plain)).to_pylist(), self.others, self.other_ids)
+        number[~is_word] = self.numbers(listed(pieces.filter(pc.invert(plain))), self.others, self.other_ids)
         marked = (tail < len(MARKS))[code]
         number = number[code]
         n = self.lengths[number] + marked
@@ -117,6 +124,11 @@ class WordIds:
         return np.split(ids, np.cumsum(sizes)[:-1]) if len(texts) else []
 
 
+def listed(strings: pa.Array) -> list[str]:
+    """The values as a list; by way of numpy, which makes them faster than one by one."""
+    return strings.to_numpy(zero_copy_only=False).tolist()
+
+
 def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Places of runs that begin at ``starts`` and have ``sizes`` members, one run after the other."""
     ends = np.cumsum(sizes, dtype=np.int64)
