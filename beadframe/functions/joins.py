@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import stored
+
 
 def small_side(df: DataFrame, most: int = 500_000) -> DataFrame:
     """``df`` to be broadcast if it has at most ``most`` rows; beyond that a plain side, whose many keys part evenly.
@@ -15,6 +17,11 @@ def small_side(df: DataFrame, most: int = 500_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def sample_side(df: DataFrame) -> DataFrame:
+    """``df``, computed with a row a sample, as the side of a join: worked out once, and then as :func:`small_side`."""
+    return small_side(stored(df, "by-sample"))
+
+
 def every_sample(rows: DataFrame, samples: DataFrame, blocks: int = 64) -> DataFrame:
     """``rows`` once for each distinct sample_id of ``samples``.
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.joins import sample_side
 from . import masks
 from .signal import methylated, mu, mu_out_of_band, out_of_band, unmethylated
 
@@ -117,7 +118,7 @@ def infer_channel(signals: DataFrame, switch_failed: bool = False, mask_failed:
     rows = rows.withColumn("__new", F.when(F.col("__r") > F.col("__g"), "R").when(F.col("__r").isNotNull() & F.col("__g").isNotNull(), "G"))
     outs = F.when(F.col("__new") == "R", F.array("mg", "ug")).when(F.col("__new") == "G", F.array("mr", "ur"))
     limit = rows.select("sample_id", F.explode(outs).alias("v")).groupBy("sample_id").agg(F.percentile("v", F.lit(0.95)).alias("__limit"))
-    rows = rows.join(F.broadcast(limit), "sample_id", "left")  # a row a sample
+    rows = rows.join(sample_side(limit), "sample_id", "left")
     failed = one & (F.col("__r").isNull() | F.col("__g").isNull() | F.coalesce(F.greatest("__r", "__g") < F.col("__limit"), F.lit(False)))
     new = F.col("__new") if switch_failed else F.when(~failed, F.col("__new"))
     rows = rows.withColumns({"old_col": F.col("col"), "__failed": failed, "__to": F.when(one, F.coalesce(new, "col")).otherwise(F.col("col"))})

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.joins import every_sample, small_side
+from ..functions.joins import every_sample, sample_side, small_side
 from ..functions.stats import mode
 from ..functions.windows import mean_rank
 from .signal import collapse_mean
@@ -88,7 +88,7 @@ def species_auc(p: DataFrame, scores: DataFrame, top: int = 1000, positive: floa
     both = pos.where(F.col("n") <= top).unionByName(neg.where(F.col("n") <= top))  # so the windows keep no more
     sizes = both.groupBy("sample_id").agg(F.count_if(F.col("y") == 1).alias("a"), F.count_if(F.col("y") == 0).alias("b"))
     size = F.least("a", "b", F.lit(top))
-    rows = both.join(F.broadcast(sizes.select("sample_id", size.alias("k"))), "sample_id").where("n <= k")  # a row a sample
+    rows = both.join(sample_side(sizes.select("sample_id", size.alias("k"))), "sample_id").where("n <= k")
     ranked = rows.join(scores, "probe_id").withColumn("r", mean_rank("score", ["sample_id", "species"]))
     n1, n2 = F.sum("y"), F.sum(1 - F.col("y"))
     auc = F.try_divide(F.sum(F.col("r") * F.col("y")) - n1 * (n1 + 1) / 2, n1 * n2)
@@ -242,7 +242,7 @@ def unknown_state(betas: DataFrame, references: DataFrame, fractions: DataFrame)
     """(sample_id, probe_id, state): 0 or 1 for the unknown part of ``cell_mixture``'s fractions, by the nearer."""
     packed = lambda df, key, v: df.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("cell", v))).alias(f"__{v}"))
     rows = betas.where("beta IS NOT NULL").select("sample_id", "probe_id", "beta").join(packed(references, "probe_id", "beta"), "probe_id")
-    rows = rows.join(F.broadcast(packed(fractions, "sample_id", "fraction")), "sample_id")  # a row a sample
+    rows = rows.join(small_side(packed(fractions, "sample_id", "fraction")), "sample_id")
     part = lambda c: F.coalesce(F.col("__fraction")[c], F.lit(0.0))
     rest = F.col("beta") - F.aggregate(F.map_entries("__beta"), F.lit(0.0), lambda s, e: s + e["value"] * part(e["key"]))
     return rows.select("sample_id", "probe_id", F.when(rest < part(F.lit("unknown")) / 2, 0).otherwise(1).alias("state"))
@@ -262,7 +262,7 @@ def impute_reference(betas: DataFrame, reference: DataFrame, cell: str | None =
         pairs = betas.where("beta IS NOT NULL").select("sample_id", "probe_id", "beta").join(reference, "probe_id")
         fit = pairs.groupBy("sample_id", "celltype").agg(F.corr("beta", "median").alias("r"))
         best = fit.groupBy("sample_id").agg(F.max_by("celltype", F.struct(F.coalesce("r", F.lit(-2.0)).alias("r"), "celltype")).alias("celltype"))
-        rows = betas.join(F.broadcast(best), "sample_id", "left")  # a row a sample
+        rows = betas.join(sample_side(best), "sample_id", "left")
     else:
         rows = betas.withColumn("celltype", F.lit(cell))
     ref = reference.select("celltype", "probe_id", F.col("median").alias("__m"), F.col("sd").alias("__sd"))

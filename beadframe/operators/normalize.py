@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import normal, stats
-from ..functions.joins import small_side
+from ..functions.joins import sample_side, small_side
 from ..functions.store import stored
 from . import masks
 from .detect import oob_background
@@ -22,7 +22,7 @@ CHANNELS = {"mg": "G", "ug": "G", "mr": "R", "ur": "R"}
 def _per_channel(signals: DataFrame, values: DataFrame, names: list[str]) -> DataFrame:
     """Joins (sample_id, channel, names..) as <name>_g and <name>_r; a row a sample."""
     wide = values.groupBy("sample_id").agg(*(F.max(F.when(F.col("channel") == c.upper(), F.col(n))).alias(f"{n}_{c}") for n in names for c in "gr"))
-    return signals.join(F.broadcast(wide), "sample_id", "left")
+    return signals.join(sample_side(wide), "sample_id", "left")
 
 
 def scrub(signals: DataFrame) -> DataFrame:
@@ -154,7 +154,7 @@ def dye_nonlinear(signals: DataFrame, include_masked: bool = True, most_distorte
     Where the channels' distortion is unknown or too large, the green type I probes are
     masked instead. One sample is one group: its probes, whose number the array sets.
     """
-    rows = signals.join(F.broadcast(dye_bias(signals).select("sample_id", "rgdistort")), "sample_id", "left")  # a row a sample
+    rows = signals.join(sample_side(dye_bias(signals).select("sample_id", "rgdistort")), "sample_id", "left")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in signals.schema)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
