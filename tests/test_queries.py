@@ -10,7 +10,7 @@ SF = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SOME = [
     "betas", "detected_betas", "collapse_prefix_minp", "channel_summary", "qc_detection", "enrich_fisher_greater", "enrich_es", "set_overlap", "ols_summary",
-    "ols_two_factors", "leukocyte", "sex", "platform_from_ids", "lift_platforms", "sex_platforms", "leukocyte_platforms", "noob_fits", "noob", "scrub_soft", "enrich_es_permuted", "bins_merged", "idat_deidentified", "idat_reidentified", "file_set", "file_set_missing", "set_files", "signal_text", "qc_all", "dye_nonlinear", "detect_background", "bisulfite_control", "idat_signals", "region_probes", "unknown_state", "regions", "bin_signals", "species_auc", "impute_reference", "lift_betas", "scrub", "variant_frequency",
+    "ols_two_factors", "leukocyte", "sex", "platform_from_ids", "sex_platforms", "noob_fits", "noob", "enrich_es_permuted", "bins_merged", "idat_reidentified", "file_set", "qc_all", "dye_nonlinear", "detect_background", "bisulfite_control", "idat_signals", "region_probes", "unknown_state", "regions", "bin_signals", "species_auc", "impute_reference", "lift_betas", "scrub", "variant_frequency",
 ]
 
 
