@@ -9,15 +9,21 @@ the whole fingerprint verifies them. A pair is reported by its first common vari
 only. Recall is exact, for any data.
 
 Work is on *distinct* fingerprints, so groups of copies cost one row. Pairs in a bucket
-grow with the square of its members, so variants that many fingerprints share are cut
-once more, exactly: outside of the shared segment at most ``distance`` bits differ, so of
-``distance + 1`` blocks of the other bits one is equal and joins the key. In those, each
-member is first linked with one other; only members that are still in different
-components are paired, so a large group of near copies costs a link a member.
+grow with the square of its members, so fingerprints of variants that many share are
+bucketed anew, exactly: of ``distance + 2`` blocks of the bits two at least are equal, which
+is 15 keys a fingerprint however many of its variants are crowded. In those, each member is
+first linked with one other; only members that are still in different components are
+paired.
+
+Before all that, each fingerprint is linked with one other of those that share a whole
+segment (a row a segment, not one a variant). What that connects is not paired again, so
+a large group of near copies costs about a link a member, whatever the buckets' sizes.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -72,14 +78,14 @@ def segments(distance: int = DISTANCE) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
 def index_variants(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """Distinct (fp) -> (k, value, fp): for each bit k the segment around it, k wildcarded."""
+    """Distinct (fp, ...) -> (k, value, fp, ...): for each bit k the segment around it, k wildcarded."""
     rows = [(k, ((1 << w) - 1) << a, 1 << k) for a, w in segments(distance) for k in range(a, a + w)]
     signed = lambda x: (x & (2**64 - 1)) - ((x & (2**64 - 1)) >> 63 << 64)
     variants = F.array(*[
         F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(signed(mask & ~bit)).cast("long")).alias("value"))
         for k, mask, bit in rows
     ])
-    return fps.select(F.explode(variants).alias("x"), "fp").select("x.k", "x.value", "fp")
+    return fps.select(F.explode(variants).alias("x"), *fps.columns).select("x.k", "x.value", *fps.columns)
 
 
 def is_first_variant(x: str, k: str, distance: int = DISTANCE) -> str:
@@ -92,45 +98,80 @@ def is_first_variant(x: str, k: str, distance: int = DISTANCE) -> str:
     return f"(CASE {' '.join(arms)} ELSE false END)"
 
 
-def sub_blocks(distance: int = DISTANCE) -> Column:
-    """array<struct<j, sub>>: the blocks of a fingerprint's bits outside of variant ``k``'s segment."""
+def block_pairs(fp: str = "fp", distance: int = DISTANCE) -> Column:
+    """array<long>: keys of which two linked fingerprints share one, whatever the fingerprints.
+
+    Of ``distance + 2`` blocks of the bits two at least are equal: a key a pair of blocks.
+    """
     signed = lambda x: x - (x >> 63 << 64)
-    out = None
-    for a, w in segments(distance):
-        rest = [i for i in range(BITS) if not a <= i < a + w]
-        masks = [sum(1 << int(i) for i in block) for block in np.array_split(rest, distance + 1)]
-        blocks = F.array(*(F.struct(F.lit(j).alias("j"), F.col("fp").bitwiseAND(F.lit(signed(m)).cast("long")).alias("sub")) for j, m in enumerate(masks)))
-        here = (F.col("k") >= a) & (F.col("k") < a + w)
-        out = F.when(here, blocks) if out is None else out.when(here, blocks)
-    return out
+    blocks = [sum(1 << int(i) for i in x) for x in np.array_split(range(BITS), distance + 2)]
+    masks = [signed(a | b) for a, b in combinations(blocks, 2)]
+    return F.array(*(F.xxhash64(F.lit(j), F.col(fp).bitwiseAND(F.lit(m).cast("long"))) for j, m in enumerate(masks)))
+
+
+def close(pairs: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """The (u, v) pairs that link."""
+    return pairs.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= distance)
+
+
+def plausible(a: str, b: str, distance: int = DISTANCE) -> Column:
+    return F.bit_count(F.col(f"{a}.node").bitwiseXOR(F.col(f"{b}.node"))) <= distance
 
 
-def links(fps: DataFrame, distance: int = DISTANCE, dense: int = 256) -> DataFrame:
+def hub_links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """Distinct (fp) -> (u, v): a link of each fingerprint with one of those that share a whole segment.
+
+    Not all are found so, but most of a large group of near copies, for a row a segment.
+    """
+    signed = lambda x: x - (x >> 63 << 64)
+    keys = F.array(*(F.xxhash64(F.lit(a), F.col("fp").bitwiseAND(F.lit(signed(((1 << w) - 1) << a)).cast("long"))) for a, w in segments(distance)))
+    buckets = fps.select(F.explode(keys).alias("key"), F.col("fp").alias("node"))
+    sizes = materialise(buckets.groupBy("key").count().where("count > 1"), "simhash-hub-sizes", "lz4")
+    shared = materialise(join_totals(buckets, sizes.select("key"), "key"), "simhash-hub-buckets", "lz4")
+    return stars(shared, lambda x: close(x, distance), lambda x, y: plausible(x, y, distance))
+
+
+def links(fps: DataFrame, distance: int = DISTANCE, dense: int = 256, known: DataFrame | None = None) -> DataFrame:
     """Distinct (fp) -> (u, v) with the same components as all links.
 
-    Buckets of up to ``dense`` members give every link once; larger ones are cut by
-    :func:`sub_blocks` and give links that connect the same fingerprints. No member is
-    left out in either way, and no bucket is gathered in one task.
+    Buckets of up to ``dense`` members give every link once; the members of larger ones
+    are bucketed anew by :func:`block_pairs` and give links that connect the same
+    fingerprints. No member is left out in either way, and no bucket is gathered in one task.
+
+    ``known``: (node, root) of fingerprints that are connected already. Their pairs are not
+    found again, and links between two components are given as pairs of their roots.
     """
-    index = materialise(index_variants(fps, distance), "simhash-index", "lz4")
-    crowded = index.groupBy("k", "value").count().where(F.col("count") > dense).select("k", "value")
-    crowded = materialise(crowded, "simhash-crowded")
-    any_crowded = not crowded.isEmpty()
-    sparse = index.join(crowded, ["k", "value"], "left_anti") if any_crowded else index
-    near = F.expr(f"a.fp < b.fp AND bit_count(a.fp ^ b.fp) <= {distance} AND {is_first_variant('(a.fp ^ b.fp)', 'a.k', distance)}")
+    rows = fps.withColumn("root", F.lit(None).cast("long")) if known is None else fps.join(known.withColumnRenamed("node", "fp"), "fp", "left")
+    index = materialise(index_variants(rows.select("fp", "root"), distance), "simhash-index", "lz4")
+    top = F.coalesce("root", "fp")
+    crowded = index.groupBy("k", "value").agg(F.count("*").alias("n"), F.min(top).alias("first"), F.max(top).alias("last")).where(F.col("n") > dense)
+    crowded = materialise(crowded.select("k", "value", (F.col("first") < F.col("last")).alias("mixed")), "simhash-crowded")
+    sparse = index.join(crowded, ["k", "value"], "left_anti") if not crowded.isEmpty() else index
+    near = F.expr(
+        f"a.fp < b.fp AND bit_count(a.fp ^ b.fp) <= {distance} AND {is_first_variant('(a.fp ^ b.fp)', 'a.k', distance)}"
+        " AND coalesce(a.root <> b.root, true)"
+    )
     a, b = sparse.alias("a"), sparse.alias("b")
     out = a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.value") == F.col("b.value")) & near)
-    out = out.select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
-    if any_crowded:
-        cut = index.join(crowded, ["k", "value"]).withColumn("x", F.explode(sub_blocks(distance)))
-        buckets = materialise(cut.select(F.xxhash64("k", "value", "x.j", "x.sub").alias("key"), F.col("fp").alias("node")), "simhash-blocks", "lz4")
-        close = lambda pairs: pairs.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= distance)
-        plausible = lambda x, y: F.bit_count(F.col(f"{x}.node").bitwiseXOR(F.col(f"{y}.node"))) <= distance
-        first = materialise(stars(buckets, close, plausible), "simhash-stars")
-        out = out.unionByName(first).unionByName(across(buckets, close, first, plausible))
+    out = out.select(F.coalesce("a.root", "a.fp").alias("u"), F.coalesce("b.root", "b.fp").alias("v"))
+    mixed = crowded.where("mixed")
+    if not mixed.isEmpty():
+        members = index.join(mixed.select("k", "value"), ["k", "value"], "left_semi").select("fp").distinct()
+        buckets = members.select(F.explode(block_pairs("fp", distance)).alias("key"), F.col("fp").alias("node"))
+        buckets = materialise(buckets, "simhash-blocks", "lz4")
+        check, may = lambda x: close(x, distance), lambda x, y: plausible(x, y, distance)
+        first = materialise(stars(buckets, check, may), "simhash-stars")
+        have = first if known is None else first.unionByName(known.select(F.col("node").alias("u"), F.col("root").alias("v")))
+        out = out.unionByName(first).unionByName(across(buckets, check, have, may))
     return out
 
 
+def connecting(fps: DataFrame, distance: int = DISTANCE, dense: int = 256) -> DataFrame:
+    """Distinct (fp) -> (u, v) pairs of fingerprints that connect what all links connect, about one a fingerprint."""
+    known = connected_components(hub_links(fps, distance))
+    return known.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(links(fps, distance, dense, known))
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", distance: int = DISTANCE, dense: int = 256, extra: str | None = None) -> DataFrame:
     """One row a row of ``docs``: (id, extra, fp, root, component_id); extra: a long column.
 
@@ -142,7 +183,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", dis
     """
     rows = materialise(with_fingerprint(docs, text, id, extra), "simhash-rows")
     fps = materialise(rows.groupBy("fp").agg(F.min("id").alias("low")), "simhash-fps")
-    parts = connected_components(links(fps.select("fp"), distance, dense))
+    parts = connected_components(connecting(fps.select("fp"), distance, dense))
     named = fps.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = materialise(named, "simhash-named")
     lows = named.groupBy("root").agg(F.min("low").alias("component_id"))

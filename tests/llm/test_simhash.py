@@ -111,3 +111,62 @@ def test_crowded_variants_give_a_forest(spark):
     found = [(r.u, r.v) for r in simhash.links(df, dense=20).collect()]
     assert classes(found) == classes(plain)
     assert all(((a ^ b) & (2**64 - 1)).bit_count() <= 4 for a, b in found)
+
+
+def near_copies(n, most, seed=4):
+    """Distinct fingerprints (signed) that differ from one in up to ``most`` bits."""
+    import random
+
+    rnd, centre, out = random.Random(seed), random.Random(1).getrandbits(64), set()
+    while len(out) < n:
+        out.add(centre ^ sum(1 << b for b in rnd.sample(range(64), rnd.randrange(most + 1))))
+    return sorted(x - (x >> 63 << 64) for x in out)
+
+
+def test_near_copies_of_one_text_give_few_links(spark):
+    fps = near_copies(230, 2)  # every two of them link, and no variant is shared by over 256
+    found = simhash.connecting(spark.createDataFrame([(x,) for x in fps], "fp long")).collect()
+    assert len(found) <= 4 * len(fps)
+    assert all(r.u in fps and r.v in fps for r in found)
+    root = {x: x for x in fps}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for r in found:
+        root[find(r.u)] = find(r.v)
+    assert len({find(x) for x in fps}) == 1
+
+
+def test_crowded_variants_are_bucketed_in_few_rows(spark, monkeypatch):
+    seen = []
+    real = simhash.stars
+    monkeypatch.setattr(simhash, "stars", lambda buckets, *rest: seen.append(buckets.count()) or real(buckets, *rest))
+    fps = near_copies(120, 3)
+    df = spark.createDataFrame([(x,) for x in fps], "fp long")
+    parts = simhash.connected_components(simhash.links(df, dense=10))
+    assert parts.select("root").distinct().count() == 1 and parts.count() == len(fps)
+    assert 0 < sum(seen) <= 15 * len(fps)
+
+
+def test_connecting_keeps_the_classes_of_brute_force(spark):
+    fps = near_copies(150, 7, seed=11) + [x ^ 1 << 40 for x in near_copies(20, 7, seed=12)]
+    fps = sorted(set(fps))
+    root = {x: x for x in fps}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in fps:
+        for b in fps:
+            if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 4:
+                root[find(b)] = find(a)
+    df = spark.createDataFrame([(x,) for x in fps], "fp long")
+    want = {frozenset(y for y in fps if find(y) == find(x)) for x in fps}
+    for dense in (5, 256):
+        parts = {r.node: r.root for r in simhash.connected_components(simhash.connecting(df, dense=dense)).collect()}
+        assert {frozenset(y for y in fps if parts.get(y, y) == parts.get(x, x)) for x in fps} == want
