@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.joins import sorted_side
 from ..functions.store import shared_path
 from ..operators import frames, infer, masks, qc, signal
 from ..plans import prep
@@ -18,7 +19,7 @@ from .signal_queries import _detected
 def mask_all_but(spark, sf):
     s = a.signals(spark, sf)
     one = lambda df, name: df.select("sample_id", "probe_id", F.col("mask").alias(name))
-    return one(masks.prefix_mask_but_c(s), "but_c").join(one(masks.prefix_mask_but_cg(s), "but_cg"), ["sample_id", "probe_id"])
+    return one(masks.prefix_mask_but_c(s), "but_c").join(sorted_side(one(masks.prefix_mask_but_cg(s), "but_cg")), ["sample_id", "probe_id"])
 
 
 @query("SELECT sample_id, probe_id, mg, mr, ug, ur, col FROM signals WHERE NOT mask")
@@ -28,7 +29,7 @@ def unmasked_rows(spark, sf):
 
 @query("SELECT sample_id, 2 * pk AS address, CASE WHEN pk % 3 = 0 THEN 'negative' WHEN pk % 3 = 1 THEN 'norm_c' ELSE 'norm_t' END AS type, ug AS g, ur AS r FROM signals WHERE pk % 20 = 19 AND ug IS NOT NULL")
 def control_beads(spark, sf):
-    controls = a.controls(spark, sf).join(a.manifest(spark, sf).select("probe_id", F.col("addr_u").alias("address")), "probe_id")
+    controls = a.controls(spark, sf).join(sorted_side(a.manifest(spark, sf).select("probe_id", F.col("addr_u").alias("address"))), "probe_id")
     return idat.read_controls(_bead_list(spark, sf), controls)
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.joins import every_sample
+from ..functions.joins import every_sample, sample_side, sorted_side
 
 # Fixed values of the file format: magic, version and field codes.
 MAGIC, VERSION = b"IDAT", 3
@@ -103,7 +103,7 @@ def infer_platform(beads: DataFrame, signatures: DataFrame) -> DataFrame:
     Null if even that one has fewer than the shortest signature.
     """
     size = signatures.groupBy("platform").count().agg(F.min("count").alias("least"))
-    n = beads.select("sample_id", "address").join(signatures, "address").groupBy("sample_id", "platform").count()
+    n = beads.select("sample_id", "address").join(sorted_side(signatures), "address").groupBy("sample_id", "platform").count()
     best = n.groupBy("sample_id").agg(F.max_by("platform", F.struct("count", "platform")).alias("platform"), F.max("count").alias("n"))
     all_ = beads.select("sample_id").distinct().join(best, "sample_id", "left").join(F.broadcast(size))  # one row
     return all_.select("sample_id", F.when(F.col("n") >= F.col("least"), F.col("platform")).alias("platform"))
@@ -127,11 +127,11 @@ def to_signals(beads: DataFrame, manifest: DataFrame, min_beads: int | None = 1,
     without a platform gives no rows (``folder_status`` names it).
     """
     if platforms is not None:
-        grid = manifest.join(platforms, "platform").drop("platform")
+        grid = manifest.join(sample_side(platforms), "platform").drop("platform")
     else:
         grid = every_sample(manifest, beads)
     m, u = (beads.select("sample_id", F.col("address").cast("long").alias(f"addr_{s}"), *(F.col(c).alias(f"{s}_{c}") for c in ("g", "r", "gn", "rn"))) for s in "mu")
-    rows = grid.join(u, ["sample_id", "addr_u"], "left").join(m, ["sample_id", "addr_m"], "left")
+    rows = grid.join(sorted_side(u), ["sample_id", "addr_u"], "left").join(sorted_side(m), ["sample_id", "addr_m"], "left")
     one = F.col("col").isNotNull()
     few = F.lit(False)
     if min_beads is not None:
@@ -184,7 +184,7 @@ def first_per_address(beads: DataFrame) -> DataFrame:
 
 def read_controls(beads: DataFrame, controls: DataFrame) -> DataFrame:
     """(sample_id, address, type, g, r) of control beads (address, type); those that were not read are left out."""
-    return beads.join(controls.select(F.col("address").cast("int").alias("address"), "type"), "address").select("sample_id", "address", "type", "g", "r").dropna(subset=["g", "r"])
+    return beads.join(sorted_side(controls.select(F.col("address").cast("int").alias("address"), "type")), "address").select("sample_id", "address", "type", "g", "r").dropna(subset=["g", "r"])
 
 
 def file_status(files: DataFrame) -> DataFrame:
