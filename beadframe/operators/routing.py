@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.joins import small_side
+from ..functions.joins import sample_side, small_side, sorted_side
+from ..functions.store import stored
 from .infer import density_mode, infer_sex
 
 # The platform whose ids the sex sets use, one with ids of its own among the sets, and markers a side.
@@ -19,14 +20,14 @@ def platform_from_ids(rows: DataFrame, signatures: DataFrame) -> DataFrame:
     ``signatures`` (platform, probe_id) lists the ids that tell platforms apart.
     """
     ids = rows.select("sample_id", "probe_id").distinct()
-    n = ids.join(signatures.select("platform", "probe_id").distinct(), "probe_id").groupBy("sample_id", "platform").count()
+    n = ids.join(sorted_side(signatures.select("platform", "probe_id").distinct()), "probe_id").groupBy("sample_id", "platform").count()
     best = n.groupBy("sample_id").agg(F.min_by("platform", F.struct(-F.col("count"), "platform")).alias("platform"))
     return rows.select("sample_id").distinct().join(best, "sample_id", "left")
 
 
 def routed(rows: DataFrame, platforms: DataFrame) -> DataFrame:
     """``rows`` with the platform of their sample; samples without one are left out."""
-    return rows.join(small_side(platforms.where("platform IS NOT NULL").select("sample_id", "platform")), "sample_id")
+    return rows.join(sample_side(platforms.where("platform IS NOT NULL").select("sample_id", "platform")), "sample_id")
 
 
 def lift_to(betas: DataFrame, platforms: DataFrame, mappings: DataFrame, target: str, native: tuple[str, ...] = (), complete: bool = True) -> DataFrame:
@@ -38,13 +39,14 @@ def lift_to(betas: DataFrame, platforms: DataFrame, mappings: DataFrame, target:
     null where it has no source. A sample whose platform has no mapping gives no rows.
     """
     own = F.col("platform").isin(target, *native)
+    platforms = stored(platforms.select("sample_id", "platform"), "platforms")
     rows = routed(betas.select("sample_id", "probe_id", "beta"), platforms)
     pairs = mappings.where(~own & F.col("id_target").isNotNull()).groupBy("platform", F.col("id_target").alias("target")).agg(F.min("id_source").alias("probe_id"))
-    lifted = rows.where(~own).join(pairs, ["platform", "probe_id"]).select("sample_id", "platform", F.col("target").alias("probe_id"), "beta")
+    lifted = rows.where(~own).join(sorted_side(pairs), ["platform", "probe_id"]).select("sample_id", "platform", F.col("target").alias("probe_id"), "beta")
     if complete:
         asked = platforms.where(F.col("platform").isNotNull() & ~own).select("sample_id", "platform")
         grid = pairs.select("platform", F.col("target").alias("probe_id")).join(small_side(asked), "platform")
-        lifted = grid.join(lifted, ["sample_id", "platform", "probe_id"], "left")
+        lifted = grid.join(sorted_side(lifted), ["sample_id", "platform", "probe_id"], "left")
     names = ["sample_id", "platform", "probe_id", "beta"]
     return rows.where(own).select(*names).unionByName(lifted.select(*names))
 
@@ -71,7 +73,7 @@ def leukocyte_markers(tissue: DataFrame, leukocyte: DataFrame, markers: Column |
     A platform's probes are ranked together; of the rows, each task keeps at most the first ``markers``.
     """
     means = lambda df, name: df.groupBy("platform", "probe_id").agg(F.avg("beta").alias(name))
-    both = means(leukocyte, "leukocyte").join(means(tissue, "tissue"), ["platform", "probe_id"]).withColumn("d", F.col("leukocyte") - F.col("tissue")).where("d IS NOT NULL")
+    both = means(leukocyte, "leukocyte").join(sorted_side(means(tissue, "tissue")), ["platform", "probe_id"]).withColumn("d", F.col("leukocyte") - F.col("tissue")).where("d IS NOT NULL")
     most = F.lit(markers) if isinstance(markers, int) else markers
 
     def side(name: str, order: Column) -> DataFrame:
