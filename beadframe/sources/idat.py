@@ -21,6 +21,8 @@ from ..functions.joins import every_sample, sample_side, sorted_side
 # Fixed values of the file format: magic, version and field codes.
 MAGIC, VERSION = b"IDAT", 3
 N_BEADS, ADDRESS, SD, MEAN, BEADS = 1000, 102, 103, 104, 107
+#: Bead rows that leave a task at once.
+ROWS = 1 << 16
 NAME = r"^(.*)_(Grn|Red)\.idat(\.gz)?$"
 
 
@@ -77,9 +79,11 @@ def bead_rows(files: DataFrame) -> DataFrame:
                     got, error = parse(content.as_py()), None
                 except (ValueError, KeyError, struct.error, OSError, EOFError) as e:
                     got, error = {"address": [0], "mean": [0], "beads": [0]}, str(e)
-                n = len(got["address"])
-                columns = [pa.array([prefix] * n), pa.array([channel] * n), pa.array(got["address"], pa.int32()), pa.array(np.asarray(got["mean"], float)), pa.array(np.asarray(got["beads"], np.int32)), pa.array([error] * n, pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in BEAD_ROWS.split(", ")])
+                for at in range(0, len(got["address"]), ROWS):
+                    address, mean, beads = (np.asarray(got[k][at : at + ROWS], kind) for k, kind in (("address", np.int32), ("mean", float), ("beads", np.int32)))
+                    n = len(address)
+                    columns = [pa.array([prefix] * n), pa.array([channel] * n), pa.array(address), pa.array(mean), pa.array(beads), pa.array([error] * n, pa.string())]
+                    yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in BEAD_ROWS.split(", ")])
 
     return files.select("prefix", "channel", "content").mapInArrow(run, BEAD_ROWS)
 

@@ -21,7 +21,7 @@ from pyarrow import fs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
-from .idat import NAME, parse
+from .idat import NAME, ROWS, parse
 
 BEADS = "sample_id string, address int, g double, r double, gn int, rn int"
 FILES = "path string, content binary"
@@ -70,9 +70,11 @@ class PairReader(DataSourceReader):
                     continue
                 raise
             address, at_g, at_r = np.intersect1d(g["address"], r["address"], return_indices=True)
-            columns = [pa.array([sample] * len(address), pa.string()), pa.array(address, pa.int32()), *(pa.array(x["mean"][k].astype(float)) for x, k in ((g, at_g), (r, at_r))),
-                       *(pa.array(x["beads"][k].astype(np.int32)) for x, k in ((g, at_g), (r, at_r)))]
-            yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in BEADS.split(", ")])
+            for at in range(0, max(1, len(address)), ROWS):
+                sides, part = ((g, at_g[at : at + ROWS]), (r, at_r[at : at + ROWS])), address[at : at + ROWS]
+                columns = [pa.array([sample] * len(part), pa.string()), pa.array(part, pa.int32()), *(pa.array(x["mean"][k].astype(float)) for x, k in sides),
+                           *(pa.array(x["beads"][k].astype(np.int32)) for x, k in sides)]
+                yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in BEADS.split(", ")])
 
 
 @dataclass
