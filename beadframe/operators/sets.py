@@ -6,6 +6,10 @@ aggregation counts overlaps for all sets at once; tails are expressions on its r
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -46,10 +50,12 @@ def log10_tail(alternative: str = "greater") -> Column:
         raise ValueError("alternative must be greater, less or two.sided")
     a, b = bounds[alternative]
     whole = "ndq <= 0" if alternative == "greater" else f"ndq >= {high}"
-    term = f"{_log_choose('nd', 'x')} + {_log_choose('(nu - nd)', '(nq - x)')} - {_log_choose('nu', 'nq')}"
-    sums = "aggregate(t, 0.0D, (s, y) -> s + exp(y - array_max(t)))"
-    log = f"element_at(transform(array(transform(sequence(CAST({a} AS BIGINT), CAST({b} AS BIGINT)), x -> {term})), t -> array_max(t) + ln({sums})), 1)"
-    return F.expr(f"CASE WHEN {whole} THEN 0.0D ELSE least(0.0D, ({log}) / ln(10.0D)) END")
+    # What depends on x, and apart from it what does not; the largest term is found once.
+    term = f"- ({log_factorial('x')} + {log_factorial('(nd - x)')} + {log_factorial('(nq - x)')} + {log_factorial('(nu - nd - nq + x)')})"
+    same = f"({log_factorial('nd')} + {log_factorial('(nu - nd)')} - {_log_choose('nu', 'nq')})"
+    terms = f"transform(array(transform(sequence(CAST({a} AS BIGINT), CAST({b} AS BIGINT)), x -> {term})), t -> struct(t, array_max(t) AS top))"
+    log = f"({same} + element_at(transform({terms}, z -> z.top + ln(aggregate(z.t, 0.0D, (s, y) -> s + exp(y - z.top)))), 1))"
+    return F.expr(f"CASE WHEN {whole} THEN 0.0D ELSE least(0.0D, {log} / ln(10.0D)) END")
 
 
 def fisher_columns(counts: DataFrame, alternative: str = "greater") -> DataFrame:
@@ -72,7 +78,7 @@ def fisher_columns(counts: DataFrame, alternative: str = "greater") -> DataFrame
 
 def enrich(query: DataFrame, members: DataFrame, universe: DataFrame, alternative: str = "greater") -> DataFrame:
     """A row a set, with FDR over all sets; order by log10_p, then by the estimate's size."""
-    out = fisher_columns(overlap_counts(members, query, universe), alternative)
+    out = stored(fisher_columns(overlap_counts(members, query, universe), alternative), "enriched")  # a set's tail is summed once
     return benjamini_hochberg(out, "p", "fdr", ties=["dbname"])
 
 
@@ -168,18 +174,43 @@ def null_scores(sizes: DataFrame, permutations: int, seed: int = 1) -> DataFrame
 
     ``sizes`` (n, overlap) has one n. Draw i orders the positions by a hash of seed, draw
     and position, and a set of k takes the first k of them: uniform, without replacement,
-    and the same wherever it is computed. Draws are rows; a draw's first positions are
-    kept by a limited window, and each size scores its own in a window of as many rows.
+    and the same wherever it is computed. Only hashes below what the largest set is all but
+    sure to need are sorted; should a draw have too few of these, its other positions come
+    to them. A draw's group has the largest set's positions, and each size takes its part.
     """
-    most = sizes.agg(F.first("n").alias("n"), F.max("overlap").alias("most"), F.array_sort(F.collect_set("overlap")).alias("sizes"))  # one row
-    draws = most.select("n", "most", "sizes", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("draw"))
-    placed = draws.repartition("draw").select("n", "most", "sizes", "draw", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("at"))
-    key = F.md5(F.concat_ws("-", F.lit(str(seed)), "draw", "at"))
-    placed = placed.withColumn("rank", F.row_number().over(W.partitionBy("draw").orderBy(key))).where("rank <= most")
-    held = placed.select("n", "draw", "at", F.explode(F.filter("sizes", lambda k: k >= F.col("rank"))).alias("overlap"))
-    j, others = F.row_number().over(W.partitionBy("overlap", "draw").orderBy("at")), F.col("n") - F.col("overlap")
-    held = held.withColumns({"high": j / F.col("overlap") - (F.col("at") - j) / others, "low": (j - 1) / F.col("overlap") - (F.col("at") - j) / others})
-    return held.groupBy("overlap", "draw").agg(F.max("high").alias("high"), F.least(F.min("low"), F.lit(0.0)).alias("low"))
+    found = sizes.agg(F.first("n").alias("n"), F.max("overlap").alias("most"), F.array_sort(F.collect_set("overlap")).alias("sizes")).first()  # distinct sizes
+    names = "overlap long, draw int, high double, low double"
+    if not found["sizes"]:
+        return sizes.sparkSession.createDataFrame([], names)
+    n, most, each = found["n"], found["most"], 1 << 16
+
+    def placed(draws: DataFrame) -> DataFrame:
+        blocks = draws.select("draw", F.explode(F.sequence(F.lit(0), F.lit((n - 1) // each).cast("long"))).alias("block")).repartition("draw", "block")
+        at = F.explode(F.sequence(F.col("block") * each + 1, F.least(F.lit(n).cast("long"), (F.col("block") + 1) * each)))
+        return blocks.select("draw", at.alias("at")).withColumn("key", F.md5(F.concat_ws("-", F.lit(str(seed)), "draw", "at")))
+
+    draws = sizes.sparkSession.range(permutations).select(F.col("id").cast("int").alias("draw"))
+    share = most / n
+    share += 7 * math.sqrt(share * (1 - share) / n) + 1 / n
+    low = F.col("key") <= f"{min(int(share * 2**52), 2**52 - 1):013x}z"
+    first = stored(placed(draws).where(low), "draws")
+    few = stored(draws.join(first.groupBy("draw").agg(F.count("*").alias("c")), "draw", "left").where(F.coalesce("c", F.lit(0)) < most).select("draw"), "few")
+    if not few.isEmpty():
+        first = first.unionByName(placed(few).where(~low))
+    ranked = first.withColumn("rank", F.row_number().over(W.partitionBy("draw").orderBy("key"))).where(F.col("rank") <= most).select("draw", "at", "rank")
+    asked = [int(k) for k in found["sizes"]]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("at")
+        at, rank = pdf["at"].to_numpy(), pdf["rank"].to_numpy()
+        rows = []
+        for k in asked:
+            j = np.arange(1, k + 1)
+            missed = (at[rank <= k] - j) / (n - k) if k < n else np.full(k, np.nan)
+            rows.append((k, pdf["draw"].iloc[0], float(np.max(j / k - missed)), min(float(np.min((j - 1) / k - missed)), 0.0)))
+        return pd.DataFrame(rows, columns=["overlap", "draw", "high", "low"])
+
+    return ranked.groupBy("draw").applyInPandas(run, names)
 
 
 def enrich_values(values: DataFrame, members: DataFrame, permutations: int = 100, precise: bool = False, seed: int = 1, most: int = 1000) -> DataFrame:
