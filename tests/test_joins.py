@@ -25,7 +25,7 @@ def planned(df):
     return df._jdf.queryExecution().sparkPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["control_beads", "mask_all_but", "platform_call", "platform_from_ids", "lift_platforms", "lift_signals", "sex_platforms", "leukocyte_platforms", "idat_signals", "idat_deidentified", "idat_reidentified"])
+@pytest.mark.parametrize("name", ["control_beads", "mask_all_but", "platform_call", "platform_from_ids", "lift_platforms", "lift_signals", "sex_platforms", "leukocyte_platforms", "idat_signals", "idat_deidentified", "idat_reidentified", "unknown_state"])
 def test_many_rows_are_not_broadcast_by_an_estimate(spark, tables, name):
     out = QUERIES[name](spark, tables)
     assert not re.search(MANY, planned(out)), planned(out)
