@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.joins import sample_side
+from ..functions.joins import sample_side, sorted_side
+from ..functions.store import stored
 from . import masks
 from .signal import methylated, mu, mu_out_of_band, out_of_band, unmethylated
 
@@ -68,40 +69,74 @@ def success_rate(p: DataFrame, threshold: float = 0.05, least: int = 100) -> Dat
     return p.groupBy("sample_id").agg(F.when(n > least, F.count_if(F.col("p") < threshold) / n).alias("rate"))
 
 
-def background_window(pdf: pd.DataFrame, margin: float = 0.05, cap: float = 3000, jump: float = 0.2, windows: int = 500, size: int = 500) -> np.ndarray:
-    """Background values of one sample: signals up to the total where betas stop being dispersed."""
-    m, u = (np.concatenate([pdf[f"{a}{b}"].to_numpy(float) for b in ("", "_oo")]) for a in "mu")
-    with np.errstate(all="ignore"):
-        total, beta = m + u, m / (m + u)
-    ok = ~np.isnan(total) & ~np.isnan(beta)
-    if not ok.any():
-        return np.zeros(0)
-    order = np.lexsort((beta[ok], total[ok]))  # ties in one order, however rows arrive
-    total, beta, top = total[ok][order], beta[ok][order], np.fmax(m[ok], u[ok])[order]
-    edges = 2 ** np.linspace(np.log2(max(1.0, total[0] - 1)), np.log2(total[-1] + 1), windows)
-    first = np.searchsorted(total, edges, side="right")
-    spans = np.array([np.quantile(beta[i : i + size], [margin, 1 - margin]) if i < len(beta) else [np.nan] * 2 for i in first])
+def background_limit(near: pd.DataFrame, counts: np.ndarray, cap: float, jump: float, size: int, margin: float) -> float:
+    """The total up to which one sample's signals are background: where betas stop being dispersed.
+
+    ``counts`` has the values of each of the ranges that the windows' starts part, ``near``
+    (bin, total, beta) the first ``size`` of each, which is all that a window can hold.
+    """
+    near = near.sort_values(["bin", "total", "beta"], ignore_index=True)  # ties in one order, however rows arrive
+    offset = np.append(0, np.cumsum(counts))
+    place = offset[near["bin"].to_numpy()] + near.groupby("bin").cumcount().to_numpy()
+    total, beta, first = near["total"].to_numpy(), near["beta"].to_numpy(), offset[1:-1]
+    held = np.searchsorted(place, first), np.searchsorted(place, first + size)
+    spans = np.array([np.quantile(beta[i:j], [margin, 1 - margin]) if i < j else [np.nan] * 2 for i, j in zip(*held)])
     if spans[0, 1] - spans[0, 0] > 0.5:
         limit = total[min(9, len(total) - 1)]
     else:
         wide = np.flatnonzero((spans[:, 0] - spans[0, 0] < -jump) | (spans[:, 1] - spans[0, 1] > jump))
-        at = first[wide[0]] + size - 1 if len(wide) else len(total)
-        limit = total[at] if at < len(total) else np.inf
-    return top[total <= min(limit, cap)]
+        at = first[wide[0]] + size - 1 if len(wide) else offset[-1]
+        limit = total[np.searchsorted(place, at)] if at < offset[-1] else np.inf
+    return float(min(limit, cap))
 
 
-def detect_background(signals: DataFrame, **options) -> DataFrame:
-    """(sample_id, probe_id, p): background found from the dispersion of betas; null p becomes 1."""
+def background_values(signals: DataFrame, margin: float = 0.05, cap: float = 3000, jump: float = 0.2, windows: int = 500, size: int = 500) -> DataFrame:
+    """(sample_id, v): the brighter bead of signals, in and out of band, up to the total where betas stop being dispersed.
+
+    Windows start at ``windows`` totals, evenly on a log scale, and hold ``size`` betas
+    each. Values are counted between the starts; of each range only the first ``size``
+    values go to their sample's group, so that has (windows + 1) * size rows at most.
+    """
     in_ = mu(signals).select("sample_id", "probe_id", "m", "u")
     oo = mu_out_of_band(signals).select("sample_id", "probe_id", F.col("m").alias("m_oo"), F.col("u").alias("u_oo"))
-    rows = in_.join(oo, ["sample_id", "probe_id"], "left")
+    both = in_.join(sorted_side(oo), ["sample_id", "probe_id"], "left").select("sample_id", F.inline(F.array(F.struct("m", "u"), F.struct(F.col("m_oo").alias("m"), F.col("u_oo").alias("u")))))
+    rows = stored(both.where("m IS NOT NULL AND u IS NOT NULL"), "background").withColumn("total", F.col("m") + F.col("u"))
+    rows = rows.select("sample_id", "total", F.try_divide("m", "total").alias("beta"), F.greatest("m", "u").alias("v")).where("NOT isnan(total) AND NOT isnan(beta)")
+
+    @F.pandas_udf("array<double>")
+    def starts(least: pd.Series, most: pd.Series) -> pd.Series:
+        return pd.Series([2 ** np.linspace(np.log2(max(1.0, a - 1)), np.log2(b + 1), windows) for a, b in zip(least, most)])
+
+    def beside(df: DataFrame, side: DataFrame) -> DataFrame:
+        return df.join(sample_side(side.withColumnRenamed("sample_id", "__of")), F.col("sample_id").eqNullSafe(F.col("__of"))).drop("__of")
+
+    edges = rows.groupBy("sample_id").agg(F.min("total").alias("least"), F.max("total").alias("most")).select("sample_id", starts("least", "most").alias("edges"))
+    # The number of starts below a total: from its logarithm, then set right by the starts beside it.
+    low, high = F.log2(F.get("edges", F.lit(0))), F.log2(F.get("edges", F.lit(windows - 1)))
+    near = F.coalesce(F.ceil(F.try_divide((F.log2("total") - low) * (windows - 1), high - low)).cast("int"), F.lit(0))
+    k = F.least(F.greatest(near, F.lit(0)), F.lit(windows))
+    binned = beside(rows, edges).withColumn("bin", k)
+    over, under = F.get("edges", F.col("bin") - 1) >= F.col("total"), F.get("edges", F.col("bin")) < F.col("total")
+    binned = binned.select("sample_id", "total", "beta", (F.col("bin") - F.when(over, 1).otherwise(0) + F.when(under, 1).otherwise(0)).alias("bin"))
+    counts = binned.groupBy("sample_id", "bin").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(W.partitionBy("sample_id", "bin").orderBy("total", "beta"))
+    firsts = binned.withColumn("rank", rank).where(F.col("rank") <= size).drop("rank")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"sample_id": pdf["sample_id"].iloc[0], "v": background_window(pdf, **options)})
+        known = pdf["n"].notna()
+        n = np.zeros(windows + 1, np.int64)
+        n[pdf.loc[known, "bin"].to_numpy()] = pdf.loc[known, "n"].to_numpy(np.int64)
+        return pd.DataFrame({"sample_id": [pdf["sample_id"].iloc[0]], "limit": [background_limit(pdf[~known], n, cap, jump, size, margin)]})
+
+    tagged = firsts.withColumn("n", F.lit(None).cast("long")).unionByName(counts, allowMissingColumns=True)
+    limits = tagged.groupBy("sample_id").applyInPandas(run, "sample_id string, limit double")
+    return beside(rows, limits).where(F.col("total") <= F.col("limit")).select("sample_id", "v")
+
 
-    background = rows.groupBy("sample_id").applyInPandas(run, "sample_id string, v double")
+def detect_background(signals: DataFrame, **options) -> DataFrame:
+    """(sample_id, probe_id, p): background found from the dispersion of betas; null p becomes 1."""
     queries = mu(signals).select("sample_id", "probe_id", F.when(F.col("m").isNotNull() & F.col("u").isNotNull(), F.greatest("m", "u")).alias("v"))
-    ranked = ecdf(background, queries, ["sample_id"], least=0)
+    ranked = ecdf(background_values(signals, **options), queries, ["sample_id"], least=0)
     return ranked.select("sample_id", "probe_id", F.coalesce(1 - F.col("f"), F.lit(1.0)).alias("p"))
 
 
