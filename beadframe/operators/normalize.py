@@ -132,46 +132,49 @@ def most_balanced(signals: DataFrame, controls: DataFrame) -> DataFrame:
     return signals.select("sample_id").distinct().join(F.broadcast(best))  # one row
 
 
-def _curve(own: np.ndarray, other: np.ndarray):
-    """Map of a channel's values halfway to the other's distribution."""
-    x = np.sort(own)
-    mid = (x + np.sort(stats.to_target(x, other))) / 2
-    at, first = np.unique(x, return_inverse=True)
-    y = np.bincount(first, mid) / np.bincount(first)
-    low, high = x[0], x[-1]
+def _curve(own: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray], v: np.ndarray) -> np.ndarray:
+    """``v`` by the map of a channel's values halfway to the other's distribution.
 
-    def apply(v: np.ndarray) -> np.ndarray:
-        out = np.interp(v, at, y)
-        out = np.where(v > high, v - high + mid.max(), out)
-        return np.where(v < low, mid.min() / low * v if low else v, out) + np.where(np.isnan(v), np.nan, 0)
-
-    return apply
+    Both channels are (distinct values in order, how often each is there); the mean rank of
+    a value is read off the other's values.
+    """
+    x, c = own
+    rank = np.cumsum(c) - c + (c - 1) / 2
+    n, l = c.sum(), other[1].sum()
+    at = rank / max(n - 1, 1) * (l - 1)
+    below, upto = np.floor(at), np.cumsum(other[1])
+    low, high = (other[0][np.searchsorted(upto, np.minimum(i, l - 1), side="right")] for i in (below, below + 1))
+    y = (x + low + (at - below) * (high - low)) / 2
+    out = np.where(v > x[-1], v - x[-1] + y[-1], np.interp(v, x, y))
+    return np.where(v < x[0], y[0] / x[0] * v if x[0] else v, out)
 
 
 def dye_nonlinear(signals: DataFrame, include_masked: bool = True, most_distorted: float = 10) -> DataFrame:
     """Maps red and green in-band distributions onto their middle.
 
     Where the channels' distortion is unknown or too large, the green type I probes are
-    masked instead. One sample is one group: its probes, whose number the array sets.
+    masked instead. Readings repeat, so they are counted by value; a sample's group has a
+    row a distinct value, and readings meet their new values in joins.
     """
-    rows = signals.join(sample_side(dye_bias(signals).select("sample_id", "rgdistort")), "sample_id", "left")
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in signals.schema)
+    sides = sample_side(dye_bias(signals).select("sample_id", F.coalesce(F.col("rgdistort") <= most_distorted, F.lit(False)).alias("__ok")))
+    rows = signals.join(sides, "sample_id", "left").withColumn("__ok", F.coalesce("__ok", F.lit(False)))
+    used = lambda k: (F.col("col") == k) & (F.lit(True) if include_masked else ~F.col("mask"))
+    beads = F.array(*(F.struct(F.lit(k).alias("channel"), F.col(c).cast("double").alias("v"), used(k).alias("own")) for c, k in CHANNELS.items()))
+    values = rows.where("__ok").select("sample_id", F.inline(beads)).where("v IS NOT NULL AND NOT isnan(v)").groupBy("sample_id", "channel", "v").agg(F.count_if("own").alias("n"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        d = pdf["rgdistort"].iloc[0]
-        pdf = pdf.drop(columns="rgdistort")
-        if pd.isna(d) or d > most_distorted:
-            return pdf.assign(mask=pdf["mask"] | (pdf["col"] == "G"))
-        use = np.ones(len(pdf), bool) if include_masked else ~pdf["mask"].to_numpy(bool)
-        pick = lambda c, cols: pdf.loc[(pdf["col"] == c) & use, cols].to_numpy(float).ravel()
-        g, r = pick("G", ["mg", "ug"]), pick("R", ["mr", "ur"])
-        g, r = g[~np.isnan(g)], r[~np.isnan(r)]
-        if not len(g) or not len(r) or g.max() <= 0 or r.max() <= 0:
-            return pdf
-        red, green = _curve(r, g), _curve(g, r)
-        return pdf.assign(**{c: red(pdf[c].to_numpy(float)) for c in ("mr", "ur")}, **{c: green(pdf[c].to_numpy(float)) for c in ("mg", "ug")})
+        parts = {k: pdf[pdf["channel"] == k].sort_values("v") for k in "GR"}
+        own = {k: (d["v"].to_numpy()[(n := d["n"].to_numpy()) > 0], n[n > 0]) for k, d in parts.items()}
+        if not all(len(x) and x[-1] > 0 for x, _ in own.values()):
+            return pdf[["sample_id", "channel", "v"]].assign(new=pdf["v"])
+        return pd.concat([d[["sample_id", "channel", "v"]].assign(new=_curve(own[k], own["R" if k == "G" else "G"], d["v"].to_numpy())) for k, d in parts.items()])
 
-    return rows.groupBy("sample_id").applyInPandas(run, schema)
+    curves = stored(values.groupBy("sample_id").applyInPandas(run, "sample_id string, channel string, v double, new double"), "dye-curves")
+    for c, k in CHANNELS.items():
+        one = curves.where(F.col("channel") == k).select("sample_id", F.col("v").alias(c), F.col("new").alias(f"__{c}"))
+        rows = rows.join(small_side(one), ["sample_id", c], "left")
+    rows = rows.withColumns({c: F.when(F.col("__ok"), F.col(f"__{c}")).otherwise(F.col(c)) for c in CHANNELS})
+    return rows.withColumn("mask", F.when(F.col("__ok"), F.col("mask")).otherwise(F.col("mask") | (F.col("col") == "G"))).select(*signals.columns)
 
 
 def match_design(signals: DataFrame, min_gap: float = 0.3) -> DataFrame:
