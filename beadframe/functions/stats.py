@@ -194,6 +194,65 @@ def enrichment_score(present: np.ndarray) -> tuple[float, float]:
     return float(s.max()), float(s.min())
 
 
+def widest_arc(v: np.ndarray, least: int, reach: float | None = None, block: int = 16) -> tuple[float, int, int] | None:
+    """(statistic, start, end) of the arc that differs most from the rest: the first of equals, as from a look at all.
+
+    With ``reach``, some arc whose statistic is at least that, or None if none is. Arcs end in
+    two blocks of the running sum; by the largest difference between these and the shortest
+    lengths, pairs of blocks that stay below what is asked are left out as a whole, the others are halved.
+    """
+    n = len(v)
+    s = np.append(0, np.cumsum(v - v.mean()))
+    levels = max(0, int(np.ceil(np.log2((n + 1) / block))))
+    padded = np.append(s, np.full((block << levels) - n - 1, np.nan))
+    lows, highs = [np.fmin.reduce(padded.reshape(-1, block), axis=1)], [np.fmax.reduce(padded.reshape(-1, block), axis=1)]
+    for _ in range(levels):
+        lows.append(np.fmin(lows[-1][::2], lows[-1][1::2]))
+        highs.append(np.fmax(highs[-1][::2], highs[-1][1::2]))
+
+    def arcs(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        k = j - i
+        ok = (k >= least) & (k <= n - least) & (j <= n)
+        k = np.where(ok, k, 1)
+        return np.where(ok, np.abs(padded[j] - padded[i]) / np.sqrt(k * (n - k) / n), -1)
+
+    top = (-1.0, 0, 0)
+    if reach is None:  # what a few arcs reach bounds the largest from below
+        ends = np.unique(np.linspace(0, n, 65).astype(int))
+        floor = arcs(ends[:, None], ends[None, :]).max()
+    else:
+        floor = reach
+    p = q = np.zeros(1, int)
+    for level in range(levels, -1, -1):
+        size = block << level
+        if level < levels:
+            p, q = (np.concatenate([2 * p, 2 * p, 2 * p + 1, 2 * p + 1]), np.concatenate([2 * q, 2 * q + 1, 2 * q, 2 * q + 1]))
+            p, q = p[p <= q], q[p <= q]
+        short, long = np.maximum(least, (q - p - 1) * size + 1), np.minimum(n - least, (q - p + 1) * size - 1)
+        p, q, short, long = (z[short <= long] for z in (p, q, short, long))
+        apart = np.fmax(highs[level][q] - lows[level][p], highs[level][p] - lows[level][q])
+        # Rounding may not lose an arc.
+        bound = apart / np.sqrt(np.minimum(short * (n - short), long * (n - long)) / n) * (1 + 1e-9)
+        kept = np.flatnonzero(bound >= floor)
+        p, q, bound = p[kept], q[kept], bound[kept]
+    order = np.argsort(-bound, kind="stable")
+    p, q, bound = p[order], q[order], bound[order]
+    inside, at, each = np.arange(block), 0, 256
+    while at < len(p) and bound[at] >= floor:
+        i = p[at : at + each, None, None] * block + inside[:, None]
+        j = q[at : at + each, None, None] * block + inside[None, :]
+        t = arcs(i, j)
+        if (most := t.max()) >= floor and most > -1:
+            c, a, b = np.nonzero(t == most)
+            found = min(zip((i[c, a, 0]).tolist(), (j[c, 0, b]).tolist()))
+            if reach is not None:
+                return float(most), *found
+            top = min(top, (float(most), *found), key=lambda z: (-z[0], z[1], z[2]))
+            floor = max(floor, most)
+        at, each = at + each, min(4 * each, 8192)
+    return top if reach is None else None
+
+
 def circular_segments(x: np.ndarray, alpha: float = 0.001, least: int = 5, permutations: int = 1000, undo: float = 2.2, seed: int = 1) -> list[tuple[int, int]]:
     """[start, end) segments of a sequence by circular binary segmentation (Olshen et al., 2004).
 
@@ -202,30 +261,14 @@ def circular_segments(x: np.ndarray, alpha: float = 0.001, least: int = 5, permu
     """
     rng = np.random.default_rng(seed)
 
-    def best(v: np.ndarray) -> tuple[float, int, int]:
-        n = len(v)
-        s = np.append(0, np.cumsum(v - v.mean()))
-        length = np.arange(n + 1)
-        top = (-1.0, 0, 0)
-        for i in range(0, n - least + 1):
-            j = length[i + least :]
-            k = j - i
-            ok = (n - k >= least) | (k == n)
-            with np.errstate(all="ignore"):
-                t = np.where(ok & (k < n), np.abs(s[j] - s[i]) / np.sqrt(k * (n - k) / n), -1)
-            b = int(t.argmax())
-            if t[b] > top[0]:
-                top = (float(t[b]), i, int(j[b]))
-        return top
-
     def split(a: int, b: int) -> list[int]:
         v = x[a:b]
         if len(v) < 2 * least or v.std() == 0:
             return []
-        t, i, j = best(v)
+        t, i, j = widest_arc(v, least)
         worse, allowed = 0, int(alpha * permutations) + 1
         for _ in range(permutations):
-            worse += best(rng.permutation(v))[0] >= t
+            worse += widest_arc(rng.permutation(v), least, t) is not None
             if worse >= allowed:
                 return []
         cuts = [c for c in (a + i, a + j) if a < c < b]
