@@ -31,7 +31,9 @@ from .tokens import load, slices, spread
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Bytes of text that are encoded, and aligned, at once (a longer text is taken alone).
-ENCODED, SLICE = 1 << 21, 1 << 20
+ENCODED, SLICE = 1 << 20, 1 << 19
+#: Rows of a file of batches, which a task reads together.
+FILE_ROWS = 32
 
 
 def byte_letters() -> dict[str, int]:
@@ -93,7 +95,7 @@ class Aligner:
         self.a, self.b = a, b
         self.a_bytes, self.b_bytes = Surfaces(a.surface), Surfaces(b.surface)
         self.width = len(b.surface)
-        self.chunks = ChunkIds(a.segment, *([b.segment_chunks] if b.local else []), most=200_000)
+        self.chunks = ChunkIds(a.segment, *([b.segment_chunks] if b.local else []), most=130_000)
         self.decimal = pa.array([str(i) for i in range(max(len(a.surface), self.width))], pa.large_string())
 
     def ends(self, lists: pa.ListArray, surfaces: Surfaces) -> tuple[pa.Array, pa.Array]:
@@ -220,11 +222,12 @@ def batches_of(docs: DataFrame, text: str = "text", id: str = "doc_id", a: str |
                            *(list_array(x, np.array([len(x)]), k) for x, k in zip(lists, kinds))]
                 yield pa.RecordBatch.from_arrays(columns, names=["batch", "width", "docs", "pairs", "counts", "doc", "code", "n"])
                 number += 1
+                pa.default_memory_pool().release_unused()
         # An idle worker keeps neither chunks nor buffers.
         both.chunks.clear()
         pa.default_memory_pool().release_unused()
 
-    return materialise(light(docs, text, id).mapInArrow(run, BATCHES), "aligned-batches")
+    return materialise(light(docs, text, id).mapInArrow(run, BATCHES), "aligned-batches", file_rows=FILE_ROWS)
 
 
 def asked(batches: DataFrame) -> DataFrame:

@@ -46,12 +46,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialise(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
+def materialise(df: DataFrame, name: str, compression: str = "zstd", file_rows: int = 0) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut, and a lost
-    executor costs a reread, not a recomputation."""
+    executor costs a reread, not a recomputation. With ``file_rows`` a file has at most so
+    many rows: large ones are not held together by whoever writes or reads them."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", compression).parquet(path)
+    df.write.option("compression", compression).option("maxRecordsPerFile", file_rows).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
