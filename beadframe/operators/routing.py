@@ -102,7 +102,7 @@ def leukocyte_fraction(
         tissue, leukocyte = tissue.withColumn("platform", constant), leukocyte.withColumn("platform", constant)
         measured = tumor.withColumn("platform", constant) if tumor is not None else tissue
     else:
-        tissue = routed(tissue, platforms)
+        tissue = stored(routed(tissue, platforms).select("platform", "sample_id", "probe_id", "beta"), "tissue")  # read for markers, bounds and ratios
         measured = routed(tumor, platforms) if tumor is not None else tissue
     fewer = F.lit(markers if markers is not None else MARKERS)
     if markers is None:
